@@ -174,14 +174,20 @@ def _table_of(kind: str) -> np.ndarray:
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: str = "white") -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each row, A-Z lowered, and how many words each row has.
+    """64-bit hashes of the words of each row, A-Z lowered, and how many words each row has."""
+    return word_spans(raw, offsets, kind)[:2]
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, kind: str = "white") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, words of each row, and where each word starts and ends in raw.
 
     kind "white": words are runs without white space; "letters": runs of ASCII letters, digits and non-ASCII bytes.
     A word's hash is a polynomial of its bytes, taken from prefix sums, then mixed with its length.
     """
     n, rows = len(raw), len(offsets) - 1
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(rows, np.int64), none, none
     inside = np.zeros(n + 2, np.int8)
     inside[1:-1] = _table_of(kind)[raw]
     step = np.diff(inside)
@@ -199,4 +205,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: str = "white") -> tu
         h = (sums[ends] - sums[starts]) * down[starts]
         h = mix(h ^ ((ends - starts).astype(np.uint64) * _MULT))
     counts = np.diff(np.searchsorted(starts, offsets))
-    return h, counts
+    return h, counts, starts, ends
+
+
+def sums_between(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of words a..b (b exclusive), from prefix sums of the words' hashes."""
+    up, down = _Powers.upto(len(h) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(up[: len(h)] * h, out=sums[1:])
+        return mix((sums[b] - sums[a]) * down[a] ^ ((b - a).astype(np.uint64) * _MULT))

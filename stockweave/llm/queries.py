@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, embedding_dedup, exact_dedup, html_text, jaccard, mixing, packing, secret_scan, toxicity
+from . import chat_tree, embedding_dedup, exact_dedup, html_text, jaccard, mixing, packing, secret_scan, substring_dedup, toxicity
 from .common import table
 from .sql import ORACLES
 
@@ -22,6 +22,12 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.remove_repeats(docs)
+    return out.select("doc_id", F.col("n_sentences__").alias("n_sentences"), F.col("n_removed__").alias("n_removed"), F.col("words_removed__").alias("words_removed"), "text")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup,
+        op2_substring_dedup,
         op3_source_mixing,
         op4_ngram_jaccard_join,
         op5_html_extraction,
