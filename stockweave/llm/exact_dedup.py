@@ -73,12 +73,12 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_CHAINS, max_depth: int
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows repeated under one doc_id one stays."""
-    gone = stage(exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha"), "keep_id"), "gone")
-    copies = stage(gone.where("NOT (gone <=> keep_id)").select("gone", "gone_sha").distinct(), "copies")
-    repeats = stage(gone.where("gone <=> keep_id").select("gone", "gone_sha").distinct(), "repeats")
+    gone = stage(exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone__"), F.col("text_sha256").alias("gone_sha__"), "keep_id"), "gone")
+    copies = stage(gone.where("NOT (gone__ <=> keep_id)").select("gone__", "gone_sha__").distinct(), "copies")
+    repeats = stage(gone.where("gone__ <=> keep_id").select("gone__", "gone_sha__").distinct(), "repeats")
     sha = F.sha2(normalised(F.col("text")), 256)
     # bounds instead of equality: the hash is then no join key and is computed only for rows whose doc_id matches
-    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (sha >= F.col("gone_sha")) & (sha <= F.col("gone_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone__")) & (sha >= F.col("gone_sha__")) & (sha <= F.col("gone_sha__"))
     rest = docs.join(small_or_shuffled(copies, 96), same, "left_anti")
     if not repeats.take(1):
         return rest

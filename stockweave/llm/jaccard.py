@@ -259,8 +259,8 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     classes = stage(rows.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     counts = _shared_counts(_dealt(docs, width, n), n)
     able = counts.where(F.col("shared") * 100 >= F.col("total") * percent).select("key_a")
-    wanted = stage(classes.join(able, "key_a").where("rep IS NOT NULL").select("rep").distinct(), "wanted")
-    found = docs.join(small_or_shuffled(wanted, 16), F.col("doc_id") == F.col("rep"), "left_semi")
+    wanted = stage(classes.join(able, "key_a").where("rep IS NOT NULL").select(F.col("rep").alias("rep__")).distinct(), "wanted")
+    found = docs.join(small_or_shuffled(wanted, 16), F.col("doc_id") == F.col("rep__"), "left_semi")
     # a doc_id given to several texts stands for each of its classes; they are one component by the definition of component_id
     sets = stage(_with_sets(found, width).where("n > 0"), "grams")
     comp = set_links(sets, percent)
@@ -273,5 +273,5 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when one document of each component does: that with the smallest doc_id; rows with empty texts stay."""
     groups = jaccard_groups(docs)
-    gone = stage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(small_or_shuffled(gone, 16), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = stage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone__")).distinct(), "gone")
+    return docs.join(small_or_shuffled(gone, 16), F.col("doc_id") == F.col("gone__"), "left_anti")
