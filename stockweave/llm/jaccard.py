@@ -27,7 +27,7 @@ from .common import connected_components, mix, partitions, small_or_shuffled, st
 #: Words of an n-gram; overlap in percent of the union.
 WORDS, PERCENT = 5, 75
 #: 64-bit words of a bitmap; members of a tile compared in one salted share; n-grams that a task gathers before it deals them.
-BITMAP, SALT_ROWS, GATHER = 8, 2000, 3_000_000
+BITMAP, SALT_ROWS, GATHER = 32, 2000, 1_000_000
 
 _ORDER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -234,13 +234,15 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stage(_verified(first, sets, percent), "links")
     comp = stage(connected_components(links), "components")
     placed = tiles.join(comp, F.col("rep") == F.col("node"), "left").select("gram", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("gram", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("members > 2 AND lo <> hi").select("gram", "band", F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
-    narrow = sets.drop("grams")
-    rest = stage(placed.join(mixed, ["gram", "band"]).join(narrow, "rep"), "mixed")
-    left = rest.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).alias("a")
+    parts = placed.groupBy("gram", "band", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("gram", "band").agg(F.sum("n").alias("members"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("members > 2 AND comps > 1")
+    mixed = mixed.select("gram", "band", "main", F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
+    rest = stage(placed.join(mixed, ["gram", "band"]).join(sets.drop("grams"), "rep"), "mixed")
+    # every pair of two components has a member outside the tile's largest; pairs that the bitmaps rule out never leave the join
+    left = rest.where("comp <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).alias("a")
     right = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
-    on = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & _may_link(percent)
-    others = left.join(right, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    on = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep"))) & _may_link(percent)
+    others = left.join(right, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     return connected_components(links.unionByName(_verified(stage(others, "pairs"), sets, percent)))
 
 
