@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, partitions, stage, sums_between, text_chunks, word_spans
+from .common import BROADCAST_BYTES, mix, partitions, stage, sums_between, text_chunks, word_spans
 
 #: A span has this many sentences and words at least, or so many words that the number of sentences does not matter.
 SENTENCES, WORDS, LONG_WORDS = 3, 25, 40
@@ -102,16 +102,11 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, docs binary, texts binary, lens binary, firsts binary, counts binary, hashes binary")
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range all but the first occurrences: doc, text, firsts and counts of the repeated spans of a row."""
-    by_part: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for part, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            by_part.setdefault(part, []).append(tuple(row))
-    while by_part:
-        rows = by_part.popitem()[1]
+def _repeats(owners: int):
+    """Of each range all but the first occurrences, dealt to the tasks that own their documents: part, docs, texts, firsts, counts (one each per span)."""
+
+    def later(rows: list[tuple]) -> tuple:
         doc, text, lens, first, count, hashed = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint64)))
-        del rows
         owner = np.repeat(np.arange(len(doc), dtype=np.int32), lens)
         order = np.argsort(hashed, kind="stable")
         g = hashed[order]
@@ -126,27 +121,43 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the first occurrence stays, and so does the same place of an identical row given again
         stays = (doc[owner[o]] == doc[owner[lead]]) & (text[owner[o]] == text[owner[lead]]) & (first[o] == first[lead])
         o = o[~stays]
-        o = o[np.argsort(owner[o], kind="stable")]
-        own = owner[o]
-        if len(o):
-            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            tail = np.r_[head[1:], len(o)]
-            f, c = first[o].astype(np.uint32), count[o].astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own[head]]), pa.array(text[own[head]]), pa.array([np.c_[f[x:y], c[x:y]].tobytes() for x, y in zip(head, tail, strict=True)], pa.binary())], names=["doc", "text", "spans"])
+        return doc[owner[o]], text[owner[o]], first[o], count[o]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                by_part.setdefault(part, []).append(tuple(row))
+        while by_part:
+            found = later(by_part.popitem()[1])
+            with np.errstate(over="ignore"):
+                to = (mix(found[0].view(np.uint64)) % np.uint64(owners)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(owners + 1))
+            out = [(p, *[c[o].tobytes() for c in found]) for p in range(owners) if len(o := order[edges[p] : edges[p + 1]])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=["part", "docs", "texts", "firsts", "counts"])
+
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of a row from all ranges -> its removed stretches of sentences, (first, end) in turn."""
-    for batch in batches:
-        out = []
-        for parts in batch.column(2).to_pylist():
-            s = np.frombuffer(b"".join(parts), np.uint32).reshape(-1, 2).astype(np.int64)
-            a, b = s[:, 0], s.sum(axis=1)
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], np.maximum.accumulate(b[order])
-            new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
-            out.append(np.c_[a[new], b[np.r_[new[1:], len(a)] - 1]].reshape(-1).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc__", "text__", "cut__"])
+    """Repeated spans of the documents that a task owns -> the removed stretches of sentences of each, (first, end) in turn."""
+    rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
+    if not rows:
+        return
+    doc, text, a, n = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint16)))
+    order = np.lexsort((a, text, doc))
+    doc, text, a, n = doc[order], text[order], a[order].astype(np.int64), n[order].astype(np.int64)
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    cuts = []
+    for lo, hi in zip(head, np.r_[head[1:], len(doc)], strict=True):
+        first, end = a[lo:hi], np.maximum.accumulate(a[lo:hi] + n[lo:hi])
+        new = np.flatnonzero(np.r_[True, first[1:] > end[:-1]])
+        cuts.append(np.c_[first[new], end[np.r_[new[1:], hi - lo] - 1]].reshape(-1).astype(np.int32))
+    for lo in range(0, len(head), 10_000):
+        at = head[lo : lo + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(text[at]), pa.array(cuts[lo : lo + 10_000], pa.list_(pa.int32()))], names=["doc__", "text__", "cut__"])
 
 
 def _cleaned(names: list[str]):
@@ -191,9 +202,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     dealt = _dealt(docs.select(doc.alias("doc"), text.alias("hash"), F.coalesce("text", F.lit(""))), n)
-    spans = dealt.repartition(n, "part").mapInArrow(_repeats, "doc long, text long, spans binary")
-    rows = spans.groupBy("doc", "text").agg(F.collect_list("spans").alias("spans"))
-    cuts = stage(rows.mapInArrow(_merged, "doc__ long, text__ long, cut__ array<int>"), "cuts")
+    spans = dealt.repartition(n, "part").mapInArrow(_repeats(n), "part int, docs binary, texts binary, firsts binary, counts binary")
+    cuts = stage(spans.repartition(n, "part").mapInArrow(_merged, "doc__ long, text__ long, cut__ array<int>"), "cuts")
     bytes_ = cuts.agg(F.coalesce(F.sum(F.size("cut__") * 4 + 40), F.lit(0))).first()[0]
     side = F.broadcast(cuts) if bytes_ <= BROADCAST_BYTES else cuts
     keyed = docs.withColumns({"doc_key__": doc, "text_key__": text})
