@@ -36,7 +36,8 @@ def directory(chains: DataFrame, capacity: int = BUCKET_CHAINS, max_depth: int =
     cells = chains.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("cell")).agg(F.count("*").alias("n"))
     levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth)))).withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)"))
     fits = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("n")).where((F.col("n") <= capacity) | (F.col("depth") == max_depth)).select("depth", "bucket")
-    return levels.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("at")).select("cell", "at.depth", "at.bucket")
+    # disjoint buckets of the full directory's cells and their overfull ancestors' halves: at most 2 ** (max_depth + 1) rows of 16 bytes
+    return levels.join(F.broadcast(fits), ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("at")).select("cell", "at.depth", "at.bucket")
 
 
 def build_index(keyed: DataFrame, capacity: int = BUCKET_CHAINS, max_depth: int = MAX_DEPTH) -> DataFrame:
