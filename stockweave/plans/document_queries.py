@@ -297,7 +297,7 @@ def extracted_of(v):
 
 @query("suppress_invented_codes")
 def suppress_invented_codes(v):
-    """Tested against a brute-force version."""
+    """Tested by fixtures."""
     rec, out = extracted_of(v)
     chunks = rec.select("chunk_id").distinct().withColumn("code_absent", F.lit(True))
     return R.suppress_invented_codes(out, rec.select("chunk_id", "position", "code_anchor", "code_absent"), chunks)
@@ -305,6 +305,6 @@ def suppress_invented_codes(v):
 
 @query("align_pdf_records")
 def align_pdf_records(v):
-    """Tested against a brute-force version."""
+    """Tested by fixtures."""
     rec, out = extracted_of(v)
     return R.align_records(out, rec)

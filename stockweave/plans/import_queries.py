@@ -110,7 +110,7 @@ def suspects(v):
 
 @query("name_suspicion")
 def name_suspicion(v):
-    """Scores rest on regular expressions that the SQL engine reads otherwise; tested by the fixtures and a brute-force version."""
+    """Scores rest on regular expressions that the SQL engine reads otherwise; tested by fixtures."""
     return suspects(v).withColumn("s", S.name_suspicion(F.col("product_name"), F.col("source_name"), composed=True)).select("position", "s.suspicious", "s.score", F.array_join("s.signals", "; ").alias("signals"))
 
 

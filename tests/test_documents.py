@@ -166,3 +166,32 @@ def test_reliable_candidates(spark):
 def test_runs(spark):
     df = spark.createDataFrame([("d", n) for n in (1, 2, 4, 5, 6, 6, 9, 10, 11, 12)], "document string, number int")
     assert sorted(r.number for r in D.consecutive_runs(df, ["document"], "number").collect()) == [4, 5, 6, 9, 10, 11, 12]
+
+
+def brute_name(line, kind):
+    line = line.strip()
+    if kind == "EXPLICIT_LABEL":
+        cut = min((k for k in (line.find(":"), line.find("|")) if k >= 0), default=-1)
+        return (line[cut + 1 :].strip() or None) if cut >= 0 else None
+    rest = re.sub(r"^[.)\-:|;]\s*", "", re.sub(r"^\d{1,4}", "", line).strip())
+    for mark in ("|", " - "):
+        if mark in rest:
+            return rest.split(mark)[0].strip() or None
+    return None
+
+
+def brute_code(text):
+    fold = lambda v: v.lower().translate(str.maketrans("ıİşŞçÇğĞüÜöÖ", "iissccgguuoo"))
+    values = [m.strip() for m in re.findall(r"(?im)(?:^|\|)\s*(?:kod|ürün\s+kodu|urun\s+kodu|stok\s+kodu|malzeme\s+kodu)\s*[:|]\s*([^|\n]+)", text)]
+    real = [v for v in values if fold(v) not in ("-", "yok") and not any(p in fold(v) for p in ("belirtilmemis", "bulunmuyor"))]
+    return real[0] if real else None, not real
+
+
+def test_anchors_of_the_page_view_against_brute_force(spark, sf_dir):
+    from stockweave.sources.views import frame
+
+    rows = D.segment_records(frame(spark, sf_dir, "page_lines")).collect()
+    assert len(rows) > 1000
+    for r in rows:
+        assert r.name_anchor == brute_name(r.source_text.split("\n")[0], r.start_kind), r
+        assert (r.code_anchor, r.code_absent) == brute_code(r.source_text), r
