@@ -22,7 +22,12 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav aside footer form script style noscript template iframe button select option textarea title head svg math canvas object audio video map menu dialog search label input".split())
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager footer masthead widget toolbar skip".split())
+MARKS = frozenset("ad ads adbox adsense adslot adunit advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager footer masthead widget toolbar topbar copyright skip".split())
+COMMENT_MARKS = frozenset("comment comments disqus reply replies respond".split())
+#: With "header" in its class or id an element is the page's, unless one of these words says whose it is.
+HEADER_MARK, OWN_HEADER = "header", frozenset("article content entry post story title".split())
+#: Blocks of running text: what stands beside one of these belongs to the same article.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 ENDS_P = BLOCKS - {"body", "html"}
 #: Elements that an opening tag of the same family ends, up to the container named.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -34,16 +39,22 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidd
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "dropped", "marked", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
+        self.tag, self.parent, self.dropped, self.marked, self.kids = tag, parent, dropped, False, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(attributes: str) -> bool:
-    return any(w in MARKS for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower())) or bool(_HIDDEN.search(attributes))
+def _is_marked(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role name something that is no article text; inside: an article or main element holds it."""
+    words = {w for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower())}
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return bool(words & COMMENT_MARKS)
+    return bool(words & MARKS) or (HEADER_MARK in words and not inside and not words & OWN_HEADER)
 
 
 def parse(page: str) -> tuple[Node, Node]:
@@ -88,9 +99,11 @@ def parse(page: str) -> tuple[Node, Node]:
         if tag == "body":
             del open_[1:]  # the head ends where the body begins
         up = open_[-1]
+        inside = any(n.tag in ("article", "main") for n in open_)
         # a header belongs to the page, unless it stands in the article and holds its title
-        drop = up.dropped or tag in DROPPED or (tag == "header" and not any(n.tag in ("article", "main") for n in open_)) or (tag not in ("body", "article", "main") and _marked(m[3]))
+        drop = up.dropped or tag in DROPPED or (tag == "header" and not inside) or bool(_HIDDEN.search(m[3]))
         node = Node(tag, up, drop)
+        node.marked = not drop and _is_marked(tag, m[3], inside)
         if tag == "body":
             body = node
         if not drop:
@@ -119,10 +132,9 @@ def _ordered(top: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node, body: Node) -> list[Node]:
-    """Counts and densities of the body's nodes, parents first."""
-    nodes = _ordered(body)
+def _count(nodes: list[Node]) -> None:
     for n in reversed(nodes):
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
         for k in n.kids:
             if isinstance(k, Node):
                 n.chars, n.link_chars = n.chars + k.chars, n.link_chars + k.link_chars
@@ -131,6 +143,17 @@ def measure(root: Node, body: Node) -> list[Node]:
                 n.chars += len(k) - k.count(" ") - k.count("\n")
         if n.tag == "a":
             n.link_chars = n.chars
+
+
+def measure(root: Node, body: Node) -> list[Node]:
+    """Counts and densities of the body's nodes, parents first. Marked elements go, unless one holds the article: a title or article element and most of the text."""
+    nodes = _ordered(body)
+    _count(nodes)
+    for n in nodes:
+        if n.marked and not (2 * n.chars > body.chars and any(k.tag in ("article", "main", "h1") for k in _ordered(n))):
+            n.parent.kids.remove(n)
+    nodes = _ordered(body)
+    _count(nodes)
     share = body.link_chars / max(body.chars, 1)
     for n in nodes:
         c, t, lc, lt = max(n.chars, 0), max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
@@ -143,20 +166,40 @@ def measure(root: Node, body: Node) -> list[Node]:
 
 
 def article(body: Node, nodes: list[Node]) -> tuple[Node, float]:
-    """The node of the greatest density sum, and the least density on its path to the body; of equal sums the outermost."""
+    """The node of the greatest density sum, with what belongs to it, and the least density on the path to the body.
+
+    An article or main element around it is the article. Else the node's parent is, as long as running text or a title stands beside the node.
+    """
     best = max(nodes, key=lambda n: n.total, default=body)
-    while best is not body and best.parent is not None and (best.tag not in BLOCKS or best.tag == "p" or _has_more(best)):
-        best = best.parent
-    low, n = best.density, best
+    around = [n for n in _up(best, body) if n.tag in ("article", "main")]
+    if not around and (named := [n for n in nodes if n.tag in ("article", "main") and 2 * n.chars > body.chars]):
+        around = named[:1]
+    if around:
+        best = around[0]
+    else:
+        while best is not body and (best.tag not in BLOCKS or best.tag in TEXT_BLOCKS or _belongs(best)):
+            best = best.parent
+    return best, min(n.density for n in _up(best, body))
+
+
+def _up(n: Node, body: Node) -> list[Node]:
+    """n and what holds it, up to the body."""
+    out = [n]
     while n is not body and n.parent is not None:
         n = n.parent
-        low = min(low, n.density)
-    return best, low
+        out.append(n)
+    return out
 
 
-def _has_more(n: Node) -> bool:
-    """Whether what stands beside n is article text too: other blocks of the same parent that are not mostly links."""
-    return any(k is not n and isinstance(k, Node) and k.chars and 2 * k.link_chars < k.chars for k in n.parent.kids) or any(isinstance(k, str) and k.strip() for k in n.parent.kids)
+def _belongs(n: Node) -> bool:
+    """Whether the parent of n has running text of its own, or an element with a title, beside n."""
+    for k in n.parent.kids:
+        if isinstance(k, str):
+            if k.strip():
+                return True
+        elif k is not n and k.chars and 2 * k.link_chars < k.chars and (k.tag in TEXT_BLOCKS or any(x.tag in HEADINGS for x in _ordered(k))):
+            return True
+    return False
 
 
 def blocks(top: Node, threshold: float) -> list[str]:

@@ -253,6 +253,9 @@ PAGES = {
     "<nav><a>x</a></nav>": "",
     "<div><header><h1>Site</h1></header><form><input><p>sign up</p></form><p>Body text.</p><!-- note --><style>p{}</style></div>": "Body text.",
     "<article><header><h1>Title</h1></header><div class=\"ad-box\">buy</div><p>Text one.</p><div><p>Text two.</p></div></article>": "Title\nText one.\nText two.",
+    "<body><div id='site-header'><p>Site name</p></div><div class='content has-sidebar'><h1>T</h1><p>" + "Some words. " * 20 + "</p></div><div>slogan of the site</div></body>": "T\n" + ("Some words. " * 20).strip(),
+    "<article class='comment'><p>mine too</p></article><main><p>The text.</p></main><p>beside</p>": "The text.",
+    "<div><div><h1>Title</h1></div><div><p>" + "Body words. " * 10 + "</p></div></div>": "Title\n" + ("Body words. " * 10).strip(),
     "<table><tr><td>a<td>b<tr><td>c</table><p>d": "a\nb\nc\nd",
     "<article><p>First.</p><p>Cut off here &am": "First.\nCut off here &am",
     "<p>a</p><p class=": "a",
