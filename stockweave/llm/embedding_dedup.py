@@ -25,7 +25,7 @@ COSINE, MISS, BLOCK, SEED = 0.93, 0.0005, 512, 20240
 
 def plan_tables(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
     """(bits, tables) for n vectors: codes long enough that a bucket holds few unrelated vectors, tables enough that a pair at the threshold is missed with chance `miss`."""
-    bits = min(40, max(10, math.ceil(math.log2(max(n, 2))) - 2))
+    bits = min(40, max(10, math.ceil(math.log2(max(n, 2)))))
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-agree))
 
@@ -60,61 +60,80 @@ def _codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
     return classes.select("rep", "n", "label", "vec").mapInArrow(run, "rep long, n long, vec array<float>, codes array<long>")
 
 
-def _compare(cosine: float):
-    """Rows sorted by group -> for each vector with links in a group: rep, links (first meetings only), root (of its links in the group)."""
-
-    def group(rows: list[tuple], out: list[tuple]) -> None:
-        _, i, j, table = rows[0][:4]
-        reps = np.array([r[4] for r in rows])
-        weight = np.array([r[5] for r in rows])
-        side = np.array([r[6] for r in rows])
-        x = np.array([r[7] for r in rows], dtype=np.float64)
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        linked = x @ x.T >= cosine
-        np.fill_diagonal(linked, False)
-        if i != j:
-            linked &= side[:, None] != side[None, :]
-        a, b = np.nonzero(linked)
-        if not len(a):
-            return
-        codes = np.array([r[8][:table] for r in rows])
-        new = ~(codes[a] == codes[b]).any(axis=1) if table else np.ones(len(a), bool)
-        links = np.bincount(a[new], weights=weight[b[new]], minlength=len(rows)).astype(np.int64)
-        root = np.arange(len(rows))
-        while True:  # least row number among the linked, until nothing changes
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        for k in np.unique(a):
-            out.append((int(reps[k]), int(links[k]), int(reps[root[k]])))
+def _linked_in(group: dict[str, np.ndarray], x: np.ndarray, codes: np.ndarray, cosine: float) -> list[np.ndarray]:
+    """Of the vectors x of one group those with links: rep, links (pairs that met in no table before this one), rep of the least member that they reach."""
+    x = x.astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    linked = x @ x.T >= cosine
+    np.fill_diagonal(linked, False)
+    if group["i"][0] != group["j"][0]:
+        linked &= group["block"][:, None] != group["block"][None, :]
+    a, b = np.nonzero(linked)
+    if not len(a):
+        return [np.zeros(0, np.int64)] * 3
+    new = ~(codes[a, : group["table"][0]] == codes[b, : group["table"][0]]).any(axis=1)
+    links = np.bincount(a[new], weights=group["n"][b[new]], minlength=len(x)).astype(np.int64)
+    root = np.arange(len(x))
+    while True:  # least row among the linked, until nothing changes
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    at = np.unique(a)
+    return [group["rep"][at], links[at], group["rep"][root[at]]]
+
+
+def _compare(cosine: float, tables: int):
+    """Rows sorted by group -> rep, links, root of each group's linked vectors. A group that goes on in the next batch is held over."""
+    names = ("code", "i", "j", "table", "rep", "n", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, out = [], None, []
-
-        def rows_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "root"])
-
+        held = None
         for batch in batches:
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if r[:3] != at:
-                    if len(held) > 1:
-                        group(held, out)
-                    held, at = [], r[:3]
-                held.append(r)
-            if len(out) > 10_000:
-                yield rows_of(out)
-                out = []
-        if len(held) > 1:
-            group(held, out)
-        if out:
-            yield rows_of(out)
+            now = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
+            vec = batch.column(7)
+            now["size"] = np.diff(vec.offsets.to_numpy())
+            rows = [now, vec.flatten().to_numpy(), batch.column(8).flatten().to_numpy().reshape(-1, tables)]
+            if held:
+                rows = [{c: np.concatenate((held[0][c], now[c])) for c in now}, np.concatenate((held[1], rows[1])), np.concatenate((held[2], rows[2]))]
+            out, held = _groups(rows, cosine, last=False)
+            if out:
+                yield out
+        if held:
+            out, _ = _groups(held, cosine, last=True)
+            if out:
+                yield out
 
     return run
 
 
+def _groups(rows: list, cosine: float, last: bool) -> tuple[pa.RecordBatch | None, list | None]:
+    """(links of all groups that are complete, the rows of the last one unless it is)."""
+    cols, values, codes = rows
+    n = len(cols["code"])
+    if not n:
+        return None, None
+    change = np.zeros(n - 1, bool)
+    for c in ("code", "i", "j"):
+        change |= cols[c][1:] != cols[c][:-1]
+    starts = np.r_[0, np.flatnonzero(change) + 1]
+    ends = np.r_[starts[1:], n]
+    at = np.r_[0, np.cumsum(cols["size"])]
+    out = []
+    for lo, hi in zip(starts if last else starts[:-1], ends if last else ends[:-1], strict=True):
+        if hi - lo > 1:
+            part = {c: v[lo:hi] for c, v in cols.items()}
+            out.append(_linked_in(part, values[at[lo] : at[hi]].reshape(hi - lo, -1), codes[lo:hi], cosine))
+    found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in found], names=["rep", "links", "root"]) if found and len(found[0]) else None
+    if last:
+        return batch, None
+    lo = starts[-1]
+    return batch, [{c: v[lo:] for c, v in cols.items()}, values[at[lo] :], codes[lo:]]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, bits: int | None = None, tables: int | None = None) -> DataFrame:
     """vectors (vec_id long, embedding array<float>, label int, ...) -> one row per input row: vec_id, n_links, component_id, kept.
 
@@ -138,7 +157,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
     pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "table", "rep", "block")
     full = pairs.join(coded, "rep").select("code", "i", "j", "table", "rep", "n", "block", "vec", "codes")
     groups = full.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j", "table", "rep")
-    found = stage(groups.mapInArrow(_compare(cosine), "rep long, links long, root long"), "found")
+    found = stage(groups.mapInArrow(_compare(cosine, tables), "rep long, links long, root long"), "found")
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labelled = classes.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
