@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, stage
+from .common import partitions, small_or_shuffled, stage
 
 # Fixed values of the template: a turn is HEAD role SEP text TAIL; these strings inside a role or text get a backslash before each.
 HEAD, SEP, TAIL = "### ", ": ", "</turn>\n"
@@ -82,9 +82,11 @@ def _branches(turns: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Streamed again in conversation order; a branch is named by the node that begins it.
     """
-    forks = nodes.where("parent <> ''").groupBy("parent").agg(F.count("*").alias("children")).where("children > 1").select(F.col("parent").alias("fork"))
-    marked = turns.select("conv_id", "node", "parent", "depth").join(forks, F.col("parent") == F.col("fork"), "left").withColumn("begins", F.col("fork").isNotNull() | (F.col("depth") == 0))
-    # a conversation per distinct last node is enough for the paths of all nodes
+    forks = stage(nodes.where("parent <> ''").groupBy("parent").agg(F.count("*").alias("children")).where("children > 1").select(F.col("parent").alias("fork")), "forks")
+    rows = turns.select("conv_id", "node", "parent", "depth")
+    # roots have no parent to look up, and a parent that very many turns share is split by the join
+    deep = rows.where("depth > 0").join(small_or_shuffled(forks, 48), F.col("parent") == F.col("fork"), "left").select("conv_id", "node", "depth", F.col("fork").isNotNull().alias("begins"))
+    marked = deep.unionByName(rows.where("depth = 0").select("conv_id", "node", "depth", F.lit(True).alias("begins")))
     ordered = marked.select("conv_id", "depth", "node", "begins").repartition("conv_id").sortWithinPartitions("conv_id", "depth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
