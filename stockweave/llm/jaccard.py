@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, mix, partitions, small_or_shuffled, stage, text_chunks, word_hashes
+from .common import connected_components, mix, partitions, short_batches, small_or_shuffled, stage, text_chunks, word_hashes
 
 #: Words of an n-gram; overlap in percent of the union.
 WORDS, PERCENT = 5, 75
@@ -257,6 +257,7 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    short_batches(spark)
     rows = stage(shingle_keys(docs, width), "sets")
     classes = stage(rows.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     counts = _shared_counts(_dealt(docs, width, n), n)

@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: Limits of a sequence, and the id that ends each document.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, END_ID = 2048, 256, 2048, 1
 #: A task packs when its pool holds this many pieces, down to the second number; cached words of a task.
-POOL, LOW_POOL, CACHE_WORDS = 2048, 256, 400_000
+POOL, LOW_POOL, CACHE_WORDS = 2048, 256, 150_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -193,6 +195,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
     keep their doc_id, null too; other columns are not read. An empty table gives no rows. The task's partition number
     leads its sequence ids, so a rerun of a lost task gives the same rows.
     """
+    short_batches(docs.sparkSession)
     fields = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")).alias("loss_from")]
     end = np.array([end_id], dtype="<u4").tobytes()
 
