@@ -133,6 +133,36 @@ def test_toxicity_odd_rows(spark, make_docs, odd_docs):
     assert kept.columns == docs.columns and 0 < kept.count() < 200
 
 
+def test_counts_take_all_training_rows_and_the_shared_ones_all_documents(spark, make_docs):
+    docs, labels = labelled(spark, make_docs, 600)
+    training = T._training(labels, 10).collect()
+    assert len(training) == labels.where(~T.held_out(F.col("doc_id"))).count() and 0 < sum(r.curve__ for r in training) <= 6
+    got = []
+    sums = lambda told, many, kinds, types, sums: got.append((kinds, tuple(sums), sum(many.n1), len(told))) or part(told, many, kinds, types, sums)
+    part, T._part = T._part, sums
+    try:
+        T.fit(docs, labels, max_rows=10, max_entries=10**9)
+    finally:
+        T._part = part
+    kinds, distinct, toxic = set(), set(), set()
+    counted = {r.id__: r.toxic__ for r in training if not r.curve__}
+    for r in docs.collect():
+        w = r.text.split()
+        kinds |= set(w)
+        distinct |= set(zip(w, w[1:]))
+        if counted.get(r.doc_id) == 1:
+            toxic |= set(zip(w, w[1:]))
+    assert len(got) == 1 and got[0][0] == len(kinds) and got[0][1][0] == len(distinct) and got[0][1][2] == len(toxic)
+
+
+def test_a_model_of_many_parts_scores_as_a_whole_one(spark, make_docs):
+    docs, labels = labelled(spark, make_docs, 400)
+    whole, split = T.fit(docs, labels), T.fit(docs, labels, max_entries=1)
+    assert len(whole.parts) == 1 < len(split.parts) and sum(len(p.value.words) for p in split.parts) == len(whole.parts[0].value.words) > 0
+    score = lambda m: np.array([r.score for r in T.score_documents(docs, m).orderBy("doc_id").collect()])
+    assert np.allclose(score(whole), score(split), atol=1e-9)
+
+
 # ---- secrets ----
 
 
