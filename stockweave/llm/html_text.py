@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("nav aside footer form script style noscript template iframe button select option textarea title head svg math canvas object audio video map menu dialog search label input".split())
+DROPPED = frozenset("nav aside footer script style noscript template iframe button select option textarea title head svg math canvas object audio video map menu dialog search label input".split())
 MARKS = frozenset("ad ads adbox adsense adslot adunit advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager footer masthead widget toolbar topbar copyright skip".split())
 COMMENT_MARKS = frozenset("comment comments disqus reply replies respond".split())
+#: "widget" marks nothing beside one of these words; what follows one of LAYOUT in a class names what the page has or lacks.
+OWN_WIDGET = frozenset("article body content editor entry post story text title".split())
+LAYOUT = frozenset("no has have with without".split())
 #: With "header" in its class or id an element is the page's, unless one of these words says whose it is.
 HEADER_MARK, OWN_HEADER = "header", frozenset("article content entry post story title".split())
 #: Blocks of running text: what stands beside one of these belongs to the same article.
@@ -34,8 +37,8 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_MARK = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 class Node:
@@ -47,14 +50,32 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _is_marked(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether class, id or role name something that is no article text; inside: an article or main element holds it."""
-    words = {w for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower())}
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in reversed(list(_ATTRIBUTE.finditer(text)))}  # of repeated names the first counts
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
+
+
+def _is_marked(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether the tag, class, id or role name something that is no article text; inside: an article or main element holds it."""
     if tag in ("html", "body", "main"):
         return False
+    if tag == "form":
+        return True
+    words = set()
+    for token in " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label")).lower().split():
+        for w in re.split(r"[^a-z]+", token):
+            if w in LAYOUT:
+                break
+            words.add(w)
     if tag == "article":
         return bool(words & COMMENT_MARKS)
-    return bool(words & MARKS) or (HEADER_MARK in words and not inside and not words & OWN_HEADER)
+    marks = words & MARKS
+    if marks == {"widget"} and words & OWN_WIDGET:
+        return False
+    return bool(marks) or (HEADER_MARK in words and not inside and not words & OWN_HEADER)
 
 
 def parse(page: str) -> tuple[Node, Node]:
@@ -100,10 +121,11 @@ def parse(page: str) -> tuple[Node, Node]:
             del open_[1:]  # the head ends where the body begins
         up = open_[-1]
         inside = any(n.tag in ("article", "main") for n in open_)
+        attributes = _attributes(m[3]) if m[3] else {}
         # a header belongs to the page, unless it stands in the article and holds its title
-        drop = up.dropped or tag in DROPPED or (tag == "header" and not inside) or bool(_HIDDEN.search(m[3]))
+        drop = up.dropped or tag in DROPPED or (tag == "header" and not inside) or _is_hidden(attributes)
         node = Node(tag, up, drop)
-        node.marked = not drop and _is_marked(tag, m[3], inside)
+        node.marked = not drop and _is_marked(tag, attributes, inside)
         if tag == "body":
             body = node
         if not drop:
@@ -146,11 +168,12 @@ def _count(nodes: list[Node]) -> None:
 
 
 def measure(root: Node, body: Node) -> list[Node]:
-    """Counts and densities of the body's nodes, parents first. Marked elements go, unless one holds the article: a title or article element and most of the text."""
+    """Counts and densities of the body's nodes, parents first. Marked elements and forms go, unless one holds most of the page's text that is not in links and no article elsewhere is known: the densities decide about that."""
     nodes = _ordered(body)
     _count(nodes)
+    text = body.chars - body.link_chars
     for n in nodes:
-        if n.marked and not (2 * n.chars > body.chars and any(k.tag in ("article", "main", "h1") for k in _ordered(n))):
+        if n.marked and not (2 * (n.chars - n.link_chars) > text and not _known_beside(n, nodes, body)):
             n.parent.kids.remove(n)
     nodes = _ordered(body)
     _count(nodes)
@@ -165,6 +188,16 @@ def measure(root: Node, body: Node) -> list[Node]:
     return nodes
 
 
+def _known_beside(n: Node, nodes: list[Node], body: Node) -> bool:
+    """Whether the page's only article or main element lies apart from n. One within another, or in a marked element that does not hold n, does not count."""
+    above = set(_up(n, body))
+    known = []
+    for k in nodes:
+        if k.tag in ("article", "main") and k.chars and not any((x.marked and x not in above) or (x is not k and x.tag in ("article", "main")) for x in _up(k, body)):
+            known.append(k)
+    return len(known) == 1 and known[0] not in above and n not in _up(known[0], body)
+
+
 def article(body: Node, nodes: list[Node]) -> tuple[Node, float]:
     """The node of the greatest density sum, with what belongs to it, and the least density on the path to the body.
 

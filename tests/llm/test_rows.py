@@ -292,6 +292,24 @@ PAGES = {
 }
 
 
+BODY = "The article has words enough. " * 12
+SPARED = {
+    f"<article><h1>T</h1><div class='entry-content no-comments'><p>{BODY}</p></div></article>": "T\n" + BODY.strip(),
+    f"<body><h1>T</h1><div class='content no-sidebar'><p>{BODY}</p></div></body>": "T\n" + BODY.strip(),
+    f"<body><h1>T</h1><div class='elementor-widget elementor-widget-theme-post-content'><p>{BODY}</p></div></body>": "T\n" + BODY.strip(),
+    f"<div class='page'><h1>T</h1><div class='elementor-widget elementor-widget-text-editor'><p>{BODY}</p></div><div class='elementor-widget elementor-widget-text-editor'><p>{BODY}</p></div><div class='elementor-widget elementor-widget-text-editor'><p>{BODY}</p></div></div>": "\n".join(["T", *[BODY.strip()] * 3]),
+    f"<body><h1>T</h1><div class='related'><p>{BODY}</p></div></body>": "T\n" + BODY.strip(),
+    f"<body><form id=aspnetForm><div><input name=x><h1>T</h1><p>{BODY}</p></div></form></body>": "T\n" + BODY.strip(),
+    f"<body><h1>T</h1><div class='overflow hidden box' title='a hidden display:none one'><p>{BODY}</p></div><div hidden>no</div><p style='display: none'>no</p><p aria-hidden=true>no</p></body>": "T\n" + BODY.strip(),
+    f"<body><div><h1>T</h1><p>{BODY}</p><form><p>Sign up for letters</p></form></div><div class='comments no-avatars'><p>I say</p></div></body>": "T\n" + BODY.strip(),
+}
+
+
+def test_the_element_that_holds_the_text_stays():
+    for page, want in SPARED.items():
+        assert H.main_text(page) == want, page
+
+
 def test_pages(spark):
     rows = [(k, f"u{k}", h, 1) for k, h in enumerate(PAGES)] + [(99, None, None, 2)]
     got = {r.page_id: r for r in H.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()}
