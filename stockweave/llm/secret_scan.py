@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every text is searched for three kinds of credentials and for further candidates: long mixed strings of high
-entropy. The hash of each candidate's value is counted over the distinct owners and repositories in which it occurs. A value
-that several owners share is a copied example and adds nothing; one that a single owner has looks live and adds
-a span of kind "owner" where no other span lies.
+entropy. The hash of each candidate's value is counted over the distinct owners, repositories and texts in which it occurs. A value
+that several owners share, or that one owner has in many repositories or texts, is a copied example and adds nothing; any other looks live
+and adds a span of kind "owner" where no other span lies.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 #: Further candidates: long strings with a letter and a digit, of at least so many bits of entropy a character.
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 LEAST_BITS = 3.5
-#: Owners from which on a value is a copied example.
-EXAMPLE_OWNERS = 2
+#: Owners, repositories and distinct texts from which on a value is a copied example; each alone is enough.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, EXAMPLE_TEXTS = 2, 3, 10
 
 
 def _entropy(value: bytes) -> float:
@@ -79,46 +79,45 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, owner, repository, n_assign, n_access, n_hex, base (array of start, end, kind), found (array of start, end, hash, base)."""
+    """docs (doc_id, text, ...) -> doc_id, owner, repository, text_hash, base (array of start, stop, kind), found (array of start, stop, hash, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32())]))
         seen = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.int64()), ("own", pa.bool_())]))
         for batch in batches:
             base, found = [], []
-            for text in pc.cast(pc.fill_null(batch.column(3), ""), pa.binary()).to_pylist():
+            for text in pc.cast(pc.fill_null(batch.column(4), ""), pa.binary()).to_pylist():
                 b, f = find_spans(text)
                 places = {(s, e) for s, e, _ in b}
                 base.append([{"start": s, "stop": e, "kind": k} for s, e, k in b])
                 found.append([{"start": s, "stop": e, "hash": h, "own": (s, e) not in places} for s, e, h in f])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, span), pa.array(found, seen)], names=["doc_id", "owner", "repository", "base", "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(base, span), pa.array(found, seen)], names=["doc_id", "owner", "repository", "text_hash", "base", "found"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), "text")
-    return read.mapInArrow(run, "doc_id long, owner string, repository string, base array<struct<start: long, stop: long, kind: int>>, found array<struct<start: long, stop: long, hash: long, own: boolean>>")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.xxhash64("text").alias("text_hash"), "text")
+    return read.mapInArrow(run, "doc_id long, owner string, repository string, text_hash long, base array<struct<start: long, stop: long, kind: int>>, found array<struct<start: long, stop: long, hash: long, own: boolean>>")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """hash, owners, repositories: in how many distinct ones each candidate value occurs. Rows without an owner count as one owner of their own.
+    """hash, owners, repositories, texts: in how many distinct ones each candidate value occurs. Rows without an owner count as one owner of their own; a repository belongs to its owner.
 
-    Distinct (value, owner, repository) first, so a value copied everywhere is combined before it is grouped.
+    Spark counts distinct (value, owner), (value, owner, repository) and (value, text) first, so a value copied everywhere is spread and combined before it is grouped.
     """
-    seen = scanned.select("owner", "repository", F.explode("found.hash").alias("hash")).distinct()
-    by_owner = seen.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    seen = scanned.select("owner", "repository", "text_hash", F.explode("found.hash").alias("hash"))
+    return seen.groupBy("hash").agg(F.count_distinct(F.struct("owner")).alias("owners"), F.count_distinct(F.struct("owner", "repository")).alias("repositories"), F.count_distinct("text_hash").alias("texts"))
 
 
-def find_secrets(docs: DataFrame, owner: Column, repository: Column, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: Column, repository: Column, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, example_texts: int = EXAMPLE_TEXTS) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per input row: doc_id, n_assign, n_access, n_hex, base, added, n_copied, n_live.
 
     base and added are spans (start, stop, kind) in code points, stop exclusive, by start. Per kind matches are leftmost and do not
-    overlap. added holds candidates that only one owner has. n_copied and n_live count the row's base
-    spans by whether their value occurs with `example_owners` owners or more. A null text is empty; null owners and
+    overlap. added holds candidates that are not copied. n_copied and n_live count the row's base
+    spans by whether their value is copied: it occurs with `example_owners` owners, in `example_repositories` repositories or in `example_texts` distinct texts, or more. A null text is empty; null owners and
     repositories are values of their own; repeated rows are each reported; other columns are not read; an empty table gives no rows.
     """
     scanned = stage(scan(docs, owner, repository).withColumn("row__", F.monotonically_increasing_id()), "scanned")
     freq = ownership(scanned)
     each = scanned.select("row__", F.explode("found").alias("f")).select("row__", "f.start", "f.stop", "f.hash", "f.own")
-    judged = each.join(freq, "hash", "left").withColumn("copied", F.coalesce(F.col("owners") >= example_owners, F.lit(False)))
+    judged = each.join(freq, "hash", "left").withColumn("copied", F.coalesce((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories) | (F.col("texts") >= example_texts), F.lit(False)))
     live = F.when(F.col("own") & ~F.col("copied"), F.struct("start", "stop", F.lit(3).alias("kind")))
     extra = judged.groupBy("row__").agg(F.array_sort(F.collect_list(live)).alias("added"), F.count_if(~F.col("own") & F.col("copied")).alias("n_copied"), F.count_if(~F.col("own") & ~F.col("copied")).alias("n_live"))
     out = scanned.join(extra, "row__", "left")

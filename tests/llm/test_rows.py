@@ -198,6 +198,17 @@ def test_ownership_tells_copies_from_own_values(spark, make_docs):
     assert freq == {1, 2}
 
 
+def test_copies_within_one_owner(spark, make_docs):
+    hot, spread, dup, nulls = "Zx81QwErTy77UiOpAsDf42Gh", "Kl93PoIuYt55ReWqZxCv10Mn", "Mm72QaWsEd31RfTgYh64UjIk", "Vb58NmLkJh20GfDsAq97WePo"
+    texts = [f"{k} see {hot}, password = {hot}" for k in range(12)] + [f"in {spread}"] * 3 + [f"mine {dup}"] * 12 + [f"{k} no source {nulls}" for k in range(12)]
+    sources = ["a"] * 27 + [None] * 12
+    docs = make_docs(texts, sources=sources).withColumn("lang", F.when(F.col("doc_id").between(12, 14), F.concat(F.lit("l"), "doc_id")).otherwise("en"))
+    got = {r.doc_id: r for r in X.find_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    assert all(not got[k].added for k in [*range(15), *range(27, 39)])
+    assert all((got[k].n_copied, got[k].n_live) == (1, 0) for k in range(12))
+    assert all([s.kind for s in got[k].added] == [3] for k in range(15, 27))
+
+
 def test_span_digest(spark, make_docs):
     docs = make_docs(["é token=abcdef deadbeefdeadbeefdeadbeef"])
     r = X.find_secrets(docs, F.col("source"), F.col("lang")).select(X.spans_text(F.col("base")).alias("s")).first()
