@@ -2,8 +2,9 @@
 
 A sentence here is a stretch of words up to a mark (. ! ? , ; :), a line's end or a capital letter, so a passage set into
 other text still begins and ends with sentences of its own. Every sentence begins one span and ends one: the shortest run of
-consecutive sentences that is long enough. Spans are hashed and dealt to hash ranges; in each range the first occurrence of
-a hash, by doc_id and place, stays and all others are reported to their documents. Sentences that a reported span covers are removed.
+consecutive sentences that is long enough. Where marks are missing, or a passage is cut within sentences, further spans run between words
+that are the least by hash of some window of words, which a passage has in common wherever it stands. Spans are hashed and dealt to hash ranges; in each range the first occurrence of
+a hash, by doc_id and place, stays and all others are reported to their documents. Sentences that reported spans cover are removed; of a sentence of over CUT_WORDS words the covered words.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from .common import BROADCAST_BYTES, mix, partitions, stage, sums_between, text_
 
 #: A span has this many sentences and words at least, or so many words that the number of sentences does not matter.
 SENTENCES, WORDS, LONG_WORDS = 3, 25, 40
+#: Windows of so many words choose the words between which further spans run, each of at least so many words: a common passage of 51 words holds one.
+WINDOW, CHOSEN_WORDS = 5, 34
+#: A sentence of more words than this can hold a passage of over 50 words inside and is cut; a shorter one goes whole or stays.
+CUT_WORDS = 50
 #: Spans that a task gathers before it deals them.
 GATHER = 2_000_000
 #: Order of rows without doc_id: after all others.
@@ -47,8 +52,17 @@ def _sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, starts, at, np.searchsorted(at, np.r_[heads, n])
 
 
+def _chosen(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Words that are the least by hash in some window of WINDOW words of one row, the last of equal ones."""
+    if len(h) < WINDOW:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(row[: len(h) - WINDOW + 1] == row[WINDOW - 1 :])
+    least = np.argmin(np.lib.stride_tricks.sliding_window_view(mix(h), WINDOW)[:, ::-1], axis=1)
+    return np.unique(at + WINDOW - 1 - least[at])
+
+
 def _spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row's spans, in row order: row, first sentence in the row, number of sentences, hash. Equal spans of one place appear once."""
+    """Of each row's spans, in row order: row, first word in the row, number of words, hash. Equal spans of one place appear once."""
     h, _, at, rows = _sentences(raw, offsets)
     m = len(at)
     none = np.zeros(0, np.int64)
@@ -60,11 +74,16 @@ def _spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     e = np.minimum(np.maximum(i + SENTENCES - 1, np.searchsorted(stop, at + WORDS)), np.searchsorted(stop, at + LONG_WORDS))
     s = np.maximum(np.minimum(i - SENTENCES + 1, np.searchsorted(at, stop - WORDS, side="right") - 1), np.searchsorted(at, stop - LONG_WORDS, side="right") - 1)
     fwd, back = e < hi, s >= lo
-    a, b = np.concatenate((i[fwd], s[back])), np.concatenate((e[fwd], i[back]))
-    _, once = np.unique(a * (m + 1) + b, return_index=True)
+    of_word = np.repeat(row, stop - at)
+    c = _chosen(h, of_word)
+    k = np.searchsorted(c, c + CHOSEN_WORDS)
+    c, d = c[k < len(c)], c[k[k < len(c)]]
+    whole = of_word[c] == of_word[d]
+    a, b = np.concatenate((at[i[fwd]], at[s[back]], c[whole])), np.concatenate((stop[e[fwd]], stop[i[back]], d[whole]))
+    _, once = np.unique(a * (len(h) + 1) + b, return_index=True)
     a, b = a[once], b[once]
-    r = row[a]
-    return r, a - rows[r], b - a + 1, sums_between(h, at[a], stop[b])
+    r = of_word[a]
+    return r, a - np.searchsorted(of_word, r), b - a, sums_between(h, a, b)
 
 
 def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
@@ -82,7 +101,7 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
                 d, t = doc[o], text[o]
                 head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
                 lens = np.diff(np.r_[head, len(o)]).astype(np.uint32)
-                rows.append((p, d[head].tobytes(), t[head].tobytes(), lens.tobytes(), first[o].astype(np.uint32).tobytes(), count[o].astype(np.uint16).tobytes(), hashed[o].tobytes()))
+                rows.append((p, d[head].tobytes(), t[head].tobytes(), lens.tobytes(), first[o].astype(np.uint32).tobytes(), count[o].astype(np.uint32).tobytes(), hashed[o].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +125,7 @@ def _repeats(owners: int):
     """Of each range all but the first occurrences, dealt to the tasks that own their documents: part, docs, texts, firsts, counts (one each per span)."""
 
     def later(rows: list[tuple]) -> tuple:
-        doc, text, lens, first, count, hashed = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint64)))
+        doc, text, lens, first, count, hashed = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64)))
         owner = np.repeat(np.arange(len(doc), dtype=np.int32), lens)
         order = np.argsort(hashed, kind="stable")
         g = hashed[order]
@@ -142,11 +161,11 @@ def _repeats(owners: int):
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated spans of the documents that a task owns -> the removed stretches of sentences of each, (first, end) in turn."""
+    """Repeated spans of the documents that a task owns -> the covered stretches of words of each, (first, end) in turn."""
     rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
     if not rows:
         return
-    doc, text, a, n = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint16)))
+    doc, text, a, n = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32)))
     order = np.lexsort((a, text, doc))
     doc, text, a, n = doc[order], text[order], a[order].astype(np.int64), n[order].astype(np.int64)
     head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
@@ -169,21 +188,30 @@ def _cleaned(names: list[str]):
             texts, total, gone, gone_words = batch.column(place).to_pylist(), [], [], []
             for at, raw, offsets in text_chunks(batch.column(place)):
                 h, starts, sentences, rows = _sentences(raw, offsets)
-                begin = starts[sentences] if len(sentences) else sentences
-                stop = np.r_[sentences[1:], len(h)]
+                heads = np.r_[sentences, len(h)]
                 for k in range(len(offsets) - 1):
                     lo, hi = int(rows[k]), int(rows[k + 1])
-                    cut = marks[at + k] or []
                     total.append(hi - lo)
-                    gone.append(sum(b - a for a, b in zip(cut[::2], cut[1::2], strict=True)))
-                    gone_words.append(sum(int(stop[lo + b - 1] - sentences[lo + a]) for a, b in zip(cut[::2], cut[1::2], strict=True)))
-                    if cut:
-                        keep, here = [], int(offsets[k])
-                        for a, b in zip(cut[::2], cut[1::2], strict=True):
-                            keep.append(raw[here : begin[lo + a]].tobytes())
-                            here = int(begin[lo + b]) if lo + b < hi else int(offsets[k + 1])
-                        keep.append(raw[here : offsets[k + 1]].tobytes())
-                        texts[at + k] = b"".join(keep).decode()
+                    cut = marks[at + k] or []
+                    if not cut:
+                        gone.append(0)
+                        gone_words.append(0)
+                        continue
+                    first, sizes = int(heads[lo]), np.diff(heads[lo : hi + 1])
+                    out = np.zeros(int(heads[hi]) - first, bool)
+                    for a, b in zip(cut[::2], cut[1::2], strict=True):
+                        out[a:b] = True
+                    full = np.add.reduceat(out.astype(np.int64), heads[lo:hi] - first) == sizes
+                    out &= np.repeat(full | (sizes > CUT_WORDS), sizes)
+                    gone.append(int(full.sum()))
+                    gone_words.append(int(out.sum()))
+                    edges = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
+                    keep, here = [], int(offsets[k])
+                    for a, b in edges.reshape(-1, 2):
+                        keep.append(raw[here : starts[first + a]].tobytes())
+                        here = int(starts[first + b]) if b < len(out) else int(offsets[k + 1])
+                    keep.append(raw[here : offsets[k + 1]].tobytes())
+                    texts[at + k] = b"".join(keep).decode()
             cols = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns) if k != cuts]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.int64()) for x in (total, gone, gone_words)]], names=[n for n in names if n != "cut__"] + ["n_sentences__", "n_removed__", "words_removed__"])
 
@@ -193,8 +221,8 @@ def _cleaned(names: list[str]):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> its rows and columns with repeated sentences gone from text, and n_sentences__, n_removed__, words_removed__.
 
-    Of equal spans the one with the smallest doc_id, then text hash and place, is the first; sentences covered by any other are removed, with
-    the white space after them; all else stays as it is. Repeats within a document count too. Identical rows (doc_id and text) are one
+    Of equal spans the one with the smallest doc_id, then text hash and place, is the first; sentences covered by others are removed, with
+    the white space after them, and of a sentence of over CUT_WORDS words the covered words; n_removed__ counts whole sentences. All else stays as it is. Repeats within a document count too. Identical rows (doc_id and text) are one
     occurrence and get equal results; rows without doc_id come last. Null texts stay null and have no sentences; an empty table gives no rows.
     Words are compared by 64-bit hashes with A-Z lowered.
     """

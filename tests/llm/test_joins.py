@@ -221,6 +221,23 @@ def test_passages_go_and_clean_text_stays(spark, make_docs):
     assert passage in got[20].text and all(passage not in got[i].text and got[i].words_removed__ >= 50 for i in range(21, 25))
 
 
+def test_passages_without_marks_or_cut_within_sentences(spark, make_docs):
+    rng = random.Random(12)
+    plain = words(rng, 70)  # no marks and no capitals anywhere
+    texts = [f"{words(rng, 90)} {plain} {words(rng, 80)}" for _ in range(3)]
+    tail, whole, head = words(rng, 12) + ".", "Aa " + words(rng, 29) + ".", "Bb " + words(rng, 12)
+    texts += [f"Cc {words(rng, 9)} {tail} {whole} {head} {words(rng, 8)}." for _ in range(3)]
+    marks = words(rng, 60).replace(" ", "। ")  # marks that are not ASCII
+    texts += [f"{words(rng, 60)} {marks} {words(rng, 60)}" for _ in range(2)]
+    got = {r.doc_id: r for r in S.remove_repeats(make_docs(texts)).collect()}
+    assert all(got[i].text == texts[i] and got[i].words_removed__ == 0 for i in (0, 3, 6))
+    for i in (1, 2):
+        assert 50 <= got[i].words_removed__ <= 70 and len(got[i].text.split()) == 240 - got[i].words_removed__
+        assert got[i].text.split()[:90] == texts[i].split()[:90] and got[i].text.split()[-80:] == texts[i].split()[-80:]
+    assert all(whole not in got[i].text and got[i].n_removed__ == 1 and got[i].text == texts[i].replace(whole + " ", "") for i in (4, 5))
+    assert got[7].words_removed__ >= 1
+
+
 def test_substrings_odd_rows(spark, odd_docs, make_docs):
     out = S.remove_repeats(odd_docs)
     assert out.columns[: len(odd_docs.columns)] == odd_docs.columns and out.count() == odd_docs.count()
