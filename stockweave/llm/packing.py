@@ -171,11 +171,13 @@ class Packer:
             room, offset, segments, loss = 1 << (min(left, int(self.limits[0])).bit_length() - 1), 0, 0, 0
             while room:
                 doc, start, ids, loss_from = rest[0]
-                n = min(room, len(ids) // 4)
-                if segments == self.limits[1]:  # too many short pieces: this sequence ends and is padded
+                # a piece may not pass the limit of tokens that bear loss
+                n = int(min(room, len(ids) // 4, max(0, loss_from - start) + self.limits[2] - loss))
+                if segments == self.limits[1] or n <= 0:  # too many short pieces or loss-bearing tokens: this sequence ends and is padded
                     break
                 self._place(self.next, offset, doc, start, ids[: 4 * n], loss_from)
                 room, offset, segments, left = room - n, offset + n, segments + 1, left - n
+                loss += max(0, start + n - max(start, loss_from))
                 rest[:1] = [(doc, start + n, ids[4 * n :], loss_from)] if 4 * n < len(ids) else []
             self.next += 1
         self.pool = []

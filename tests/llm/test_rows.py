@@ -79,6 +79,17 @@ def test_packing_limits(spark, make_docs):
     assert {r.doc_tokens for r in rows if r.doc_id >= 400} == {1}
 
 
+def test_the_last_sequences_keep_the_loss_limit():
+    packer = P.Packer(0, (128, 16, 40))
+    for k in range(40):
+        packer.give((k, 3 + k % 7), b"\x01\x00\x00\x00" * (3 + k % 7), k % 3)
+    packer.finish()
+    loss, placed = {}, 0
+    for _, start, n, _, _, sequence, _, bears in packer.out:
+        loss[sequence], placed = loss.get(sequence, 0) + bears, placed + n
+    assert max(loss.values()) <= 40 and placed == sum(3 + k % 7 for k in range(40))
+
+
 def test_packing_odd_rows(spark, odd_docs, make_docs):
     assert P.pack_documents(odd_docs, Q.tokenizer_path()).select("doc_id").distinct().count() == odd_docs.select("doc_id").distinct().count()
     assert P.pack_documents(make_docs([]), Q.tokenizer_path()).count() == 0
