@@ -149,21 +149,65 @@ def test_counts_take_all_training_rows_and_the_shared_ones_all_documents(spark,
     training = T._training(labels, 10).collect()
     assert len(training) == labels.where(~T.held_out(F.col("doc_id"))).count() and 0 < sum(r.curve__ for r in training) <= 6
     got = []
-    sums = lambda told, many, kinds, types, sums: got.append((kinds, tuple(sums), sum(many.n1), len(told))) or part(told, many, kinds, types, sums)
+    sums = lambda told, many, tokens, kinds, types, sums: got.append((tokens, kinds, tuple(sums), len(told))) or part(told, many, tokens, kinds, types, sums)
     part, T._part = T._part, sums
     try:
         T.fit(docs, labels, max_rows=10, max_entries=10**9)
     finally:
         T._part = part
-    kinds, distinct, toxic = set(), set(), set()
+    kinds, n, toxic = set(), 0, set()
     counted = {r.id__: r.toxic__ for r in training if not r.curve__}
     for r in docs.collect():
         w = r.text.split()
         kinds |= set(w)
-        distinct |= set(zip(w, w[1:]))
+        n += len(w)
         if counted.get(r.doc_id) == 1:
             toxic |= set(zip(w, w[1:]))
-    assert len(got) == 1 and got[0][0] == len(kinds) and got[0][1][0] == len(distinct) and got[0][1][2] == len(toxic)
+    assert len(got) == 1 and got[0][:2] == (n, len(kinds)) and abs(got[0][2][1] / len(toxic) - 1) < 0.05
+
+
+def test_ratios_are_those_of_kneser_ney_models(spark, make_docs):
+    docs, labels = labelled(spark, make_docs, 500)
+    model = T.fit(docs, labels, least_z=2.0)
+    train = {r.id__: r.toxic__ for r in T._training(labels, T.MAX_ROWS).collect() if not r.curve__}
+    every, n, pairs = {}, [{}, {}], [{}, {}]
+    for r in docs.collect():
+        w = r.text.split()
+        for x in w:
+            every[x] = every.get(x, 0) + 1
+        if (c := train.get(r.doc_id)) is not None:
+            for a, b in zip(w, w[1:]):
+                pairs[c][a, b] = pairs[c].get((a, b), 0) + 1
+                n[c][b] = n[c].get(b, 0) + 1
+    tokens, kinds = sum(every.values()), len(every)
+    total = T._distinct_pairs(docs.join(spark.createDataFrame(list(train.items()), "doc_id bigint, toxic int"), "doc_id").select("text", "toxic"))
+    assert all(abs(total[c] / len(pairs[c]) - 1) < 0.05 for c in (0, 1))
+    left = [max(T.DISCOUNT * len(n[c]) / total[c], 1e-3) for c in (0, 1)]
+    neutral = np.log(left[1] / left[0])
+    hashed = {w: int(T.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), "letters")[0][0]) for w in every}
+    of = {h: w for w, h in hashed.items()}
+    held = model.parts[0].value
+    told = {of[int(h)] for h in held.words}
+
+    def lower(c, w):
+        shared = (every[w] + 1) / (tokens + kinds + 1)
+        follows = sum(b == w for _, b in pairs[c]) if w in told else 0
+        return (max(follows - T.DISCOUNT, 0) / total[c] if w in told else 0) + left[c] * shared
+
+    assert len(told) > 3
+    for h, ratio in zip(held.words, held.word_ratio, strict=True):
+        assert abs(ratio - (np.log(lower(1, of[int(h)]) / lower(0, of[int(h)])) - neutral)) < 1e-9
+    with np.errstate(over="ignore"):
+        grams = {int(T.mix(np.array([hashed[a]], np.uint64) * T._PAIR + np.uint64(hashed[b]))[0]): (a, b) for c in (0, 1) for a, b in pairs[c]}
+
+    def whole(c, a, b):
+        ctx, kinds_ = sum(k for (x, _), k in pairs[c].items() if x == a), sum(x == a for x, _ in pairs[c])
+        return (max(pairs[c].get((a, b), 0) - T.DISCOUNT, 0) + T.DISCOUNT * kinds_ * lower(c, b)) / ctx if ctx else lower(c, b)
+
+    assert len(held.pairs) > 0
+    for g, ratio in zip(held.pairs, held.pair_ratio, strict=True):
+        a, b = grams[int(g)]
+        assert abs(ratio - (np.log(whole(1, a, b) / whole(0, a, b)) - neutral)) < 1e-6
 
 
 def test_a_model_of_many_parts_scores_as_a_whole_one(spark, make_docs):
