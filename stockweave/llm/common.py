@@ -57,10 +57,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    if path := getattr(df, "_staged_at", None):
-        _remove(df.sparkSession, path)
+def unstage(*dfs: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in dfs:
+        if path := getattr(df, "_staged_at", None):
+            _remove(df.sparkSession, path)
 
 
 def small_or_shuffled(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -68,15 +69,17 @@ def small_or_shuffled(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-#: Rows of a batch that Arrow hands to Python at a time: whole texts of a task's two batches must fit beside everything else in its worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of a batch that Arrow hands to Python at a time: whole texts of a task's two batches must fit beside everything else in its worker.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to ARROW_ROWS; a session that has smaller ones keeps them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
-        spark.conf.set(name, ARROW_ROWS)
+    """Lowers the session's Arrow batches to ARROW_ROWS and, where Spark's own 64 MB stand, to ARROW_BYTES; a session that has smaller ones keeps them."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, ARROW_ROWS)
+    if spark.conf.get(size) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(size, ARROW_BYTES)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -58,8 +58,8 @@ def test_jaccard_against_brute_force(spark, make_docs):
         assert got == brute_jaccard(list(enumerate(texts)))
 
 
-def test_jaccard_in_salted_tiles(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(J, "SALT_ROWS", 3)
+def test_jaccard_in_blocks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 3)
     texts = near_groups(random.Random(9))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_groups(make_docs(texts)).collect()}
     assert got == brute_jaccard(list(enumerate(texts)))
@@ -76,6 +76,35 @@ def test_jaccard_odd_rows(spark, odd_docs, make_docs):
     assert kept.columns == odd_docs.columns
 
 
+def test_of_each_component_one_stays(spark, make_docs):
+    rng = random.Random(4)
+    base, other, third = words(rng, 80), words(rng, 80), words(rng, 60)
+    texts = [base, base + " tail", other, other + " end", third, third + " x", base + " more", None, ""]
+    ids = [1, 5, 5, 9, None, None, None, 7, 8]
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one_of_each(make_docs(texts, ids=ids)).collect()), key=str)
+    assert kept[:-1] == sorted([(1, base), (5, other), (7, None), (8, "")], key=str) and kept[-1][0] is None and kept[-1][1] in texts[4:6]
+    got = sorted(((r.doc_id, r.component_id) for r in J.jaccard_groups(make_docs(texts, ids=ids)).collect()), key=str)
+    assert got == sorted([(1, 1), (5, 1), (5, 5), (9, 5), (None, None), (None, None), (None, 1), (7, 7), (8, 8)], key=str)
+
+
+def test_links_by_halves_of_hashes_and_by_whole_ones_agree(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**62), 2**62, 60)
+    rows = []
+    for k in range(40):
+        s = base.copy()
+        s[rng.choice(60, rng.integers(0, 9), replace=False)] = rng.integers(-(2**62), 2**62)
+        s = sorted({int(x) for x in s})
+        rows.append((k, len(s), s, np.array(s).astype(np.uint64).astype(np.uint32).view(np.int32).tolist()))
+    sets = spark.createDataFrame(rows, "rep long, n long, grams array<long>, halves array<int>")
+    rest = spark.createDataFrame([(1, 14, k, k, 0, 40, 39) for k in range(40)], "gram long, band int, rep long, comp long, main long, members long, others long")
+    link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    every = [(a, b) for a, _, x, _ in rows for b, _, y, _ in rows if a < b and link(set(x), set(y))]
+    for whole in (False, True):
+        got = [tuple(r) for r in J._links_in_tiles(rest, sets, 75, whole).collect()]
+        assert len(got) <= 39 and components(range(40), got) == components(range(40), every)
+
+
 def test_word_hashes_do_not_depend_on_the_chunk():
     a, b = b"Foo bar\tbaz", b"xx foo  BAR baz"
     ha, ca = word_hashes(np.frombuffer(a, np.uint8), np.array([0, len(a)]))
