@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,28 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(size, ARROW_BYTES)
 
 
+class KeySet:
+    """A set of 64-bit numbers: a sorted array that tasks hold, if its counted rows fit BROADCAST_BYTES; otherwise held is False, has() lets all pass and the caller joins frame."""
+
+    def __init__(self, frame: DataFrame, name: str):
+        self.frame, self.keys = frame.select(F.col(name).alias("key")), None
+        self.held = frame.count() * 8 <= BROADCAST_BYTES
+        if self.held:
+            keys = np.sort(self.frame.toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
+            self.keys = frame.sparkSession.sparkContext.broadcast(keys)
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "held": self.held}
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if not self.held:
+            return np.ones(len(h), bool)
+        keys = self.keys.value
+        if not len(keys):
+            return np.zeros(len(h), bool)
+        return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -153,6 +176,20 @@ class _Powers:
         return cls.up, cls.down
 
 
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (part, ...) sorted by part -> the rows of one part at a time, without it."""
+    part, held = None, []
+    for batch in batches:
+        for p, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if p != part and held:
+                yield held
+                held = []
+            part = p
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
 def text_chunks(texts: pa.Array, limit: int = 1 << 21):
     """Yields (first row, byte array, row offsets) for runs of rows of about `limit` bytes; a null row is empty, a longer row stands alone."""
     texts = pc.fill_null(texts, "")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, mix, partitions, short_batches, small_or_shuffled, stage, text_chunks, unstage, word_hashes
+from .common import by_part, connected_components, mix, partitions, short_batches, small_or_shuffled, stage, text_chunks, unstage, word_hashes
 
 #: Words of an n-gram; overlap in percent of the union.
 WORDS, PERCENT = 5, 75
@@ -120,25 +120,11 @@ def _arrays(rows: list[tuple], k: int, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[k], dtype) for r in rows])
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows sorted by part -> the rows of one part at a time."""
-    part, held = None, []
-    for batch in batches:
-        for p, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if p != part and held:
-                yield held
-                held = []
-            part = p
-            held.append(tuple(row))
-    if held:
-        yield held
-
-
 def _shared_counts(dealt: DataFrame, n: int) -> DataFrame:
     """For each class how many of its n-grams some other class has: key, shared. A task holds one hash range at a time; counts are summed by tasks that own keys."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches):
+        for rows in by_part(batches):
             keys, lens, grams = _arrays(rows, 0, np.int64), _arrays(rows, 1, np.uint32).astype(np.int64), _arrays(rows, 2, np.uint32)
             _, first = np.unique(keys, return_index=True)
             once = np.zeros(len(keys), bool)
