@@ -1,9 +1,12 @@
 """Chat formatting as prefix trees.
 
 A conversation is a path of formatted turns. Conversations that begin alike share those turns: every distinct
-prefix is one node, emitted once. The nodes of a tree (one first turn) follow each other depth-first.
-A node carries its place in that order, its position along its own path, the loss spans of its text, and the
-intervals of the serialised tree that it may attend to: itself and its ancestors. Units are characters.
+prefix is one node, emitted once. The nodes of a tree (one first turn) follow each other depth-first, and the serialised tree is
+kept in pages of bounded length, with position ids and the loss mask. Units are characters.
+
+On a path every node stands after its ancestors in that order, so one list of intervals serves a whole conversation: the token at place x of
+the tree attends to the intervals of its conversation as far as x, which are its ancestors and its own turn up to itself. The lists are streamed along
+each conversation; no node gathers its ancestors, and what they hold grows with the forks of a path, as turns without a fork between them are one interval.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, small_or_shuffled, stage
+from .common import partitions, short_batches, small_or_shuffled, stage, unstage
 
 # Fixed values of the template: a turn is HEAD role SEP text TAIL; these strings inside a role or text get a backslash before each.
 HEAD, SEP, TAIL = "### ", ": ", "</turn>\n"
+#: Characters of a page of a serialised tree.
+PAGE = 4096
 _CONTROL = re.compile(r"\\|###|: |</turn>")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"### ((?:[^\\:]|\\.|:(?! ))*): ((?:[^\\<]|\\.|<(?!/turn>\n))*)</turn>\n", re.DOTALL)
@@ -41,15 +46,20 @@ def format_turn(role: str | None, text: str | None) -> tuple[str, int, int]:
     return head + body + TAIL, len(head), len(head) + len(body)
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """Formatted turns back to (role, text); raises where the template is broken."""
+def parse_some(formatted: str) -> tuple[list[tuple[str, str]], int]:
+    """The (role, text) of all complete turns at the head of a formatted text, and where they end."""
     out, at = [], 0
-    while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
-            raise ValueError(f"no turn at {at}")
+    while m := _TURN.match(formatted, at):
         out.append((unescape(m[1]), unescape(m[2])))
         at = m.end()
+    return out, at
+
+
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """Formatted turns back to (role, text); raises where the template is broken."""
+    out, at = parse_some(formatted)
+    if at < len(formatted):
+        raise ValueError(f"no turn at {at}")
     return out
 
 
@@ -104,74 +114,189 @@ def _branches(turns: DataFrame, nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "node string, branch string").groupBy("node").agg(F.min("branch").alias("branch"))
 
 
-def build_trees(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """conversations (conv_id, turn, role, text, ...) -> (nodes, members).
+def build_trees(conversations: DataFrame, page: int = PAGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """conversations (conv_id, turn, role, text, ...) -> (pages, nodes, leaves).
 
-    nodes: a row per distinct prefix: node, parent ('' at a root), root, depth, segment, loss_start, loss_stop (in the segment; the
-    text of an assistant turn), position (of its first character on its path), start, stop (in its tree, depth-first),
-    attends (array of intervals of its tree, itself included, in order). members: conv_id, depth, node for every turn.
+    pages: the serialised trees, each node once, depth-first: root, page, start, text (of at most `page` characters, from place start of its tree),
+    runs (array of start, stop, position: position ids of its tokens count up from position), loss (array of start, stop: the texts of assistant turns).
+    nodes: a row per distinct prefix: node, parent ('' at a root), root, depth, position (of its first character on its path), start, stop (in its tree).
+    leaves: a row per conversation: conv_id, root, n_turns, attends (array of start, stop: the places of its tree that its last token
+    attends to; a token at place x attends to them as far as x).
 
     Turns follow by turn, null first, ties by role and text. Null texts and roles are empty; rows of a null conv_id form one conversation; equal
     conversations share all nodes; repeated rows are further turns; other columns are not read; an empty table gives no rows.
     """
     spark = conversations.sparkSession
+    short_batches(spark)
     turns = stage(_paths(conversations), "turns")
-    nodes = turns.groupBy("node").agg(*[F.min(c).alias(c) for c in ("parent", "root", "depth", "segment", "loss_start", "loss_stop")], F.min("path_start").alias("position"))
+    size = F.length("segment").cast("long")
+    nodes = turns.select("node", "parent", "root", "depth", "path_start", size.alias("chars")).groupBy("node").agg(*[F.min(c).alias(c) for c in ("parent", "root", "depth", "chars")], F.min("path_start").alias("position"))
     nodes = stage(nodes, "nodes")
     placed = nodes.join(_branches(turns, nodes), "node")
     # depth-first order is that of (root, branch, depth): range partitions, sums of partitions, then sums within each
     dealt = stage(placed.repartitionByRange(partitions(spark), "root", "branch", "depth").withColumn("slice", F.spark_partition_id()), "dealt")
-    size = F.length("segment").cast("long")
-    slices = dealt.groupBy("root", "slice").agg(F.sum(size).alias("chars"))
+    slices = dealt.groupBy("root", "slice").agg(F.sum("chars").alias("sum"))
     before = Window.partitionBy("root").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("root", "slice", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("slice_start"))
+    slices = slices.select("root", "slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("slice_start"))
     within = Window.partitionBy("root", "slice").orderBy("branch", "depth").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.col("slice_start") + F.sum(size).over(within)
-    serial = stage(dealt.join(slices, ["root", "slice"]).withColumn("stop", stop).withColumn("start", F.col("stop") - size).drop("slice", "slice_start"), "serial")
-    # a branch is one interval; a node attends to its ancestors' branches up to the fork, and to its own up to itself
-    spans = serial.groupBy("root", "branch").agg(F.min("start").alias("lo"), F.max("stop").alias("hi"))
-    own = spans.select("root", "branch", F.explode(F.expr("transform(sequence(1, cast(length(branch) / 16 as int)), k -> substring(branch, 1, 16 * k))")).alias("above"))
-    lines = own.join(spans.select("root", F.col("branch").alias("above"), "lo", "hi"), ["root", "above"]).groupBy("root", "branch").agg(F.array_sort(F.collect_list(F.struct(F.col("lo").alias("start"), F.col("hi").alias("stop")))).alias("line"))
-    attends = F.transform("line", lambda s: F.struct(s["start"].alias("start"), F.least(s["stop"], F.col("stop")).alias("stop")))
-    out = serial.join(lines, ["root", "branch"]).withColumn("attends", attends)
-    return out.select("node", "parent", "root", "depth", "segment", "loss_start", "loss_stop", "position", "start", "stop", "attends"), turns.select("conv_id", "depth", "node")
-
-
-def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: every conversation read from the emitted trees alone.
-
-    Turns are joined to their nodes and streamed in order; each segment is parsed by the template. turns_sha256 is over role,
+    stop = F.col("slice_start") + F.sum("chars").over(within)
+    serial = dealt.join(slices, ["root", "slice"]).withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("chars"))
+    serial = stage(serial.select("node", "parent", "root", "depth", "position", "start", "stop"), "serial")
+    texts = turns.select("node", "segment", "loss_start", "loss_stop").groupBy("node").agg(*[F.min(c).alias(c) for c in ("segment", "loss_start", "loss_stop")])
+    pieces = texts.join(serial.select("node", "root", "start", "position"), "node").select("root", "start", "position", "segment", "loss_start", "loss_stop")
+    dealt_pieces = pieces.mapInArrow(lambda batches: _cut(batches, page), f"root string, page long, {PIECE}").repartition("root", "page").sortWithinPartitions("root", "page", "start")
+    pages = stage(dealt_pieces.mapInArrow(_joined, "root string, page long, start long, text string, runs array<struct<start: long, stop: long, position: long>>, loss array<struct<start: long, stop: long>>"), "pages")
+    on_path = turns.select("conv_id", "depth", "node").join(serial.select("node", "root", "start", "stop"), "node").select("conv_id", "depth", "root", "start", "stop")
+    ordered = on_path.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    leaves = stage(ordered.mapInArrow(_attention, "conv_id long, root string, n_turns long, attends array<struct<start: long, stop: long>>"), "leaves")
+    unstage(turns, nodes, dealt)
+    return pages, serial, leaves
+
+
+PIECE = "start long, position long, text string, loss_start long, loss_stop long"
+_SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+_RUN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("position", pa.int64())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Nodes in their places -> their pieces by page; loss in places of the tree, empty where start is stop."""
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    names = ["root", "page", "start", "position", "text", "loss_start", "loss_stop"]
+    for batch in batches:
+        out, chars = [], 0
+        for root, start, position, segment, lo, hi in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            at, stop = start, start + len(segment)
+            while at < stop:
+                page = at // size
+                end = min(stop, (page + 1) * size)
+                a, b = max(at, start + lo), min(end, start + hi)
+                out.append((root, page, at, position + at - start, segment[at - start : end - start], *((a, b) if a < b else (at, at))))
+                chars += end - at
+                at = end
+                if chars > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, chars = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces sorted by root, page and start -> a row per page."""
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(_RUN), pa.list_(_SPAN))
+    names = ["root", "page", "start", "text", "runs", "loss"]
+    out, page = [], None
+
+    def rows() -> pa.RecordBatch:
+        made = [(root, number, start, "".join(text), runs, loss) for root, number, start, text, runs, loss in out]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
+
+    for batch in batches:
+        for root, number, start, position, text, lo, hi in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if page is None or (root, number) != page:
+                page = (root, number)
+                if len(out) >= 1000:
+                    yield rows()
+                out.append((root, number, start, [], [], []))
+            out[-1][3].append(text)
+            out[-1][4].append({"start": start, "stop": start + len(text), "position": position})
+            if lo < hi:
+                out[-1][5].append({"start": lo, "stop": hi})
+    if out:
+        yield rows()
+
+
+def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns in their places, sorted by conversation and depth -> a row per conversation; turns that follow each other in the tree are one interval."""
+    types = (pa.int64(), pa.string(), pa.int64(), pa.list_(_SPAN))
+    out = []
+
+    def rows(keep: int) -> pa.RecordBatch:
+        done = out[: len(out) - keep]
+        del out[: len(out) - keep]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["conv_id", "root", "n_turns", "attends"])
+
+    for batch in batches:
+        for conv, depth, root, start, stop in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if depth == 0:
+                out.append([conv, root, 0, []])
+            here = out[-1]
+            here[2] += 1
+            if here[3] and here[3][-1]["stop"] == start:
+                here[3][-1]["stop"] = stop
+            else:
+                here[3].append({"start": start, "stop": stop})
+        if len(out) > 5000:
+            yield rows(1)
+    if out:
+        yield rows(0)
+
+
+class _Reader:
+    """One conversation read back from its text in order, piece by piece: complete turns are digested at once and not kept."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.n, self.chars, self.loss_chars = conv, 0, 0, 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.rest, self.bare = [], ""  # text of a turn that is still open; a backslash whose character is to come
+        self.last = ""
+
+    def take(self, text: str, loss: str) -> None:
+        self.chars += len(text)
+        self.rest.append(text)
+        self.last = self.last[-len(TAIL) :] + text
+        if TAIL in self.last:
+            open_ = "".join(self.rest)
+            turns, at = parse_some(open_)
+            for role, said in turns:
+                self.turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            self.n += len(turns)
+            self.rest = [open_[at:]]
+        loss = self.bare + loss
+        odd = (len(loss) - len(loss.rstrip("\\"))) % 2
+        self.bare = loss[len(loss) - odd :]
+        loss = unescape(loss[: len(loss) - odd])
+        self.loss_chars += len(loss)
+        self.loss.update(loss.encode("utf-8", "surrogatepass"))
+
+    def row(self) -> tuple:
+        if "".join(self.rest) or self.bare:
+            raise ValueError(f"conversation {self.conv} does not end with a turn")
+        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def read_back(pages: DataFrame, leaves: DataFrame, page: int = PAGE) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: every conversation read from the serialised trees alone; page as in build_trees.
+
+    What a conversation's last token attends to is cut out of the pages, in order, and parsed by the template. turns_sha256 is over role,
     newline, text, newline of each turn; loss_sha256 over the unescaped text under the loss mask.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, state = [], None
-
-        def close() -> None:
-            if state:
-                out.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
-
+        out, reader = [], None
         for batch in batches:
-            for c, depth, segment, lo, hi in zip(*[col.to_pylist() for col in batch.columns], strict=True):
-                if depth == 0:
-                    close()
-                    state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(segment):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                loss = unescape(segment[lo:hi])
-                state[3] += len(loss)
-                state[4].update(loss.encode("utf-8", "surrogatepass"))
-                state[5] += len(segment)
+            for conv, at, text, loss in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if reader is None or reader.conv != conv:
+                    if reader:
+                        out.append(reader.row())
+                    reader = _Reader(conv)
+                reader.take(text, "".join(text[s["start"] - at : s["stop"] - at] for s in loss))
             if len(out) > 10_000:
                 yield _digests(out)
                 out.clear()
-        close()
+        if reader:
+            out.append(reader.row())
         if out:
             yield _digests(out)
 
-    rows = members.join(nodes.select("node", "segment", "loss_start", "loss_stop"), "node").select("conv_id", "depth", "segment", "loss_start", "loss_stop")
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    spans = leaves.select("conv_id", "root", F.explode("attends").alias("s")).select("conv_id", "root", F.col("s.start").alias("from"), F.col("s.stop").alias("upto"))
+    asked = spans.withColumn("page", F.explode(F.sequence(F.expr(f"`from` div {page}"), F.expr(f"(upto - 1) div {page}"))))
+    met = asked.join(pages.select("root", "page", F.col("start").alias("first"), "text", "loss"), ["root", "page"])
+    lo, hi = F.greatest("from", "first"), F.least("upto", F.col("first") + F.length("text"))
+    cut = met.withColumn("lo", lo).withColumn("hi", hi).where("lo < hi")
+    clipped = F.filter(F.transform("loss", lambda s: F.struct(F.greatest(s["start"], F.col("lo")).alias("start"), F.least(s["stop"], F.col("hi")).alias("stop"))), lambda s: s["start"] < s["stop"])
+    rows = cut.select("conv_id", F.col("lo").alias("at"), F.substring("text", (F.col("lo") - F.col("first") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("text"), clipped.alias("loss"))
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "at")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

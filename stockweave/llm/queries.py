@@ -60,7 +60,8 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat_tree.read_back(*chat_tree.build_trees(rows.unionByName(more)))
+    pages, _, leaves = chat_tree.build_trees(rows.unionByName(more))
+    return chat_tree.read_back(pages, leaves)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
