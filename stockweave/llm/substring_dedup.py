@@ -1,10 +1,12 @@
 """Substring dedup by sliding spans of sentences.
 
-A sentence here is a stretch of words up to a mark (. ! ? , ; :), a line's end or a capital letter, so a passage set into
-other text still begins and ends with sentences of its own. Every sentence begins one span and ends one: the shortest run of
-consecutive sentences that is long enough. Where marks are missing, or a passage is cut within sentences, further spans run between words
-that are the least by hash of some window of words, which a passage has in common wherever it stands. Spans are hashed and dealt to hash ranges; in each range the first occurrence of
-a hash, by doc_id and place, stays and all others are reported to their documents. Sentences that reported spans cover are removed; of a sentence of over CUT_WORDS words the covered words.
+A sentence is a stretch of words up to a mark that ends sentences, or a line's end. Every run of SENTENCES consecutive sentences is a
+span. So that a passage is found too where it begins and ends within sentences, or has no marks, further spans run between words
+that are the least by hash of some window of words, which a passage has in common wherever it stands.
+
+Spans are hashed. Each task sends a hash once for all that it gathered, with the smallest doc_id and whether it saw it again, to the owner of a range of hashes,
+so a span that very many documents share reaches its owner as a few entries. Owners give the hashes that occur more than once with the document of the first occurrence;
+a second pass finds all their other occurrences. What those cover is removed: sentences, or, of a sentence that a passage covers in part, the covered words.
 """
 
 from __future__ import annotations
@@ -16,21 +18,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, mix, partitions, stage, sums_between, text_chunks, word_spans
+from .common import BROADCAST_BYTES, KeySet, by_part, mix, partitions, short_batches, small_or_shuffled, stage, sums_between, text_chunks, unstage, word_spans
 
-#: A span has this many sentences and words at least, or so many words that the number of sentences does not matter.
-SENTENCES, WORDS, LONG_WORDS = 3, 25, 40
+#: Sentences of a span.
+SENTENCES = 3
 #: Windows of so many words choose the words between which further spans run, each of at least so many words: a common passage of 51 words holds one.
-WINDOW, CHOSEN_WORDS = 5, 34
-#: A sentence of more words than this can hold a passage of over 50 words inside and is cut; a shorter one goes whole or stays.
-CUT_WORDS = 50
-#: Spans that a task gathers before it deals them.
-GATHER = 2_000_000
+WINDOW, CHOSEN_WORDS = 8, 28
+#: Spans that a task gathers before it deals them; documents of a range of hashes.
+GATHER, RANGE_ROWS = 2_000_000, 8000
 #: Order of rows without doc_id: after all others.
 LAST = 2**63 - 1
 
-_MARKS = np.zeros(256, bool)
-_MARKS[list(b".!?,;:")] = True
+# Marks that end a sentence, and quotes and brackets that may follow one.
+MARKS = ".!?…。！？।؟"
+CLOSERS = "\"')]}»”’"
+
+
+def _ends_with(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: str) -> np.ndarray:
+    """For words raw[starts:ends] the bytes of the last character if it is one of marks, else 0."""
+    size = np.zeros(len(ends), np.int64)
+    for mark in marks:
+        code = mark.encode()
+        hit = ends - starts >= len(code)
+        for k, byte in enumerate(reversed(code)):
+            hit &= raw[np.maximum(ends - 1 - k, 0)] == byte
+        size[hit] = len(code)
+    return size
 
 
 def _sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,11 +52,9 @@ def _sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(h)
     if not n:
         return h, starts, np.zeros(0, np.int64), np.zeros(len(counts) + 1, np.int64)
-    first = raw[starts]
-    second = raw[np.minimum(starts + 1, len(raw) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))  # A-Z, and À-Þ in UTF-8
-    begins = capital
-    begins[1:] |= _MARKS[raw[ends[:-1] - 1]]
+    inner = ends - _ends_with(raw, starts, ends, CLOSERS)
+    begins = np.zeros(n, bool)
+    begins[1:] = (_ends_with(raw, starts, inner, MARKS) > 0)[:-1]
     lines = np.r_[0, np.cumsum(raw == 10)]
     begins[1:] |= lines[starts[1:]] > lines[ends[:-1]]
     heads = np.cumsum(counts) - counts
@@ -70,113 +81,105 @@ def _spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return none, none, none, np.zeros(0, np.uint64)
     stop = np.r_[at[1:], len(h)]  # words before the end of each sentence
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    lo, hi, i = rows[row], rows[row + 1], np.arange(m)
-    e = np.minimum(np.maximum(i + SENTENCES - 1, np.searchsorted(stop, at + WORDS)), np.searchsorted(stop, at + LONG_WORDS))
-    s = np.maximum(np.minimum(i - SENTENCES + 1, np.searchsorted(at, stop - WORDS, side="right") - 1), np.searchsorted(at, stop - LONG_WORDS, side="right") - 1)
-    fwd, back = e < hi, s >= lo
     of_word = np.repeat(row, stop - at)
+    run = np.flatnonzero(row[: m - SENTENCES + 1] == row[SENTENCES - 1 :]) if m >= SENTENCES else none
     c = _chosen(h, of_word)
     k = np.searchsorted(c, c + CHOSEN_WORDS)
     c, d = c[k < len(c)], c[k[k < len(c)]]
     whole = of_word[c] == of_word[d]
-    a, b = np.concatenate((at[i[fwd]], at[s[back]], c[whole])), np.concatenate((stop[e[fwd]], stop[i[back]], d[whole]))
-    _, once = np.unique(a * (len(h) + 1) + b, return_index=True)
+    a, b = np.concatenate((at[run], c[whole])), np.concatenate((stop[run + SENTENCES - 1], d[whole]))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
     a, b = a[once], b[once]
     r = of_word[a]
     return r, a - np.searchsorted(of_word, r), b - a, sums_between(h, a, b)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Batches (doc, text hash, text) -> doc, text hash, first word, number of words, hash of the spans of some rows."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for at, raw, offsets in text_chunks(batch.column(2)):
+            row, first, count, hashed = _spans(raw, offsets)
+            yield ids[at + row], texts[at + row], first, count, hashed
+
+
 def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
-    """Each task's spans by hash range: part, docs and texts (doc_id and text hash of each row with spans there), lens, firsts, counts, hashes of its spans."""
-    names = ["part", "docs", "texts", "lens", "firsts", "counts", "hashes"]
+    """Each task's spans by hash range, each hash once for all that the task gathered: part, docs and lens (runs of smallest doc_ids), hashes, again (1 where the task has further occurrences)."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, text, first, count, hashed = (np.concatenate(c) for c in zip(*held, strict=True))
+        doc, hashed = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((doc, hashed))
+        doc, hashed = doc[order], hashed[order]
+        at = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]])
+        again = np.diff(np.r_[at, len(hashed)]) > 1
+        doc, hashed = doc[at], hashed[at]
         part = (((hashed >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(ranges + 1))
+        order = np.lexsort((doc, part))
+        doc, hashed, again, part = doc[order], hashed[order], again[order], part[order]
+        edges = np.searchsorted(part, np.arange(ranges + 1))
         rows = []
-        for p in range(ranges):
-            if len(o := order[edges[p] : edges[p + 1]]):
-                d, t = doc[o], text[o]
-                head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-                lens = np.diff(np.r_[head, len(o)]).astype(np.uint32)
-                rows.append((p, d[head].tobytes(), t[head].tobytes(), lens.tobytes(), first[o].astype(np.uint32).tobytes(), count[o].astype(np.uint32).tobytes(), hashed[o].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+        for p in np.unique(part):
+            lo, hi = edges[p], edges[p + 1]
+            d = doc[lo:hi]
+            head = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            rows.append((int(p), d[head].tobytes(), np.diff(np.r_[head, hi - lo]).astype(np.uint32).tobytes(), hashed[lo:hi].tobytes(), np.packbits(again[lo:hi]).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["part", "docs", "lens", "hashes", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, raw, offsets in text_chunks(batch.column(2)):
-                row, first, count, hashed = _spans(raw, offsets)
-                held.append((ids[at + row], texts[at + row], first, count, hashed))
-                n += len(row)
-                if n >= GATHER:
-                    yield from flush(held)
-                    held, n = [], 0
+        for doc, _, _, _, hashed in _each(batches):
+            held.append((doc, hashed))
+            n += len(doc)
+            if n >= GATHER:
+                yield from flush(held)
+                held, n = [], 0
         if n:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "part int, docs binary, texts binary, lens binary, firsts binary, counts binary, hashes binary")
-
-
-def _repeats(owners: int):
-    """Of each range all but the first occurrences, dealt to the tasks that own their documents: part, docs, texts, firsts, counts (one each per span)."""
-
-    def later(rows: list[tuple]) -> tuple:
-        doc, text, lens, first, count, hashed = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64)))
-        owner = np.repeat(np.arange(len(doc), dtype=np.int32), lens)
-        order = np.argsort(hashed, kind="stable")
-        g = hashed[order]
-        same = g[1:] == g[:-1]
-        shared = np.zeros(len(g), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        o = order[shared]  # few: only these are put in the order of documents and places
-        o = o[np.lexsort((first[o], text[owner[o]], doc[owner[o]], hashed[o]))]
-        head = np.r_[True, hashed[o[1:]] != hashed[o[:-1]]] if len(o) else np.zeros(0, bool)
-        lead = o[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        # the first occurrence stays, and so does the same place of an identical row given again
-        stays = (doc[owner[o]] == doc[owner[lead]]) & (text[owner[o]] == text[owner[lead]]) & (first[o] == first[lead])
-        o = o[~stays]
-        return doc[owner[o]], text[owner[o]], first[o], count[o]
+    return docs.mapInArrow(run, "part int, docs binary, lens binary, hashes binary, again binary")
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by range -> hash and smallest doc_id of those that occur more than once. One range is held at a time."""
+    for rows in by_part(batches):
+        hashed = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+        doc = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint32)) for r in rows])
+        again = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(r[2]) // 8) for r in rows])
+        order = np.lexsort((doc, hashed))
+        doc, hashed, again = doc[order], hashed[order], again[order].astype(np.int64)
+        at = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]])
+        many = np.diff(np.r_[at, len(hashed)]) + np.add.reduceat(again, at) > 1
+        yield pa.record_batch([pa.array(hashed[at[many]].view(np.int64)), pa.array(doc[at[many]])], names=["hash", "lead"])
+
+
+def _occurrences(docs: DataFrame, wanted: KeySet) -> DataFrame:
+    """hash, doc, text_hash, first, words of all spans whose hash is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for part, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                by_part.setdefault(part, []).append(tuple(row))
-        while by_part:
-            found = later(by_part.popitem()[1])
-            with np.errstate(over="ignore"):
-                to = (mix(found[0].view(np.uint64)) % np.uint64(owners)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(owners + 1))
-            out = [(p, *[c[o].tobytes() for c in found]) for p in range(owners) if len(o := order[edges[p] : edges[p + 1]])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=["part", "docs", "texts", "firsts", "counts"])
+        for doc, text, first, count, hashed in _each(batches):
+            keep = wanted.has(hashed)
+            yield pa.record_batch([pa.array(hashed[keep].view(np.int64)), pa.array(doc[keep]), pa.array(text[keep]), pa.array(first[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32))], names=["hash", "doc", "text_hash", "first", "words"])
 
-    return run
+    return docs.mapInArrow(run, "hash long, doc long, text_hash long, first int, words int")
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated spans of the documents that a task owns -> the covered stretches of words of each, (first, end) in turn."""
-    rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
-    if not rows:
-        return
-    doc, text, a, n = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32)))
-    order = np.lexsort((a, text, doc))
-    doc, text, a, n = doc[order], text[order], a[order].astype(np.int64), n[order].astype(np.int64)
-    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
-    cuts = []
-    for lo, hi in zip(head, np.r_[head[1:], len(doc)], strict=True):
-        first, end = a[lo:hi], np.maximum.accumulate(a[lo:hi] + n[lo:hi])
-        new = np.flatnonzero(np.r_[True, first[1:] > end[:-1]])
-        cuts.append(np.c_[first[new], end[np.r_[new[1:], hi - lo] - 1]].reshape(-1).astype(np.int32))
-    for lo in range(0, len(head), 10_000):
-        at = head[lo : lo + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(text[at]), pa.array(cuts[lo : lo + 10_000], pa.list_(pa.int32()))], names=["doc__", "text__", "cut__"])
+def _repeats(docs: DataFrame) -> DataFrame:
+    """docs (doc, hash, text) -> staged doc__, text__, cut__ (array of first, words): the spans of each document that repeat an earlier one."""
+    spark = docs.sparkSession
+    n = partitions(spark)
+    ranges = max(4 * n, docs.count() // RANGE_ROWS)
+    leads = stage(_dealt(docs, ranges).repartition(n, "part").sortWithinPartitions("part").mapInArrow(_leads, "hash long, lead long"), "leads")
+    found = stage(_occurrences(docs, KeySet(leads, "hash")).join(small_or_shuffled(leads, 16), "hash"), "found")
+    # in the document of the first occurrence its place stays, and so does the same place of an identical row given again
+    at_lead = found.where("doc = lead")
+    stays = at_lead.groupBy("hash").agg(F.min(F.struct("text_hash", "first")).alias("stays"), F.count("*").alias("n")).where("n > 1").select("hash", "stays")
+    within = at_lead.join(small_or_shuffled(stage(stays, "stays"), 24), "hash").where("struct(text_hash, first) <> stays")
+    gone = found.where("doc <> lead").select("doc", "text_hash", "first", "words").unionByName(within.select("doc", "text_hash", "first", "words"))
+    out = stage(gone.groupBy(F.col("doc").alias("doc__"), F.col("text_hash").alias("text__")).agg(F.collect_set(F.struct("first", "words")).alias("cut__")), "cuts")
+    unstage(leads, found)
+    return out
 
 
 def _cleaned(names: list[str]):
@@ -199,10 +202,9 @@ def _cleaned(names: list[str]):
                         continue
                     first, sizes = int(heads[lo]), np.diff(heads[lo : hi + 1])
                     out = np.zeros(int(heads[hi]) - first, bool)
-                    for a, b in zip(cut[::2], cut[1::2], strict=True):
-                        out[a:b] = True
+                    for c in cut:
+                        out[c["first"] : c["first"] + c["words"]] = True
                     full = np.add.reduceat(out.astype(np.int64), heads[lo:hi] - first) == sizes
-                    out &= np.repeat(full | (sizes > CUT_WORDS), sizes)
                     gone.append(int(full.sum()))
                     gone_words.append(int(out.sum()))
                     edges = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
@@ -221,18 +223,15 @@ def _cleaned(names: list[str]):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> its rows and columns with repeated sentences gone from text, and n_sentences__, n_removed__, words_removed__.
 
-    Of equal spans the one with the smallest doc_id, then text hash and place, is the first; sentences covered by others are removed, with
-    the white space after them, and of a sentence of over CUT_WORDS words the covered words; n_removed__ counts whole sentences. All else stays as it is. Repeats within a document count too. Identical rows (doc_id and text) are one
+    Of equal spans the one with the smallest doc_id, then text hash and place, is the first; the words that others cover are removed, with
+    the white space after them; n_removed__ counts the sentences of which no word is left. All else stays as it is. Repeats within a document count too. Identical rows (doc_id and text) are one
     occurrence and get equal results; rows without doc_id come last. Null texts stay null and have no sentences; an empty table gives no rows.
     Words are compared by 64-bit hashes with A-Z lowered.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    short_batches(docs.sparkSession)
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
-    dealt = _dealt(docs.select(doc.alias("doc"), text.alias("hash"), F.coalesce("text", F.lit(""))), n)
-    spans = dealt.repartition(n, "part").mapInArrow(_repeats(n), "part int, docs binary, texts binary, firsts binary, counts binary")
-    cuts = stage(spans.repartition(n, "part").mapInArrow(_merged, "doc__ long, text__ long, cut__ array<int>"), "cuts")
-    bytes_ = cuts.agg(F.coalesce(F.sum(F.size("cut__") * 4 + 40), F.lit(0))).first()[0]
+    cuts = _repeats(docs.select(doc.alias("doc"), text.alias("hash"), F.coalesce("text", F.lit("")).alias("text")))
+    bytes_ = cuts.agg(F.coalesce(F.sum(F.size("cut__") * 8 + 40), F.lit(0))).first()[0]
     side = F.broadcast(cuts) if bytes_ <= BROADCAST_BYTES else cuts
     keyed = docs.withColumns({"doc_key__": doc, "text_key__": text})
     marked = keyed.join(side, (F.col("doc_key__") == F.col("doc__")) & (F.col("text_key__") == F.col("text__")), "left").select(*docs.columns, "cut__")

@@ -162,58 +162,47 @@ def test_embeddings_of_an_empty_table(spark):
 
 
 def sentences(text):
-    """(word, starts a sentence) in order, with the place of each word."""
-    out, last = [], None
+    """(words as matches, first word of each sentence)."""
+    out, starts = [], []
     for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
-        w = m[0]
-        gap = text[last.end() : m.start()] if last else ""
-        new = last is None or re.match(r"[A-ZÀ-Þ]", w) is not None or last[0][-1] in ".!?,;:" or "\n" in gap
-        if w[0] == "×" or (w and "À" <= w[0] <= "Þ"):
-            new = True
-        out.append((m, new))
-        last = m
-    starts = [k for k, (_, new) in enumerate(out) if new]
-    return [m for m, _ in out], starts
+        if not out or re.search(r"[.!?…。！？।؟][\"')\]}»”’]?$", out[-1][0]) or "\n" in text[out[-1].end() : m.start()]:
+            starts.append(len(out))
+        out.append(m)
+    return out, starts
 
 
 def spans(text):
+    """(first word, end, words) of each run of sentences, and of each stretch between words that are least in a window."""
     ws, st = sentences(text)
     stop = st[1:] + [len(ws)]
-    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
-    found = set()
-    for i in range(len(st)):
-        for e in range(i, len(st)):
-            n = stop[e] - st[i]
-            if (e - i + 1 >= S.SENTENCES and n >= S.WORDS) or n >= S.LONG_WORDS:
-                found.add((i, e))
-                break
-        for s in range(i, -1, -1):
-            n = stop[i] - st[s]
-            if (i - s + 1 >= S.SENTENCES and n >= S.WORDS) or n >= S.LONG_WORDS:
-                found.add((s, i))
-                break
-    return ws, st, stop, [(i, e, tuple(low(m[0]) for m in ws[st[i] : stop[e]])) for i, e in found]
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), m[0]) for m in ws]
+    found = {(st[k], stop[k + S.SENTENCES - 1]) for k in range(len(st) - S.SENTENCES + 1)}
+    order = [int(S.mix(word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0])[0]) for w in low]
+    least = sorted({max(range(k, k + S.WINDOW), key=lambda i: (-order[i], i)) for k in range(len(ws) - S.WINDOW + 1)})
+    for k in least:
+        if far := [x for x in least if x >= k + S.CHOSEN_WORDS]:
+            found.add((k, far[0]))
+    return ws, st, [(a, e, tuple(low[a:e])) for a, e in found]
 
 
 def brute_removed(rows):
     first, every = {}, []
     for i, t in sorted(rows):
-        for a, e, k in spans(t or "")[3]:
+        for a, e, k in spans(t or "")[2]:
             every.append((i, a, e, k))
             first[k] = min(first.get(k, (i, a)), (i, a))
     gone = {}
     for i, a, e, k in every:
         if first[k] != (i, a):
-            gone.setdefault(i, set()).update(range(a, e + 1))
+            gone.setdefault(i, set()).update(range(a, e))
     out = {}
     for i, t in rows:
-        ws, st, _, _ = spans(t or "")
-        cut = gone.get(i, set())
-        text = t
-        for s in sorted(cut, reverse=True):
-            end = ws[st[s + 1]].start() if s + 1 < len(st) else len(t)
-            text = text[: ws[st[s]].start()] + text[end:]
-        out[i] = (len(st), len(cut), text)
+        ws, st, _ = spans(t or "")
+        cut, text = gone.get(i, set()), t
+        for w in sorted(cut, reverse=True):
+            text = text[: ws[w].start()] + text[ws[w + 1].start() if w + 1 < len(ws) else len(t) :]
+        whole = sum(set(range(a, e)) <= cut for a, e in zip(st, [*st[1:], len(ws)], strict=False))
+        out[i] = (len(st), whole, len(cut), text)
     return out
 
 
@@ -222,7 +211,7 @@ def prose(rng, n):
     for k in range(n):
         w = words(rng, rng.randint(2, 14)).split()
         w[0] = w[0].capitalize() if rng.random() < 0.8 else w[0]
-        out.append(" ".join(w) + rng.choice([".", ",", "!", "\n", ""]))
+        out.append(" ".join(w) + rng.choice([".", ",", "!", '?"', "\n", "", "。", " …"]))
     return " ".join(out)
 
 
@@ -235,8 +224,8 @@ def test_substrings_against_brute_force(spark, make_docs):
         if rng.random() < 0.6:
             t += rng.choice([" ", "\n"]) + rng.choice(passages) + " " + prose(rng, rng.randint(0, 5))
         texts.append(t)
-    texts += [texts[0], None, "", "  ", passages[0] + "\n" + passages[0]]
-    got = {r.doc_id: (r.n_sentences__, r.n_removed__, r.text) for r in S.remove_repeats(make_docs(texts)).collect()}
+    texts += [texts[0], None, "", "  ", passages[0] + "\n" + passages[0], "Yes. No. Maybe so.", "Aa bb. Yes. No. Maybe so. Cc dd."]
+    got = {r.doc_id: (r.n_sentences__, r.n_removed__, r.words_removed__, r.text) for r in S.remove_repeats(make_docs(texts)).collect()}
     assert got == brute_removed(list(enumerate(texts)))
 
 
@@ -247,7 +236,7 @@ def test_passages_go_and_clean_text_stays(spark, make_docs):
     texts = clean + [f"Aa {words(rng, 40)} {passage} {words(rng, 30)}" for _ in range(5)]
     got = {r.doc_id: r for r in S.remove_repeats(make_docs(texts)).collect()}
     assert all(got[i].text == t for i, t in enumerate(clean))
-    assert passage in got[20].text and all(passage not in got[i].text and got[i].words_removed__ >= 50 for i in range(21, 25))
+    assert passage in got[20].text and all(passage not in got[i].text and got[i].words_removed__ >= 42 for i in range(21, 25))
 
 
 def test_passages_without_marks_or_cut_within_sentences(spark, make_docs):
@@ -261,10 +250,10 @@ def test_passages_without_marks_or_cut_within_sentences(spark, make_docs):
     got = {r.doc_id: r for r in S.remove_repeats(make_docs(texts)).collect()}
     assert all(got[i].text == texts[i] and got[i].words_removed__ == 0 for i in (0, 3, 6))
     for i in (1, 2):
-        assert 50 <= got[i].words_removed__ <= 70 and len(got[i].text.split()) == 240 - got[i].words_removed__
+        assert 54 <= got[i].words_removed__ <= 70 and len(got[i].text.split()) == 240 - got[i].words_removed__
         assert got[i].text.split()[:90] == texts[i].split()[:90] and got[i].text.split()[-80:] == texts[i].split()[-80:]
-    assert all(whole not in got[i].text and got[i].n_removed__ == 1 and got[i].text == texts[i].replace(whole + " ", "") for i in (4, 5))
-    assert got[7].words_removed__ >= 1
+    assert all(whole not in got[i].text and got[i].n_removed__ >= 1 and got[i].words_removed__ >= 37 for i in (4, 5))
+    assert got[7].n_removed__ >= 57
 
 
 def test_substrings_odd_rows(spark, odd_docs, make_docs):
