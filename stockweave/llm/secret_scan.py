@@ -57,10 +57,13 @@ def find_spans(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             base.append((m.start(), m.end(), kind))
             values.append((m.start(), m.end(), m[0]))
     base.sort(key=lambda s: (s[0], s[2]))
-    taken = [(s, e) for s, e, _ in base]
+    k, end = 0, -1  # both lists go by start: base spans that begin before a candidate's end, and the farthest end of those
     for m in CANDIDATE.finditer(text):
         v = m[0]
-        if any(s < m.end() and m.start() < e for s, e in taken):
+        while k < len(base) and base[k][0] < m.end():
+            end = max(end, base[k][1])
+            k += 1
+        if m.start() < end:
             continue
         if re.search(rb"[0-9]", v) and re.search(rb"[A-Za-z]", v) and _entropy(v) >= LEAST_BITS:
             values.append((m.start(), m.end(), v))

@@ -244,6 +244,15 @@ def test_base_spans(spark, make_docs):
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == j for _, k, _ in want) for j in range(3)]
 
 
+def test_candidates_beside_many_spans_take_linear_time():
+    import time
+
+    text = ("token=abcdef12 Zx81QwErTy77UiOpAsDf42Gh " * 100_000).encode()
+    began = time.perf_counter()
+    base, found = X.find_spans(text)
+    assert len(base) == 100_000 and len(found) == 200_000 and time.perf_counter() - began < 20
+
+
 def test_ownership_tells_copies_from_own_values(spark, make_docs):
     shared, own = "Zx81QwErTy77UiOpAsDf42Gh", "Kl93PoIuYt55ReWqZxCv10Mn"
     texts = [f"see {shared} here", f"see {shared} there", f"mine {own}", f"again {own}"]
@@ -290,41 +299,91 @@ def test_round_trip_of_escapes():
             assert C.parse(C.format_turn(role, t)[0] * 2) == [(role, t)] * 2
 
 
-def test_trees(spark):
+def expected(rows):
+    want = {}
+    for c, t, r, x in rows:
+        want.setdefault(c, []).append(((-1 if t is None else t), r or "", x or ""))
+    out = {}
+    for c, turns in want.items():
+        turns.sort()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        chars = sum(len(C.format_turn(r, x)[0]) for _, r, x in turns)
+        out[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+    return out
+
+
+def read(pages, leaves, page=C.PAGE):
+    return {r.conv_id: tuple(r)[1:] for r in C.read_back(pages, leaves, page).collect()}
+
+
+def chat_rows():
     rows = [(c, t, r, x) for c, turns in {1: "ab", 2: "abc", 3: "abd", 4: "e", 5: "ab", 6: "abdf", 7: "a"}.items() for t, x in enumerate(turns) for r in [("user", "assistant")[t % 2]]]
-    rows += [(8, 0, "user", None), (8, 1, None, "z"), (9, None, "user", "n"), (9, 0, "user", "n"), (None, 0, "user", "q")]
-    nodes, members = C.build_trees(chats(spark, rows))
+    return rows + [(8, 0, "user", None), (8, 1, None, "z"), (9, None, "user", "n"), (9, 0, "user", "n"), (None, 0, "user", "q")]
+
+
+def test_trees(spark):
+    rows = chat_rows()
+    pages, nodes, leaves = C.build_trees(chats(spark, rows))
+    assert read(pages, leaves) == expected(rows)
     n = {r.node: r for r in nodes.collect()}
-    m = members.collect()
-    assert len(n) == len({r.node for r in m})
-    # every tree is gapless, children follow their parents, and attention is exactly the path
+    text, position = {}, {}
+    for p in pages.collect():
+        assert len(p.text) <= C.PAGE and p.start // C.PAGE == p.page
+        for k, ch in enumerate(p.text):
+            assert (p.root, p.start + k) not in text
+            text[p.root, p.start + k] = ch
+        for s in p.runs:
+            position |= {(p.root, at): s.position + at - s.start for at in range(s.start, s.stop)}
+    assert len(text) == sum(r.stop - r.start for r in n.values()) == len(position)
+    # every tree is gapless, children follow their parents, positions count up along the path
+    paths = {}
     for root in {r.root for r in n.values()}:
         tree = sorted((r for r in n.values() if r.root == root), key=lambda r: r.start)
         at = 0
         for r in tree:
-            assert r.start == at and r.stop == at + len(r.segment)
+            assert r.start == at and r.start < r.stop
             at = r.stop
-            path, x = set(range(r.start, r.stop)), r
+            path, x = list(range(r.start, r.stop)), r
             while x.parent:
                 x = n[x.parent]
-                path |= set(range(x.start, x.stop))
+                path = [*range(x.start, x.stop), *path]
                 assert x.stop <= r.start
-            seen = {p for s in r.attends for p in range(s.start, s.stop)}
-            assert seen == path and r.position == len(path) - len(r.segment)
+            assert r.position == len(path) - (r.stop - r.start) and [position[root, p] for p in path] == list(range(len(path)))
+            paths[root, "".join(text[root, p] for p in path)] = path
         # depth-first: a subtree is one interval
         for r in tree:
             under = [x for x in tree if x.node == r.node or any(p == r.node for p in ancestors(n, x))]
-            assert max(x.stop for x in under) - min(x.start for x in under) == sum(len(x.segment) for x in under)
-    want = {}
-    for c, t, r, x in rows:
-        want.setdefault(c, []).append(((-1 if t is None else t), r or "", x or ""))
-    got = {r.conv_id: r for r in C.read_back(nodes, members).collect()}
-    assert set(got) == set(want)
-    for c, turns in want.items():
-        turns.sort()
-        d = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
-        loss = "".join(x for _, r, x in turns if r == "assistant")
-        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), d, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert max(x.stop for x in under) - min(x.start for x in under) == sum(x.stop - x.start for x in under)
+    # what a conversation attends to is exactly its path
+    for leaf in leaves.collect():
+        turns = sorted(((-1 if t is None else t), r or "", x or "") for c, t, r, x in rows if c == leaf.conv_id)
+        places = [p for s in leaf.attends for p in range(s.start, s.stop)]
+        assert leaf.n_turns == len(turns) and places == paths[leaf.root, "".join(C.format_turn(r, x)[0] for _, r, x in turns)]
+        assert all(a.stop < b.start for a, b in zip(leaf.attends, leaf.attends[1:]))
+
+
+def test_conversations_come_out_of_the_trees(spark):
+    rows = chat_rows()
+    pages, _, leaves = C.build_trees(chats(spark, rows))
+    moved = F.transform("attends", lambda s: F.struct((s["start"] + 1).alias("start"), (s["stop"] + 1).alias("stop")))
+    for p, x in ((pages.withColumn("start", F.lit(0).cast("long") + 1), leaves), (pages, leaves.withColumn("attends", moved)), (pages.withColumn("loss", F.slice("loss", 1, 0)), leaves)):
+        try:
+            got = read(p, x)
+        except Exception:
+            continue
+        assert got != expected(rows)
+
+
+def test_long_texts_and_deep_forks(spark):
+    rng = random.Random(5)
+    said = r"\### Assistant: </turn> ok"
+    rows = [(0, t, ("user", "assistant")[t % 2], rng.choice([said, "\\", "x" * 63 + "\\" * 3]) * rng.randint(1, 60)) for t in range(6)]
+    rows += [(1, 0, "user", "hi"), (1, 1, "assistant", "y" * 100_000 + "\\")]
+    for c in range(2, 42):  # each forks from the one before it at the next turn
+        rows += [(c, t, ("user", "assistant")[t % 2], f"t{t}") for t in range(c)] + [(c, c, "assistant", f"own {c}")]
+    pages, nodes, leaves = C.build_trees(chats(spark, rows), 64)
+    assert read(pages, leaves, 64) == expected(rows)
+    assert nodes.count() == len({r for r in nodes.select("node").collect()}) and max(len(r.attends) for r in leaves.collect()) <= 42
 
 
 def ancestors(n, r):
@@ -334,8 +393,8 @@ def ancestors(n, r):
 
 
 def test_no_chats(spark):
-    nodes, members = C.build_trees(chats(spark, []))
-    assert nodes.count() == members.count() == C.read_back(nodes, members).count() == 0
+    pages, nodes, leaves = C.build_trees(chats(spark, []))
+    assert pages.count() == nodes.count() == leaves.count() == C.read_back(pages, leaves).count() == 0
 
 
 # ---- pages ----
