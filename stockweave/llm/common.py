@@ -190,7 +190,7 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def text_chunks(texts: pa.Array, limit: int = 1 << 21):
+def text_chunks(texts: pa.Array, limit: int = 1 << 20):
     """Yields (first row, byte array, row offsets) for runs of rows of about `limit` bytes; a null row is empty, a longer row stands alone."""
     texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):

@@ -6,8 +6,8 @@ Sets are sorted arrays of 64-bit n-gram hashes; equal sets are one class. Four e
    has too. A class with a partner at threshold t shares at least t of its own n-grams, so all others are done.
 2. The classes left deal their rarest n-grams, as many as any partner must hit at least once, into tiles of one n-gram
    and one band of set sizes; a set joins the tiles of its own band and the next, as sizes of partners differ by 1/t at most.
-   Of tiles with the same members one is kept.
-3. In a tile every member is first compared with the tile's least member; linked members are one component.
+   Tiles with the same least member go together from here on: near copies meet in one place, not once for every n-gram they share.
+3. In a tile every member is first compared with the least member; linked members are one component.
 4. Tiles with several components are split into pairs of blocks, each a group of one task. In a group, hashed bitmaps as long as
    its sets need bound every overlap from above: each bit that one has and the other lacks stands for an n-gram that the other lacks.
    Pairs that the bound lets through have their sorted arrays intersected at once, unless their components are already one;
@@ -29,7 +29,7 @@ from .common import by_part, connected_components, mix, partitions, short_batche
 #: Words of an n-gram; overlap in percent of the union.
 WORDS, PERCENT = 5, 75
 #: Bits of a bitmap for each n-gram of the largest set beside it; members and n-grams of a tile's block; n-grams that a task gathers before it deals them; classes of a hash range.
-BITS, BLOCK, BLOCK_GRAMS, GATHER, RANGE_CLASSES = 16, 512, 4_000_000, 1_000_000, 8000
+BITS, BLOCK, BLOCK_GRAMS, GATHER, RANGE_CLASSES = 16, 512, 2_000_000, 500_000, 8000
 
 _ORDER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -259,18 +259,18 @@ def _forest(left: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray,
 
 
 def _links_in_tiles(rest: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Links (a, b) between components, out of tiles with several: rest (gram, band, rep, comp, main, members, others).
+    """Links (a, b) between components, out of tiles with several: rest (tile, rep, comp, main, members, others, longest).
 
     Members outside a tile's main component meet all its members, block by block. n-grams go as 64-bit hashes if whole, else as the
     low halves of them, which can only add links.
     """
-    members = F.greatest(F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_GRAMS)) / F.pow(F.lit(100.0 / percent), F.col("band") + 1)), F.lit(1.0))
-    blocks = lambda c: F.ceil(F.col(c) / F.floor(members)).cast("int")
+    per = F.greatest(F.least(F.lit(BLOCK), F.expr(f"{BLOCK_GRAMS} div longest")), F.lit(1))
+    blocks = lambda c: F.ceil(F.col(c) / per).cast("int")
     own = lambda c, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), blocks(c)).cast("int")
     upto = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
-    left = rest.where("comp <> main").select("gram", "band", own("others", 1).alias("i"), F.explode(upto("members")).alias("j"), F.lit(True).alias("left"), "rep", "comp")
-    right = rest.select("gram", "band", F.explode(upto("others")).alias("i"), own("members", 2).alias("j"), F.lit(False).alias("left"), "rep", "comp")
-    keys = ("gram", "band", "i", "j")
+    left = rest.where("comp <> main").select("tile", own("others", 1).alias("i"), F.explode(upto("members")).alias("j"), F.lit(True).alias("left"), "rep", "comp")
+    right = rest.select("tile", F.explode(upto("others")).alias("i"), own("members", 2).alias("j"), F.lit(False).alias("left"), "rep", "comp")
+    keys = ("tile", "i", "j")
     dealt = left.unionByName(right).join(sets.select("rep", "n", F.col("grams" if whole else "halves").alias("grams")), "rep").select(*keys, "left", "rep", "comp", "n", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +283,13 @@ def _links_in_tiles(rest: DataFrame, sets: DataFrame, percent: int, whole: bool)
                     out.extend(_forest(is_left, rep, comp, n, [np.unique(h[4]) for h in held], percent))
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:8]]
-            for k, g in enumerate(_lists(batch.column(8))):
-                key = tuple(c[k] for c in cols[:4])
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
+            for k, g in enumerate(_lists(batch.column(7))):
+                key = tuple(c[k] for c in cols[:3])
                 if key != group:
                     close()
                     group, held = key, []
-                held.append((*[c[k] for c in cols[4:]], g))
+                held.append((*[c[k] for c in cols[3:]], g.copy()))
             yield _pairs(out)
             out.clear()
         close()
@@ -306,18 +306,16 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """sets (rep, n, grams, halves) -> staged (node, component) of the sets that link with some other."""
     tiles = stage(_tiles(sets, percent), "tiles")
-    marks = tiles.groupBy("gram", "band").agg(F.count("*").alias("members"), F.min("rep").alias("a"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x"), F.expr("bit_xor(xxhash64(rep, 2))").alias("y")).where("members > 1")
-    # tiles with the same members, as far as 128 bits tell, would give the same pairs: one stays
-    kept = marks.groupBy("members", "a", "x", "y").agg(F.min(F.struct("gram", "band")).alias("t")).select("t.gram", "t.band", "members", "a")
-    few = stage(tiles.join(kept, ["gram", "band"]), "tiles")
+    least = tiles.groupBy("gram", "band").agg(F.min("rep").alias("tile"), F.count("*").alias("members")).where("members > 1")
+    few = stage(tiles.join(least, ["gram", "band"]).select("tile", "rep").distinct(), "tiles")
     unstage(tiles)
-    first = few.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    first = few.where("rep <> tile").select(F.col("tile").alias("a"), F.col("rep").alias("b"))
     links = stage(_verified(first, sets, percent), "links")
     comp = stage(connected_components(links), "components")
-    placed = few.join(comp, F.col("rep") == F.col("node"), "left").select("gram", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    parts = placed.groupBy("gram", "band", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("gram", "band").agg(F.sum("n").alias("members"), F.count("*").alias("comps"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1")
-    rest = stage(placed.join(mixed.select("gram", "band", "main", "members", (F.col("members") - F.col("most")).alias("others")), ["gram", "band"]), "mixed")
+    placed = few.join(comp, F.col("rep") == F.col("node"), "left").join(sets.select("rep", "n"), "rep").select("tile", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    parts = placed.groupBy("tile", "comp").agg(F.count("*").alias("size"), F.max("n").alias("longest"))
+    mixed = parts.groupBy("tile").agg(F.sum("size").alias("members"), F.count("*").alias("comps"), F.max("longest").alias("longest"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main")).where("comps > 1")
+    rest = stage(placed.drop("n").join(mixed.select("tile", "main", "members", (F.col("members") - F.col("most")).alias("others"), "longest"), "tile"), "mixed")
     more = stage(_links_in_tiles(rest, sets, percent, whole=False), "links")
     sure = stage(_verified(more, sets, percent), "links")
     if more.count() != sure.count():  # halves of hashes joined two sets that do not link: once more with whole ones

@@ -97,7 +97,7 @@ def test_links_by_halves_of_hashes_and_by_whole_ones_agree(spark):
         s = sorted({int(x) for x in s})
         rows.append((k, len(s), s, np.array(s).astype(np.uint64).astype(np.uint32).view(np.int32).tolist()))
     sets = spark.createDataFrame(rows, "rep long, n long, grams array<long>, halves array<int>")
-    rest = spark.createDataFrame([(1, 14, k, k, 0, 40, 39) for k in range(40)], "gram long, band int, rep long, comp long, main long, members long, others long")
+    rest = spark.createDataFrame([(0, k, k, 0, 40, 39, 60) for k in range(40)], "tile long, rep long, comp long, main long, members long, others long, longest long")
     link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
     every = [(a, b) for a, _, x, _ in rows for b, _, y, _ in rows if a < b and link(set(x), set(y))]
     for whole in (False, True):
