@@ -3,7 +3,8 @@
 A page's blocks and inline elements form a tree without elements that are never article text. For every node the
 characters under it, those under links, and the tags under it give its composite density: characters per tag, scaled down where
 many characters or tags are links, with the page's own share of link text as the measure. The node with the greatest sum of its
-children's densities holds the article. Inside it, subtrees that are mostly links and less dense than the path from that node to the body are left out.
+children's densities holds the article. Inside it, subtrees that are less dense than the path from that node to the body are left out, if they
+are mostly links or their names mark them. What an element is named is a weak prior: it scales the densities under it, and never decides alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Factors on the densities under an element whose names mark it as no article text, or that is a form or readers' comments, and on the sums of what an article or main element holds.
+MARK_PRIOR, COMMENT_PRIOR, ARTICLE_PRIOR = 0.8, 0.15, 8.0
+
 # Tags by what they do in a page, and class or id words that mark what is no article text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,20 +40,57 @@ ENDS_P = BLOCKS - {"body", "html"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?""")
+#: An attribute: quotes open a value only after an equals sign.
+_NAME_VALUE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?+)?+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|{_NAME_VALUE})*+)(?:>|\Z)""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?+)?+""")
 _NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "marked", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element; weight is the prior of its names and of those around it, inside whether an article or main element holds it, heading whether it holds a heading."""
+
+    __slots__ = ("tag", "parent", "dropped", "weight", "inside", "heading", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.marked, self.kids = tag, parent, dropped, False, []
+        self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
+        self.weight = parent.weight if parent else 1.0
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.heading = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+class _Open:
+    """The stack of open elements, with the places of each tag in it, so that no look-up walks the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {root.tag: [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Closes the elements from place k on; the root stays open."""
+        while len(self.nodes) > max(k, 1):
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close(self, tags, within) -> None:
+        k = self.last(tags)
+        if k > max(0, self.last(within)):
+            self.cut(k)
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in reversed(list(_ATTRIBUTE.finditer(text)))}  # of repeated names the first counts
 
@@ -58,34 +99,34 @@ def _is_hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
 
 
-def _is_marked(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether the tag, class, id or role name something that is no article text; inside: an article or main element holds it."""
+def _prior(tag: str, attributes: dict[str, str], inside: bool) -> float:
+    """How likely the tag, class, id and role leave it that the element is article text; inside: an article or main element holds it."""
     if tag in ("html", "body", "main"):
-        return False
+        return 1.0
     if tag == "form":
-        return True
+        return COMMENT_PRIOR
     words = set()
     for token in " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label")).lower().split():
         for w in re.split(r"[^a-z]+", token):
             if w in LAYOUT:
                 break
             words.add(w)
-    if tag == "article":
-        return bool(words & COMMENT_MARKS)
+    if words & COMMENT_MARKS:
+        return COMMENT_PRIOR
     marks = words & MARKS
-    if marks == {"widget"} and words & OWN_WIDGET:
-        return False
-    return bool(marks) or (HEADER_MARK in words and not inside and not words & OWN_HEADER)
+    if tag == "article" or marks == {"widget"} and words & OWN_WIDGET:
+        return 1.0
+    return MARK_PRIOR if marks or (HEADER_MARK in words and not inside and not words & OWN_HEADER) else 1.0
 
 
 def parse(page: str) -> tuple[Node, Node]:
-    """(root, body). kids holds nodes and texts in page order; end tags that are left out are implied, unmatched ones are ignored."""
+    """(root, body). kids holds nodes and texts in page order; end tags that are left out are implied, unmatched ones are ignored. Takes time in proportion to the page, however deep it nests."""
     root = Node("html", None, False)
-    body, open_, at = root, [root], 0
+    body, open_, at = root, _Open(root), 0
 
     def text(s: str) -> None:
-        if s and not open_[-1].dropped:
-            open_[-1].kids.append(html.unescape(s))
+        if s and not open_.nodes[-1].dropped:
+            open_.nodes[-1].kids.append(html.unescape(s))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -98,50 +139,41 @@ def parse(page: str) -> tuple[Node, Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-                if tag not in BLOCKS and open_[k].tag in BLOCKS and tag != "a":
-                    break  # the end of an inline element does not close a block
+            k = open_.last((tag,))
+            # the end of an inline element does not close a block
+            if k > 0 and (tag in BLOCKS or tag == "a" or open_.blocks[-1] < k):
+                open_.cut(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag == "html":
-            continue
-        if tag == "body" and body is not root:
+        if tag == "html" or (tag == "body" and body is not root):
             continue
         if tag in ENDS_P:
-            _close(open_, {"p"}, {"td", "th", "li", "article", "section", "div", "blockquote", "body"})
+            open_.close(("p",), ("td", "th", "li", "article", "section", "div", "blockquote", "body"))
         if tag in SIBLINGS:
-            _close(open_, *SIBLINGS[tag])
+            open_.close(*SIBLINGS[tag])
         if tag == "body":
-            del open_[1:]  # the head ends where the body begins
-        up = open_[-1]
-        inside = any(n.tag in ("article", "main") for n in open_)
+            open_.cut(1)  # the head ends where the body begins
+        up = open_.nodes[-1]
         attributes = _attributes(m[3]) if m[3] else {}
         # a header belongs to the page, unless it stands in the article and holds its title
-        drop = up.dropped or tag in DROPPED or (tag == "header" and not inside) or _is_hidden(attributes)
+        drop = up.dropped or tag in DROPPED or (tag == "header" and not up.inside) or _is_hidden(attributes)
         node = Node(tag, up, drop)
-        node.marked = not drop and _is_marked(tag, attributes, inside)
         if tag == "body":
             body = node
         if not drop:
+            node.weight = min(up.weight, _prior(tag, attributes, up.inside))
             up.kids.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            open_.append(node)
+        if tag not in VOID and not _closes_itself(m[3]):
+            open_.push(node)
     return root, body
 
 
-def _close(open_: list[Node], tags: set[str], within: set[str]) -> None:
-    for k in range(len(open_) - 1, 0, -1):
-        if open_[k].tag in tags:
-            del open_[k:]
-            return
-        if open_[k].tag in within:
-            return
+def _closes_itself(rest: str) -> bool:
+    """Whether a slash ends the tag, and not a value without quotes."""
+    return rest.endswith("/") and not any(m.end() == len(rest) for m in _ATTRIBUTE.finditer(rest))
 
 
 def _ordered(top: Node) -> list[Node]:
@@ -154,88 +186,78 @@ def _ordered(top: Node) -> list[Node]:
     return out
 
 
-def _count(nodes: list[Node]) -> None:
+def composite_density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Of c characters under t tags, lc of them under lt links, on a page of which `share` of the characters are links."""
+    if not c:
+        return 0.0
+    t, lt = max(t, 1), max(lt, 1)
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1) / max(base, 1.0)
+
+
+def measure(body: Node) -> list[Node]:
+    """Counts, densities and weighted sums of the children's densities of the body's nodes, parents first."""
+    nodes = _ordered(body)
     for n in reversed(nodes):
-        n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.heading = n.tag in HEADINGS
         for k in n.kids:
             if isinstance(k, Node):
                 n.chars, n.link_chars = n.chars + k.chars, n.link_chars + k.link_chars
                 n.tags, n.link_tags = n.tags + k.tags + 1, n.link_tags + k.link_tags + (k.tag == "a")
+                n.heading |= k.heading
             else:
                 n.chars += len(k) - k.count(" ") - k.count("\n")
         if n.tag == "a":
             n.link_chars = n.chars
-
-
-def measure(root: Node, body: Node) -> list[Node]:
-    """Counts and densities of the body's nodes, parents first. Marked elements and forms go, unless one holds most of the page's text that is not in links and no article elsewhere is known: the densities decide about that."""
-    nodes = _ordered(body)
-    _count(nodes)
-    text = body.chars - body.link_chars
-    for n in nodes:
-        if n.marked and not (2 * (n.chars - n.link_chars) > text and not _known_beside(n, nodes, body)):
-            n.parent.kids.remove(n)
-    nodes = _ordered(body)
-    _count(nodes)
     share = body.link_chars / max(body.chars, 1)
     for n in nodes:
-        c, t, lc, lt = max(n.chars, 0), max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            n.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1) / max(base, 1.0)
+        n.density = composite_density(n.chars, n.tags, n.link_chars, n.link_tags, share)
     for n in nodes:
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node))
+        n.total = sum(k.density * k.weight for k in n.kids if isinstance(k, Node)) * (ARTICLE_PRIOR if n.inside else 1.0)
     return nodes
 
 
-def _known_beside(n: Node, nodes: list[Node], body: Node) -> bool:
-    """Whether the page's only article or main element lies apart from n. One within another, or in a marked element that does not hold n, does not count."""
-    above = set(_up(n, body))
-    known = []
-    for k in nodes:
-        if k.tag in ("article", "main") and k.chars and not any((x.marked and x not in above) or (x is not k and x.tag in ("article", "main")) for x in _up(k, body)):
-            known.append(k)
-    return len(known) == 1 and known[0] not in above and n not in _up(known[0], body)
-
-
-def article(body: Node, nodes: list[Node]) -> tuple[Node, float]:
-    """The node of the greatest density sum, with what belongs to it, and the least density on the path to the body.
+def article(body: Node, nodes: list[Node]) -> tuple[Node, tuple[float, float]]:
+    """The node of the greatest density sum, with what belongs to it, and the least density and least characters per tag on the path to the body.
 
     An article or main element around it is the article. Else the node's parent is, as long as running text or a title stands beside the node.
     """
     best = max(nodes, key=lambda n: n.total, default=body)
-    around = [n for n in _up(best, body) if n.tag in ("article", "main")]
-    if not around and (named := [n for n in nodes if n.tag in ("article", "main") and 2 * n.chars > body.chars]):
-        around = named[:1]
-    if around:
-        best = around[0]
+    if best.inside:
+        while best.tag not in ("article", "main") and best is not body:
+            best = best.parent
     else:
         while best is not body and (best.tag not in BLOCKS or best.tag in TEXT_BLOCKS or _belongs(best)):
             best = best.parent
-    return best, min(n.density for n in _up(best, body))
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    return best, (min(n.density for n in path), min(_plain(n) for n in path))
 
 
-def _up(n: Node, body: Node) -> list[Node]:
-    """n and what holds it, up to the body."""
-    out = [n]
-    while n is not body and n.parent is not None:
-        n = n.parent
-        out.append(n)
-    return out
+def _plain(n: Node) -> float:
+    """Characters per tag, which do not grow with a subtree's size as the composite density does."""
+    return n.chars / max(n.tags, 1)
 
 
 def _belongs(n: Node) -> bool:
-    """Whether the parent of n has running text of its own, or an element with a title, beside n."""
+    """Whether the parent of n has running text of its own, or an element with a title, beside n. What names mark more than n does not count."""
     for k in n.parent.kids:
         if isinstance(k, str):
             if k.strip():
                 return True
-        elif k is not n and k.chars and 2 * k.link_chars < k.chars and (k.tag in TEXT_BLOCKS or any(x.tag in HEADINGS for x in _ordered(k))):
+        elif k is not n and k.chars and k.weight >= n.weight and 2 * k.link_chars < k.chars and (k.tag in TEXT_BLOCKS or k.heading):
             return True
     return False
 
 
-def blocks(top: Node, threshold: float) -> list[str]:
+def _left_out(n: Node, top: Node, thresholds: tuple[float, float]) -> bool:
+    """Whether a block under top is no part of its text: mostly links and less dense than the path, or marked by names within top and, by their prior, of fewer characters per tag than the path."""
+    links = 2 * n.link_chars > n.chars and n.density < thresholds[0]
+    return links or (n.weight < top.weight and _plain(n) * n.weight / top.weight < thresholds[1])
+
+
+def blocks(top: Node, thresholds: tuple[float, float]) -> list[str]:
     """Texts of the blocks under top in page order, white space as single spaces."""
     out, line, todo = [], [], [top]
 
@@ -252,7 +274,7 @@ def blocks(top: Node, threshold: float) -> list[str]:
             line.append(n)
         elif n.tag == "br":
             line.append(" ")
-        elif n is top or not (n.tag in BLOCKS and n.density < threshold and 2 * n.link_chars > n.chars):
+        elif n is top or not (n.tag in BLOCKS and _left_out(n, top, thresholds)):
             if n.tag in BLOCKS:
                 end()
                 todo.append(None)
@@ -263,9 +285,8 @@ def blocks(top: Node, threshold: float) -> list[str]:
 
 def main_text(page: str) -> str:
     """The article of a page, '' if there is none."""
-    root, body = parse(page)
-    nodes = measure(root, body)
-    return "\n".join(blocks(*article(body, nodes)))
+    _, body = parse(page)
+    return "\n".join(blocks(*article(body, measure(body))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -454,6 +454,80 @@ def test_article_of_every_given_page(spark, sf_dir):
         assert H.main_text(r.html) == "\n".join(want)
 
 
+KEPT = {
+    f"<p>{BODY}</p><p title=\"a hidden gem\">{BODY}</p>": "\n".join([BODY.strip()] * 2),
+    f"<article data-t='see hidden costs'><p>{BODY}</p></article>": BODY.strip(),
+    f"<article><h1>T</h1><p>{BODY}</p><section class='social-history'><p>{BODY}</p><p>{BODY}</p></section><section id='related-work'><p>{BODY}</p></section><div class='related'><a href=1>More of it</a> <a href=2>And more</a></div><div class=ad>Buy now!</div></article>": "\n".join(["T", *[BODY.strip()] * 4]),
+    f"<p data-x=it's>{BODY}</p><p>two</p>": BODY.strip() + "\ntwo",
+    f"<p>{BODY} <a href=/foo/>link</a> after</p>": BODY.strip() + " link after",
+    f"<p>{BODY} <a name='x'/> after</p><p/>more": BODY.strip() + " after\nmore",
+    # no article element, and siblings that are mostly links
+    f"<body><div id=x><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div><div id=y><h1>T</h1><p>{BODY}</p><p>Short.</p></div><div id=z><a href=1>{BODY}</a><a href=2>{BODY}</a></div></body>": f"T\n{BODY.strip()}\nShort.",
+    f"<body><div><div><a href=1>{BODY}</a> <a href=1>{BODY}</a> <a href=1>{BODY}</a></div><div><p>{BODY}</p><p>{BODY}</p><div><a href=2>See also</a> <a href=3>and this</a></div></div></div></body>": "\n".join([BODY.strip()] * 2),
+}
+
+
+def test_densities_and_not_names_decide():
+    for page, want in KEPT.items():
+        assert H.main_text(page) == want, page
+
+
+def test_without_densities_link_heavy_pages_come_out_wrong(monkeypatch):
+    pages = list(KEPT)[-2:]
+    monkeypatch.setattr(H, "composite_density", lambda *a: 0.0)
+    assert all(H.main_text(p) != KEPT[p] for p in pages)
+
+
+def test_densities_against_brute_force():
+    import math
+
+    rng = random.Random(7)
+
+    def made(depth):
+        return "".join(words(rng, rng.randint(1, 6)) if rng.random() < 0.4 or depth > 5 else f"<{t}>{made(depth + 1)}</{t}>" for t in rng.choices(["div", "section", "a", "b", "span"], k=rng.randint(1, 4)))
+
+    def texts(n):
+        return [k for k in n.kids if isinstance(k, str)] + [t for k in n.kids if not isinstance(k, str) for t in texts(k)]
+
+    def links(n, inside=False):
+        """Characters and number of links under n."""
+        chars = tags = 0
+        for k in n.kids:
+            if isinstance(k, str):
+                chars += len(k.replace(" ", "")) if inside else 0
+            else:
+                c, t = links(k, inside or k.tag == "a")
+                chars, tags = chars + c, tags + t + (k.tag == "a")
+        return chars, tags
+
+    def tags(n):
+        return sum(1 + tags(k) for k in n.kids if not isinstance(k, str))
+
+    for _ in range(40):
+        body = H.parse(f"<body>{made(0)}</body>")[1]
+        nodes = H.measure(body)
+        share = links(body)[0] / max(len("".join(texts(body)).replace(" ", "")), 1)
+        want = {}
+        for n in nodes:
+            c = len("".join(texts(n)).replace(" ", ""))
+            (lc, lt), t = links(n, n.tag == "a"), max(tags(n), 1)
+            if c:
+                log_base = max(math.log(c / max(c - lc, 1) * lc + share * c + math.e), 1)
+                want[id(n)] = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1) + 1) / log_base
+            assert abs(n.density - want.get(id(n), 0)) < 1e-9
+        for n in nodes:
+            assert abs(n.total - sum(k.density for k in n.kids if not isinstance(k, str))) < 1e-9
+
+
+def test_depth_takes_linear_time():
+    import time
+
+    for page in ("<b>" * 50_000 + "x", "<div class=ad>" * 50_000 + "x", "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x", "<b>" * 50_000 + "<div></div>" * 50_000 + "x", "<p x='" * 50_000, "<div class=ad>x</div>" * 50_000):
+        began = time.perf_counter()
+        H.main_text(page)
+        assert time.perf_counter() - began < 10  # about one second on a free core
+
+
 def test_deep_and_long_pages():
     assert H.main_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert len(H.main_text("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
