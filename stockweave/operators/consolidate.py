@@ -32,40 +32,95 @@ def consolidate_single(rows: DataFrame) -> DataFrame:
     return g.withColumn("accepted", F.col("quantity") <= INT_MAX)
 
 
+NONE = "array<string>"
+ENTRY = "array<struct<key: string, value: string>>"
+
+
+def _given(rows: DataFrame, name: str, kind: str) -> Column:
+    """A column that rows may lack."""
+    return F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def resolved_ids(rows: DataFrame) -> Column:
+    """resolved_source_record_ids and then resolved_source_record_id, each once; rows may lack both."""
+    several, one = _given(rows, "resolved_source_record_ids", NONE), _given(rows, "resolved_source_record_id", "string")
+    return F.array_distinct(F.array_compact(F.concat(F.coalesce(several, F.array().cast(NONE)), F.array(one))))
+
+
+def contribution_ids(rows: DataFrame) -> Column:
+    """What a row counts for: its contributing ids and the ids that it resolves, blanks left out."""
+    return _clean(F.array_union(F.coalesce("contributing_source_record_ids", F.array().cast(NONE)), resolved_ids(rows)))
+
+
+def trusted_names(names: Column) -> Column:
+    """Entries of the authoritative names with an id and a name that are not blank, names trimmed."""
+    entries = F.map_entries(F.coalesce(names, F.create_map().cast("map<string,string>")))
+    kept = F.filter(entries, lambda e: (F.length(F.trim(e["key"])) > 0) & trim_to_null(e["value"]).isNotNull())
+    return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), trim_to_null(e["value"]).alias("value")))
+
+
 def consolidate_import(rows: DataFrame) -> DataFrame:
-    """rows (position, product_name, quantity, contributing_source_record_ids, authoritative_source_product_names, preview_item_ids, source_identity_review_required)
-    -> one row per group, then the rows that pass through (identity review, no key or no quantity): first_position, key, product_name, quantity, source_ids, names, item_ids, members, error, passed_through.
+    """rows (position, product_name, quantity, contributing_source_record_ids, authoritative_source_product_names, preview_item_ids, source_identity_review_required, and maybe resolved_source_record_ids, resolved_source_record_id)
+    -> one row per group, then the rows that pass through (identity review, no key or no quantity, or in error by themselves): first_position, key, product_name, quantity, source_ids, resolved_ids, names, item_ids, members, error, passed_through.
 
+    A row counts for its contributing and its resolved ids. Its trusted names must be of such ids, and have one canonical name, which goes before its own; else it is in error.
     A group's rows are walked in order: one whose ids are all counted already adds nothing, one that overlaps them in part, or that gives an id another name, is an
-    error of the group, any other is added. The authoritative name of a row's only id goes before its own.
+    error of the group, any other is added. Only groups in which a row of several ids shares one are walked; in all others ids are counted by aggregates that merge before their shuffle.
     """
-    ids = _clean(F.col("contributing_source_record_ids"))
-    names = F.coalesce("authoritative_source_product_names", F.create_map().cast("map<string,string>"))
-    own_name = F.when(F.size(F.array_distinct(F.transform(F.map_values(names), canonical_name))) == 1, F.get(F.map_values(names), F.lit(0)))
-    r = rows.withColumn("ids__", ids).withColumn("names__", names).withColumn("items__", _clean(F.col("preview_item_ids"))).withColumn("product_name", F.coalesce(own_name, F.col("product_name")))
+    names = trusted_names(F.col("authoritative_source_product_names"))
+    r = rows.withColumns({"ids__": contribution_ids(rows), "resolved__": resolved_ids(rows), "names__": names, "items__": _clean(F.col("preview_item_ids")), "quantity": F.col("quantity").cast("bigint")})
+    canonical = F.array_distinct(F.filter(F.transform("names__", lambda e: canonical_name(e["value"])), lambda x: x.isNotNull()))
+    foreign = F.size(F.array_except(F.transform("names__", lambda e: e["key"]), F.col("ids__"))) > 0
+    named = F.size("names__") > 0
+    r = r.withColumn("error__", F.when(named & foreign, "a trusted name is of no source row of this row").when(named & (F.size(canonical) != 1), "two trusted names in one row"))
+    r = r.withColumn("product_name", F.when(named & F.col("error__").isNull(), F.get("names__", F.lit(0))["value"]).otherwise(F.col("product_name")))
     r = r.withColumn("key", canonical_name(trim_to_null(F.col("product_name"))))
-    through = F.col("source_identity_review_required") | F.col("key").isNull() | F.col("quantity").isNull()
-    grouped = r.where(~through).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "product_name", F.col("quantity").cast("bigint").alias("quantity"), "ids__", F.map_entries("names__").alias("names__"), "items__"))).alias("rows"))
-    entry = "array<struct<key: string, value: string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("quantity"), F.array().cast("array<string>").alias("ids"), F.array().cast(entry).alias("names"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("error"))
+    through = F.col("source_identity_review_required") | F.col("key").isNull() | F.col("quantity").isNull() | F.col("error__").isNotNull()
+    good = r.where(~through).select("position", "key", "product_name", "quantity", "ids__", "resolved__", "names__", "items__")
+    several = good.where(F.size("ids__") > 1)
+    # ids that a row of several shares with another row of its group
+    with_several = several.select("key").distinct()
+    uses = good.join(with_several, "key", "left_semi").select("key", "position", F.size("ids__").alias("n"), F.explode("ids__").alias("id"))
+    walked = uses.groupBy("key", "id").agg(F.count("*").alias("rows"), F.max("n").alias("n")).where("rows > 1 AND n > 1").select("key").distinct()
+    out = _counted(good.join(walked, "key", "left_anti")).unionByName(_walked(good.join(walked, "key", "left_semi")))
+    out = out.withColumn("error", F.coalesce("error", F.when(F.col("quantity") > INT_MAX, "quantity beyond int"))).withColumn("passed_through", F.lit(False))
+    rest = r.where(through).select(F.col("position").alias("first_position"), "key", "product_name", "quantity", F.col("ids__").alias("source_ids"), F.col("resolved__").alias("resolved_ids"), F.col("names__").alias("names"), F.col("items__").alias("item_ids"), F.lit(1).cast("bigint").alias("members"), F.col("error__").alias("error"), F.lit(True).alias("passed_through"))
+    return out.unionByName(rest)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Groups in which rows of one id may repeat it, and rows of several share none: each id once, with the quantity of its first row."""
+    single = rows.where(F.size("ids__") == 1).groupBy("key", F.get("ids__", F.lit(0)).alias("id")).agg(F.min_by("quantity", "position").alias("quantity"))
+    total = single.select("key", "quantity").unionByName(rows.where(F.size("ids__") != 1).select("key", "quantity")).groupBy("key").agg(F.sum("quantity").alias("quantity"))
+    named = rows.select("key", "position", F.posexplode("names__").alias("at", "e")).groupBy("key", F.col("e.key").alias("id")).agg(F.min("e.value").alias("name"), (F.min("e.value") != F.max("e.value")).alias("two"), F.min(F.struct("position", "at")).alias("place"), F.min_by("e.value", F.struct("position", "at")).alias("first"))
+    names = named.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("key"), F.col("first").alias("value")))).alias("names"), F.bool_or("two").alias("two"))
+    lists = rows.groupBy("key").agg(F.min("position").alias("first_position"), F.min_by("product_name", "position").alias("product_name"), F.count("*").alias("members"), F.array_sort(F.collect_list(F.struct("position", "ids__", "resolved__", "items__"))).alias("lists"))
+    each = lambda c: F.array_distinct(F.flatten(F.transform("lists", lambda x: x[c])))
+    plain = F.transform("names", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    j = lists.join(total, "key").join(names, "key", "left")
+    return j.select("first_position", "key", "product_name", "quantity", each("ids__").alias("source_ids"), each("resolved__").alias("resolved_ids"), F.coalesce(plain, F.array().cast(ENTRY)).alias("names"), each("items__").alias("item_ids"), "members", F.when(F.col("two"), "a source row has two names").alias("error"))
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """Groups whose rows overlap: a fold over the group's rows in order."""
+    grouped = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "product_name", "quantity", "ids__", "resolved__", "names__", "items__"))).alias("rows"))
+    start = F.struct(F.lit(0).cast("bigint").alias("quantity"), F.array().cast(NONE).alias("ids"), F.array().cast(NONE).alias("resolved"), F.array().cast(ENTRY).alias("names"), F.array().cast(NONE).alias("items"), F.lit(None).cast("string").alias("error"))
 
     def step(acc: Column, x: Column) -> Column:
         how = contribution_overlap(acc["ids"], x["ids__"])
         clash = F.exists(x["names__"], lambda e: F.exists(acc["names"], lambda f: (f["key"] == e["key"]) & (f["value"] != e["value"])))
         error = F.coalesce(acc["error"], F.when(how == "overlapping", "a source row contributes twice"), F.when(clash, "a source row has two names"))
-        return F.struct((acc["quantity"] + F.when(how == "contained", 0).otherwise(x["quantity"])).alias("quantity"), F.array_union(acc["ids"], x["ids__"]).alias("ids"), F.array_union(acc["names"], x["names__"]).alias("names"), F.array_union(acc["items"], x["items__"]).alias("items"), error.alias("error"))
+        unite = lambda a, b: F.array_union(acc[a], x[b]).alias(a)
+        return F.struct((acc["quantity"] + F.when(how == "contained", 0).otherwise(x["quantity"])).alias("quantity"), unite("ids", "ids__"), unite("resolved", "resolved__"), unite("names", "names__"), unite("items", "items__"), error.alias("error"))
 
     folded = grouped.withColumn("f", F.aggregate("rows", start, step))
-    error = F.coalesce("f.error", F.when(F.col("f.quantity") > INT_MAX, "quantity beyond int"))
     first = F.get("rows", F.lit(0))
-    out = folded.select(first["position"].alias("first_position"), "key", first["product_name"].alias("product_name"), F.col("f.quantity").alias("quantity"), F.col("f.ids").alias("source_ids"), F.col("f.names").alias("names"), F.col("f.items").alias("item_ids"), F.size("rows").alias("members"), error.alias("error"), F.lit(False).alias("passed_through"))
-    rest = r.where(through).select(F.col("position").alias("first_position"), "key", "product_name", F.col("quantity").cast("bigint").alias("quantity"), F.col("ids__").alias("source_ids"), F.map_entries("names__").alias("names"), F.col("items__").alias("item_ids"), F.lit(1).alias("members"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("passed_through"))
-    return out.unionByName(rest)
+    return folded.select(first["position"].alias("first_position"), "key", first["product_name"].alias("product_name"), F.col("f.quantity").alias("quantity"), F.col("f.ids").alias("source_ids"), F.col("f.resolved").alias("resolved_ids"), F.col("f.names").alias("names"), F.col("f.items").alias("item_ids"), F.size("rows").cast("bigint").alias("members"), F.col("f.error").alias("error"))
 
 
 def validate_provenance(before: DataFrame, after: DataFrame) -> DataFrame:
     """source_id and problem for every trusted id (a key of authoritative names) that was lost, appeared, or is in more than one row after consolidation. Empty: provenance holds."""
-    trusted = before.select(F.explode(F.map_keys(F.coalesce("authoritative_source_product_names", F.create_map().cast("map<string,string>")))).alias("source_id")).distinct().withColumn("was", F.lit(True))
+    trusted = before.select(F.explode(F.transform(trusted_names(F.col("authoritative_source_product_names")), lambda e: e["key"])).alias("source_id")).distinct().withColumn("was", F.lit(True))
     now = after.select(F.explode(F.array_distinct("names.key")).alias("source_id")).groupBy("source_id").agg(F.count("*").alias("rows"))
     problem = F.when(F.col("rows").isNull(), "lost").when(F.col("was").isNull(), "unknown").when(F.col("rows") > 1, "counted more than once")
     return trusted.join(now, "source_id", "full").select("source_id", problem.alias("problem")).where("problem IS NOT NULL")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.functions.scalars import INT_MAX, match_fingerprint, trim_to_null
+from stockweave.functions.scalars import INT_MAX, canonical_name, trim_to_null
 
 from .consolidate import confirmed_row_errors
-from .matching import canonical_match, in_source
+from .matching import group_facts, no_match
 
 
 def decide(rows: DataFrame, products: DataFrame, source: str) -> DataFrame:
@@ -18,15 +18,16 @@ def decide(rows: DataFrame, products: DataFrame, source: str) -> DataFrame:
     A fingerprint that no longer fits is stale. One product in the source is the target, whatever was chosen if nothing else was.
     Else an explicit choice counts: an existing product among those of the source, or of all if the source has none, or a new one if the source has none; both need a fingerprint.
     """
-    m = canonical_match(confirmed_row_errors(rows), products)
-    live = match_fingerprint(F.col("key"), F.lit(source), F.col("candidates"))
-    own = in_source(F.col("candidates"), F.lit(source))
-    m = m.withColumn("own", own)
-    n_own, n_all = F.size("own"), F.size("candidates")
-    only = F.get("own", F.lit(0))["id"]
-    allowed = F.transform(F.when(n_own > 0, F.col("own")).otherwise(F.col("candidates")), lambda p: p["id"])
+    facts = group_facts(products, source).select("key__", "n_all", "n_own", F.col("own.id").alias("only"), "printed")
+    m = confirmed_row_errors(rows).withColumn("key", canonical_name(F.col("product_name"))).join(facts, F.col("key") == F.col("key__"), "left")
+    # the product chosen, if it is a match of the row; no list of matches goes with a row
+    picked = products.select(F.col("id").alias("picked__"), canonical_name(F.col("name")).alias("picked_key__"), F.col("source").alias("picked_source__"))
+    m = m.join(picked, (F.col("selected_product_id") == F.col("picked__")) & (F.col("key") == F.col("picked_key__")), "left")
+    n_own, n_all, only = F.coalesce("n_own", F.lit(0)), F.coalesce("n_all", F.lit(0)), F.col("only")
+    live = F.coalesce("printed", no_match(source))
+    allowed = F.col("picked__").isNotNull() & ((n_own == 0) | F.col("picked_source__").eqNullSafe(F.lit(source)))
     chosen = F.col("selected_product_id")
-    printed = F.length(F.trim(F.coalesce("match_fingerprint", F.lit("")))) > 0
+    previewed = F.length(F.trim(F.coalesce("match_fingerprint", F.lit("")))) > 0
     existing, new = F.col("resolution_type") == "EXISTING", F.col("resolution_type") == "NEW"
     picks = existing & chosen.isNotNull()
     problem = (
@@ -34,17 +35,17 @@ def decide(rows: DataFrame, products: DataFrame, source: str) -> DataFrame:
         .when(F.col("match_fingerprint").isNotNull() & (F.col("match_fingerprint") != live), "matches have changed")
         .when((n_own == 1) & chosen.isNotNull() & (chosen != only), "chosen product does not fit the source")
         .when(n_own == 1, None)
-        .when(picks & ~printed, "choice rests on no preview")
-        .when(picks & ~F.array_contains(allowed, chosen), "chosen product is not valid")
+        .when(picks & ~previewed, "choice rests on no preview")
+        .when(picks & ~allowed, "chosen product is not valid")
         .when(picks, None)
         .when(n_all == 0, None)
         .when(new & (n_own > 0), "source has the product already")
-        .when(new & ~printed, "choice rests on no preview")
+        .when(new & ~previewed, "choice rests on no preview")
         .when(new, None)
         .otherwise("match is open")
     )
     target = F.when(n_own == 1, only).when(picks, chosen)
-    return m.withColumn("error", problem).withColumn("target_id", F.when(problem.isNull(), target)).withColumn("decision", F.when(problem.isNull(), F.when(target.isNotNull(), "EXISTING").otherwise("NEW"))).drop("own", "candidates")
+    return m.withColumn("error", problem).withColumn("target_id", F.when(problem.isNull(), target)).withColumn("decision", F.when(problem.isNull(), F.when(target.isNotNull(), "EXISTING").otherwise("NEW"))).drop("key__", "n_all", "n_own", "only", "printed", "picked__", "picked_key__", "picked_source__")
 
 
 def confirm_import(decided: DataFrame, products: DataFrame) -> dict[str, DataFrame]:

@@ -6,6 +6,9 @@ prefix sums decide; independent movements are folded in order, as a rejected one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,20 +68,29 @@ def stock_after_batch(lines: DataFrame) -> DataFrame:
 def replay_movements_with_rejection(movements: DataFrame, stocks: DataFrame) -> DataFrame:
     """Independent movements (id, product_id, movement_type, quantity, ordered by created_at, id) -> id, product_id, accepted, stock_after.
 
-    Each product's history is one sorted array that a fold walks; an insufficient OUT leaves the stock as it is. A group is one product's history.
+    Rows are streamed by product and time with the running stock as the only state, so no history is gathered. An insufficient OUT leaves the stock as it is; movements of unknown products give no row.
     """
     s = stocks.select(F.col("id").alias("product_id"), F.col("quantity").cast("bigint").alias("start_stock"))
-    lines = movements.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", signed(F.col("movement_type"), F.col("quantity")).alias("change")))).alias("lines"))
-    state = F.struct(F.col("start_stock").alias("stock"), F.array().cast("array<struct<id: bigint, accepted: boolean, stock_after: bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        after = acc["stock"] + x["change"]
-        ok = after.between(0, INT_MAX)
-        stock = F.when(ok, after).otherwise(acc["stock"])
-        return F.struct(stock.alias("stock"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("accepted"), stock.alias("stock_after")))).alias("out"))
-
-    folded = lines.join(s, "product_id").select("product_id", F.aggregate("lines", state, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select("product_id", F.explode("out").alias("o")).select("product_id", "o.id", "o.accepted", "o.stock_after")
+    lines = movements.select("product_id", "created_at", "id", signed(F.col("movement_type"), F.col("quantity")).cast("bigint").alias("change")).join(s, "product_id")
+    ordered = lines.repartition("product_id").sortWithinPartitions("product_id", "created_at", "id").select("product_id", "id", "change", "start_stock")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    schema = f"product_id {kinds['product_id']}, id {kinds['id']}, accepted boolean, stock_after bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        product, stock = None, None
+        for batch in batches:
+            accepted, after = [], []
+            for p, change, start in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
+                if p != product:
+                    product, stock = p, start
+                new = None if stock is None or change is None else stock + change
+                ok = None if new is None else 0 <= new <= INT_MAX
+                stock = new if ok else stock
+                accepted.append(ok)
+                after.append(stock)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], names=["product_id", "id", "accepted", "stock_after"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def cancel_movement(requests: DataFrame, movements: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.functions.scalars import INT_MAX, canonical_name, historical_summary, match_fingerprint, trim_to_null
+from stockweave.functions.scalars import INT_MAX, canonical_name, historical_summary, match_fingerprint, name_uuid, trim_to_null
 
 # Conflict fields in order, the placeholder for blanks, states of a preview row.
 UNSTATED = "Belirtilmemiş"
@@ -28,6 +28,20 @@ def canonical_match(rows: DataFrame, products: DataFrame, name: str = "product_n
     return keyed.join(catalogue_groups(products), "key", "left").withColumn("candidates", F.coalesce("candidates", none))
 
 
+def group_facts(products: DataFrame, source: str) -> DataFrame:
+    """Per canonical name, computed once and not for every import row: candidates, n_all, n_own (of the source, null matching null), own (the one with the least id), printed (fingerprint), conflicts, conflict_message, summaries."""
+    g = catalogue_groups(products).withColumn("own__", in_source(F.col("candidates"), F.lit(source))).withColumn("conflicts", conflicts_of(F.col("candidates")))
+    return g.select(
+        F.col("key").alias("key__"), "candidates", F.size("candidates").alias("n_all"), F.size("own__").alias("n_own"), F.get("own__", F.lit(0)).alias("own"), match_fingerprint(F.col("key"), F.lit(source), F.col("candidates")).alias("printed"),
+        F.transform("conflicts", lambda x: x["field"]).alias("conflicts"), conflict_sentence(F.col("conflicts")).alias("conflict_message"), F.transform("candidates", lambda p: historical_summary(p["name"], p["source"], p["unit"], p["quantity"])).alias("summaries"),
+    )
+
+
+def no_match(source: str) -> Column:
+    """The fingerprint of a name that nothing in the catalogue has."""
+    return name_uuid(F.concat(F.coalesce("key", F.lit("null")), F.lit(f"|{source}|")))
+
+
 def in_source(candidates: Column, source: Column) -> Column:
     """Candidates of exactly the selected source, null matching null."""
     return F.filter(candidates, lambda p: p["source"].eqNullSafe(source))
@@ -79,18 +93,20 @@ def match_preview(rows: DataFrame, products: DataFrame, source: str) -> DataFram
     Rows without name or positive quantity are passed through unmatched. No match: new. One match in the source: existing, with its stock and
     the projected one. Otherwise a review with its reason; a review that the document asked for stays beside it.
     """
-    m = canonical_match(rows, products)
+    blank = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in products.select(*FIELDS).schema])
     eligible = trim_to_null(F.col("product_name")).isNotNull() & F.coalesce(F.col("quantity") >= 1, F.lit(False))
-    own = in_source(F.col("candidates"), F.lit(source))
-    m = m.withColumn("eligible", eligible).withColumn("own", own).withColumn("n_all", F.size("candidates")).withColumn("n_own", F.size("own"))
+    keyed = rows.withColumn("key", canonical_name(F.col("product_name"))).withColumn("eligible", eligible)
+    m = keyed.join(group_facts(products, source), F.col("key") == F.col("key__"), "left").withColumns({
+        "candidates": F.coalesce("candidates", F.filter(F.array(blank), lambda x: F.lit(False))), "n_all": F.coalesce("n_all", F.lit(0)), "n_own": F.coalesce("n_own", F.lit(0)), "printed": F.coalesce("printed", no_match(source)),
+        "conflicts": F.coalesce("conflicts", F.array().cast("array<string>")), "summaries": F.coalesce("summaries", F.array().cast("array<string>")),
+    })
     fresh, one = F.col("n_all") == 0, F.col("n_own") == 1
     state = F.when(~F.col("eligible"), None).when(fresh, "new").when(one, "existing").otherwise("review")
     m = m.withColumn("state", state)
-    target = F.when(F.col("state") == "existing", F.get("own", F.lit(0)))
+    target = F.when(F.col("state") == "existing", F.col("own"))
     none_own = F.concat(F.lit("Bu ürün adıyla mevcut kayıtlar bulundu ancak seçilen kaynak "), F.lit(source), F.lit(" ile eşleşen kayıt yok."))
     many_own = F.concat(F.lit("Seçilen kaynak "), F.lit(source), F.lit(" için "), F.col("n_own").cast("string"), F.lit(" mevcut kayıt bulundu; hedef kayıt seçilmelidir."))
     review = F.col("state") == "review"
-    conflicts = conflicts_of(F.col("candidates"))
     return m.withColumns({
         "match_status": F.when(F.col("state") == "new", STATUS["new"]).when(F.col("state") == "existing", STATUS["existing"]).when(review, STATUS["review"]),
         "resolution_type": F.when(F.col("state") == "new", "NEW").when(F.col("state") == "existing", "EXISTING"),
@@ -101,11 +117,10 @@ def match_preview(rows: DataFrame, products: DataFrame, source: str) -> DataFram
         "document_review_required": F.col("review_required"),
         "review_message": F.when(review, F.when(F.col("n_own") == 0, none_own).otherwise(many_own)).otherwise(F.col("review_message")),
         "review_required": F.col("review_required") | F.coalesce(review, F.lit(False)),
-        "match_fingerprint": F.when(F.col("eligible"), match_fingerprint(F.col("key"), F.lit(source), F.col("candidates"))),
-        "conflict_fields": F.transform(conflicts, lambda x: x["field"]),
-        "conflict_message": conflict_sentence(conflicts),
-        "matched_product_summaries": F.transform("candidates", lambda p: historical_summary(p["name"], p["source"], p["unit"], p["quantity"])),
-    }).drop("eligible", "own", "state", "n_all", "n_own")
+        "match_fingerprint": F.when(F.col("eligible"), F.col("printed")),
+        "conflict_fields": F.col("conflicts"),
+        "matched_product_summaries": F.col("summaries"),
+    }).drop("eligible", "own", "state", "n_all", "n_own", "printed", "conflicts", "summaries", "key__")
 
 
 def manual_resolution_options(candidates: Column, source: Column) -> Column:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from stockweave.operators import consolidate as K
@@ -40,6 +42,61 @@ def test_partial_overlap_is_an_error(spark):
     assert result(rows(spark, ("a", 3, ["x:1", "x:2"], None), ("a", 1, ["x:1"], None))) == [("a", 3, None)]
 
 
+FULL = ROW + ", resolved_source_record_ids array<string>, resolved_source_record_id string"
+
+
+def walk(data):
+    """The rules row by row: (position, name, quantity, ids, names, resolved, one) -> (name, quantity, ids, resolved, error) by first position."""
+    groups, through = {}, []
+    for i, name, q, ids, names, several, one in data:
+        resolved = list(dict.fromkeys([x for x in [*(several or []), one] if x is not None]))
+        own = list(dict.fromkeys(x for x in [*(ids or []), *resolved] if x and x.strip()))
+        trusted = {k: v.strip() for k, v in (names or {}).items() if k.strip() and v and v.strip()}
+        bad = "a trusted name is of no source row of this row" if set(trusted) - set(own) else "two trusted names in one row" if len({v.lower() for v in trusted.values()}) > 1 else None
+        if trusted and not bad:
+            name = next(iter(trusted.values()))
+        if bad or q is None or not name:
+            through.append((i, name, q, own, resolved, bad))
+            continue
+        g = groups.setdefault(name.lower(), [i, name, 0, [], [], {}, None])
+        if not (own and g[3] and set(own) <= set(g[3])):
+            if own and g[3] and set(own) & set(g[3]):
+                g[6] = g[6] or "a source row contributes twice"
+            g[2] += q
+        if any(g[5].get(k, v) != v for k, v in trusted.items()):
+            g[6] = g[6] or "a source row has two names"
+        for k, v in trusted.items():
+            g[5].setdefault(k, v)
+        g[3] += [x for x in own if x not in g[3]]
+        g[4] += [x for x in resolved if x not in g[4]]
+    return sorted([(g[0], g[1], g[2], g[3], g[4], g[6]) for g in groups.values()] + through)
+
+
+def test_consolidation_against_a_walk(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        data = []
+        for i in range(150):
+            pick = lambda k: [f"x:{rng.randint(1, 30)}" for _ in range(k)]
+            ids = pick(rng.choice([0, 1, 1, 1, 2])) + rng.choice([[], [], [" "]])
+            resolved = rng.choice([None, None, None, pick(1)])
+            name = rng.choice(["a", "b", "c", "d", "e"] + [f"n{i}"] * 5)
+            names = {ids[0]: rng.choice([name, name, " ", name + "2"])} if ids and ids[0].strip() and rng.random() < 0.3 else rng.choice([None, None, {"y:1": "z"}, {}]) if rng.random() < 0.1 else None
+            if ids and len(set(ids)) > 1 and all(x.strip() for x in ids) and rng.random() < 0.2:
+                names = dict(zip(ids, ["p", "q"]))
+            data.append((i, name, rng.choice([None, 1, 2, 3]) if rng.random() < 0.2 else rng.randint(1, 9), ids or None, names, resolved, rng.choice([None, None, None, f"x:{rng.randint(1, 30)}"])))
+        df = spark.createDataFrame([(i, n, q, ids, names, [f"i{i}"], False, several, one) for i, n, q, ids, names, several, one in data], FULL)
+        for part in (df, df.repartition(5)):
+            got = [(r.first_position, r.product_name, r.quantity, r.source_ids, r.resolved_ids, r.error) for r in K.consolidate_import(part).collect()]
+            assert sorted(got) == walk(data)
+
+
+def test_rows_that_resolve_one_gap_count_once(spark):
+    df = spark.createDataFrame([(0, "a", 5, None, None, None, False, ["g1"], None), (1, "a", 5, None, None, None, False, None, "g1"), (2, "a", 2, ["x:1"], None, None, False, None, None)], FULL)
+    r = K.consolidate_import(df).first()
+    assert (r.quantity, r.source_ids, r.resolved_ids, r.members) == (7, ["g1", "x:1"], ["g1"], 3)
+
+
 def test_order_of_input_partitions_does_not_matter(spark):
     data = [(f"n{i % 7}", i, [f"x:{i % 13}"], None) for i in range(60)]
     want = result(rows(spark, *data))
