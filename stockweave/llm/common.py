@@ -92,7 +92,7 @@ class KeySet:
         self.frame, self.keys = frame.select(F.col(name).alias("key")), None
         self.held = frame.count() * 8 <= BROADCAST_BYTES
         if self.held:
-            keys = np.sort(self.frame.toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
+            keys = np.sort(self.frame.toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
             self.keys = frame.sparkSession.sparkContext.broadcast(keys)
 
     def __getstate__(self) -> dict:
@@ -178,18 +178,18 @@ class _Powers:
         return cls.up, cls.down
 
 
-def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (part, ...) sorted by part -> the rows of one part at a time, without it."""
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows (part, ...) sorted by part -> each part with its rows, one part at a time."""
     part, held = None, []
     for batch in batches:
         for p, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if p != part and held:
-                yield held
+                yield part, held
                 held = []
             part = p
             held.append(tuple(row))
     if held:
-        yield held
+        yield part, held
 
 
 def text_chunks(texts: pa.Array, limit: int = 1 << 20):

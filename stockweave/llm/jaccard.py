@@ -124,7 +124,7 @@ def _shared_counts(dealt: DataFrame, n: int) -> DataFrame:
     """For each class how many of its n-grams some other class has: key, shared. A task holds one hash range at a time; counts are summed by tasks that own keys."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_part(batches):
+        for _, rows in by_part(batches):
             keys, lens, grams = _arrays(rows, 0, np.int64), _arrays(rows, 1, np.uint32).astype(np.int64), _arrays(rows, 2, np.uint32)
             _, first = np.unique(keys, return_index=True)
             once = np.zeros(len(keys), bool)
@@ -333,7 +333,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = _with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, ["doc_id"])
     grouped = rows.where("n__ > 0").groupBy(F.col("key_a__").alias("key_a"), F.col("key_b__").alias("key_b")).agg(F.min("doc_id").alias("rep"), F.max("n__").alias("n"), F.count("*").alias("rows"))
     classes = stage(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
-    ranges = max(4 * n, classes.count() // RANGE_CLASSES)
+    ranges = max(n, classes.count() // RANGE_CLASSES)
     able = _shared_counts(_dealt(docs, width, ranges), n)
     # one row of each class that may link gives its set; of two 64-bit keys that clash both classes are looked at
     wanted = stage(classes.join(able, "key_a").where(F.col("shared") * 100 >= F.col("n") * percent).select("class", "rep", F.col("key_a").alias("a__"), F.col("key_b").alias("b__")), "wanted")

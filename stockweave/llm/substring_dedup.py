@@ -4,9 +4,9 @@ A sentence is a stretch of words up to a mark that ends sentences, or a line's e
 span. So that a passage is found too where it begins and ends within sentences, or has no marks, further spans run between words
 that are the least by hash of some window of words, which a passage has in common wherever it stands.
 
-Spans are hashed. Each task sends a hash once for all that it gathered, with the smallest doc_id and whether it saw it again, to the owner of a range of hashes,
-so a span that very many documents share reaches its owner as a few entries. Owners give the hashes that occur more than once with the document of the first occurrence;
-a second pass finds all their other occurrences. What those cover is removed: sentences, or, of a sentence that a passage covers in part, the covered words.
+Spans are hashed. Of the occurrences that a task has gathered all but the first of a hash are repeats whatever others hold, so only the first goes on to the owner of
+a range of hashes: a span that very many documents share reaches its owner as a few entries. Owners decide among those. What repeats cover is merged for each document
+and removed: sentences, or, of a sentence that a passage covers in part, the covered words.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, KeySet, by_part, mix, partitions, short_batches, small_or_shuffled, stage, sums_between, text_chunks, unstage, word_spans
+from .common import BROADCAST_BYTES, by_part, mix, partitions, short_batches, stage, sums_between, text_chunks, word_spans
 
 #: Sentences of a span.
 SENTENCES = 3
 #: Windows of so many words choose the words between which further spans run, each of at least so many words: a common passage of 51 words holds one.
 WINDOW, CHOSEN_WORDS = 8, 28
-#: Spans that a task gathers before it deals them; documents of a range of hashes.
-GATHER, RANGE_ROWS = 2_000_000, 8000
+#: Spans that a task gathers before it deals them; documents to a range of hashes and to an owner of documents.
+GATHER, RANGE_ROWS = 1_000_000, 8000
 #: Order of rows without doc_id: after all others.
 LAST = 2**63 - 1
 
@@ -96,90 +96,133 @@ def _spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return r, a - np.searchsorted(of_word, r), b - a, sums_between(h, a, b)
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Batches (doc, text hash, text) -> doc, text hash, first word, number of words, hash of the spans of some rows."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for at, raw, offsets in text_chunks(batch.column(2)):
-            row, first, count, hashed = _spans(raw, offsets)
-            yield ids[at + row], texts[at + row], first, count, hashed
+def _first_and_others(doc: np.ndarray, text: np.ndarray, first: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of occurrences of spans (indexes of the first one of each hash, of those that repeat it). The first goes by doc, text and place; the same place of an identical row given again is neither."""
+    order = np.argsort(hashed, kind="stable")
+    g = hashed[order]
+    same = g[1:] == g[:-1]
+    shared = np.zeros(len(g), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    o = order[shared]  # few: only these are put in the order of documents and places
+    o = o[np.lexsort((first[o], text[o], doc[o], hashed[o]))]
+    head = np.r_[True, hashed[o[1:]] != hashed[o[:-1]]] if len(o) else np.zeros(0, bool)
+    lead = o[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(o) else o
+    again = (doc[o] != doc[lead]) | (text[o] != text[lead]) | (first[o] != first[lead])
+    return np.concatenate((order[~shared], o[head])), o[again]
+
+
+def _merged(doc: np.ndarray, text: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of words (doc, text, first, words), in any order -> those that overlap or touch in one text as one, by doc and text."""
+    if not len(doc):
+        return doc, text, first, words
+    order = np.lexsort((first, text, doc))
+    doc, text, a = doc[order], text[order], first[order].astype(np.int64)
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]
+    shift = np.cumsum(new) << 32  # so that ends of one text lie under the starts of the next
+    end = np.maximum.accumulate(a + words[order].astype(np.int64) + shift)
+    at = np.flatnonzero(np.r_[True, (a + shift)[1:] > end[:-1]])
+    last = np.r_[at[1:], len(a)] - 1
+    return doc[at], text[at], a[at], end[last] - shift[last] - a[at]
+
+
+_NAMES = ["part", "docs", "texts", "lens", "firsts", "words", "hashes"]
+_DEALT = "part int, docs binary, texts binary, lens binary, firsts binary, words binary, hashes binary"
+
+
+def _packed(part: np.ndarray, doc: np.ndarray, text: np.ndarray, first: np.ndarray, words: np.ndarray, hashed: np.ndarray | None) -> list[tuple]:
+    """A row for each part: doc and text once for a run of places in it."""
+    if not len(part):
+        return []
+    order = np.lexsort((text, doc, part))
+    part, doc, text = part[order], doc[order], text[order]
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    rows = []
+    for lo, hi in zip(edges, np.r_[edges[1:], len(part)], strict=True):
+        d, t, o = doc[lo:hi], text[lo:hi], order[lo:hi]
+        head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
+        lens = np.diff(np.r_[head, hi - lo]).astype(np.uint32)
+        rows.append((int(part[lo]), d[head].tobytes(), t[head].tobytes(), lens.tobytes(), first[o].astype(np.uint32).tobytes(), words[o].astype(np.uint32).tobytes(), b"" if hashed is None else hashed[o].tobytes()))
+    return rows
+
+
+def _unpacked(rows: list[tuple]) -> list[np.ndarray]:
+    doc, text, lens, first, words, hashed = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64)))
+    return [np.repeat(doc, lens), np.repeat(text, lens), first.astype(np.int64), words.astype(np.int64), hashed]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=_NAMES)
+
+
+def _owner(doc: np.ndarray, owners: int) -> np.ndarray:
+    """Parts under zero belong to owners of documents, all others are ranges of hashes."""
+    with np.errstate(over="ignore"):
+        return -1 - (mix(doc.view(np.uint64)) % np.uint64(owners)).astype(np.int32)
 
 
 def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
-    """Each task's spans by hash range, each hash once for all that the task gathered: part, docs and lens (runs of smallest doc_ids), hashes, again (1 where the task has further occurrences)."""
+    """Each task's spans, gathered: the first of each hash to its range of hashes, what all others cover to the owners of their documents."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, hashed = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((doc, hashed))
-        doc, hashed = doc[order], hashed[order]
-        at = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]])
-        again = np.diff(np.r_[at, len(hashed)]) > 1
-        doc, hashed = doc[at], hashed[at]
-        part = (((hashed >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int32)
-        order = np.lexsort((doc, part))
-        doc, hashed, again, part = doc[order], hashed[order], again[order], part[order]
-        edges = np.searchsorted(part, np.arange(ranges + 1))
-        rows = []
-        for p in np.unique(part):
-            lo, hi = edges[p], edges[p + 1]
-            d = doc[lo:hi]
-            head = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            rows.append((int(p), d[head].tobytes(), np.diff(np.r_[head, hi - lo]).astype(np.uint32).tobytes(), hashed[lo:hi].tobytes(), np.packbits(again[lo:hi]).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["part", "docs", "lens", "hashes", "again"])
+        doc, text, first, words, hashed = (np.concatenate(c) for c in zip(*held, strict=True))
+        lead, again = _first_and_others(doc, text, first, hashed)
+        part = (((hashed[lead] >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int32)
+        rows = _packed(part, doc[lead], text[lead], first[lead], words[lead], hashed[lead])
+        gone = _merged(doc[again], text[again], first[again], words[again])
+        yield _batch(rows + _packed(_owner(gone[0], ranges), *gone, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for doc, _, _, _, hashed in _each(batches):
-            held.append((doc, hashed))
-            n += len(doc)
-            if n >= GATHER:
-                yield from flush(held)
-                held, n = [], 0
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, raw, offsets in text_chunks(batch.column(2)):
+                row, first, words, hashed = _spans(raw, offsets)
+                held.append((ids[at + row], texts[at + row], first, words, hashed))
+                n += len(row)
+                if n >= GATHER:
+                    yield from flush(held)
+                    held, n = [], 0
         if n:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "part int, docs binary, lens binary, hashes binary, again binary")
+    return docs.mapInArrow(run, _DEALT)
 
 
-def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by range -> hash and smallest doc_id of those that occur more than once. One range is held at a time."""
-    for rows in by_part(batches):
-        hashed = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        doc = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint32)) for r in rows])
-        again = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(r[2]) // 8) for r in rows])
-        order = np.lexsort((doc, hashed))
-        doc, hashed, again = doc[order], hashed[order], again[order].astype(np.int64)
-        at = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]])
-        many = np.diff(np.r_[at, len(hashed)]) + np.add.reduceat(again, at) > 1
-        yield pa.record_batch([pa.array(hashed[at[many]].view(np.int64)), pa.array(doc[at[many]])], names=["hash", "lead"])
+def _decided(owners: int):
+    """One range of hashes at a time: what all but the first of each hash cover, to the owners of their documents; what is there already goes on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_part(batches):
+            if part < 0:
+                yield _batch([(part, *r) for r in rows])
+                continue
+            doc, text, first, words, hashed = _unpacked(rows)
+            _, again = _first_and_others(doc, text, first, hashed)
+            if len(again):
+                gone = _merged(doc[again], text[again], first[again], words[again])
+                yield _batch(_packed(_owner(gone[0], owners), *gone, None))
 
-def _occurrences(docs: DataFrame, wanted: KeySet) -> DataFrame:
-    """hash, doc, text_hash, first, words of all spans whose hash is wanted."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, text, first, count, hashed in _each(batches):
-            keep = wanted.has(hashed)
-            yield pa.record_batch([pa.array(hashed[keep].view(np.int64)), pa.array(doc[keep]), pa.array(text[keep]), pa.array(first[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32))], names=["hash", "doc", "text_hash", "first", "words"])
 
-    return docs.mapInArrow(run, "hash long, doc long, text_hash long, first int, words int")
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of one owner at a time: doc__, text__, cut__ (first word and end of each covered stretch, in turn)."""
+    for _, rows in by_part(batches):
+        doc, text, first, words = _merged(*_unpacked(rows)[:4])
+        head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+        offsets = pa.array((2 * np.r_[head, len(doc)]).astype(np.int32))
+        cut = pa.ListArray.from_arrays(offsets, pa.array(np.c_[first, first + words].reshape(-1).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(text[head]), cut], names=["doc__", "text__", "cut__"])
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc, hash, text) -> staged doc__, text__, cut__ (array of first, words): the spans of each document that repeat an earlier one."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    ranges = max(4 * n, docs.count() // RANGE_ROWS)
-    leads = stage(_dealt(docs, ranges).repartition(n, "part").sortWithinPartitions("part").mapInArrow(_leads, "hash long, lead long"), "leads")
-    found = stage(_occurrences(docs, KeySet(leads, "hash")).join(small_or_shuffled(leads, 16), "hash"), "found")
-    # in the document of the first occurrence its place stays, and so does the same place of an identical row given again
-    at_lead = found.where("doc = lead")
-    stays = at_lead.groupBy("hash").agg(F.min(F.struct("text_hash", "first")).alias("stays"), F.count("*").alias("n")).where("n > 1").select("hash", "stays")
-    within = at_lead.join(small_or_shuffled(stage(stays, "stays"), 24), "hash").where("struct(text_hash, first) <> stays")
-    gone = found.where("doc <> lead").select("doc", "text_hash", "first", "words").unionByName(within.select("doc", "text_hash", "first", "words"))
-    out = stage(gone.groupBy(F.col("doc").alias("doc__"), F.col("text_hash").alias("text__")).agg(F.collect_set(F.struct("first", "words")).alias("cut__")), "cuts")
-    unstage(leads, found)
-    return out
+    """docs (doc, hash, text) -> staged doc__, text__, cut__: what repeats cover of each document."""
+    n = partitions(docs.sparkSession)
+    ranges = max(n, docs.count() // RANGE_ROWS)
+    dealt = _dealt(docs, ranges).repartition(n, "part").sortWithinPartitions("part")
+    decided = dealt.mapInArrow(_decided(ranges), _DEALT).repartition(n, "part").sortWithinPartitions("part")
+    return stage(decided.mapInArrow(_cuts, "doc__ long, text__ long, cut__ array<int>"), "cuts")
 
 
 def _cleaned(names: list[str]):
@@ -202,8 +245,8 @@ def _cleaned(names: list[str]):
                         continue
                     first, sizes = int(heads[lo]), np.diff(heads[lo : hi + 1])
                     out = np.zeros(int(heads[hi]) - first, bool)
-                    for c in cut:
-                        out[c["first"] : c["first"] + c["words"]] = True
+                    for a, b in zip(cut[::2], cut[1::2], strict=True):
+                        out[a:b] = True
                     full = np.add.reduceat(out.astype(np.int64), heads[lo:hi] - first) == sizes
                     gone.append(int(full.sum()))
                     gone_words.append(int(out.sum()))
@@ -231,7 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     short_batches(docs.sparkSession)
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     cuts = _repeats(docs.select(doc.alias("doc"), text.alias("hash"), F.coalesce("text", F.lit("")).alias("text")))
-    bytes_ = cuts.agg(F.coalesce(F.sum(F.size("cut__") * 8 + 40), F.lit(0))).first()[0]
+    bytes_ = cuts.agg(F.coalesce(F.sum(F.size("cut__") * 4 + 40), F.lit(0))).first()[0]
     side = F.broadcast(cuts) if bytes_ <= BROADCAST_BYTES else cuts
     keyed = docs.withColumns({"doc_key__": doc, "text_key__": text})
     marked = keyed.join(side, (F.col("doc_key__") == F.col("doc__")) & (F.col("text_key__") == F.col("text__")), "left").select(*docs.columns, "cut__")
