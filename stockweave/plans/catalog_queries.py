@@ -8,7 +8,7 @@ from stockweave.functions import scalars as S
 from stockweave.operators import catalog as C
 from stockweave.operators import history as H
 
-from .registry import query, sql_canonical, sql_dash, sql_time
+from .registry import query, sql_canonical, sql_dash, sql_semantic, sql_time
 
 PRODUCT = "id, code, name, category_id, category, quantity, unit, min_stock_level, shelf_location, source"
 COLS = [c.strip() for c in PRODUCT.split(",")]
@@ -264,7 +264,7 @@ def historical_summary(v):
     return v("products").select("id", S.historical_summary(F.col("name"), F.col("source"), F.col("unit"), F.col("quantity")).alias("summary"))
 
 
-@query("semantic_key")
+@query("semantic_key", f"SELECT id, {sql_semantic('name')} AS key FROM {{products}}")
 def semantic_key(v):
-    """Unicode compatibility forms are beyond the SQL engine; tested against unicodedata."""
+    """Names of the catalogue are without Unicode compatibility forms; those are tested against unicodedata."""
     return v("products").select("id", S.semantic_key(F.col("name")).alias("key"))

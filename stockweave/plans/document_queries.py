@@ -8,7 +8,7 @@ from stockweave.functions import scalars as S
 from stockweave.operators import documents as D
 from stockweave.operators import reconcile as R
 
-from .registry import query, sql_alignment, sql_fold
+from .registry import query, sql_alignment, sql_fold, sql_trim
 
 HEADER_KEY = rf"trim(regexp_replace({sql_fold('coalesce(value, ' + chr(39) * 2 + ')')}, '\s+', ' ', 'g'))"
 EXACT3 = "'genel toplam', 'toplam adet', 'toplam miktar', 'stok miktari', 'quantity', 'grand total', 'overall total'"
@@ -71,13 +71,13 @@ def row_chunks(v):
 # ---- sheets ----
 
 SHEET_ROWS = r"""
-rows0 AS (SELECT document, sheet, row, list(coalesce(value, '') ORDER BY col) AS cells, string_agg(trim(value), ' | ' ORDER BY col) FILTER (WHERE trim(value) <> '') AS content, count(*) FILTER (WHERE trim(value) <> '') AS filled, arg_min(trim(value), col) FILTER (WHERE trim(value) <> '') AS first_cell FROM {sheet_cells} GROUP BY document, sheet, row),
-sheet_rows AS (SELECT document, sheet, row, cells, content, filled >= 2 AND regexp_matches(first_cell, '^\d+([.,]\d+)?$') AS numbered FROM rows0 WHERE filled > 0)"""
+rows0 AS MATERIALIZED (SELECT document, sheet, row, list(coalesce(value, '') ORDER BY col) AS cells, string_agg(trim(value), ' | ' ORDER BY col) FILTER (WHERE trim(value) <> '') AS content, count(*) FILTER (WHERE trim(value) <> '') AS filled, arg_min(trim(value), col) FILTER (WHERE trim(value) <> '') AS first_cell FROM {sheet_cells} GROUP BY document, sheet, row),
+sheet_rows AS MATERIALIZED (SELECT document, sheet, row, cells, content, filled >= 2 AND regexp_matches(first_cell, '^\d+([.,]\d+)?$') AS numbered FROM rows0 WHERE filled > 0)"""
 SCANNED = "scanned AS (SELECT * FROM (SELECT *, row_number() OVER w AS nth, count(*) FILTER (WHERE numbered) OVER w AS records FROM sheet_rows WINDOW w AS (PARTITION BY document, sheet ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) s WHERE nth <= 50 AND records = 0)"
 # sheets of this view have their header in row 1, so its context is that row
 HEADERS = f"""
 cells AS (SELECT document, sheet, row, unnest(range(0, len(cells))) AS col, unnest(cells) AS value FROM scanned),
-keyed AS (SELECT *, {HEADER_KEY} AS k FROM cells),
+keyed AS MATERIALIZED (SELECT *, {HEADER_KEY} AS k FROM cells),
 names AS (SELECT document, sheet, min((row, col)) AS n FROM keyed WHERE {NAMED} GROUP BY document, sheet),
 scores AS (SELECT document, sheet, arg_max(col, ({SCORE}, -row, col)) AS quantity_col, arg_max(row, ({SCORE}, -row, col)) AS quantity_row FROM keyed WHERE {SCORE} > 0 GROUP BY document, sheet),
 headers AS (SELECT n.document, n.sheet, n.n[2] AS name_col, s.quantity_col, greatest(n.n[1], s.quantity_row) AS header_row FROM names n JOIN scores s ON s.document = n.document AND s.sheet = n.sheet)"""
@@ -262,18 +262,42 @@ def quantity_anchor(v):
     return D.segment_records(v("page_lines")).select("document", "page", "ordinal", "quantity_anchor")
 
 
-@query("name_anchor")
+def _pattern(p: str) -> str:
+    return "(?i)" + p[p.index(")") + 1 :].replace("{1,4}", "@14@").replace("{1,9}", "@19@")
+
+
+NAMES = [
+    *SEGMENTS,
+    rf"heads AS (SELECT *, {sql_trim('first_line')} AS line FROM anchored)",
+    r"cores AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '^\s*\d@14@', ''), '^[\x00-\x20]+', ''), '^[.)\-:|;]\s*', '') AS rest FROM heads)",
+    rf"described AS (SELECT *, regexp_extract(rest, '(?is)^(.*?){_pattern(D.DESCRIPTION_START)[4:]}', 1) AS before, regexp_matches(rest, '{_pattern(D.DESCRIPTION_START)}') AS told FROM cores)",
+    rf"""named AS (SELECT *, CASE WHEN start_kind = 'EXPLICIT_LABEL' THEN CASE WHEN regexp_matches(line, '[:|]') THEN nullif({sql_trim("regexp_extract(line, '(?s)^[^:|]*[:|](.*)$', 1)")}, '') END
+  WHEN regexp_matches(line, '{MARK}.*\pL') THEN nullif({sql_trim("CASE WHEN contains(rest, '|') THEN split_part(rest, '|', 1) WHEN contains(rest, ' - ') THEN split_part(rest, ' - ', 1) WHEN told AND before <> '' THEN before END")}, '') END AS name_anchor FROM described)""".replace("{1,4}", "@14@"),
+]
+_NO_CODE = " OR ".join([*[f"{sql_fold('x')} = '{value}'" for value in D.NO_CODE_VALUES], *[f"contains({sql_fold('x')}, '{part}')" for part in D.NO_CODE_PARTS]])
+CODES = [
+    *NAMES,
+    rf"coded AS (SELECT *, list_filter(list_transform(regexp_extract_all(source_text, '(?im){D.CODE_LABEL.removeprefix('(?iu)(?m)')}', 1), lambda x: {sql_trim('x')}), lambda x: NOT ({_NO_CODE})) AS codes FROM named)",
+]
+
+
+@page_query("name_anchor", page_sql("SELECT document, page, ordinal, name_anchor FROM named", *NAMES))
 def name_anchor(v):
-    """Tested against a brute-force version."""
     return D.segment_records(v("page_lines")).select("document", "page", "ordinal", "name_anchor")
 
 
-@query("code_anchor")
+@page_query("code_anchor", page_sql("SELECT document, page, ordinal, codes[1] AS code_anchor, len(codes) = 0 AS code_absent FROM coded", *CODES))
 def code_anchor(v):
-    """Tested against a brute-force version."""
     return D.segment_records(v("page_lines")).select("document", "page", "ordinal", "code_anchor", "code_absent")
 
 
+@page_query("code_absent", page_sql("SELECT document, page, count(*) AS records, count(*) FILTER (WHERE len(codes) = 0) AS absent FROM coded GROUP BY document, page", *CODES))
+def code_absent(v):
+    """How many records of each page state no code."""
+    r = D.segment_records(v("page_lines"))
+    return r.groupBy("document", "page").agg(F.count("*").alias("records"), F.count_if(D.code_absent(F.col("source_text"))).alias("absent"))
+
+
 @page_query("page_confidence", page_sql("""SELECT p.document, p.page, CASE WHEN r.n IS NULL THEN CASE WHEN greatest(p.numbered, p.explicit) > 0 THEN 'APPROXIMATE' ELSE 'UNKNOWN' END WHEN r.evident AND (p.reliable >= 3 OR p.explicit >= 2) THEN 'RELIABLE' ELSE 'APPROXIMATE' END AS confidence,
   CAST(coalesce(r.n, greatest(p.numbered, p.explicit)) AS BIGINT) AS markers, coalesce(r.kinds > 1, false) AS mixed
 FROM (SELECT document, page, max(explicit_count) AS explicit, max(numbered_count) AS numbered, max(reliable_count) AS reliable FROM starts GROUP BY document, page) p
@@ -295,16 +319,32 @@ def extracted_of(v):
     return rec, out
 
 
-@query("suppress_invented_codes")
+@page_query("suppress_invented_codes", page_sql("SELECT document AS chunk_id, ordinal AS position, codes[1] AS product_code FROM coded", *CODES))
 def suppress_invented_codes(v):
-    """Tested by fixtures."""
     rec, out = extracted_of(v)
     chunks = rec.select("chunk_id").distinct().withColumn("code_absent", F.lit(True))
     return R.suppress_invented_codes(out, rec.select("chunk_id", "position", "code_anchor", "code_absent"), chunks)
 
 
-@query("align_pdf_records")
+def _fits(a: str, b: str) -> str:
+    return f"coalesce({a} = {b} OR (length({a}) >= 4 AND contains({b}, {a})) OR (length({b}) >= 4 AND contains({a}, {b})), false)"
+
+
+ALIGNED = [
+    *NAMES,
+    "answered AS (SELECT document, ordinal, record_id, name_anchor, quantity_anchor AS q, CASE WHEN ordinal % 4 = 0 THEN quantity_anchor + 1 ELSE quantity_anchor END AS quantity, CASE WHEN ordinal % 3 = 0 THEN CAST(record_id AS VARCHAR) || '. ' || name_anchor WHEN ordinal % 5 = 0 THEN 'Bambaşka' ELSE name_anchor END AS raw FROM named)",
+    rf"shorn AS (SELECT *, nullif({sql_trim('raw')}, '') AS whole, regexp_replace(nullif({sql_trim('raw')}, ''), '^\s*' || CAST(record_id AS VARCHAR) || '\s*[.)\-:]?\s+', '') AS cut FROM answered)",
+    f"spoken AS (SELECT *, CASE WHEN length(trim(cut)) > 0 THEN cut ELSE whole END AS name, {sql_alignment('name_anchor')} AS src FROM shorn)",
+    f"heard AS (SELECT *, {sql_alignment('name')} AS heard, coalesce(src, {sql_alignment('name')}) AS final FROM spoken)",
+    f"beside AS (SELECT h.document, h.ordinal, arg_min(r.record_id, r.ordinal) FILTER (WHERE {_fits('r.src', 'h.heard')}) AS other, bool_or(coalesce(r.q = h.quantity, false)) AS elsewhere FROM heard h JOIN heard r ON r.document = h.document AND r.ordinal <> h.ordinal GROUP BY h.document, h.ordinal)",
+    "led AS (SELECT *, first_value(src) OVER (PARTITION BY document, final ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS led_by FROM heard)",
+]
+
+
+@page_query("align_pdf_records", page_sql(f"""SELECT l.document AS chunk_id, l.ordinal AS position, coalesce(l.name_anchor, l.name) AS product_name,
+  CASE WHEN l.src IS NOT NULL AND NOT {_fits('l.src', 'l.heard')} THEN CASE WHEN b.other IS NOT NULL THEN 'fits record ' || CAST(b.other AS VARCHAR) ELSE 'name does not fit' END
+    WHEN coalesce(b.elsewhere, false) AND coalesce(l.q <> l.quantity, false) THEN 'quantity of another record' WHEN l.final IS NOT NULL AND coalesce(l.led_by <> l.src, false) THEN 'one name for two records' END AS error
+FROM led l LEFT JOIN beside b ON b.document = l.document AND b.ordinal = l.ordinal""", *ALIGNED))
 def align_pdf_records(v):
-    """Tested by fixtures."""
     rec, out = extracted_of(v)
     return R.align_records(out, rec)

@@ -10,7 +10,7 @@ from stockweave.operators import imports as I
 from stockweave.operators import matching as M
 from stockweave.operators import reconcile as R
 
-from .registry import query, sql_alignment, sql_canonical, sql_trim
+from .registry import query, sql_alignment, sql_canonical, sql_lower, sql_semantic, sql_trim
 
 Q = "'"
 
@@ -108,18 +108,40 @@ def suspects(v):
     return r.sparkSession.sql(f"SELECT position, document, {SUSPECT} AS product_name, CASE WHEN position % 7 = 0 THEN product_name WHEN position % 7 = 1 THEN 'Başka' END AS source_name, position % 7 = 0 AND position % 2 = 0 AS trusted_name FROM {{r}}", r=r)
 
 
-@query("name_suspicion")
+def _re2(pattern: str) -> str:
+    """A pattern of the domain as SQL text: the SQL engine knows no u flag, and its word boundary is ASCII."""
+    bare = pattern[pattern.index(")") + 1 :]
+    return "(?i)" + bare.replace(r"\b(?:", r"(?:^|[^\pL\pN_])(?:").replace(r")\b", r")(?:[^\pL\pN_]|$)").replace("'", "''")
+
+
+_TERMS = " + ".join(f"CASE WHEN contains(low, '{t}') THEN 1 ELSE 0 END" for t in S.TECHNICAL_TERMS)
+_RULES = [("m", "4", "mismatch"), ("lines", "2", "lines"), ("sentence", "3", "sentence"), ("terms >= 2", "2", "technical"), ("numbers >= 2", "4", "numbers"), ("dimension", "4", "dimension"), ("packaging", "4", "packaging"), ("full_sentence", "2", "full_sentence"), ("marks >= 3", "1", "punctuation")]
+SUSPICION = rf"""WITH suspect AS (SELECT position, document, {SUSPECT} AS product_name, CASE WHEN position % 7 = 0 THEN product_name WHEN position % 7 = 1 THEN 'Başka' END AS source_name, position % 7 = 0 AND position % 2 = 0 AS trusted_name FROM {{import_rows}}),
+cleaned AS (SELECT *, nullif({sql_trim('product_name')}, '') AS n, nullif({sql_trim('source_name')}, '') AS s FROM suspect),
+felt AS (SELECT *, {sql_lower('n')} AS low, coalesce({sql_semantic('n')} <> {sql_semantic('s')}, false) AS m, len(list_filter(regexp_split_to_array(n, '\r\n|\r|\n'), lambda x: length(trim(x)) > 0)) >= 2 AS lines, regexp_matches(n, '{_re2(S.SENTENCE_PHRASE)}') AS sentence,
+  len(regexp_extract_all(n, '{_re2(S.SPECIFICATION_NUMBER)}')) AS numbers, regexp_matches(n, '{_re2(S.DIMENSION_PHRASE)}') AS dimension, regexp_matches(n, '{_re2(S.PACKAGING_PHRASE)}') AS packaging, len(regexp_split_to_array(n, '\s+')) >= 12 AND regexp_matches(n, '[.!?]\s*$') AS full_sentence,
+  length(n) - length(translate(n, ',;:.()', '')) AS marks FROM cleaned),
+counted AS (SELECT *, {_TERMS} AS terms FROM felt),
+judged AS (SELECT *, CASE WHEN n IS NULL THEN 0 ELSE {' + '.join(f"CASE WHEN {test} THEN {points} ELSE 0 END" for test, points, _ in _RULES)} + CASE WHEN terms = 1 THEN 1 ELSE 0 END + CASE WHEN numbers = 1 THEN 1 ELSE 0 END END AS score,
+  CASE WHEN n IS NULL THEN '' ELSE array_to_string(list_filter([{', '.join(f"CASE WHEN {test} THEN '{S.SIGNALS[key]}' END" for test, _, key in _RULES)}], lambda x: x IS NOT NULL), '; ') END AS signals FROM counted),
+doubted AS (SELECT *, n IS NOT NULL AND (m OR score >= 4) AS suspicious FROM judged)"""
+MESSAGE = f"CASE WHEN contains(signals, '{S.SIGNALS['mismatch']}') THEN '{S.MISMATCH_MESSAGE}' ELSE '{S.TECHNICAL_MESSAGE}' END"
+
+
+@query("name_suspicion", f"{SUSPICION} SELECT position, suspicious, score, signals FROM doubted")
 def name_suspicion(v):
-    """Scores rest on regular expressions that the SQL engine reads otherwise; tested by fixtures."""
     return suspects(v).withColumn("s", S.name_suspicion(F.col("product_name"), F.col("source_name"), composed=True)).select("position", "s.suspicious", "s.score", F.array_join("s.signals", "; ").alias("signals"))
 
 
-@query("suspicion_message")
+@query("suspicion_message", f"{SUSPICION} SELECT position, {MESSAGE} AS message FROM doubted WHERE suspicious")
 def suspicion_message(v):
     return suspects(v).withColumn("s", S.name_suspicion(F.col("product_name"), F.col("source_name"), composed=True)).where("s.suspicious").select("position", S.suspicion_message(F.col("s.signals")).alias("message"))
 
 
-@query("name_review_outcome")
+@query("name_review_outcome", f"""{SUSPICION},
+decided AS (SELECT *, CASE WHEN trusted_name AND s IS NOT NULL AND length(s) <= 255 THEN 'SOURCE' WHEN trusted_name AND s IS NOT NULL THEN 'SOURCE_TOO_LONG' WHEN position % 3 = 0 THEN 'CONFIRMED' WHEN position % 3 = 1 AND NOT coalesce({sql_semantic('s')} <> 'düzad', false) THEN 'CORRECTED' WHEN position % 3 = 1 THEN 'BAD_CORRECTION' ELSE 'REVIEW' END AS outcome FROM doubted WHERE suspicious),
+told AS (SELECT *, CASE outcome WHEN 'SOURCE_TOO_LONG' THEN '{R.NAME_TOO_LONG}' WHEN 'BAD_CORRECTION' THEN '{R.BAD_CORRECTION}' WHEN 'REVIEW' THEN 'belirsiz' END AS review_message FROM decided)
+SELECT position AS row_id, CASE outcome WHEN 'SOURCE' THEN s WHEN 'CORRECTED' THEN 'Düz Ad' ELSE product_name END AS product_name, review_message IS NOT NULL AS review_required, review_message, outcome FROM told""")
 def name_review_outcome(v):
     r = suspects(v).withColumnRenamed("position", "row_id")
     d = r.select("row_id", F.when(F.col("row_id") % 3 == 0, "CONFIRMED").when(F.col("row_id") % 3 == 1, "CORRECTED").otherwise("REVIEW_REQUIRED").alias("status"), F.lit("Düz Ad").alias("product_name"), F.lit("belirsiz").alias("reason"))

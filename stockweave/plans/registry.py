@@ -42,6 +42,15 @@ def sql_canonical(x: str) -> str:
     return f"lower(replace(replace({collapsed}, 'I', 'ı'), 'İ', 'i'))"
 
 
+def sql_lower(x: str) -> str:
+    return f"lower(replace(replace({x}, 'I', 'ı'), 'İ', 'i'))"
+
+
+def sql_semantic(x: str) -> str:
+    """Letters and digits in lower case; the SQL engine has no compatibility forms, so x must be without such characters."""
+    return rf"regexp_replace({sql_lower(x)}, '[^\pL\pN]', '', 'g')"
+
+
 def sql_fold(x: str) -> str:
     return f"replace(lower(strip_accents({x})), 'ı', 'i')"
 

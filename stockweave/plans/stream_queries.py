@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from stockweave.functions.scalars import canonical_name
 from stockweave.sources.shared import new_folder
-from stockweave.sources.views import VIEWS, frame
+from stockweave.sources.views import VIEWS, duckdb_sql, frame
 from stockweave.streaming.ledger import ROCKSDB, stream_contribution_dedupe, stream_stock_ledger
 
-from .registry import QUERIES, query
+from .registry import ORACLES, QUERIES, query
 
 
 def _run(spark: SparkSession, stream: DataFrame, schema, mode: str, settings: dict[str, str] | None = None) -> DataFrame:
@@ -53,6 +53,14 @@ def stream_contribution_dedupe_query(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 QUERIES["stream_stock_ledger"] = stream_stock_ledger_query
+# one file is one micro-batch, in which events go by id
+ORACLES["stream_stock_ledger"] = duckdb_sql("""
+WITH RECURSIVE ordered AS (SELECT product_id, event_id, row_number() OVER (PARTITION BY product_id ORDER BY event_id) AS n, CASE WHEN movement_type = 'OUT' THEN -CAST(quantity AS BIGINT) ELSE quantity END AS change FROM {stream_events}),
+walk AS (
+  SELECT product_id, n, event_id, change >= 0 AS accepted, CASE WHEN change >= 0 THEN change ELSE 0 END AS stock FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.product_id, o.n, o.event_id, w.stock + o.change >= 0, CASE WHEN w.stock + o.change >= 0 THEN w.stock + o.change ELSE w.stock END FROM walk w JOIN ordered o ON o.product_id = w.product_id AND o.n = w.n + 1)
+SELECT event_id, product_id, accepted, CAST(stock AS BIGINT) AS stock FROM walk""")
 QUERIES["stream_contribution_dedupe"] = stream_contribution_dedupe_query
 
 

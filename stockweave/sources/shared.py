@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path for a new folder in the shared one, deleted when Python ends; where spark.checkpoint.dir is unset, as in tests, in a temporary folder."""
+    """A path for a new folder in the shared one, deleted when Python ends; where spark.checkpoint.dir is unset in a temporary folder if all runs on one machine, as in tests, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
