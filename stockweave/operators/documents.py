@@ -5,8 +5,10 @@ Inputs are (document, page or sheet, line or row, text or cell). Whatever is cal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,35 +166,50 @@ def normal_text(text: Column) -> Column:
 
 
 def cut_long_line(line: Column, most: int) -> Column:
-    """A line in pieces of at most `most` characters, cut at the last space within reach, white space after a cut skipped.
-
-    One fold over as many steps as pieces can be; state is the rest of the line and the pieces so far.
-    """
-
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        window = F.substring(rest, 1, most + 1)
-        space = most + 2 - F.instr(F.reverse(window), " ")
-        at = F.when(F.length(rest) <= most, F.length(rest)).when((F.instr(window, " ") > 0) & (space > 1), space - 1).otherwise(most)
-        piece = java_trim(F.substring(rest, F.lit(1), at))
-        after = F.regexp_replace(F.substring(rest, at + 1, F.length(rest)), r"^\s+", "")
-        done = F.length(rest) == 0
-        return F.struct(F.when(done, rest).otherwise(after).alias("rest"), F.when(done, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
-
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line)))  # a piece has one character at least; done steps change nothing
-    start = F.struct(line.alias("rest"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
-
-
-def pack(parts: Column, glue: str, most: int) -> Column:
-    """Consecutive strings joined by glue as long as they stay within `most`."""
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (F.length(acc["now"]) > 0) & (F.length(acc["now"]) + len(glue) + F.length(x) > most)
-        return F.struct(F.when(full, x).when(F.length(acc["now"]) > 0, F.concat(acc["now"], F.lit(glue), x)).otherwise(x).alias("now"), F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: F.filter(F.concat(acc["out"], F.array(acc["now"])), lambda s: F.length(s) > 0))
+    """A line in pieces of at most `most` characters, cut at the last space within reach, white space after a cut skipped."""
+    piece = rf"(?s)(.{{1,{most}}}(?= |\z)|.{{1,{most}}})\s*"
+    return F.transform(F.regexp_extract_all(line, F.lit(piece), F.lit(1)), java_trim)
+
+
+def pack(rows: DataFrame, keys: list[str], order: str, text: str, glue: str, most: int) -> DataFrame:
+    """Consecutive texts of each key joined by glue as long as they stay within `most` -> keys, k (from 0), content. Rows are streamed in order; a task holds one content."""
+    kinds = dict(rows.dtypes)
+    ordered = rows.select(*keys, order, text).repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, size, k, out = None, [], 0, 0, []
+
+        def close() -> None:
+            nonlocal k
+            if size:
+                out.append((*key, k, glue.join(now)))
+                k += 1
+
+        def batch_of() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [()] * (len(keys) + 2)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "k", "content"])
+
+        types = None
+        for batch in batches:
+            types = [*batch.schema.types[: len(keys)], pa.int32(), pa.string()]
+            for *own, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != key:
+                    close()
+                    key, now, size, k = own, [], 0, 0
+                if size and size + len(glue) + len(x) > most:
+                    close()
+                    now, size = [], 0
+                if not size:
+                    now.clear()  # an empty text before it adds nothing
+                size += len(glue) + len(x) if size else len(x)
+                now.append(x)
+            yield batch_of()
+            out.clear()
+        close()
+        if out:
+            yield batch_of()
+
+    return ordered.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, content string")
 
 
 def text_blocks(docs: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
@@ -204,9 +221,8 @@ def text_blocks(docs: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
     lines = p.where(F.length("paragraph") > most).select("document", "at", F.posexplode(F.split("paragraph", "\n")).alias("n", "line")).withColumn("long", F.length("line") > most)
     w = Window.partitionBy("document", "at").orderBy("n")
     lines = lines.withColumn("run", F.sum(F.when(F.col("long") | F.coalesce(F.lag("long").over(w), F.lit(False)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = lines.groupBy("document", "at", "run").agg(F.max("long").alias("long"), F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]).alias("lines"))
-    cut = runs.where("long").select("document", "at", "run", F.posexplode(cut_long_line(F.get("lines", F.lit(0)), most)).alias("k", "block"))
-    packed = runs.where("NOT long").select("document", "at", "run", F.posexplode(pack(F.col("lines"), "\n", most)).alias("k", "block"))
+    cut = lines.where("long").select("document", "at", "run", F.posexplode(cut_long_line(F.col("line"), most)).alias("k", "block"))
+    packed = pack(lines.where("NOT long"), ["document", "at", "run"], "n", "line", "\n", most).withColumnRenamed("content", "block")
     part = F.row_number().over(Window.partitionBy("document", "at").orderBy("run", "k")).cast("int")
     long = cut.unionByName(packed).select("document", "at", part.alias("part"), "block")
     position = F.row_number().over(Window.partitionBy("document").orderBy("at", "part"))
@@ -215,8 +231,7 @@ def text_blocks(docs: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
 
 def pack_blocks(blocks: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
     """blocks (document, position, block) -> document, chunk_index, content: consecutive blocks joined by blank lines while they fit."""
-    g = blocks.groupBy("document").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda s: s["block"]).alias("blocks"))
-    return g.select("document", F.posexplode(pack(F.col("blocks"), "\n\n", most)).alias("k", "content")).select("document", (F.col("k") + 1).alias("chunk_index"), "content")
+    return pack(blocks, ["document"], "position", "block", "\n\n", most).select("document", (F.col("k") + 1).alias("chunk_index"), "content")
 
 
 # ---- pages ----

@@ -1,4 +1,7 @@
+from datetime import datetime, timedelta
+
 from stockweave.plans import QUERIES
+from stockweave.streaming.ledger import stream_contribution_dedupe
 
 
 def test_stream_ledger_ends_like_the_fold(spark, sf_dir):
@@ -13,5 +16,28 @@ def test_stream_ledger_ends_like_the_fold(spark, sf_dir):
     assert {r.event_id: (r.accepted, r.stock) for r in got.collect()} == want
 
 
-def test_contributions_count_once(spark, sf_dir):
-    assert QUERIES["stream_contribution_dedupe"](spark, sf_dir).count() > 0
+def test_contributions_count_once(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    data = [(start + timedelta(seconds=k), f"xlsx:S:row:{k % 40}", f"p{k % 40 % 7}", 1 + k % 40) for k in range(200)]
+    spark.createDataFrame(data[:120], "ts timestamp, source_identity string, product_key string, quantity int").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    spark.createDataFrame(data[120:], "ts timestamp, source_identity string, product_key string, quantity int").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    rows = spark.readStream.schema("ts timestamp, source_identity string, product_key string, quantity int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    last = {}
+    query = stream_contribution_dedupe(rows).writeStream.foreachBatch(lambda batch, _: last.update({r.product_key: r.quantity for r in batch.collect()})).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = {}
+    for k in range(40):
+        want[f"p{k % 7}"] = want.get(f"p{k % 7}", 0) + 1 + k
+    assert last == want
+
+
+def test_contributions_of_the_given_events(spark, sf_dir):
+    got = {r.product_key: r.quantity for r in QUERIES["stream_contribution_dedupe"](spark, sf_dir).collect()}
+    choices = {}
+    for r in QUERIES["stream_events"](spark, sf_dir).collect():
+        choices.setdefault(r.event_id % 1000, []).append(r.quantity)
+    for n in range(50):
+        each = [v for k, v in choices.items() if k % 50 == n]
+        if each:
+            assert sum(map(min, each)) <= got[f"ürün {n}"] <= sum(map(max, each))
+    assert len(got) == len({k % 50 for k in choices})
