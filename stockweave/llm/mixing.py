@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHA
     of share * all sizes, at most `most` times its size; what is above goes to the others by weight.
     Sources in order of cap by weight: those are capped whose part, with all before them capped, reaches their cap;
     so every target is least(cap, weight * level), with the highest level found on the way.
-    The source table (a row per source, not per document) is ordered in one task.
+    The source table (a row per source, not per document) is ordered in one task: sources are few beside documents.
     """
     per = sizes.groupBy(source_key(F.col("source")).alias("source_key")).agg(F.sum("size").alias("source_size"))
     turn = (F.row_number().over(Window.orderBy(F.col("source_key") == "n", "source_key")) - 1) % len(weights)
@@ -53,10 +53,10 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, m
     """rows (doc_id, source, size long, ...) -> the same rows with source_size, target, taken: the words that the mix takes of each.
 
     The budget is the target rounded to whole words: every row gives its size once per whole epoch, and the rest
-    is cut from the rows in key order, the last of them in part. Keys are md5 of doc_id; rows of one doc_id follow
-    each other by size. Rows without words give none; an empty table gives no rows.
+    is cut from the rows in key order, the last of them in part. Keys are md5 of doc_id and size, so that rows without doc_id, or given one often, are spread;
+    rows alike in both give the same, whatever their order. Rows without words give none; an empty table gives no rows.
     """
-    keyed = rows.withColumn("source_key", source_key(F.col("source"))).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("key", 1, digits))
+    keyed = rows.withColumn("source_key", source_key(F.col("source"))).withColumn("key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))).withColumn("part", F.substring("key", 1, digits))
     sums = keyed.groupBy("source_key", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source_key", "part", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("part_start"))
@@ -64,7 +64,7 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, m
     plan = starts.join(targets(rows, weights, share, most), "source_key")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(0)
-    within = Window.partitionBy("source_key", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     cut = keyed.join(plan, ["source_key", "part"]).withColumn("epochs", epochs).withColumn("before", F.col("part_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("before")
     taken = F.col("epochs") * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))

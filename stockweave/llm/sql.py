@@ -48,7 +48,7 @@ levelled AS (
 targets AS (SELECT source_key, source_size, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target FROM levelled),
 ordered AS (
     SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS budget,
-        coalesce(sum(d.size) OVER (PARTITION BY d.source_key ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        coalesce(sum(d.size) OVER (PARTITION BY d.source_key ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(d.size AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
     FROM sized d JOIN targets t USING (source_key)
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,

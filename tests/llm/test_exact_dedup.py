@@ -113,4 +113,18 @@ def test_mixed_documents(spark, make_docs):
 def test_mixed_documents_with_odd_rows(spark, odd_docs):
     out = M.mixed_documents(odd_docs)
     assert out.columns == odd_docs.columns
-    assert sum(len((r.text or "").split()) for r in out.collect()) > 0
+    plan = {}
+    for r in M.mix_documents(odd_docs).collect():
+        plan[r.doc_id] = plan.get(r.doc_id, 0) + r.taken
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert got == {k: v for k, v in plan.items() if v}
+
+
+def test_rows_without_or_with_one_doc_id_are_spread(spark, make_docs):
+    docs = make_docs(["w " * k for k in range(200)], ids=[None] * 100 + [7] * 100)
+    out = M.mix_documents(docs).collect()
+    assert len(out) == 200 and all(0 <= r.taken <= 2 * r.size for r in out)
+    targets = {(r.source_size, r.target) for r in out}
+    assert abs(sum(r.taken for r in out) - sum(t for _, t in targets)) <= 0.5 * len(targets)
