@@ -99,17 +99,21 @@ def detect_header(rows: DataFrame) -> DataFrame:
     The name column is the first that reads like one. The quantity column has the best score, ties to the first row and there to the last column. With both, the header ends at the
     later of the two rows and its context is the last 5 rows up to there. Else it is up to 5 rows before the first numbered record among the first 5 rows, else the first 3 rows, without trust.
     """
-    cells = header_scan_limit(rows).select("document", "sheet", "row", F.posexplode("cells").alias("col", "value")).withColumn("key", header_key(F.col("value")))
-    score = quantity_header_score(F.col("key"))
-    scored = cells.withColumn("score", score).withColumn("named", is_name_header(F.col("key")))
-    found = scored.groupBy("document", "sheet").agg(
-        F.min(F.when(F.col("named"), F.struct("row", "col"))).alias("n"), F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("row")).alias("row"), "col"))).alias("q")
-    ).select("document", "sheet", F.col("n.row").alias("name_row"), F.col("n.col").alias("name_col"), (-F.col("q.row")).alias("quantity_row"), F.col("q.col").alias("quantity_col"))
-    w = Window.partitionBy("document", "sheet").orderBy("row")
-    ranked = rows.withColumn("nth", F.row_number().over(w)).join(found, ["document", "sheet"], "left").withColumn("header_row", F.greatest("name_row", "quantity_row"))
+    # every window is over a sheet: one shuffle serves all of them
+    w = Window.partitionBy("document", "sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    sheet = Window.partitionBy("document", "sheet")
+    seen = rows.withColumn("nth", F.count("*").over(w)).withColumn("scanned", (F.col("nth") <= HEADER_SCAN_ROWS) & (F.count_if("numbered").over(w) == 0))
+    keys = F.transform("cells", header_key)
+    named = F.array_min(F.array_compact(F.transform("keys", lambda k, i: F.when(is_name_header(k), i))))
+    best = F.array_max(F.array_compact(F.transform("keys", lambda k, i: F.when(quantity_header_score(k) > 0, F.struct(quantity_header_score(k).alias("score"), i.alias("col"))))))
+    read = seen.withColumn("keys", F.when(F.col("scanned"), keys)).withColumn("named", named).withColumn("best", best)
+    n = F.min(F.when(F.col("named").isNotNull(), F.struct("row", F.col("named").alias("col")))).over(sheet)
+    q = F.max(F.when(F.col("best").isNotNull(), F.struct(F.col("best.score").alias("score"), (-F.col("row")).alias("row"), F.col("best.col").alias("col")))).over(sheet)
+    found = read.withColumn("n", n).withColumn("q", q).select(*rows.columns, "nth", F.col("n.row").alias("name_row"), F.col("n.col").alias("name_col"), (-F.col("q.row")).alias("quantity_row"), F.col("q.col").alias("quantity_col"))
+    ranked = found.withColumn("header_row", F.greatest("name_row", "quantity_row"))
     both = F.col("name_row").isNotNull() & F.col("quantity_row").isNotNull()
-    ranked = ranked.withColumn("header_row", F.when(both, F.col("header_row"))).withColumn("header_nth", F.max(F.when(F.col("row") <= F.col("header_row"), F.col("nth"))).over(Window.partitionBy("document", "sheet")))
-    first_number = F.min(F.when(F.col("numbered") & (F.col("nth") <= HEADER_CONTEXT_ROWS), F.col("nth"))).over(Window.partitionBy("document", "sheet"))
+    ranked = ranked.withColumn("header_row", F.when(both, F.col("header_row"))).withColumn("header_nth", F.max(F.when(F.col("row") <= F.col("header_row"), F.col("nth"))).over(sheet))
+    first_number = F.min(F.when(F.col("numbered") & (F.col("nth") <= HEADER_CONTEXT_ROWS), F.col("nth"))).over(sheet)
     ranked = ranked.withColumn("first_number", first_number)
     used = F.when(F.col("header_row").isNotNull(), (F.col("row") <= F.col("header_row")) & (F.col("nth") > F.col("header_nth") - HEADER_CONTEXT_ROWS)).when(F.col("first_number").isNotNull(), F.col("nth") < F.col("first_number")).otherwise(F.col("nth") <= FALLBACK_HEADER_ROWS)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(used, F.struct("row", "content")))), lambda s: s["content"]), "\n")
@@ -269,9 +273,10 @@ def record_starts(lines: DataFrame) -> DataFrame:
     """Lines with number, explicit, start_kind (null: no start) and the page's counts: explicit_count, reliable_count, numbered_count."""
     keys = ["document", "page"]
     marked = numbered_lines(lines).withColumn("explicit", F.col("text").rlike(EXPLICIT_START))
-    runs = consecutive_runs(marked.where("number IS NOT NULL"), keys, "number").select(*keys, "number", F.lit(True).alias("reliable"))
-    j = marked.join(runs, [*keys, "number"], "left")
-    page = Window.partitionBy(*keys)
+    # distinct consecutive numbers keep their distance to their rank: a run is as long as its numbers reach; all windows are over a page, on one shuffle
+    ranked = marked.withColumn("run__", F.col("number") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("number")))
+    run, page = Window.partitionBy(*keys, "run__"), Window.partitionBy(*keys)
+    j = ranked.withColumn("reliable", F.coalesce(F.max("number").over(run) - F.min("number").over(run) + 1 >= LEAST_RUN, F.lit(False))).drop("run__")
     j = j.withColumn("explicit_count", F.count_if("explicit").over(page)).withColumn("numbered_count", F.count("number").over(page)).withColumn("reliable_count", F.size(F.collect_set(F.when(F.col("reliable"), F.col("number"))).over(page)))
     strong = (F.col("explicit_count") >= 2) & F.col("text").rlike(STRONG_MIXED_START)
     kind = F.when(F.col("explicit"), "EXPLICIT_LABEL").when(F.col("number").isNotNull() & (F.coalesce("reliable", F.lit(False)) | strong), "NUMBERED")
