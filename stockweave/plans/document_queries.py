@@ -135,15 +135,41 @@ def render_chunk_fragment(v):
 # ---- text blocks ----
 
 
-@query("text_blocks")
+def _walk(name: str, source: str, keys: str, glue: int, most: int) -> str:
+    """Greedy packing of source (keys, i from 1, size) by length alone: keys, i, k, and filled, the length so far; what is empty before a text adds nothing."""
+    ks = keys.split(", ")
+    on = " AND ".join(f"o.{k} = w.{k}" for k in ks)
+    own = ", ".join(f"o.{k}" for k in ks)
+    full = f"w.filled > 0 AND w.filled + {glue} + o.size > {most}"
+    return f"""{name} AS (SELECT {keys}, i, size AS filled, 0 AS k FROM {source} WHERE i = 1
+  UNION ALL SELECT {own}, o.i, CASE WHEN w.filled > 0 AND NOT ({full}) THEN w.filled + {glue} + o.size ELSE o.size END, CASE WHEN {full} THEN w.k + 1 ELSE w.k END FROM {name} w JOIN {source} o ON {on} AND o.i = w.i + 1)"""
+
+
+BLOCKS = "WITH RECURSIVE " + ", ".join([
+    f"""paragraphs AS (SELECT document, unnest(range(len(ps))) AS para, unnest(ps) AS paragraph FROM (SELECT doc_id AS document, list_filter(list_transform(regexp_split_to_array({sql_trim("regexp_replace(text, '\\r\\n|\\r', chr(10), 'g')")}, '\\n\\s*\\n+'), lambda x: {sql_trim('x')}), lambda x: length(x) > 0) AS ps FROM {{documents}}) d)""",
+    "text_lines AS (SELECT document, para, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM (SELECT document, para, string_split(paragraph, chr(10)) AS ls FROM paragraphs WHERE length(paragraph) > 600) p)",
+    "flagged AS (SELECT *, length(line) > 600 AS long, coalesce(lag(length(line) > 600) OVER (PARTITION BY document, para ORDER BY n), false) AS after_long FROM text_lines)",
+    "placed_lines AS (SELECT *, sum(CASE WHEN long OR after_long THEN 1 ELSE 0 END) OVER (PARTITION BY document, para ORDER BY n) AS run FROM flagged)",
+    f"""pieces AS (SELECT document, para, run, unnest(range(len(ps))) AS k, unnest(ps) AS block FROM (SELECT document, para, run, list_transform(regexp_extract_all(line, '(?s)(.{{1,600}}(?: |$)|.{{1,600}})\\s*', 1), lambda x: {sql_trim('x')}) AS ps FROM placed_lines WHERE long) c)""",
+    "short_lines AS (SELECT document, para, run, line, length(line) AS size, row_number() OVER (PARTITION BY document, para, run ORDER BY n) AS i FROM placed_lines WHERE NOT long)",
+    _walk("line_walk", "short_lines", "document, para, run", 1, 600),
+    "packed_lines AS (SELECT l.document, l.para, l.run, w.k, string_agg(l.line, chr(10) ORDER BY l.i) AS block FROM short_lines l JOIN line_walk w ON w.document = l.document AND w.para = l.para AND w.run = l.run AND w.i = l.i WHERE w.filled > 0 GROUP BY l.document, l.para, l.run, w.k)",
+    "every_block AS (SELECT document, para, 0 AS run, 0 AS k, paragraph AS block FROM paragraphs WHERE length(paragraph) <= 600 UNION ALL SELECT document, para, run, k, block FROM pieces UNION ALL SELECT document, para, run, k, block FROM packed_lines)",
+    "blocks AS (SELECT document, row_number() OVER (PARTITION BY document ORDER BY para, run, k) AS position, block FROM every_block)",
+])
+CHUNKS = ", ".join([
+    "sized AS (SELECT document, block, length(block) AS size, row_number() OVER (PARTITION BY document ORDER BY position) AS i FROM blocks)",
+    _walk("block_walk", "sized", "document", 2, 2000),
+])
+
+
+@query("text_blocks", f"{BLOCKS} SELECT document, position, block FROM blocks")
 def text_blocks(v):
-    """A fold over lines and cuts; tested against a brute-force version."""
     return D.text_blocks(v("documents").select(F.col("doc_id").alias("document"), "text"), 600)
 
 
-@query("pack_blocks")
+@query("pack_blocks", f"{BLOCKS}, {CHUNKS} SELECT b.document, w.k + 1 AS chunk_index, string_agg(b.block, chr(10) || chr(10) ORDER BY b.i) AS content FROM sized b JOIN block_walk w ON w.document = b.document AND w.i = b.i WHERE w.filled > 0 GROUP BY b.document, w.k")
 def pack_blocks(v):
-    """A fold over blocks; tested against a brute-force version."""
     return D.pack_blocks(D.text_blocks(v("documents").select(F.col("doc_id").alias("document"), "text"), 600), 2000)
 
 
