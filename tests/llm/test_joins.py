@@ -154,6 +154,24 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert all(some[i] <= deg[i] for i in deg)
 
 
+def test_embeddings_without_or_with_one_id(spark):
+    v, near, far = [1.0, 0.0, 0.2], [1.0, 0.01, 0.2], [0.0, 1.0, 0.0]
+    rows = [(1, v, 0), (1, v, 0), (None, v, 0), (2, near, 0), (None, far, 0), (3, far, 1)]
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), bits=4, tables=64).collect()
+    got = sorted(map(tuple, out), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (None, 3, 1, False), (2, 3, 1, False), (None, 0, None, True), (3, 0, 3, True)], key=str)
+
+
+def test_most_pairs_are_found(spark):
+    rows = vectors(random.Random(3), 400, 32)
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    links = int(((x @ x.T >= 0.93) & (label[:, None] == label[None, :])).sum()) - len(rows)
+    found = sum(r.n_links for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert 0.99 * links <= found <= links
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

@@ -273,6 +273,41 @@ def test_copies_within_one_owner(spark, make_docs):
     assert all([s.kind for s in got[k].added] == [3] for k in range(15, 27))
 
 
+def test_owner_spans_against_brute_force(spark, make_docs):
+    rng = random.Random(13)
+    pool = ["".join(rng.choice("abcdefgHIJKLM0123456789+/") for _ in range(rng.randint(18, 30))) for _ in range(25)] + ["a" * 30, "1" * 25, "deadbeef" * 4]
+    texts, owners, langs = [], [], []
+    for _ in range(150):
+        parts = [rng.choice([rng.choice(pool), f"token={rng.choice(pool)}", rng.choice(SECRETS), "é"]) if rng.random() < 0.4 else words(rng, 1) for _ in range(12)]
+        texts.append(" ".join(parts))
+        owners.append(rng.choice(["a", "a", "b", None]))
+        langs.append(rng.choice(["x", "y"]))
+    docs = make_docs(texts, sources=owners).join(spark.createDataFrame(list(enumerate(langs)), "doc_id bigint, l string"), "doc_id").withColumn("lang", F.col("l"))
+    found = []
+    for t in texts:
+        base = brute_spans(t)
+        values = [(s, e, re.match(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(.*)""", t[s:e], re.DOTALL)[1] if k == 0 else t[s:e], False) for s, k, e in base]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            v, n = m[0], len(m[0])
+            bits = -sum(v.count(c) / n * np.log2(v.count(c) / n) for c in set(v))
+            if not any(s < m.end() and m.start() < e for s, _, e in base) and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and bits >= 3.5:
+                values.append((m.start(), m.end(), v, True))
+        found.append(values)
+    where = {}
+    for i, values in enumerate(found):
+        for _, _, v, _ in values:
+            o, r, x = where.setdefault(v, (set(), set(), set()))
+            o.add(owners[i])
+            r.add((owners[i], f"{owners[i]}/{langs[i]}"))
+            x.add(texts[i])
+    copied = {v for v, (o, r, x) in where.items() if len(o) >= 2 or len(r) >= 3 or len(x) >= 10}
+    assert 0 < len(copied) < len(where)
+    got = {r.doc_id: r for r in X.find_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    for i, values in enumerate(found):
+        assert sorted((s.start, s.stop) for s in got[i].added) == sorted((s, e) for s, e, v, own in values if own and v not in copied)
+        assert got[i].n_copied == sum(not own and v in copied for *_, v, own in values) and got[i].n_live == sum(not own and v not in copied for *_, v, own in values)
+
+
 def test_span_digest(spark, make_docs):
     docs = make_docs(["é token=abcdef deadbeefdeadbeefdeadbeef"])
     r = X.find_secrets(docs, F.col("source"), F.col("lang")).select(X.spans_text(F.col("base")).alias("s")).first()
