@@ -1,6 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
-A sentence is a stretch of words up to a mark that ends sentences, or a line's end. Every run of SENTENCES consecutive sentences is a
+A sentence is a stretch of words up to a mark that ends sentences, or a line's end; after fewer than SENTENCE_WORDS words a mark ends none: it is one
+of an abbreviation, a number or a scrap, which goes with the sentence that follows. Every run of SENTENCES consecutive sentences is a
 span. So that a passage is found too where it begins and ends within sentences, or has no marks, further spans run between words
 that are the least by hash of some window of words, which a passage has in common wherever it stands.
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, by_part, mix, partitions, short_batches, stage, sums_between, text_chunks, word_spans
 
-#: Sentences of a span.
-SENTENCES = 3
+#: Sentences of a span; words that a mark must follow to end one.
+SENTENCES, SENTENCE_WORDS = 3, 6
 #: Windows of so many words choose the words between which further spans run, each of at least so many words: a common passage of 51 words holds one.
 WINDOW, CHOSEN_WORDS = 8, 28
 #: Spans that a task gathers before it deals them; documents to a range of hashes and to an owner of documents.
@@ -60,6 +61,10 @@ def _sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     heads = np.cumsum(counts) - counts
     begins[heads[counts > 0]] = True
     at = np.flatnonzero(begins)
+    whole = np.r_[True, np.diff(at) >= SENTENCE_WORDS]
+    begins[at[~whole]] = False
+    begins[heads[counts > 0]] = True
+    at = np.flatnonzero(begins)
     return h, starts, at, np.searchsorted(at, np.r_[heads, n])
 
 

@@ -186,7 +186,7 @@ def sentences(text):
         if not out or re.search(r"[.!?…。！？।؟][\"')\]}»”’]?$", out[-1][0]) or "\n" in text[out[-1].end() : m.start()]:
             starts.append(len(out))
         out.append(m)
-    return out, starts
+    return out, [k for i, k in enumerate(starts) if i == 0 or k - starts[i - 1] >= S.SENTENCE_WORDS]
 
 
 def spans(text):
@@ -242,7 +242,7 @@ def test_substrings_against_brute_force(spark, make_docs):
         if rng.random() < 0.6:
             t += rng.choice([" ", "\n"]) + rng.choice(passages) + " " + prose(rng, rng.randint(0, 5))
         texts.append(t)
-    texts += [texts[0], None, "", "  ", passages[0] + "\n" + passages[0], "Yes. No. Maybe so.", "Aa bb. Yes. No. Maybe so. Cc dd."]
+    texts += [texts[0], None, "", "  ", passages[0] + "\n" + passages[0], "Yes. No. Maybe so.", "Aa bb. Yes. No. Maybe so. Cc dd."] + [f"{words(rng, 3)}. One two three four five six. Seven eight nine ten eleven twelve. A b. C d e f g h i. {words(rng, 9)}" for _ in range(2)]
     got = {r.doc_id: (r.n_sentences__, r.n_removed__, r.words_removed__, r.text) for r in S.remove_repeats(make_docs(texts)).collect()}
     assert got == brute_removed(list(enumerate(texts)))
 
@@ -271,7 +271,7 @@ def test_passages_without_marks_or_cut_within_sentences(spark, make_docs):
         assert 54 <= got[i].words_removed__ <= 70 and len(got[i].text.split()) == 240 - got[i].words_removed__
         assert got[i].text.split()[:90] == texts[i].split()[:90] and got[i].text.split()[-80:] == texts[i].split()[-80:]
     assert all(whole not in got[i].text and got[i].n_removed__ >= 1 and got[i].words_removed__ >= 37 for i in (4, 5))
-    assert got[7].n_removed__ >= 57
+    assert got[7].words_removed__ >= 52
 
 
 def test_substrings_odd_rows(spark, odd_docs, make_docs):
