@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.functions.scalars import INT_MAX, canonical_name, structural_errors, trim_to_null
+from stockweave.sources.shared import stage
 
 #: Minutes that a preview lives.
 PREVIEW_MINUTES = 30
@@ -75,8 +76,9 @@ def consolidate_import(rows: DataFrame) -> DataFrame:
     r = r.withColumn("error__", F.when(named & foreign, "a trusted name is of no source row of this row").when(named & (F.size(canonical) != 1), "two trusted names in one row"))
     r = r.withColumn("product_name", F.when(named & F.col("error__").isNull(), F.get("names__", F.lit(0))["value"]).otherwise(F.col("product_name")))
     r = r.withColumn("key", canonical_name(trim_to_null(F.col("product_name"))))
-    through = F.col("source_identity_review_required") | F.col("key").isNull() | F.col("quantity").isNull() | F.col("error__").isNotNull()
-    good = r.where(~through).select("position", "key", "product_name", "quantity", "ids__", "resolved__", "names__", "items__")
+    through = F.coalesce("source_identity_review_required", F.lit(False)) | F.col("key").isNull() | F.col("quantity").isNull() | F.col("error__").isNotNull()
+    r = stage(r.select("position", "key", "product_name", "quantity", "ids__", "resolved__", "names__", "items__", "error__", through.alias("through__")), "consolidate")
+    good = r.where("NOT through__").drop("through__", "error__")
     several = good.where(F.size("ids__") > 1)
     # ids that a row of several shares with another row of its group
     with_several = several.select("key").distinct()
@@ -84,7 +86,7 @@ def consolidate_import(rows: DataFrame) -> DataFrame:
     walked = uses.groupBy("key", "id").agg(F.count("*").alias("rows"), F.max("n").alias("n")).where("rows > 1 AND n > 1").select("key").distinct()
     out = _counted(good.join(walked, "key", "left_anti")).unionByName(_walked(good.join(walked, "key", "left_semi")))
     out = out.withColumn("error", F.coalesce("error", F.when(F.col("quantity") > INT_MAX, "quantity beyond int"))).withColumn("passed_through", F.lit(False))
-    rest = r.where(through).select(F.col("position").alias("first_position"), "key", "product_name", "quantity", F.col("ids__").alias("source_ids"), F.col("resolved__").alias("resolved_ids"), F.col("names__").alias("names"), F.col("items__").alias("item_ids"), F.lit(1).cast("bigint").alias("members"), F.col("error__").alias("error"), F.lit(True).alias("passed_through"))
+    rest = r.where("through__").select(F.col("position").alias("first_position"), "key", "product_name", "quantity", F.col("ids__").alias("source_ids"), F.col("resolved__").alias("resolved_ids"), F.col("names__").alias("names"), F.col("items__").alias("item_ids"), F.lit(1).cast("bigint").alias("members"), F.col("error__").alias("error"), F.lit(True).alias("passed_through"))
     return out.unionByName(rest)
 
 
