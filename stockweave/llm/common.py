@@ -192,7 +192,7 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield part, held
 
 
-def text_chunks(texts: pa.Array, limit: int = 1 << 20):
+def text_chunks(texts: pa.Array, limit: int = 1 << 19):
     """Yields (first row, byte array, row offsets) for runs of rows of about `limit` bytes; a null row is empty, a longer row stands alone."""
     texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
