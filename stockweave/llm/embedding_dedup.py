@@ -10,6 +10,7 @@ A pair counts in the first table in which it meets, so link counts need no list
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -173,17 +174,34 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
     names = ["code", "i", "j", "table", "rep", "block"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n = [], 0
-        for group in _grouped(batches, [*names, "signs"]):
-            if len(group["rep"]) > 1:
-                keep = _meets(group, _signs(group["signs"], width, tables), most)
-                out.append([group[c][keep] for c in names])
-                n += int(keep.sum())
-            if n > 50_000:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-                out, n = [], 0
-        if n:
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+        held, last = None, None  # columns and signs of the last group so far, which may go on in the next batch
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    break
+                now, signs = held, last
+            else:
+                now, signs = [batch.column(k).to_numpy() for k in range(len(names))], _signs(batch.column(len(names)).to_numpy(zero_copy_only=False), width, tables)
+                if held is not None:
+                    now, signs = [np.concatenate(c) for c in zip(held, now, strict=True)], np.concatenate((last, signs))
+            if not len(signs):
+                continue
+            starts = np.flatnonzero(np.r_[True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])])
+            ends = np.r_[starts[1:], len(signs)]
+            if batch is not None:
+                held, last = [c[starts[-1] :].copy() for c in now], signs[starts[-1] :].copy()
+                starts, ends = starts[:-1], ends[:-1]
+            keep = np.zeros(len(signs), bool)
+            # most groups are two members: all of them at once
+            two = starts[ends - starts == 2]
+            differ = signs[two] ^ signs[two + 1]
+            before = np.arange(tables)[None, :] < now[3][two][:, None]
+            meets = (np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most) & ~((differ == 0) & before).any(axis=1) & ((now[1][two] == now[2][two]) | (now[5][two] != now[5][two + 1]))
+            keep[two[meets]] = keep[two[meets] + 1] = True
+            for lo, hi in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+                keep[lo:hi] = _meets({c: v[lo:hi] for c, v in zip(names, now, strict=True)}, signs[lo:hi], most)
+            if keep.any():
+                yield pa.record_batch([pa.array(c[keep]) for c in now], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, [*names, "n", "vec", "signs"]):
