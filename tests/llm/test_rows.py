@@ -275,7 +275,7 @@ def test_copies_within_one_owner(spark, make_docs):
 
 def test_owner_spans_against_brute_force(spark, make_docs):
     rng = random.Random(13)
-    pool = ["".join(rng.choice("abcdefgHIJKLM0123456789+/") for _ in range(rng.randint(18, 30))) for _ in range(25)] + ["a" * 30, "1" * 25, "deadbeef" * 4]
+    pool = ["".join(rng.choice("abcdefgHIJKLM0123456789+/") for _ in range(rng.randint(18, 30))) for _ in range(300)] + ["a" * 30, "1" * 25, "deadbeef" * 4]
     texts, owners, langs = [], [], []
     for _ in range(150):
         parts = [rng.choice([rng.choice(pool), f"token={rng.choice(pool)}", rng.choice(SECRETS), "é"]) if rng.random() < 0.4 else words(rng, 1) for _ in range(12)]
