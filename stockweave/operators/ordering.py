@@ -1,7 +1,7 @@
-"""Global row numbers without a single-task window.
+"""Numbers and running values in a stated order, over a whole table or within keys, without a single-task window.
 
-Rows are dealt to range partitions of the sort key and counted per partition; a row's number is the count of the partitions before it
-plus its place in its own. Ties need a total order in the keys.
+Rows are dealt to range partitions of the sort key, slices, and each slice is summed up; a row's value is what the slices before it give
+plus what the rows before it in its own slice give. Ties need a total order in the keys.
 """
 
 from __future__ import annotations
@@ -12,6 +12,14 @@ from pyspark.sql.window import Window
 
 from stockweave.sources.shared import stage
 
+#: What a running value may be: how two stretches' values become one, and the value of an empty stretch.
+_JOINED = {
+    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "bit_xor": lambda a, b: F.coalesce(a, F.lit(0)).bitwiseXOR(F.coalesce(b, F.lit(0))),
+    "min": lambda a, b: F.least(a, b),
+    "max": lambda a, b: F.greatest(a, b),
+}
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "row_no", partitions: int | None = None) -> DataFrame:
     """df with 1-based numbers in the given order. The dealt rows are staged with their partition: bounds of ranges are sampled, and a second run could draw others."""
@@ -22,3 +30,32 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_no", partition
     starts = counts.select("slice__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("start__"))
     within = Window.partitionBy("slice__").orderBy(*order)
     return dealt.join(F.broadcast(starts), "slice__").withColumn(name, (F.col("start__") + F.row_number().over(within)).cast("bigint")).drop("slice__", "start__")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, tuple[str, Column]], partitions: int | None = None) -> DataFrame:
+    """df with a running value per name, over the rows of its key up to and with this one: values are name -> (sum, bit_xor, min or max; column).
+
+    A key of very many rows lies in several slices, and each of them is a window of its own. What earlier slices give is known for keys that lie in
+    more than one, of which there are fewer than slices: that side is bounded and broadcast. Null keys are a key; nulls add nothing to a sum.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ins = {f"{name}__in": c for name, (_, c) in values.items()}
+    dealt = stage(df.withColumns(ins).repartitionByRange(n, *keys, *order).withColumn("slice__", F.spark_partition_id()), "ordered")
+    total = lambda name: getattr(F, values[name][0])(f"{name}__in")
+    slices = dealt.groupBy(*keys, "slice__").agg(*[total(name).alias(name) for name in values])
+    several = slices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slice__", *values))).alias("all__")).where(F.size("all__") > 1)
+    ahead = Window.partitionBy(*keys).orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1)
+    starts = several.select(*keys, F.explode("all__").alias("one__")).select(*keys, "one__.*")
+    starts = starts.select(*[F.col(k).alias(f"{k}__key") for k in keys], F.col("slice__").alias("at__"), *[getattr(F, values[name][0])(name).over(ahead).alias(f"{name}__start") for name in values])
+    same = F.col("slice__") == F.col("at__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__key"))
+    within = Window.partitionBy(*keys, "slice__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(F.broadcast(starts), same, "left")
+    out = met.withColumns({f"{name}__own": total(name).over(within) for name in values})
+    return out.select(*df.columns, *[_JOINED[kind](F.col(f"{name}__start"), F.col(f"{name}__own")).alias(name) for name, (kind, _) in values.items()])
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "row_no", partitions: int | None = None) -> DataFrame:
+    """df with 1-based numbers (bigint) within each key in the given order."""
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, partitions)
