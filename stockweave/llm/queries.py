@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, embedding_dedup, exact_dedup, html_text, jaccard, mixing, packing, secret_scan, substring_dedup, toxicity
+from . import chat_tree, embedding_dedup, exact_dedup, html_text, jaccard, mixing, packing, secret_scan, substring_dedup, syncmers, toxicity
 from .common import table
 from .sql import ORACLES
 
@@ -68,6 +68,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_chat_tree,
         op10_exact_dedup,
+        op11_document_fingerprints,
     )
 }
 
