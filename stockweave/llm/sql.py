@@ -101,10 +101,44 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM norm
 """
 
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda r, x: list_reduce(list_prepend(xor(r, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+OP13 = f"""
+WITH numbered AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+per AS (SELECT conv_id, count(*) AS own FROM numbered GROUP BY conv_id),
+convs AS (
+    SELECT p.conv_id, h, least(h, coalesce(b.own, 0)) AS taken, least(h, coalesce(b.own, 0)) + greatest(p.own - h, 0) AS n_turns, base
+    FROM (SELECT conv_id, own, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM per) p LEFT JOIN per b ON b.conv_id = p.base
+),
+turns AS (
+    SELECT c.conv_id, i AS depth, role, text FROM convs c JOIN numbered n ON n.conv_id = c.base WHERE i <= taken
+    UNION ALL SELECT conv_id, taken + i - h, role, text FROM convs JOIN numbered USING (conv_id) WHERE i > h
+),
+paths AS (
+    SELECT conv_id, depth, length(text) AS chars, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM turns
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+),
+nodes AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM paths GROUP BY key),
+children AS (SELECT key[1 : 32 * (depth - 1)] AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (key)),
+sums AS (
+    SELECT p.key, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.chars) AS saved
+    FROM whole u JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.key
+),
+ends AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM paths JOIN convs USING (conv_id) WHERE depth = n_turns GROUP BY key)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM whole w JOIN sums s USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes p ON w.depth > 0 AND p.key = w.key[1 : 32 * (w.depth - 1)]
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": OP1,
     "op3_source_mixing": OP3,
     "op4_ngram_jaccard_join": OP4,
     "op9_chat_tree": OP9,
     "op10_exact_dedup": OP10,
+    "op13_prefix_trie": OP13,
 }
