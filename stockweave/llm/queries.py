@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, embedding_dedup, exact_dedup, html_text, jaccard, mixing, packing, prefix_trie, secret_scan, substring_dedup, syncmers, toxicity
+from . import chat_tree, embedding_dedup, exact_dedup, html_text, jaccard, lexical_search, mixing, packing, prefix_trie, secret_scan, substring_dedup, syncmers, toxicity
 from .common import table
 from .sql import ORACLES
 
@@ -72,6 +72,10 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_tree,
         op10_exact_dedup,
         op11_document_fingerprints,
+        op12_ranked_search,
         op13_prefix_trie,
     )
 }

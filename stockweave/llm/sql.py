@@ -101,6 +101,30 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM norm
 """
 
+OP12 = r"""
+WITH held AS (
+    SELECT * FROM (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+        FROM documents
+    ) WHERE len(t) > 0
+),
+facts AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS all_terms FROM held),
+items AS (
+    SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+),
+asked AS (SELECT k, term, count(*) AS repeats FROM (SELECT k, unnest(t) AS term FROM items) GROUP BY ALL),
+postings AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM held) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, facts GROUP BY term),
+scores AS (
+    SELECT k, r, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(h.t) * docs) // all_terms)))) AS BIGINT) AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN held h USING (r), facts
+    GROUP BY k, r
+),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores JOIN held USING (r) JOIN items USING (k) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
     lambda r, x: list_reduce(list_prepend(xor(r, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
 
@@ -140,5 +164,6 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": OP4,
     "op9_chat_tree": OP9,
     "op10_exact_dedup": OP10,
+    "op12_ranked_search": OP12,
     "op13_prefix_trie": OP13,
 }
