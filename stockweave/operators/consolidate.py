@@ -60,14 +60,12 @@ def trusted_names(names: Column) -> Column:
     return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), trim_to_null(e["value"]).alias("value")))
 
 
-def consolidate_import(rows: DataFrame) -> DataFrame:
-    """rows (position, product_name, quantity, contributing_source_record_ids, authoritative_source_product_names, preview_item_ids, source_identity_review_required, and maybe resolved_source_record_ids, resolved_source_record_id)
-    -> one row per group, then the rows that pass through (identity review, no key or no quantity, or in error by themselves): first_position, key, product_name, quantity, source_ids, resolved_ids, names, item_ids, members, error, passed_through.
+#: What a row of members says of its group: an id that it counts for, one that it resolves, an item of a preview, an id with its trusted name.
+KINDS = ("source", "resolved", "item", "name")
 
-    A row counts for its contributing and its resolved ids. Its trusted names must be of such ids, and have one canonical name, which goes before its own; else it is in error.
-    A group's rows are walked in order: one whose ids are all counted already adds nothing, one that overlaps them in part, or that gives an id another name, is an
-    error of the group, any other is added. Only groups in which a row of several ids shares one are walked; in all others ids are counted by aggregates that merge before their shuffle.
-    """
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Staged import rows with ids, trusted names, key and own errors, and at__: their order, by position; rows of one position by name and quantity."""
     names = trusted_names(F.col("authoritative_source_product_names"))
     r = rows.withColumns({"ids__": contribution_ids(rows), "resolved__": resolved_ids(rows), "names__": names, "items__": _clean(F.col("preview_item_ids")), "quantity": F.col("quantity").cast("bigint")})
     canonical = F.array_distinct(F.filter(F.transform("names__", lambda e: canonical_name(e["value"])), lambda x: x.isNotNull()))
@@ -77,60 +75,92 @@ def consolidate_import(rows: DataFrame) -> DataFrame:
     r = r.withColumn("product_name", F.when(named & F.col("error__").isNull(), F.get("names__", F.lit(0))["value"]).otherwise(F.col("product_name")))
     r = r.withColumn("key", canonical_name(trim_to_null(F.col("product_name"))))
     through = F.coalesce("source_identity_review_required", F.lit(False)) | F.col("key").isNull() | F.col("quantity").isNull() | F.col("error__").isNotNull()
-    r = stage(r.select("position", "key", "product_name", "quantity", "ids__", "resolved__", "names__", "items__", "error__", through.alias("through__")), "consolidate")
-    good = r.where("NOT through__").drop("through__", "error__")
-    several = good.where(F.size("ids__") > 1)
-    # ids that a row of several shares with another row of its group
-    with_several = several.select("key").distinct()
-    uses = good.join(with_several, "key", "left_semi").select("key", "position", F.size("ids__").alias("n"), F.explode("ids__").alias("id"))
-    walked = uses.groupBy("key", "id").agg(F.count("*").alias("rows"), F.max("n").alias("n")).where("rows > 1 AND n > 1").select("key").distinct()
-    out = _counted(good.join(walked, "key", "left_anti")).unionByName(_walked(good.join(walked, "key", "left_semi")))
-    out = out.withColumn("error", F.coalesce("error", F.when(F.col("quantity") > INT_MAX, "quantity beyond int"))).withColumn("passed_through", F.lit(False))
-    rest = r.where("through__").select(F.col("position").alias("first_position"), "key", "product_name", "quantity", F.col("ids__").alias("source_ids"), F.col("resolved__").alias("resolved_ids"), F.col("names__").alias("names"), F.col("items__").alias("item_ids"), F.lit(1).cast("bigint").alias("members"), F.col("error__").alias("error"), F.lit(True).alias("passed_through"))
-    return out.unionByName(rest)
+    at = F.struct("position", "product_name", "quantity", F.monotonically_increasing_id().alias("row"))
+    return stage(r.select("position", "key", "product_name", "quantity", "ids__", "resolved__", "names__", "items__", "error__", through.alias("through__"), at.alias("at__")), "consolidate")
+
+
+def consolidate_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows as for consolidate_import -> (groups, members); no list is built, so a group may have any number of rows.
+
+    groups: first_position, key, product_name, quantity, sources (distinct ids), members, error, passed_through. members: first_position, kind (one of KINDS), id, value (a trusted name), position and place
+    of its first occurrence: each once per group.
+    """
+    groups, members, _ = _groups(_prepared(rows))
+    return groups, members
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Groups in which rows of one id may repeat it, and rows of several share none: each id once, with the quantity of its first row."""
-    single = rows.where(F.size("ids__") == 1).groupBy("key", F.get("ids__", F.lit(0)).alias("id")).agg(F.min_by("quantity", "position").alias("quantity"))
-    total = single.select("key", "quantity").unionByName(rows.where(F.size("ids__") != 1).select("key", "quantity")).groupBy("key").agg(F.sum("quantity").alias("quantity"))
-    named = rows.select("key", "position", F.posexplode("names__").alias("at", "e")).groupBy("key", F.col("e.key").alias("id")).agg(F.min("e.value").alias("name"), (F.min("e.value") != F.max("e.value")).alias("two"), F.min(F.struct("position", "at")).alias("place"), F.min_by("e.value", F.struct("position", "at")).alias("first"))
-    names = named.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("key"), F.col("first").alias("value")))).alias("names"), F.bool_or("two").alias("two"))
-    lists = rows.groupBy("key").agg(F.min("position").alias("first_position"), F.min_by("product_name", "position").alias("product_name"), F.count("*").alias("members"), F.array_sort(F.collect_list(F.struct("position", "ids__", "resolved__", "items__"))).alias("lists"))
-    each = lambda c: F.array_distinct(F.flatten(F.transform("lists", lambda x: x[c])))
-    plain = F.transform("names", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    j = lists.join(total, "key").join(names, "key", "left")
-    return j.select("first_position", "key", "product_name", "quantity", each("ids__").alias("source_ids"), each("resolved__").alias("resolved_ids"), F.coalesce(plain, F.array().cast(ENTRY)).alias("names"), each("items__").alias("item_ids"), "members", F.when(F.col("two"), "a source row has two names").alias("error"))
+def _groups(r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, members, members of the groups alone by key).
 
+    A row is decided by where its ids first occur in its group: before it all of them (contained: it adds nothing), some (an error of the group) or none. A contained row brings no new id
+    and every other brings all of its own, so the first occurrences are least positions, whatever was decided about the rows between: an aggregate that merges before its shuffle.
+    """
+    good = r.where("NOT through__")
+    entry = lambda kind, ids: F.transform(ids, lambda x, k: F.struct(F.lit(kind).alias("kind"), x.alias("id"), F.lit(None).cast("string").alias("value"), k.alias("place")))
+    trusted = F.transform("names__", lambda e, k: F.struct(F.lit("name").alias("kind"), e["key"].alias("id"), e["value"].alias("value"), k.alias("place")))
+    entries = F.concat(entry("source", F.col("ids__")), entry("resolved", F.col("resolved__")), entry("item", F.col("items__")), trusted)
+    given = good.select("key", "at__", F.explode(entries).alias("e")).select("key", "at__", "e.*")
+    first = stage(given.groupBy("key", "kind", "id").agg(F.min(F.struct("at__", "place")).alias("first"), F.min_by("value", F.struct("at__", "place")).alias("value"), F.count("*").alias("n")), "members")
+    # rows that hold an id which an earlier row has; only ids of several rows are joined back
+    again = first.where("kind = 'source' AND n > 1").select("key", "id", "first.at__")
+    uses = good.select("key", "at__", F.explode("ids__").alias("id"))
+    late = uses.join(again.withColumnRenamed("at__", "first_at"), ["key", "id"]).where("first_at < at__").groupBy("key", "at__").agg(F.count("*").alias("earlier"))
+    decided = good.join(late, ["key", "at__"], "left").withColumn("earlier", F.coalesce("earlier", F.lit(0)))
+    contained = (F.col("earlier") > 0) & (F.col("earlier") == F.size("ids__"))
+    overlapping = (F.col("earlier") > 0) & (F.col("earlier") < F.size("ids__"))
+    g = decided.groupBy("key").agg(F.min("at__").alias("first_at"), F.sum(F.when(contained, 0).otherwise(F.col("quantity"))).alias("quantity"), F.count("*").alias("members"), F.min(F.when(overlapping, F.col("at__"))).alias("overlap_at"))
+    # the first row that gives an id another name than the id's first row
+    other = given.where("kind = 'name'").groupBy("key", "id", "value").agg(F.min("at__").alias("at__"))
+    names = first.where("kind = 'name' AND n > 1").select("key", "id", F.col("value").alias("first_value"))
+    clash = other.join(names, ["key", "id"]).where("value <> first_value").groupBy("key").agg(F.min("at__").alias("clash_at"))
+    counts = first.where("kind = 'source'").groupBy("key").agg(F.count("*").alias("sources"))
+    j = g.join(counts, "key", "left").join(clash, "key", "left")
+    twice = F.when(F.col("overlap_at").isNotNull() & (F.col("clash_at").isNull() | (F.col("overlap_at") <= F.col("clash_at"))), "a source row contributes twice")
+    error = F.coalesce(twice, F.when(F.col("clash_at").isNotNull(), "a source row has two names"), F.when(F.col("quantity") > INT_MAX, "quantity beyond int"))
+    groups = j.select("first_at.position", "key", "first_at.product_name", "quantity", F.coalesce("sources", F.lit(0)).alias("sources"), "members", error.alias("error"), F.lit(False).alias("passed_through")).withColumnRenamed("position", "first_position")
+    rest = r.where("through__")
+    alone = rest.select(F.col("position").alias("first_position"), "key", "product_name", "quantity", F.size("ids__").cast("bigint").alias("sources"), F.lit(1).cast("bigint").alias("members"), F.col("error__").alias("error"), F.lit(True).alias("passed_through"))
+    own = first.select("key", "kind", "id", "value", "first.at__", "first.place")
+    of_groups = own.join(g.select("key", F.col("first_at.position").alias("first_position")), "key").select("first_position", "kind", "id", "value", "at__.position", "place")
+    of_rest = rest.select(F.col("position").alias("first_position"), F.explode(entries).alias("e"), "position").select("first_position", "e.kind", "e.id", "e.value", "position", "e.place")
+    return groups.unionByName(alone), of_groups.unionByName(of_rest), own
 
-def _walked(rows: DataFrame) -> DataFrame:
-    """Groups whose rows overlap: a fold over the group's rows in order."""
-    grouped = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "product_name", "quantity", "ids__", "resolved__", "names__", "items__"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("quantity"), F.array().cast(NONE).alias("ids"), F.array().cast(NONE).alias("resolved"), F.array().cast(ENTRY).alias("names"), F.array().cast(NONE).alias("items"), F.lit(None).cast("string").alias("error"))
 
-    def step(acc: Column, x: Column) -> Column:
-        how = contribution_overlap(acc["ids"], x["ids__"])
-        clash = F.exists(x["names__"], lambda e: F.exists(acc["names"], lambda f: (f["key"] == e["key"]) & (f["value"] != e["value"])))
-        error = F.coalesce(acc["error"], F.when(how == "overlapping", "a source row contributes twice"), F.when(clash, "a source row has two names"))
-        unite = lambda a, b: F.array_union(acc[a], x[b]).alias(a)
-        return F.struct((acc["quantity"] + F.when(how == "contained", 0).otherwise(x["quantity"])).alias("quantity"), unite("ids", "ids__"), unite("resolved", "resolved__"), unite("names", "names__"), unite("items", "items__"), error.alias("error"))
+def consolidate_import(rows: DataFrame) -> DataFrame:
+    """rows (position, product_name, quantity, contributing_source_record_ids, authoritative_source_product_names, preview_item_ids, source_identity_review_required, and maybe resolved_source_record_ids, resolved_source_record_id)
+    -> one row per group, then the rows that pass through (identity review, no key or no quantity, or in error by themselves): first_position, key, product_name, quantity, source_ids, resolved_ids, names, item_ids, members, error, passed_through.
 
-    folded = grouped.withColumn("f", F.aggregate("rows", start, step))
-    first = F.get("rows", F.lit(0))
-    return folded.select(first["position"].alias("first_position"), "key", first["product_name"].alias("product_name"), F.col("f.quantity").alias("quantity"), F.col("f.ids").alias("source_ids"), F.col("f.resolved").alias("resolved_ids"), F.col("f.names").alias("names"), F.col("f.items").alias("item_ids"), F.size("rows").cast("bigint").alias("members"), F.col("f.error").alias("error"))
+    A row counts for its contributing and its resolved ids. Its trusted names must be of such ids, and have one canonical name, which goes before its own; else it is in error.
+    In a group, in order, a row whose ids are all counted already adds nothing, one that overlaps them in part, or that gives an id another name, is an
+    error of the group, any other is added. The lists are built last, of distinct ids; consolidate_groups gives them as rows, for groups whose lists would be too long for one.
+    """
+    r = _prepared(rows)
+    groups, _, own = _groups(r)
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at__", "place", "id", "value")))), lambda x: x["id"])
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "name", F.struct("at__", "place", "id", "value")))), lambda x: F.struct(x["id"].alias("key"), x["value"].alias("value")))
+    lists = own.groupBy("key").agg(listed("source").alias("source_ids"), listed("resolved").alias("resolved_ids"), named.alias("names"), listed("item").alias("item_ids"))
+    none = {"source_ids": F.array().cast(NONE), "resolved_ids": F.array().cast(NONE), "names": F.array().cast(ENTRY), "item_ids": F.array().cast(NONE)}
+    columns = ["first_position", "key", "product_name", "quantity", *none, "members", "error", "passed_through"]
+    out = groups.where("NOT passed_through").join(lists, "key", "left").withColumns({c: F.coalesce(c, e) for c, e in none.items()}).select(*columns)
+    rest = r.where("through__").select(F.col("position").alias("first_position"), "key", "product_name", "quantity", F.col("ids__").alias("source_ids"), F.col("resolved__").alias("resolved_ids"), F.col("names__").alias("names"), F.col("items__").alias("item_ids"), F.lit(1).cast("bigint").alias("members"), F.col("error__").alias("error"), F.lit(True).alias("passed_through"))
+    return out.unionByName(rest)
 
 
 def validate_provenance(before: DataFrame, after: DataFrame) -> DataFrame:
-    """source_id and problem for every trusted id (a key of authoritative names) that was lost, appeared, or is in more than one row after consolidation. Empty: provenance holds."""
+    """source_id and problem for every trusted id (a key of authoritative names) that was lost, appeared, or is in more than one row after consolidation. Empty: provenance holds.
+
+    after: rows of consolidate_import, or members of consolidate_groups.
+    """
     trusted = before.select(F.explode(F.transform(trusted_names(F.col("authoritative_source_product_names")), lambda e: e["key"])).alias("source_id")).distinct().withColumn("was", F.lit(True))
-    now = after.select(F.explode(F.array_distinct("names.key")).alias("source_id")).groupBy("source_id").agg(F.count("*").alias("rows"))
+    held = after.where("kind = 'name'").select(F.col("id").alias("source_id")) if "kind" in after.columns else after.select(F.explode(F.array_distinct("names.key")).alias("source_id"))
+    now = held.groupBy("source_id").agg(F.count("*").alias("rows"))
     problem = F.when(F.col("rows").isNull(), "lost").when(F.col("was").isNull(), "unknown").when(F.col("rows") > 1, "counted more than once")
     return trusted.join(now, "source_id", "full").select("source_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def consolidation_stats(consolidated: DataFrame) -> DataFrame:
-    """Physical contributions, logical rows, groups of several sources, rows saved by them."""
-    n = F.size("source_ids")
+    """Physical contributions, logical rows, groups of several sources, rows saved by them. consolidated: rows of consolidate_import, or groups of consolidate_groups."""
+    n = F.col("sources") if "sources" in consolidated.columns else F.size("source_ids")
     return consolidated.agg(F.sum(n).alias("physical_contributions"), F.count("*").alias("logical_rows"), F.count_if(n > 1).alias("multi_source_groups"), F.sum(F.greatest(n - 1, F.lit(0))).alias("rows_reduced"))
 
 

@@ -261,20 +261,71 @@ def consolidate_import(v):
     return c.select("first_position", "key", "quantity", F.size("source_ids").cast("bigint").alias("sources"), "passed_through")
 
 
+def overlapping_rows(v):
+    """Import rows that share ids: of none, one or two ids; every second id of a product has a trusted name, which some rows spell otherwise."""
+    p = F.col("position")
+    a = F.concat(F.lit("a"), (p % 23).cast("string"))
+    ids = F.when(p % 4 == 0, F.array(a)).when(p % 4 == 1, F.array(a, F.concat(F.lit("a"), (p % 19).cast("string")))).when(p % 4 == 2, F.array(F.concat(F.lit("b"), p.cast("string")), F.lit(" ")))
+    spelt = F.when(p % 31 == 4, F.replace("product_name", F.lit(" "), F.lit("_"))).otherwise(F.col("product_name"))
+    own = F.create_map(F.when(p % 97 == 1, F.lit("other")).otherwise(a), spelt)
+    return rows(v).withColumns({"contributing_source_record_ids": ids, "authoritative_source_product_names": F.when((p % 4 < 2) & (p % 8 != 0), own)})
+
+
+OVERLAPS = f"""WITH i AS (
+  SELECT position, product_name, CAST(quantity AS BIGINT) AS quantity, source_identity_review_required AS review, 'a' || (position % 23) AS a,
+    CASE position % 4 WHEN 0 THEN ['a' || (position % 23)] WHEN 1 THEN list_distinct(['a' || (position % 23), 'a' || (position % 19)]) WHEN 2 THEN ['b' || position] ELSE [] END || CASE WHEN quantity IS NULL AND position % 2 = 0 THEN ['gap-' || position] ELSE [] END AS ids,
+    position % 4 < 2 AND position % 8 <> 0 AS named, {sql_trim("CASE WHEN position % 31 = 4 THEN replace(product_name, ' ', '_') ELSE product_name END")} AS spelt
+  FROM {{import_rows}}),
+e AS (SELECT *, CASE WHEN named AND position % 97 = 1 THEN 'a trusted name is of no source row of this row' END AS own_error FROM i),
+r AS (SELECT *, {sql_canonical('CASE WHEN named AND own_error IS NULL THEN spelt ELSE product_name END')} AS key FROM e),
+good AS (SELECT * FROM r WHERE NOT review AND key IS NOT NULL AND quantity IS NOT NULL AND own_error IS NULL),
+uses AS (SELECT key, position, unnest(ids) AS id FROM good),
+firsts AS (SELECT key, id, min(position) AS first FROM uses GROUP BY ALL),
+late AS (SELECT key, position, count(*) AS earlier FROM uses JOIN firsts USING (key, id) WHERE first < position GROUP BY ALL),
+spelling AS (SELECT key, a, arg_min(spelt, position) AS spelt FROM good WHERE named GROUP BY ALL),
+d AS (SELECT g.*, coalesce(earlier, 0) AS earlier, named AND g.spelt <> s.spelt AS clash FROM good g LEFT JOIN late USING (key, position) LEFT JOIN spelling s USING (key, a)),
+g AS (
+  SELECT key, min(position) AS first_position, CAST(sum(CASE WHEN earlier > 0 AND earlier = len(ids) THEN 0 ELSE quantity END) AS BIGINT) AS quantity, count(*) AS members,
+    min(position) FILTER (WHERE earlier > 0 AND earlier < len(ids)) AS overlap_at, min(position) FILTER (WHERE clash) AS clash_at FROM d GROUP BY key),
+counts AS (SELECT key, count(*) AS sources FROM firsts GROUP BY key)"""
+
+
+@query("consolidate_overlaps", f"""{OVERLAPS}
+SELECT first_position, key, quantity, coalesce(sources, 0) AS sources, members,
+  CASE WHEN overlap_at <= coalesce(clash_at, overlap_at) THEN 'a source row contributes twice' WHEN clash_at IS NOT NULL THEN 'a source row has two names' END AS error, false AS passed_through
+FROM g LEFT JOIN counts USING (key)
+UNION ALL SELECT position, key, quantity, len(ids), 1, own_error, true FROM r WHERE review OR key IS NULL OR quantity IS NULL OR own_error IS NOT NULL""")
+def consolidate_overlaps(v):
+    groups, _ = K.consolidate_groups(overlapping_rows(v))
+    return groups.select("first_position", "key", "quantity", "sources", "members", "error", "passed_through")
+
+
+@query("consolidated_members", f"""{OVERLAPS}
+SELECT first_position, 'source' AS kind, id, CAST(NULL AS VARCHAR) AS value, first AS position FROM firsts JOIN g USING (key)
+UNION ALL SELECT first_position, 'name', a, s.spelt, min(d.position) FROM d JOIN spelling s USING (key, a) JOIN g USING (key) WHERE named GROUP BY ALL
+UNION ALL SELECT first_position, 'item', 'item-' || d.position, NULL, d.position FROM d JOIN g USING (key)
+UNION ALL SELECT position, unnest(['source'] || CASE WHEN id LIKE 'gap-%' THEN ['resolved'] ELSE [] END), id, NULL, position FROM (SELECT position, unnest(ids) AS id FROM r WHERE review OR key IS NULL OR quantity IS NULL OR own_error IS NOT NULL)
+UNION ALL SELECT position, 'item', 'item-' || position, NULL, position FROM r WHERE review OR key IS NULL OR quantity IS NULL OR own_error IS NOT NULL
+UNION ALL SELECT position, 'name', CASE WHEN position % 97 = 1 THEN 'other' ELSE a END, spelt, position FROM r WHERE named AND (review OR key IS NULL OR quantity IS NULL OR own_error IS NOT NULL)""")
+def consolidated_members(v):
+    _, members = K.consolidate_groups(overlapping_rows(v))
+    return members.select("first_position", "kind", "id", "value", "position")
+
+
 @query("validate_provenance", f"""WITH i AS (SELECT *, {sql_canonical('product_name')} AS key FROM {{import_rows}} WHERE position % 3 = 0),
 seen AS (SELECT DISTINCT key, source_identity, CAST(NULL AS BIGINT) AS position FROM i WHERE NOT source_identity_review_required AND key IS NOT NULL AND quantity IS NOT NULL
   UNION ALL SELECT key, source_identity, position FROM i WHERE source_identity_review_required OR key IS NULL OR quantity IS NULL)
 SELECT source_identity AS source_id, 'counted more than once' AS problem FROM seen GROUP BY source_identity HAVING count(*) > 1""")
 def validate_provenance(v):
     r = rows(v)
-    return K.validate_provenance(r, K.consolidate_import(r))
+    return K.validate_provenance(r, K.consolidate_groups(r)[1])
 
 
 @query("consolidation_stats", f"""WITH {ONCE} AND NOT source_identity_review_required GROUP BY key, source_identity),
 g AS (SELECT count(*) AS n FROM once GROUP BY key UNION ALL SELECT CASE WHEN quantity IS NULL AND position % 2 = 0 THEN 2 ELSE 1 END FROM (SELECT *, {sql_canonical('product_name')} AS key FROM {{import_rows}}) i WHERE source_identity_review_required OR key IS NULL OR quantity IS NULL)
 SELECT CAST(sum(n) AS BIGINT) AS physical_contributions, count(*) AS logical_rows, count(*) FILTER (WHERE n > 1) AS multi_source_groups, CAST(sum(n - 1) AS BIGINT) AS rows_reduced FROM g""")
 def consolidation_stats(v):
-    return K.consolidation_stats(K.consolidate_import(rows(v)))
+    return K.consolidation_stats(K.consolidate_groups(rows(v))[0])
 
 
 @query("contribution_overlap", """SELECT position, CASE WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 THEN 'contained' WHEN list_has_any(a, b) THEN 'overlapping' ELSE 'disjoint' END AS how

@@ -89,6 +89,24 @@ def test_consolidation_against_a_walk(spark):
         for part in (df, df.repartition(5)):
             got = [(r.first_position, r.product_name, r.quantity, r.source_ids, r.resolved_ids, r.error) for r in K.consolidate_import(part).collect()]
             assert sorted(got) == walk(data)
+            groups, members = K.consolidate_groups(part)
+            assert sorted((r.first_position, r.product_name, r.quantity, r.sources, r.error) for r in groups.collect()) == [(a, b, c, len(d), f) for a, b, c, d, _, f in walk(data)]
+            for kind, at in (("source", 3), ("resolved", 4)):
+                held = sorted((r.first_position, r.position, r.place, r.id) for r in members.where(F.col("kind") == kind).collect())
+                assert [(r[0], r[3]) for r in held] == [(r[0], x) for r in walk(data) for x in r[at]]
+
+
+def test_a_group_of_most_rows_is_no_list(spark):
+    n = 6000
+    df = spark.range(n).select(F.col("id").alias("position"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("product_name"), F.lit(1).alias("quantity"), F.array(F.concat(F.lit("x:"), (F.col("id") % 4000).cast("string"))).alias("contributing_source_record_ids"), F.lit(None).cast("map<string,string>").alias("authoritative_source_product_names"), F.lit(None).cast("array<string>").alias("preview_item_ids"), F.lit(False).alias("source_identity_review_required"))
+    groups, members = K.consolidate_groups(df)
+    hot = groups.where("key = 'hot'").first()
+    ids = {k % 4000 for k in range(n) if k % 3}
+    assert (hot.quantity, hot.sources, hot.members) == (len(ids), len(ids), 4000)
+    assert members.where("first_position = 1 AND kind = 'source'").count() == len(ids)
+    for frame in (groups, members):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Python" not in plan
 
 
 def test_rows_that_resolve_one_gap_count_once(spark):
