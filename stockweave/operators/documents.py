@@ -5,15 +5,16 @@ Inputs are (document, page or sheet, line or row, text or cell). Whatever is cal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stockweave.functions.scalars import fold, has_code_label, header_key, is_name_header, java_trim, positive_int_cell, quantity_header_score, source_identity, trim_to_null
+from stockweave.sources.shared import stage
+
+from .ordering import BROADCAST_BYTES, numbered_within, running
 
 # Chunk sizes, scan limits, labels and patterns of documents.
 ROWS_PER_CHUNK, RECORDS_PER_CHUNK = 10, 5
@@ -175,62 +176,103 @@ def cut_long_line(line: Column, most: int) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(piece), F.lit(1)), java_trim)
 
 
-def pack(rows: DataFrame, keys: list[str], order: str, text: str, glue: str, most: int) -> DataFrame:
-    """Consecutive texts of each key joined by glue as long as they stay within `most` -> keys, k (from 0), content. Rows are streamed in order; a task holds one content."""
-    kinds = dict(rows.dtypes)
-    ordered = rows.select(*keys, order, text).repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, now, size, k, out = None, [], 0, 0, []
-
-        def close() -> None:
-            nonlocal k
-            if size:
-                out.append((*key, k, glue.join(now)))
-                k += 1
-
-        def batch_of() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [()] * (len(keys) + 2)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "k", "content"])
-
-        types = None
-        for batch in batches:
-            types = [*batch.schema.types[: len(keys)], pa.int32(), pa.string()]
-            for *own, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if own != key:
-                    close()
-                    key, now, size, k = own, [], 0, 0
-                if size and size + len(glue) + len(x) > most:
-                    close()
-                    now, size = [], 0
-                if not size:
-                    now.clear()  # an empty text before it adds nothing
-                size += len(glue) + len(x) if size else len(x)
-                now.append(x)
-            yield batch_of()
-            out.clear()
-        close()
-        if out:
-            yield batch_of()
-
-    return ordered.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, content string")
+def _breaks(placed: DataFrame, keys: list[str], glue: int, most: int) -> DataFrame:
+    """placed (keys, i, n characters, p: characters with glue up to and with this text) -> keys, i, stop, next for every text that is not empty: the first text that a content from i on can't take (null: it takes all), and the text with which the next content begins.
+
+    A search in the sums: texts and what their contents may reach are put in one order of sums; from the greatest down, the least text seen so far is the first beyond.
+    """
+    texts = placed.select(*keys, F.col("p").alias("at"), F.lit(1).alias("kind"), "i", F.col("i").alias("j"), F.when(F.col("n") > 0, F.col("i")).alias("filled"))
+    asked = placed.where("n > 0").select(*keys, (F.col("p") + F.greatest(F.lit(most) - F.col("n"), F.lit(0))).alias("at"), F.lit(0).alias("kind"), "i", F.lit(None).cast("bigint").alias("j"), F.lit(None).cast("bigint").alias("filled"))
+    order = [F.col("at").desc(), F.col("kind"), F.col("i").desc()]
+    return running(texts.unionByName(asked), keys, order, {"stop": ("min", F.col("j")), "next": ("min", F.col("filled"))}).where("kind = 0").select(*keys, "i", "stop", "next")
+
+
+def _reached(firsts: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
+    """firsts (keys, i), jumps (keys, i, next) -> all (keys, i) that follow from the firsts by jumps. Jumps double in every round, so a key of n contents takes log(n) rounds of joins, however few tasks one key was in before."""
+    reached = stage(firsts, "reached")
+    jumps = stage(jumps.where("next IS NOT NULL"), "jumps")
+    while True:
+        more = stage(reached.join(jumps, [*keys, "i"]).select(*keys, F.col("next").alias("i")), "reached")
+        if not more.take(1):
+            return reached
+        reached = reached.unionByName(more)
+        further = jumps.select(*keys, F.col("i").alias("next"), F.col("next").alias("beyond"))
+        jumps = stage(jumps.join(further, [*keys, "next"]).select(*keys, "i", F.col("beyond").alias("next")), "jumps")
+
+
+#: Texts and characters of a key that are packed within one row; larger keys are searched.
+FEW_TEXTS, FEW_CHARS = 512, 1 << 20
+
+
+def _packed_few(rows: DataFrame, keys: list[str], glue: str, most: int) -> DataFrame:
+    """rows (keys, place_of__, text_of__) of keys with few texts -> keys, k, content: one pass over each key's lengths gives the places at which contents begin."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("place_of__", "text_of__"))), lambda x: x["text_of__"])
+    g = rows.groupBy(*keys).agg(texts.alias("texts__"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.array().cast("array<struct<start: int, stop: int>>").alias("runs"))
+
+    def step(acc: Column, x: Column) -> Column:
+        i, n = acc["i"] + 1, F.length(x)
+        opens = (acc["size"] == 0) | (acc["size"] + len(glue) + n > most)
+        size = F.when(opens, n).otherwise(acc["size"] + len(glue) + n)
+        # an empty text begins nothing
+        runs = F.when(opens & (n > 0), F.array_append(acc["runs"], F.struct(i.alias("start"), i.alias("stop")))).when(opens, acc["runs"])
+        last = F.element_at(acc["runs"], -1)
+        longer = F.array_append(F.slice(acc["runs"], F.lit(1), F.size(acc["runs"]) - 1), F.struct(last["start"].alias("start"), i.alias("stop")))
+        return F.struct(i.alias("i"), size.alias("size"), runs.otherwise(longer).alias("runs"))
+
+    runs = g.select(*keys, "texts__", F.posexplode(F.aggregate("texts__", start, step)["runs"]).alias("k", "run__"))
+    return runs.select(*keys, "k", F.array_join(F.slice("texts__", F.col("run__.start"), F.col("run__.stop") - F.col("run__.start") + 1), glue).alias("content"))
+
+
+def pack(rows: DataFrame, keys: list[str], order: str, text: str, glue: str, most: int, few: int = FEW_TEXTS) -> DataFrame:
+    """Consecutive texts of each key joined by glue as long as they stay within `most` -> keys, k (from 0), content. An empty text with which a content would begin is left out; keys are not null, and order is distinct within a key.
+
+    A key of few texts is packed within one row. In a key of many, contents end where a search in the sums of lengths says, and the first text leads to all others by doubling jumps: no task holds a key.
+    """
+    plain = stage(rows.select(*keys, F.col(order).alias("place_of__"), F.col(text).alias("text_of__")), "texts")
+    size = plain.groupBy(*keys).agg(F.count("*").alias("n__"), F.sum(F.length("text_of__")).alias("chars__"))
+    large = stage(size.where((F.col("n__") > few) | (F.col("chars__") > FEW_CHARS)).select(*keys), "large")
+    n = large.count()
+    if not n:
+        return _packed_few(plain, keys, glue, most)
+    side = F.broadcast(large) if n * 256 <= BROADCAST_BYTES else large
+    return _packed_few(plain.join(side, keys, "left_anti"), keys, glue, most).unionByName(_packed_many(plain.join(side, keys, "left_semi"), keys, "place_of__", "text_of__", glue, most))
+
+
+def _packed_many(rows: DataFrame, keys: list[str], order: str, text: str, glue: str, most: int) -> DataFrame:
+    g = len(glue)
+    named = [F.col(k).alias(f"{k}__") for k in keys]
+    own = [f"{k}__" for k in keys]
+    lengths = rows.select(*named, F.col(order).alias("order__"), F.length(text).cast("bigint").alias("n"))
+    placed = stage(running(lengths, own, [F.col("order__")], {"i": ("sum", F.lit(1).cast("bigint")), "p": ("sum", F.col("n") + g)}), "placed")
+    ends = placed.groupBy(*own).agg(F.max("p").alias("total"), F.min(F.when(F.col("n") > 0, F.col("i"))).alias("first")).where("first IS NOT NULL")
+    long = stage(ends.where(F.col("total") - g > most), "long")
+    breaks = stage(_breaks(placed.join(long.select(*own), own, "left_semi"), own, g, most), "breaks")
+    starts = _reached(long.select(*own, F.col("first").alias("i")), breaks.select(*own, "i", "next"), own).join(breaks, [*own, "i"]).select(*own, "i", "stop")
+    starts = starts.unionByName(ends.where(F.col("total") - g <= most).select(*own, F.col("first").alias("i"), F.lit(None).cast("bigint").alias("stop")))
+    begun = placed.join(starts.withColumn("begins", F.lit(1).cast("bigint")), [*own, "i"], "left").withColumn("stop", F.when(F.col("begins").isNotNull(), F.coalesce("stop", F.lit(2**62))))
+    dealt = running(begun.drop("n", "p"), own, [F.col("i")], {"k__": ("sum", F.coalesce("begins", F.lit(0))), "until": ("max", F.col("stop"))}).where("k__ > 0 AND i < until").select(*own, "order__", "k__")
+    met = rows.select(*keys, F.col(order).alias("place_of__"), F.col(text).alias("text_of__")).join(dealt, [F.col(k) == F.col(f"{k}__") for k in keys] + [F.col("place_of__") == F.col("order__")])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place_of__", "text_of__"))), lambda x: x["text_of__"]), glue)
+    return met.groupBy(*keys, "k__").agg(joined.alias("content")).select(*keys, (F.col("k__") - 1).cast("int").alias("k"), "content")
 
 
 def text_blocks(docs: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
     """docs (document, text) -> document, position, block: paragraphs between blank lines; one over `most` is packed from its lines, and a line over it is cut."""
     paragraphs = F.filter(F.transform(F.split(normal_text(F.col("text")), r"\n\s*\n+"), java_trim), lambda p: F.length(p) > 0)
     p = docs.select("document", F.posexplode(paragraphs).alias("at", "paragraph"))
-    short = p.where(F.length("paragraph") <= most).select("document", "at", F.lit(0).alias("part"), F.col("paragraph").alias("block"))
+    first = [F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("k")]
+    short = p.where(F.length("paragraph") <= most).select("document", "at", *first, F.col("paragraph").alias("block"))
     # lines of a long paragraph: runs of short lines are packed, a long line stands alone
-    lines = p.where(F.length("paragraph") > most).select("document", "at", F.posexplode(F.split("paragraph", "\n")).alias("n", "line")).withColumn("long", F.length("line") > most)
-    w = Window.partitionBy("document", "at").orderBy("n")
-    lines = lines.withColumn("run", F.sum(F.when(F.col("long") | F.coalesce(F.lag("long").over(w), F.lit(False)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = lines.where("long").select("document", "at", "run", F.posexplode(cut_long_line(F.col("line"), most)).alias("k", "block"))
-    packed = pack(lines.where("NOT long"), ["document", "at", "run"], "n", "line", "\n", most).withColumnRenamed("content", "block")
-    part = F.row_number().over(Window.partitionBy("document", "at").orderBy("run", "k")).cast("int")
-    long = cut.unionByName(packed).select("document", "at", part.alias("part"), "block")
-    position = F.row_number().over(Window.partitionBy("document").orderBy("at", "part"))
-    return short.unionByName(long).select("document", position.alias("position"), "block")
+    lines = F.split("paragraph", "\n")
+    marked = F.transform(lines, lambda x, n: F.struct(x.alias("line"), (F.length(x) > most).alias("long"), (F.length(F.coalesce(F.get(lines, n - 1), F.lit(""))) > most).alias("after")))
+    each = p.where(F.length("paragraph") > most).select("document", "at", F.posexplode(marked).alias("n", "m")).select("document", "at", "n", "m.line", "m.long", "m.after")
+    each = running(each, ["document", "at"], [F.col("n")], {"run": ("sum", F.when(F.col("long") | F.col("after"), 1).otherwise(0).cast("bigint"))})
+    cut = each.where("long").select("document", "at", "run", F.posexplode(cut_long_line(F.col("line"), most)).alias("k", "block"))
+    packed = pack(each.where("NOT long"), ["document", "at", "run"], "n", "line", "\n", most).withColumnRenamed("content", "block")
+    order = [F.col(c) for c in ("at", "run", "k")]
+    blocks = numbered_within(short.unionByName(cut).unionByName(packed), ["document"], order, "position")
+    return blocks.select("document", F.col("position").cast("int").alias("position"), "block")
 
 
 def pack_blocks(blocks: DataFrame, most: int = TEXT_CHARS) -> DataFrame:

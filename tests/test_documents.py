@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -115,6 +116,39 @@ def test_blocks_and_packing_against_brute_force(spark, sf_dir):
         assert packed == {k: brute_pack(v, 3 * most) for k, v in got.items()}
 
 
+def fold(texts, glue, most):
+    """Contents of consecutive texts, one text after the other."""
+    out, now, size = [], [], 0
+    for x in texts:
+        if size and size + len(glue) + len(x) > most:
+            out.append(glue.join(now))
+            now, size = [], 0
+        if not size:
+            now = []
+        size += len(glue) + len(x) if size else len(x)
+        now.append(x)
+    return out + [glue.join(now)] if size else out
+
+
+def test_contents_equal_the_fold(spark):
+    rng = random.Random(8)
+    texts = {d: ["x" * rng.choice([0, 0, 1, 3, 9, 30]) for _ in range(rng.choice([1, 2, 5, 400]))] for d in range(12)} | {99: ["", ""], 100: ["", "a", ""]}
+    rows = spark.createDataFrame([(d, 3 * i, x) for d, t in texts.items() for i, x in enumerate(t)], "d int, at int, x string")
+    for glue, most, few in (("\n\n", 20, 100), ("-", 30, 0), ("", 7, 500)):
+        got = {}
+        for r in D.pack(rows, ["d"], "at", "x", glue, most, few).orderBy("d", "k").collect():
+            got.setdefault(r.d, []).append((r.k, r.content))
+        assert got == {d: list(enumerate(f)) for d, t in texts.items() if (f := fold(t, glue, most))}
+
+
+def test_a_giant_document_equals_the_fold_and_needs_no_python(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("document"), F.col("id").alias("position"), F.repeat(F.lit("x"), (F.col("id") % 7 + 1).cast("int")).alias("block"))
+    out = D.pack_blocks(rows, 40)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    giant = [r.content for r in out.where("document = -1").orderBy("chunk_index").collect()]
+    assert giant == fold(["x" * (k % 7 + 1) for k in range(6000) if k % 3], "\n\n", 40)
+
+
 def test_paragraphs_are_not_split(spark):
     docs = spark.createDataFrame([(1, "a" * 700 + "\n\n" + "b" * 700)], "document int, text string")
     assert [len(r.content) for r in D.pack_blocks(D.text_blocks(docs, 1000), 1000).orderBy("chunk_index").collect()] == [700, 700]

@@ -26,14 +26,14 @@ def test_running_values_against_a_walk(spark):
     rows = rows_of(600, 0.5)
     df = spark.createDataFrame(rows, "key string, at long, v long").repartition(7)
     v = F.col("v")
-    for parts in (1, 4, 40):
-        got = running(df, ["key"], [F.col("at")], {"n": ("sum", F.lit(1)), "total": ("sum", v), "xor": ("bit_xor", v), "least": ("min", v), "most": ("max", v)}, parts)
+    for parts, key_rows in ((4, 1000), (1, 0), (4, 100), (40, 0)):
+        got = running(df, ["key"], [F.col("at")], {"n": ("sum", F.lit(1)), "total": ("sum", v), "xor": ("bit_xor", v), "least": ("min", v), "most": ("max", v)}, parts, key_rows)
         assert sorted(map(tuple, got.collect()), key=str) == plain(rows)
 
 
 def test_a_key_of_most_rows_is_spread_over_tasks(spark):
     df = spark.range(4000).select(F.lit(1).alias("key"), F.col("id").alias("at"))
-    out = numbered_within(df, ["key"], [F.col("at")], "n", 8)
+    out = numbered_within(df, ["key"], [F.col("at")], "n", 8, 100)
     assert out.where("n <> at + 1").count() == 0 and out.count() == 4000
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert max(sizes) < 4000 * 0.7
