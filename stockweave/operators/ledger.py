@@ -1,7 +1,7 @@
 """Stock movements: batches, single movements, cancellation and rollback.
 
 Stocks are summed as bigint; a result beyond int is a rejection, never a wrap. In a batch one failing row rejects all of it, so
-prefix sums decide; independent movements are folded in order, as a rejected one changes what follows.
+prefix sums decide; independent movements are applied in order, as a rejected one changes what follows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stockweave.functions.scalars import INT_MAX
+from stockweave.sources.shared import stage
+
+from .ordering import BROADCAST_BYTES, running
 
 
 def signed(kind: Column, quantity: Column) -> Column:
@@ -65,32 +68,74 @@ def stock_after_batch(lines: DataFrame) -> DataFrame:
     return lines.groupBy("batch_id", "product_id").agg(F.max_by("running", "seq").alias("stock"))
 
 
-def replay_movements_with_rejection(movements: DataFrame, stocks: DataFrame) -> DataFrame:
+#: Movements of a product that are one stretch of its history.
+STRETCH = 4096
+
+
+def replay_movements_with_rejection(movements: DataFrame, stocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Independent movements (id, product_id, movement_type, quantity, ordered by created_at, id) -> id, product_id, accepted, stock_after.
 
-    Rows are streamed by product and time with the running stock as the only state, so no history is gathered. An insufficient OUT leaves the stock as it is; movements of unknown products give no row.
+    An insufficient OUT, or an IN beyond int, leaves the stock as it is; one without quantity is neither accepted nor rejected; movements of unknown products give no row.
+    A product of at most `stretch` movements is streamed with its stock as the only state. The history of any other is cut into stretches, and those that surely hold no rejection
+    are applied as one sum: only the rest is streamed, and the rows of the others are filled in by all tasks.
     """
     s = stocks.select(F.col("id").alias("product_id"), F.col("quantity").cast("bigint").alias("start_stock"))
-    lines = movements.select("product_id", "created_at", "id", signed(F.col("movement_type"), F.col("quantity")).cast("bigint").alias("change")).join(s, "product_id")
-    ordered = lines.repartition("product_id").sortWithinPartitions("product_id", "created_at", "id").select("product_id", "id", "change", "start_stock")
+    lines = movements.select("product_id", "created_at", "id", signed(F.col("movement_type"), F.col("quantity")).cast("bigint").alias("change"))
+    large = stage(lines.groupBy("product_id").agg(F.count("*").alias("n")).where(F.col("n") > stretch).select("product_id"), "large")
+    n = large.count()
+    if not n:
+        return _streamed(lines.join(s, "product_id").withColumn("i", F.lit(0)), ["created_at", "id"]).select("id", "product_id", "accepted", "stock_after")
+    side = F.broadcast(large) if n * 16 <= BROADCAST_BYTES else large
+    few = _streamed(lines.join(side, "product_id", "left_anti").join(s, "product_id").withColumn("i", F.lit(0)), ["created_at", "id"])
+    many = _by_stretches(lines.join(side, "product_id", "left_semi").join(s, "product_id"), stretch)
+    return few.select("id", "product_id", "accepted", "stock_after").unionByName(many.select("id", "product_id", "accepted", "stock_after"))
+
+
+def _streamed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows (product_id, i, id, change, start_stock) in order -> product_id, i, id, before, accepted, stock_after. Nothing is held but the stock of one product."""
+    ordered = rows.repartition("product_id").sortWithinPartitions("product_id", *order).select("product_id", "i", "id", "change", "start_stock")
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
-    schema = f"product_id {kinds['product_id']}, id {kinds['id']}, accepted boolean, stock_after bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         product, stock = None, None
         for batch in batches:
-            accepted, after = [], []
-            for p, change, start in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
+            before, accepted, after = [], [], []
+            for p, change, start in zip(*[batch.column(k).to_pylist() for k in (0, 3, 4)], strict=True):
                 if p != product:
                     product, stock = p, start
+                before.append(stock)
                 new = None if stock is None or change is None else stock + change
                 ok = None if new is None else 0 <= new <= INT_MAX
                 stock = new if ok else stock
                 accepted.append(ok)
                 after.append(stock)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], names=["product_id", "id", "accepted", "stock_after"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before, pa.int64()), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], names=["product_id", "i", "id", "before", "accepted", "stock_after"])
+
+    return ordered.mapInArrow(run, f"product_id {kinds['product_id']}, i {kinds['i']}, id {kinds['id']}, before bigint, accepted boolean, stock_after bigint")
 
-    return ordered.mapInArrow(run, schema)
+
+def _by_stretches(rows: DataFrame, stretch: int) -> DataFrame:
+    """rows (product_id, created_at, id, change, start_stock) -> id, product_id, accepted, stock_after.
+
+    A stock that is cut to 0 where an OUT asks for more is never above the true one, which keeps what it has. That lower stock has a closed form: the sum so far less
+    the least sum so far if that is under 0. A stretch in which it is not cut, and before whose end all that came in stays within int, holds no rejection.
+    """
+    change = F.coalesce("change", F.lit(0))
+    placed = running(rows, ["product_id"], [F.col("created_at"), F.col("id")], {"i": ("sum", F.lit(1).cast("bigint")), "p": ("sum", change), "came": ("sum", F.greatest(change, F.lit(0)))})
+    placed = stage(placed.select("product_id", "id", "change", "start_stock", "i", "p", "came", ((F.col("i") - 1) / stretch).cast("bigint").alias("part")), "placed")
+    parts = placed.groupBy("product_id", "part").agg(F.min("start_stock").alias("start_stock"), F.min("i").alias("i"), F.min("p").alias("least"), F.max_by("p", "i").alias("last"), F.max("came").alias("came"))
+    w = Window.partitionBy("product_id").orderBy("part")  # a row per stretch
+    parts = parts.withColumn("entered", F.coalesce(F.lag("last").over(w), F.lit(0))).withColumn("least_before", F.min("least").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    lower = F.col("start_stock") + F.col("entered") - F.least(F.lit(0), F.col("start_stock") + F.coalesce("least_before", F.lit(0)))
+    sure = (lower + F.col("least") - F.col("entered") >= 0) & (F.col("start_stock") + F.col("came") <= INT_MAX)
+    parts = stage(parts.select("product_id", "part", "start_stock", "i", "entered", (F.col("last") - F.col("entered")).alias("sum"), F.coalesce(sure, F.lit(False)).alias("sure")), "parts")
+    whole = parts.where("sure").select("product_id", "i", F.lit(None).cast(dict(placed.dtypes)["id"]).alias("id"), F.col("sum").alias("change"), "start_stock")
+    single = placed.join(parts.where("NOT sure").select("product_id", "part"), ["product_id", "part"], "left_semi").select("product_id", "i", "id", "change", "start_stock")
+    walked = stage(_streamed(whole.unionByName(single), ["i"]), "walked")
+    entering = parts.where("sure").select("product_id", "part", "i", "entered").join(walked.select("product_id", "i", "before"), ["product_id", "i"]).select("product_id", "part", "entered", "before")
+    filled = placed.join(entering, ["product_id", "part"]).select("id", "product_id", F.when(F.col("change").isNotNull(), F.lit(True)).alias("accepted"), (F.col("before") + F.col("p") - F.col("entered")).alias("stock_after"))
+    rest = walked.join(parts.where("sure").select("product_id", "i"), ["product_id", "i"], "left_anti").select("id", "product_id", "accepted", "stock_after")
+    return filled.unionByName(rest)
 
 
 def cancel_movement(requests: DataFrame, movements: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ def stocks(spark, **kv):
 
 
 def moves(spark, *rows):
-    return spark.createDataFrame([(b, n, n, p, t, q, datetime(2024, 1, 1, 0, n)) for n, (b, p, t, q) in enumerate(rows)], MOVE)
+    return spark.createDataFrame([(b, n, n, p, t, q, datetime(2024, 1, 1) + timedelta(minutes=n)) for n, (b, p, t, q) in enumerate(rows)], MOVE)
 
 
 def test_mixed_batch(spark):
@@ -32,6 +33,33 @@ def test_independent_movements_against_a_batch(spark):
     assert lines.count() == 0 and batches.first().reason == "insufficient stock"
 
 
+def test_replay_by_stretches_against_a_walk(spark):
+    rng = random.Random(6)
+    data = [("b", rng.choice([1, 1, 1, 2, 2, 3, 4, 5, 9]), rng.choice(["IN", "OUT", "OUT"]) if k % 400 > 150 else "IN", rng.choice([1, 5, 40, None]) if k % 97 else 2**31 - 50) for k in range(2500)]
+    start = {1: 30, 2: 0, 3: 7, 4: 2**31 - 100, 5: None}
+    stock, want = dict(start), {}
+    for n, (_, p, kind, q) in enumerate(data):
+        if p in stock:
+            after = None if stock[p] is None or q is None else stock[p] + (q if kind == "IN" else -q)
+            ok = None if after is None else 0 <= after <= 2**31 - 1
+            stock[p] = after if ok else stock[p]
+            want[n] = (p, ok, stock[p])
+    s = spark.createDataFrame([(k, f"p{k}", v) for k, v in start.items()], "id bigint, name string, quantity int")
+    for stretch in (8, 300, 4096):
+        got = {r.id: (r.product_id, r.accepted, r.stock_after) for r in L.replay_movements_with_rejection(moves(spark, *data), s, stretch).collect()}
+        assert got == want
+
+
+def test_stretches_without_rejections_are_not_streamed(spark, monkeypatch):
+    seen = []
+    streamed = L._streamed
+    monkeypatch.setattr(L, "_streamed", lambda rows, order: (seen.append(rows.count()), streamed(rows, order))[1])
+    m = spark.range(5000).select(F.lit(1).alias("product_id"), F.col("id").cast("timestamp").alias("created_at"), "id", F.when((F.col("id") % 2 == 0) | F.col("id").between(4000, 4010), "OUT").otherwise("IN").alias("movement_type"), F.lit(1).alias("quantity"))
+    out = L.replay_movements_with_rejection(m, stocks(spark, p1=3), 100)
+    assert out.count() == 5000 and seen[1] <= 50 + 3 * 100  # the other is of small products
+    assert out.where("NOT accepted").count() > 0
+
+
 def test_overflow_is_rejected(spark):
     _, batches = L.apply_movement_batch(moves(spark, ("b", 1, "IN", 2147483647)), stocks(spark, p1=1))
     assert batches.first().reason == "stock beyond int"
