@@ -87,15 +87,14 @@ def _dealt(docs: DataFrame, width: int, ranges: int) -> DataFrame:
         grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         part = (((grams >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int32)
         order = np.argsort(part.astype(np.uint16) if ranges < 1 << 16 else part, kind="stable")
-        low, owner, edges = grams[order].astype(np.uint32), owner[order], np.searchsorted(part[order], np.arange(ranges + 1))
+        low, owner, part = grams[order].astype(np.uint32), owner[order], part[order]
+        heads_of = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])  # only the ranges that occur
         key = np.array(keys, dtype=np.int64)
         rows = []
-        for p in range(ranges):
-            lo, hi = edges[p], edges[p + 1]
-            if lo < hi:
-                own = owner[lo:hi]
-                heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                rows.append((p, key[own[heads]].tobytes(), np.diff(np.r_[heads, hi - lo]).astype(np.uint32).tobytes(), low[lo:hi].tobytes()))
+        for lo, hi in zip(heads_of, np.r_[heads_of[1:], len(part)], strict=True):
+            own = owner[lo:hi]
+            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rows.append((int(part[lo]), key[own[heads]].tobytes(), np.diff(np.r_[heads, hi - lo]).astype(np.uint32).tobytes(), low[lo:hi].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "lens", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

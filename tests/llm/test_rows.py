@@ -166,6 +166,12 @@ def test_counts_take_all_training_rows_and_the_shared_ones_all_documents(spark,
     assert len(got) == 1 and got[0][:2] == (n, len(kinds)) and abs(got[0][2][1] / len(toxic) - 1) < 0.05
 
 
+def test_counts_of_one_class_do_not_run_into_the_other(spark):
+    m = 2**31 - 1
+    rows = spark.range(9).select(F.lit(5).alias("word"), F.lit(1).cast("long").alias("n"), F.lit(m | 3 << 32).alias("m"), F.lit(7 | m << 32).alias("r"))
+    assert tuple(T._summed(rows, ["word"], ["n"]).first()) == (5, 9, 9 * m, 27, 63, 9 * m)
+
+
 def test_ratios_are_those_of_kneser_ney_models(spark, make_docs):
     docs, labels = labelled(spark, make_docs, 500)
     model = T.fit(docs, labels, least_z=2.0)
