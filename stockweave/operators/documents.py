@@ -69,11 +69,15 @@ def split_delimited_cells(text: Column, delimiter: Column) -> Column:
     return F.transform(F.when(delimiter == ";", F.split(text, ";")).otherwise(F.split(text, ",")), java_trim)
 
 
+def _chunk(size: int) -> Column:
+    """The chunk, from 1, of a row's number nth__."""
+    return F.floor((F.col("nth__") - 1) / size).cast("int") + 1
+
+
 def row_chunks(rows: DataFrame, keys: list[str], order: str, size: int = ROWS_PER_CHUNK) -> DataFrame:
     """Rows of each document or sheet in order -> chunk_index (from 1), first_row, last_row, row_count."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    chunk = F.floor((F.row_number().over(w) - 1) / size).cast("int") + 1
-    return rows.withColumn("chunk_index", chunk).groupBy(*keys, "chunk_index").agg(F.min(order).alias("first_row"), F.max(order).alias("last_row"), F.count("*").alias("row_count"))
+    numbers = numbered_within(rows.select(*keys, order), keys, [F.col(order)], "nth__")
+    return numbers.withColumn("chunk_index", _chunk(size)).groupBy(*keys, "chunk_index").agg(F.min(order).alias("first_row"), F.max(order).alias("last_row"), F.count("*").alias("row_count"))
 
 
 # ---- sheets ----
@@ -136,8 +140,7 @@ def table_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
 def excel_chunks(rows: DataFrame, records: DataFrame, size: int = ROWS_PER_CHUNK) -> DataFrame:
     """Chunks of each sheet's rows with their records: candidate_count and record rows; a chunk without trusted records counts its numbered rows."""
-    w = Window.partitionBy("document", "sheet").orderBy("row")
-    chunked = rows.withColumn("chunk_index", F.floor((F.row_number().over(w) - 1) / size).cast("int") + 1)
+    chunked = numbered_within(rows.select("document", "sheet", "row", "numbered"), ["document", "sheet"], [F.col("row")], "nth__").withColumn("chunk_index", _chunk(size))
     trusted = records.select("document", "sheet", F.col("source_row").alias("row"), F.lit(True).alias("trusted"))
     j = chunked.join(trusted, ["document", "sheet", "row"], "left")
     g = j.groupBy("document", "sheet", "chunk_index").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("row_count"), F.count_if("trusted").alias("trusted"), F.array_sort(F.collect_list(F.when(F.col("trusted"), F.col("row")))).alias("t"), F.array_sort(F.collect_list(F.when(F.col("numbered"), F.col("row")))).alias("n"))
@@ -393,8 +396,8 @@ def page_confidence(lines: DataFrame) -> DataFrame:
 
 def record_chunks(records: DataFrame, size: int = RECORDS_PER_CHUNK) -> DataFrame:
     """Records of each page in chunks of `size`: chunk_index, first and last record, count."""
-    chunk = F.floor((F.row_number().over(Window.partitionBy("document", "page").orderBy("ordinal")) - 1) / size).cast("int") + 1
-    return records.withColumn("chunk_index", chunk).groupBy("document", "page", "chunk_index").agg(F.min("record_id").alias("first_record"), F.max("record_id").alias("last_record"), F.count("*").alias("record_count"))
+    numbers = numbered_within(records.select("document", "page", "ordinal", "record_id"), ["document", "page"], [F.col("ordinal")], "nth__")
+    return numbers.withColumn("chunk_index", _chunk(size)).groupBy("document", "page", "chunk_index").agg(F.min("record_id").alias("first_record"), F.max("record_id").alias("last_record"), F.count("*").alias("record_count"))
 
 
 def reliable_candidates(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from stockweave.functions.scalars import INT_MAX, MAX_NAME, alignment_key, coerce_price, coerce_quantity, name_suspicion, review_message_160, suspicion_message, trim_to_null
 
+from .ordering import numbered_within
+
 # Review messages.
 NO_IDENTITY = "Kaynak Excel satırı tek ve güvenilir biçimde belirlenemedi."
 NAME_TOO_LONG = "Kaynak ürün adı izin verilen uzunluğu aşıyor; manuel kontrol gerekli."
@@ -104,12 +106,9 @@ def extraction_stats(chunks: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def global_row_numbers(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """rows (document, chunk_index, position) numbered from 1 through all chunks of their document in source order; chunks give the sums before each."""
-    counts = rows.groupBy("document", "chunk_index").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("document").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select("document", "chunk_index").join(counts, ["document", "chunk_index"], "left").select("document", "chunk_index", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("document", "chunk_index").orderBy("position"))
-    return rows.join(offsets, ["document", "chunk_index"]).withColumn("row_number", F.col("offset") + place)
+    """rows (document, chunk_index, position) of the given chunks, numbered from 1 through all chunks of their document in source order."""
+    kept = rows.join(chunks.select("document", "chunk_index"), ["document", "chunk_index"], "left_semi")
+    return numbered_within(kept, ["document"], [F.col("chunk_index"), F.col("position")], "row_number")
 
 
 def renumber_with_gaps(parsed: DataFrame, manual: DataFrame) -> DataFrame:
@@ -119,8 +118,8 @@ def renumber_with_gaps(parsed: DataFrame, manual: DataFrame) -> DataFrame:
     """
     p = parsed.select("document", F.col("position").cast("bigint").alias("place"), F.lit(1).alias("kind"), F.lit(0).alias("gap"), F.lit(False).alias("is_manual"))
     m = manual.select("document", F.col("insertion_index").cast("bigint").alias("place"), F.when(F.col("insertion_index").isNull(), 1).otherwise(0).alias("kind"), F.coalesce("gap_ordinal", F.lit(0)).alias("gap"), F.lit(True).alias("is_manual"))
-    w = Window.partitionBy("document").orderBy(F.asc_nulls_last("place"), "kind", "gap")
-    return p.unionByName(m).withColumn("row_number", F.row_number().over(w)).select("document", "place", "is_manual", "gap", "row_number")
+    numbers = numbered_within(p.unionByName(m), ["document"], [F.col("place").asc_nulls_last(), F.col("kind"), F.col("gap")], "row_number")
+    return numbers.select("document", "place", "is_manual", "gap", F.col("row_number").cast("int").alias("row_number"))
 
 
 def suppress_invented_codes(extracted: DataFrame, records: DataFrame, chunks: DataFrame) -> DataFrame:

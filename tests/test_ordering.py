@@ -41,3 +41,28 @@ def test_a_key_of_most_rows_is_spread_over_tasks(spark):
 
 def test_no_rows(spark):
     assert numbered_within(spark.range(0).select(F.col("id").alias("key"), "id"), ["key"], [F.col("id")]).count() == 0
+
+
+def test_numbers_of_documents_do_not_depend_on_their_size(spark, monkeypatch):
+    """Every operator that numbers rows of a document gives the same where a document lies in many slices."""
+    from stockweave.operators import documents as D
+    from stockweave.operators import ordering
+    from stockweave.operators import reconcile as R
+
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id") % 5).otherwise(9).alias("document"), F.col("id").alias("line"), (F.col("id") / 7).cast("int").alias("chunk_index"), F.col("id").alias("position"), F.lit("s").alias("sheet"), F.col("id").alias("row"), (F.col("id") % 4 == 0).alias("numbered"), F.lit(1).alias("page"), F.col("id").alias("ordinal"), F.col("id").alias("record_id"), F.when(F.col("id") % 6 > 0, F.col("id")).alias("insertion_index"), F.col("id").cast("int").alias("gap_ordinal"))
+    records = rows.where("row % 5 = 0").withColumnRenamed("row", "source_row")
+
+    def every():
+        frames = [
+            D.row_chunks(rows, ["document"], "line"),
+            D.excel_chunks(rows, records),
+            D.record_chunks(rows),
+            R.global_row_numbers(rows, rows.where("chunk_index < 90")).select("document", "line", "row_number"),
+            R.renumber_with_gaps(rows.select("document", "position"), rows.select("document", "insertion_index", "gap_ordinal")),
+        ]
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    want = every()
+    monkeypatch.setattr(ordering.running, "__defaults__", (4, 20))
+    monkeypatch.setattr(ordering.numbered_within, "__defaults__", ("row_no", 4, 20))
+    assert every() == want and all(want)
