@@ -50,11 +50,15 @@ def _count(tests: list[Column]) -> Column:
 # ---- delimited text ----
 
 
+def file_lines(spark: SparkSession, paths: str) -> DataFrame:
+    """UTF-8 files -> document, line_no (physical, from 1), text. A file is read by its splits, each line with the split it begins in; lines are numbered along the splits of their file."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    return numbered_within(lines, ["document"], [F.col("block"), F.col("at")], "line_no").select("document", F.col("line_no").cast("int").alias("line_no"), "text")
+
+
 def delimited_rows(spark: SparkSession, paths: str) -> DataFrame:
     """UTF-8 files -> document, line_no (physical, from 1), text, delimiter, is_header: blank lines are dropped but counted."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("document"), "value")
-    lines = files.select("document", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "text"))
-    return with_delimiter(lines.select("document", (F.col("at") + 1).alias("line_no"), "text"))
+    return with_delimiter(file_lines(spark, paths))
 
 
 def with_delimiter(lines: DataFrame) -> DataFrame:

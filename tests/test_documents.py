@@ -45,6 +45,28 @@ def test_notes_are_not_trusted(spark):
     assert notes.header_row is None and notes.content == "a\nb\nc"
 
 
+def test_files_of_several_splits(spark, tmp_path):
+    rng = random.Random(2)
+    texts = {}
+    for name in ("a.csv", "b.csv", "empty.csv"):
+        rows = [";".join(rng.choice(["", "ürün", "x" * 30, " "]) for _ in range(rng.randint(0, 4))) for _ in range(0 if name[0] == "e" else 400)]
+        texts[name] = "".join(r + rng.choice(["\n", "\r\n", "\r", "\n\n"]) for r in rows) + ("" if name[0] != "a" else "end;1")
+        (tmp_path / name).write_bytes(texts[name].encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        out = D.delimited_rows(spark, str(tmp_path))
+        got = sorted((r.document.rsplit("/", 1)[1], r.line_no, r.text, r.is_header) for r in out.collect())
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = []
+    for name, text in texts.items():
+        kept = [(k, line) for k, line in enumerate(re.split(r"\r\n|\r|\n", text), 1) if line.strip()]
+        want += [(name, k, line, k == kept[0][0]) for k, line in kept]
+    assert got == sorted(want)
+
+
 def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Ad;Adet\n\nKalem;3\r\nDefter;4\nSilgi;5\n", encoding="utf-8")
     rows = D.delimited_rows(spark, str(tmp_path))
