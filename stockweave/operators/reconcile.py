@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stockweave.functions.scalars import INT_MAX, MAX_NAME, alignment_key, coerce_price, coerce_quantity, name_suspicion, review_message_160, suspicion_message, trim_to_null
+from stockweave.sources.shared import stage
 
 from .ordering import numbered_within
 
@@ -139,25 +140,59 @@ def _fits(a: Column, b: Column) -> Column:
     return (a == b) | ((F.length(a) >= 4) & F.contains(b, a)) | ((F.length(b) >= 4) & F.contains(a, b))
 
 
+#: Characters of the pieces by which keys that hold others are found: a key is looked up by its first piece, of the greatest length that it has.
+PIECES = (16, 8, 4)
+
+
+def _first_piece(key: Column) -> Column:
+    return F.coalesce(*[F.when(F.length(key) >= n, F.left(key, F.lit(n))) for n in PIECES])
+
+
+def _pieces(key: Column) -> Column:
+    """Every piece of a key of one of the lengths, once."""
+    of = lambda n: F.when(F.length(key) >= n, F.transform(F.sequence(F.lit(1), F.length(key) - (n - 1)), lambda i: F.substring(key, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in PIECES]))
+
+
+def _fitting(asked: DataFrame, records: DataFrame) -> DataFrame:
+    """asked (chunk_id, position, out), records (chunk_id, position, record_id, k) -> chunk_id, position, other: the first other record of the chunk that fits the name.
+
+    An index of each chunk by whole keys and by pieces: a key within another has its first piece among the other's, so only those that share it are compared.
+    """
+    r = records.where("k IS NOT NULL").select("chunk_id", F.col("position").alias("there"), "record_id", "k")
+    r = r.join(asked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    same = asked.join(r.withColumn("out", F.col("k")), ["chunk_id", "out"])
+    within = asked.withColumn("piece", F.explode(_pieces(F.col("out")))).join(r.withColumn("piece", _first_piece(F.col("k"))), ["chunk_id", "piece"])
+    around = asked.withColumn("piece", _first_piece(F.col("out"))).join(r.withColumn("piece", F.explode(_pieces(F.col("k")))), ["chunk_id", "piece"])
+    columns = ["chunk_id", "position", "out", "there", "record_id", "k"]
+    found = same.select(*columns).unionByName(within.select(*columns)).unionByName(around.select(*columns))
+    fit = found.where((F.col("there") != F.col("position")) & _fits(F.col("k"), F.col("out")))
+    return fit.groupBy("chunk_id", "position").agg(F.min_by("record_id", "there").alias("other"))
+
+
 def align_records(extracted: DataFrame, records: DataFrame) -> DataFrame:
     """extracted (chunk_id, position, product_name, quantity) of reliable page chunks beside records (chunk_id, position, record_id, name_anchor, quantity_anchor) -> product_name, error.
 
     Only chunks with as many rows as records. A row's own record number is cut off its name. The name must fit the anchor, which then replaces it; an error says which
-    other record it fits. A wrong quantity that is another record's, or one name for different anchors, is an error too. Records meet only within their chunk.
+    other record it fits. A wrong quantity that is another record's, or one name for different anchors, is an error too. Records meet only within their chunk, and there by equal quantities or pieces of keys.
     """
     n = extracted.groupBy("chunk_id").agg(F.count("*").alias("a")).join(records.groupBy("chunk_id").agg(F.count("*").alias("b")), "chunk_id").where("a = b").select("chunk_id")
-    whole = records.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("position", "record_id", alignment_key(F.col("name_anchor")).alias("k"), F.col("quantity_anchor").alias("q")))).alias("all"))
-    j = extracted.join(n, "chunk_id", "left_semi").join(records.select("chunk_id", "position", "record_id", "name_anchor", "quantity_anchor"), ["chunk_id", "position"]).join(whole, "chunk_id")
+    rec = records.select("chunk_id", "position", "record_id", "name_anchor", "quantity_anchor", alignment_key(F.col("name_anchor")).alias("k"))
+    j = extracted.join(n, "chunk_id", "left_semi").join(rec.withColumnRenamed("k", "src"), ["chunk_id", "position"])
     name = trim_to_null(F.col("product_name"))
     cut = F.regexp_replace(name, F.concat(F.lit(r"^\s*"), F.col("record_id").cast("string"), F.lit(r"\s*[.)\-:]?\s+")), F.lit(""))
-    j = j.withColumn("name", F.when(F.length(F.trim(cut)) > 0, cut).otherwise(name)).withColumn("out", alignment_key(F.col("name"))).withColumn("src", alignment_key(F.col("name_anchor")))
+    j = j.withColumn("name", F.when(F.length(F.trim(cut)) > 0, cut).otherwise(name)).withColumn("out", alignment_key(F.col("name")))
     wrong = F.col("src").isNotNull() & ~F.coalesce(_fits(F.col("src"), F.col("out")), F.lit(False))
-    other = F.get(F.filter("all", lambda r: (r["position"] != F.col("position")) & F.coalesce(_fits(r["k"], F.col("out")), F.lit(False))), F.lit(0))["record_id"]
-    moved = F.exists("all", lambda r: (r["position"] != F.col("position")) & F.coalesce(r["q"] == F.col("quantity"), F.lit(False))) & F.coalesce(F.col("quantity_anchor") != F.col("quantity"), F.lit(False))
+    j = stage(j.select("chunk_id", "position", "name", "name_anchor", "out", "src", "quantity", "quantity_anchor", wrong.alias("wrong")), "aligned")
+    other = _fitting(j.where("wrong AND out IS NOT NULL").select("chunk_id", "position", "out"), rec)
+    # its own anchor is another quantity, so a record that has this one is another
+    quantities = rec.where("quantity_anchor IS NOT NULL").select("chunk_id", F.col("quantity_anchor").alias("quantity")).distinct().withColumn("held", F.lit(True))
+    j = j.join(other, ["chunk_id", "position"], "left").join(quantities, ["chunk_id", "quantity"], "left")
+    moved = F.coalesce("held", F.lit(False)) & F.coalesce(F.col("quantity_anchor") != F.col("quantity"), F.lit(False))
     j = j.withColumn("final", F.coalesce("src", "out"))
     earlier = Window.partitionBy("chunk_id", "final").orderBy("position")
     two = F.col("final").isNotNull() & F.coalesce(F.first("src").over(earlier) != F.col("src"), F.lit(False))
-    error = F.when(wrong, F.when(other.isNotNull(), F.concat(F.lit("fits record "), other.cast("string"))).otherwise("name does not fit")).when(moved, "quantity of another record").when(two, "one name for two records")
+    error = F.when(F.col("wrong"), F.when(F.col("other").isNotNull(), F.concat(F.lit("fits record "), F.col("other").cast("string"))).otherwise("name does not fit")).when(moved, "quantity of another record").when(two, "one name for two records")
     return j.select("chunk_id", "position", F.coalesce("name_anchor", "name").alias("product_name"), error.alias("error"))
 
 

@@ -197,6 +197,29 @@ def test_align_records(spark):
     assert bad[1] == "fits record 2" and bad[2] == "quantity of another record"
 
 
+def test_alignment_against_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["vida", "kalem", "m3", "uzun kablo", "x" * 9, "ab", "kutu mavi"])
+    names = [rng.choice([None, " ".join(word() for _ in range(rng.randint(1, 4)))]) for _ in range(120)]
+    rec = [("c", i, 1000 + i, n, rng.choice([None, 1, 2, i])) for i, n in enumerate(names)]
+    out = [("c", i, rng.choice([names[i], rng.choice(names), " ".join(word() for _ in range(2)), None]), rng.choice([1, 2, i, 500])) for i in range(120)]
+    r = spark.createDataFrame(rec, "chunk_id string, position int, record_id int, name_anchor string, quantity_anchor int")
+    e = spark.createDataFrame(out, "chunk_id string, position int, product_name string, quantity int")
+    fits = lambda a, b: a == b or len(a) >= 4 and a in b or len(b) >= 4 and b in a
+    got = {x.position: x.error for x in R.align_records(e, r).collect()}
+    seen = 0
+    for (_, i, name, q), (_, _, _, src, own) in zip(out, rec, strict=True):
+        if src and not (name and fits(src, name)):
+            hit = [x[2] for x in rec if x[1] != i and x[3] and name and fits(x[3], name)]
+            assert got[i] == (f"fits record {hit[0]}" if hit else "name does not fit")
+            seen += bool(hit)
+        elif own is not None and q != own and any(x[4] == q for x in rec if x[1] != i):
+            assert got[i] == "quantity of another record"
+        else:
+            assert got[i] in (None, "one name for two records")
+    assert seen > 10
+
+
 def test_split_failed_chunks(spark):
     r = spark.createDataFrame([("a", i, i) for i in range(5)] + [("b", 0, 0)], "chunk_id string, position int, record_id int")
     halves, lone = R.split_failed_chunks(r, spark.createDataFrame([("a",), ("b",)], "chunk_id string"))
