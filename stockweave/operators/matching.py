@@ -81,10 +81,27 @@ def conflict_sentence(conflicts: Column) -> Column:
     return F.when(n == 1, one).when(n > 1, many)
 
 
+def conflict_values(products: DataFrame) -> DataFrame:
+    """key, place (of the field in CONFLICTS), field, value, first_id: a row for every distinct value, as shown, of a field in which the products of a name differ; a blank is a value.
+
+    All by aggregates that merge before their shuffle: no list of a name's products is built.
+    """
+    keyed = products.withColumn("key", canonical_name(F.col("name"))).where("key IS NOT NULL")
+    shown = lambda c: F.when(F.length(F.trim(F.col(c).cast("string"))) > 0, F.col(c).cast("string")).otherwise(UNSTATED)
+    each = [F.struct(F.lit(n).alias("place"), F.lit(field).alias("field"), F.col(identity).cast("string").alias("identity"), shown(text).alias("value")) for n, (field, identity, text) in enumerate(CONFLICTS)]
+    values = keyed.select("key", "id", F.explode(F.array(*each)).alias("f")).select("key", "id", "f.*").groupBy("key", "place", "field", "identity", "value").agg(F.min("id").alias("first_id"))
+    # from here on a row per distinct value
+    of_field = values.groupBy("key", "place").agg(F.min("identity").alias("least"), F.max("identity").alias("most"), F.count("identity").alias("stated"), F.count("*").alias("all"))
+    differ = of_field.where("least <> most OR (stated > 0 AND stated < all)").select("key", "place")
+    return values.join(differ, ["key", "place"], "left_semi").groupBy("key", "place", "field", "value").agg(F.min("first_id").alias("first_id"))
+
+
 def match_conflict_details(products: DataFrame) -> DataFrame:
-    """key, fields, message of every group that differs."""
-    c = catalogue_groups(products).withColumn("conflicts", conflicts_of(F.col("candidates")))
-    return c.where(F.size("conflicts") > 0).select("key", F.transform("conflicts", lambda x: x["field"]).alias("fields"), conflict_sentence(F.col("conflicts")).alias("message"))
+    """key, fields, message of every group that differs. A message lists values only where a single field differs; each once, in the order of the least id that has it."""
+    v = conflict_values(products)
+    fields = v.groupBy("key", "place", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "value"))), lambda x: x["value"]).alias("values"))
+    c = fields.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "field", "values"))), lambda x: F.struct(x["field"].alias("field"), x["values"].alias("values"))).alias("conflicts"))
+    return c.select("key", F.transform("conflicts", lambda x: x["field"]).alias("fields"), conflict_sentence(F.col("conflicts")).alias("message"))
 
 
 def match_preview(rows: DataFrame, products: DataFrame, source: str) -> DataFrame:
