@@ -222,12 +222,6 @@ def fingerprint_item(p: Column) -> Column:
     return F.concat(F.concat_ws(":", *[text(p[k]) for k in ("id", "name", "source", "unit", "category_id", "min_stock_level", "shelf_location", "quantity")]), F.lit("|"))
 
 
-def match_fingerprint(key: Column, source: Column, products: Column) -> Column:
-    """Fingerprint of an import name, the selected source and the matched products (array of structs in id order)."""
-    text = lambda c: F.coalesce(c, F.lit("null"))
-    return name_uuid(F.concat(text(key), F.lit("|"), text(source), F.lit("|"), F.array_join(F.transform(products, fingerprint_item), "")))
-
-
 def source_identity(sheet: Column, row: Column) -> Column:
     return F.concat(F.lit("xlsx:"), sheet, F.lit(":row:"), row.cast("string"))
 

@@ -18,7 +18,7 @@ def decide(rows: DataFrame, products: DataFrame, source: str) -> DataFrame:
     A fingerprint that no longer fits is stale. One product in the source is the target, whatever was chosen if nothing else was.
     Else an explicit choice counts: an existing product among those of the source, or of all if the source has none, or a new one if the source has none; both need a fingerprint.
     """
-    facts = group_facts(products, source).select("key__", "n_all", "n_own", F.col("own.id").alias("only"), "printed")
+    facts = group_facts(products, source).select("key__", "n_all", "n_own", F.col("own_id").alias("only"), "printed")
     m = confirmed_row_errors(rows).withColumn("key", canonical_name(F.col("product_name"))).join(facts, F.col("key") == F.col("key__"), "left")
     # the product chosen, if it is a match of the row; no list of matches goes with a row
     picked = products.select(F.col("id").alias("picked__"), canonical_name(F.col("name")).alias("picked_key__"), F.col("source").alias("picked_source__"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.functions.scalars import INT_MAX, canonical_name, historical_summary, match_fingerprint, name_uuid, trim_to_null
+from stockweave.functions.scalars import INT_MAX, canonical_name, fingerprint_item, historical_summary, name_uuid, trim_to_null
 
 # Conflict fields in order, the placeholder for blanks, states of a preview row.
 UNSTATED = "Belirtilmemiş"
@@ -14,37 +19,75 @@ STATUS = {"new": "Yeni ürün", "existing": "Mevcut ürün", "review": "Kontrol
 FIELDS = ("id", "name", "category_id", "category", "quantity", "unit", "min_stock_level", "shelf_location", "source")
 
 
-def catalogue_groups(products: DataFrame) -> DataFrame:
-    """key -> candidates (structs in id order): products by canonical name, keyed once; products without a key are in no group."""
-    keyed = products.withColumn("key", canonical_name(F.col("name"))).where("key IS NOT NULL")
-    return keyed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("candidates"))
+def _named(source: str | None) -> str:
+    """The source in messages and fingerprints, where null prints as null."""
+    return "null" if source is None else source
+
+
+def keyed_products(products: DataFrame) -> DataFrame:
+    """products with key, their canonical name; products without one match nothing and are left out."""
+    return products.withColumn("key", canonical_name(F.col("name"))).where("key IS NOT NULL")
 
 
 def canonical_match(rows: DataFrame, products: DataFrame, name: str = "product_name") -> DataFrame:
-    """rows with key and candidates, an empty array where nothing matches; a null key matches nothing."""
-    blank = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in products.select(*FIELDS).schema])
-    none = F.filter(F.array(blank), lambda x: F.lit(False))
+    """rows with key, matches and first_id (the least id that matches); a null key matches nothing.
+
+    Facts of a name are aggregates that merge before their shuffle, and the only thing that goes with a row. The products themselves stay a table by key: matched_products.
+    """
+    facts = keyed_products(products).groupBy(F.col("key").alias("key__")).agg(F.count("*").alias("matches"), F.min("id").alias("first_id"))
     keyed = rows.withColumn("key", canonical_name(F.col(name)))
-    return keyed.join(catalogue_groups(products), "key", "left").withColumn("candidates", F.coalesce("candidates", none))
+    return keyed.join(facts, F.col("key") == F.col("key__"), "left").withColumn("matches", F.coalesce("matches", F.lit(0))).drop("key__")
 
 
-def group_facts(products: DataFrame, source: str) -> DataFrame:
-    """Per canonical name, computed once and not for every import row: candidates, n_all, n_own (of the source, null matching null), own (the one with the least id), printed (fingerprint), conflicts, conflict_message, summaries."""
-    g = catalogue_groups(products).withColumn("own__", in_source(F.col("candidates"), F.lit(source))).withColumn("conflicts", conflicts_of(F.col("candidates")))
-    return g.select(
-        F.col("key").alias("key__"), "candidates", F.size("candidates").alias("n_all"), F.size("own__").alias("n_own"), F.get("own__", F.lit(0)).alias("own"), match_fingerprint(F.col("key"), F.lit(source), F.col("candidates")).alias("printed"),
-        F.transform("conflicts", lambda x: x["field"]).alias("conflicts"), conflict_sentence(F.col("conflicts")).alias("conflict_message"), F.transform("candidates", lambda p: historical_summary(p["name"], p["source"], p["unit"], p["quantity"])).alias("summaries"),
-    )
+def source_filtered_match(rows: DataFrame, products: DataFrame, source: str | None, name: str = "product_name") -> DataFrame:
+    """As canonical_match, of the products of exactly the selected source, null matching null."""
+    return canonical_match(rows, products.where(F.col("source").eqNullSafe(F.lit(source))), name)
 
 
-def no_match(source: str) -> Column:
-    """The fingerprint of a name that nothing in the catalogue has."""
-    return name_uuid(F.concat(F.coalesce("key", F.lit("null")), F.lit(f"|{source}|")))
+def matched_products(rows: DataFrame, products: DataFrame, name: str = "product_name") -> DataFrame:
+    """key, FIELDS and summary of every product that some row matches, each product once however many rows have its name."""
+    asked = rows.select(canonical_name(F.col(name)).alias("key")).where("key IS NOT NULL").distinct()
+    members = keyed_products(products).select("key", *FIELDS, historical_summary(F.col("name"), F.col("source"), F.col("unit"), F.col("quantity")).alias("summary"))
+    return members.join(asked, "key", "left_semi")
 
 
-def in_source(candidates: Column, source: Column) -> Column:
-    """Candidates of exactly the selected source, null matching null."""
-    return F.filter(candidates, lambda p: p["source"].eqNullSafe(source))
+def fingerprints(products: DataFrame, source: str | None) -> DataFrame:
+    """key, fingerprint: the version-3 UUID over key, source and every product of the name, in id order.
+
+    A digest in a stated order is sequential, so a name is one task; but its products stream by, sorted by Spark, which spills, and only the digest is kept.
+    """
+    head = f"|{_named(source)}|"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+        for batch in batches:
+            keys, out = [], []
+            for k, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != key:
+                    if digest:
+                        keys.append(key)
+                        out.append(str(uuid.UUID(bytes=digest.digest(), version=3)))
+                    key, digest = k, hashlib.md5((k + head).encode(), usedforsecurity=False)
+                digest.update(item.encode())
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(out, pa.string())], names=["key", "fingerprint"])
+        if digest:
+            yield pa.record_batch([pa.array([key]), pa.array([str(uuid.UUID(bytes=digest.digest(), version=3))])], names=["key", "fingerprint"])
+
+    p = keyed_products(products)
+    items = p.select("key", "id", fingerprint_item({c: F.col(c) for c in p.columns}).alias("item")).repartition("key").sortWithinPartitions("key", "id", "item")
+    return items.select("key", "item").mapInArrow(run, "key string, fingerprint string")
+
+
+def group_facts(products: DataFrame, source: str | None) -> DataFrame:
+    """key__, n_all, n_own (products of the source, null matching null), own_id and own_stock (of the only one, where n_own is 1), printed (fingerprint): per canonical name."""
+    own = F.col("source").eqNullSafe(F.lit(source))
+    counts = keyed_products(products).groupBy("key").agg(F.count("*").alias("n_all"), F.count_if(own).alias("n_own"), F.min(F.when(own, F.col("id"))).alias("own_id"), F.min(F.when(own, F.col("quantity"))).alias("own_stock"))
+    return counts.join(fingerprints(products, source), "key", "left").withColumnsRenamed({"key": "key__", "fingerprint": "printed"})
+
+
+def no_match(source: str | None) -> Column:
+    """The fingerprint of a name that nothing in the catalogue has."""
+    return name_uuid(F.concat(F.coalesce("key", F.lit("null")), F.lit(f"|{_named(source)}|")))
 
 
 def match_group_resolution(products: DataFrame) -> DataFrame:
@@ -52,7 +95,7 @@ def match_group_resolution(products: DataFrame) -> DataFrame:
 
     One pass of mergeable aggregates: a value set of at most two would do, so sizes are compared through min, max and nulls.
     """
-    keyed = products.withColumn("key", canonical_name(F.col("name"))).where("key IS NOT NULL")
+    keyed = keyed_products(products)
     one_value = lambda c: F.min(c).eqNullSafe(F.max(c)) & ((F.count(c) == 0) | (F.count(c) == F.count(F.lit(1))))
     safe = one_value("category_id")
     for _, c, _ in CONFLICTS[1:]:
@@ -62,17 +105,6 @@ def match_group_resolution(products: DataFrame) -> DataFrame:
     return g.select("key", "matches", ok.alias("safe"), F.when(ok, F.col("least_id")).alias("target_id"), F.when(ok, F.col("stock")).otherwise(0).alias("total_stock"))
 
 
-def conflicts_of(candidates: Column) -> Column:
-    """array<struct<field, values>> of the fields in which candidates differ; values as shown, distinct, first seen first."""
-    def conflict(field: str, identity: str, shown: str) -> Column:
-        differs = F.size(F.array_distinct(F.transform(candidates, lambda p: F.struct(p[identity])))) > 1
-        text = lambda p: F.when(F.length(F.trim(p[shown].cast("string"))) > 0, p[shown].cast("string")).otherwise(UNSTATED)
-        return F.when(differs, F.struct(F.lit(field).alias("field"), F.array_distinct(F.transform(candidates, text)).alias("values")))
-
-    found = [conflict(*c) for c in CONFLICTS]
-    return F.array_compact(F.array(*found))
-
-
 def conflict_sentence(conflicts: Column) -> Column:
     names = F.transform(conflicts, lambda c: c["field"])
     n = F.size(conflicts)
@@ -86,7 +118,7 @@ def conflict_values(products: DataFrame) -> DataFrame:
 
     All by aggregates that merge before their shuffle: no list of a name's products is built.
     """
-    keyed = products.withColumn("key", canonical_name(F.col("name"))).where("key IS NOT NULL")
+    keyed = keyed_products(products)
     shown = lambda c: F.when(F.length(F.trim(F.col(c).cast("string"))) > 0, F.col(c).cast("string")).otherwise(UNSTATED)
     each = [F.struct(F.lit(n).alias("place"), F.lit(field).alias("field"), F.col(identity).cast("string").alias("identity"), shown(text).alias("value")) for n, (field, identity, text) in enumerate(CONFLICTS)]
     values = keyed.select("key", "id", F.explode(F.array(*each)).alias("f")).select("key", "id", "f.*").groupBy("key", "place", "field", "identity", "value").agg(F.min("id").alias("first_id"))
@@ -108,39 +140,39 @@ def match_preview(rows: DataFrame, products: DataFrame, source: str) -> DataFram
     """rows (product_name, quantity, review_required, review_message, ...) with the match of the selected source.
 
     Rows without name or positive quantity are passed through unmatched. No match: new. One match in the source: existing, with its stock and
-    the projected one. Otherwise a review with its reason; a review that the document asked for stays beside it.
+    the projected one. Otherwise a review with its reason; a review that the document asked for stays beside it. Rows carry key, facts of its group and conflicts;
+    the matches themselves, with their summaries, are matched_products, by key.
     """
-    blank = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in products.select(*FIELDS).schema])
     eligible = trim_to_null(F.col("product_name")).isNotNull() & F.coalesce(F.col("quantity") >= 1, F.lit(False))
     keyed = rows.withColumn("key", canonical_name(F.col("product_name"))).withColumn("eligible", eligible)
-    m = keyed.join(group_facts(products, source), F.col("key") == F.col("key__"), "left").withColumns({
-        "candidates": F.coalesce("candidates", F.filter(F.array(blank), lambda x: F.lit(False))), "n_all": F.coalesce("n_all", F.lit(0)), "n_own": F.coalesce("n_own", F.lit(0)), "printed": F.coalesce("printed", no_match(source)),
-        "conflicts": F.coalesce("conflicts", F.array().cast("array<string>")), "summaries": F.coalesce("summaries", F.array().cast("array<string>")),
+    conflicts = match_conflict_details(products).select(F.col("key").alias("key__"), F.col("fields").alias("conflict_fields"), F.col("message").alias("conflict_message"))
+    facts = group_facts(products, source).join(conflicts, "key__", "left")
+    m = keyed.join(facts, F.col("key") == F.col("key__"), "left").withColumns({
+        "n_all": F.coalesce("n_all", F.lit(0)), "n_own": F.coalesce("n_own", F.lit(0)), "printed": F.coalesce("printed", no_match(source)), "conflict_fields": F.coalesce("conflict_fields", F.array().cast("array<string>")),
     })
     fresh, one = F.col("n_all") == 0, F.col("n_own") == 1
     state = F.when(~F.col("eligible"), None).when(fresh, "new").when(one, "existing").otherwise("review")
     m = m.withColumn("state", state)
-    target = F.when(F.col("state") == "existing", F.col("own"))
-    none_own = F.concat(F.lit("Bu ürün adıyla mevcut kayıtlar bulundu ancak seçilen kaynak "), F.lit(source), F.lit(" ile eşleşen kayıt yok."))
-    many_own = F.concat(F.lit("Seçilen kaynak "), F.lit(source), F.lit(" için "), F.col("n_own").cast("string"), F.lit(" mevcut kayıt bulundu; hedef kayıt seçilmelidir."))
+    target = lambda c: F.when(F.col("state") == "existing", F.col(c))
+    none_own = F.concat(F.lit("Bu ürün adıyla mevcut kayıtlar bulundu ancak seçilen kaynak "), F.lit(_named(source)), F.lit(" ile eşleşen kayıt yok."))
+    many_own = F.concat(F.lit("Seçilen kaynak "), F.lit(_named(source)), F.lit(" için "), F.col("n_own").cast("string"), F.lit(" mevcut kayıt bulundu; hedef kayıt seçilmelidir."))
     review = F.col("state") == "review"
     return m.withColumns({
         "match_status": F.when(F.col("state") == "new", STATUS["new"]).when(F.col("state") == "existing", STATUS["existing"]).when(review, STATUS["review"]),
         "resolution_type": F.when(F.col("state") == "new", "NEW").when(F.col("state") == "existing", "EXISTING"),
-        "selected_product_id": target["id"],
-        "existing_stock": target["quantity"],
-        "projected_stock": target["quantity"].cast("bigint") + F.col("quantity"),
+        "selected_product_id": target("own_id"),
+        "existing_stock": target("own_stock"),
+        "projected_stock": target("own_stock").cast("bigint") + F.col("quantity"),
         "match_review_required": F.coalesce(review, F.lit(False)),
         "document_review_required": F.col("review_required"),
         "review_message": F.when(review, F.when(F.col("n_own") == 0, none_own).otherwise(many_own)).otherwise(F.col("review_message")),
         "review_required": F.col("review_required") | F.coalesce(review, F.lit(False)),
         "match_fingerprint": F.when(F.col("eligible"), F.col("printed")),
-        "conflict_fields": F.col("conflicts"),
-        "matched_product_summaries": F.col("summaries"),
-    }).drop("eligible", "own", "state", "n_all", "n_own", "printed", "conflicts", "summaries", "key__")
+    }).drop("eligible", "own_id", "own_stock", "state", "n_all", "n_own", "printed", "key__")
 
 
-def manual_resolution_options(candidates: Column, source: Column) -> Column:
-    """struct(options, allow_new): candidates of the selected source if there are any, else all of them and a new product."""
-    own = in_source(candidates, source)
-    return F.when(F.size(own) > 0, F.struct(own.alias("options"), F.lit(False).alias("allow_new"))).otherwise(F.struct(candidates.alias("options"), F.lit(True).alias("allow_new")))
+def manual_resolution_options(products: DataFrame, source: str | None) -> DataFrame:
+    """key, id, allow_new: what a user may choose for a name. Products of the selected source if there are any; else all of them, and a new product."""
+    p = keyed_products(products).select("key", "id", F.col("source").eqNullSafe(F.lit(source)).alias("own"))
+    groups = p.groupBy("key").agg((F.count_if("own") == 0).alias("allow_new"))
+    return p.join(groups, "key").where("own OR allow_new").select("key", "id", "allow_new")

@@ -173,16 +173,20 @@ def gap_location(v):
 KEYED = f"keyed AS (SELECT *, {sql_canonical('name')} AS key FROM {{products}}), imports AS (SELECT *, {sql_canonical('product_name')} AS key FROM {{import_rows}})"
 
 
-@query("canonical_match", f"WITH {KEYED} SELECT i.position, i.key, count(k.id) AS matches, coalesce(string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.id), '') AS ids FROM imports i LEFT JOIN keyed k ON k.key = i.key GROUP BY i.position, i.key")
+@query("canonical_match", f"WITH {KEYED} SELECT i.position, i.key, count(k.id) AS matches, min(k.id) AS first_id FROM imports i LEFT JOIN keyed k ON k.key = i.key GROUP BY i.position, i.key")
 def canonical_match(v):
-    m = M.canonical_match(v("import_rows"), v("products"))
-    return m.select("position", "key", F.size("candidates").cast("bigint").alias("matches"), F.array_join(F.transform("candidates", lambda p: p["id"].cast("string")), ",").alias("ids"))
+    return M.canonical_match(v("import_rows"), v("products")).select("position", "key", "matches", "first_id")
 
 
-@query("source_filtered_match", f"WITH {KEYED} SELECT i.position, coalesce(string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.id) FILTER (WHERE k.source IS NULL AND k.id IS NOT NULL), '') AS ids FROM imports i LEFT JOIN keyed k ON k.key = i.key GROUP BY i.position")
+@query("source_filtered_match", f"WITH {KEYED} SELECT i.position, count(k.id) AS matches, min(k.id) AS first_id FROM imports i LEFT JOIN keyed k ON k.key = i.key AND k.source IS NULL GROUP BY i.position")
 def source_filtered_match(v):
-    m = M.canonical_match(v("import_rows"), v("products"))
-    return m.select("position", F.array_join(F.transform(M.in_source(F.col("candidates"), F.lit(None).cast("string")), lambda p: p["id"].cast("string")), ",").alias("ids"))
+    return M.source_filtered_match(v("import_rows"), v("products"), None).select("position", "matches", "first_id")
+
+
+@query("matched_products", f"""WITH {KEYED} SELECT key, id, name || ' — ' || coalesce(source, 'Kaynak belirtilmemiş') || ' — ' || coalesce(unit, 'Birim belirtilmemiş') || ' — stok ' || CAST(quantity AS VARCHAR) AS summary
+FROM keyed WHERE key IN (SELECT key FROM imports)""")
+def matched_products(v):
+    return M.matched_products(v("import_rows"), v("products")).select("key", "id", "summary")
 
 
 ONE = lambda c: f"(count(DISTINCT {c}) + CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END) <= 1"
@@ -199,14 +203,13 @@ def _shown(c: str) -> str:
 
 
 _FIELDS = [("Kategori", "category_id", "category"), ("Kaynak", "source", "source"), ("Birim", "unit", "unit"), ("Minimum stok", "min_stock_level", "min_stock_level"), ("Raf konumu", "shelf_location", "shelf_location")]
-CONFLICTS = f"""WITH {KEYED},
-seen AS ({' UNION ALL '.join(f"SELECT key, {n} AS n, '{f}' AS field, {_shown(s)} AS value, min(id) AS first_id FROM keyed WHERE key IS NOT NULL GROUP BY key, {_shown(s)}" for n, (f, _, s) in enumerate(_FIELDS))}),
+CONFLICTS = f"""seen AS ({' UNION ALL '.join(f"SELECT key, {n} AS n, '{f}' AS field, {_shown(s)} AS value, min(id) AS first_id FROM keyed WHERE key IS NOT NULL GROUP BY key, {_shown(s)}" for n, (f, _, s) in enumerate(_FIELDS))}),
 differ AS ({' UNION ALL '.join(f"SELECT key, {n} AS n FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING NOT ({ONE(c)})" for n, (_, c, _) in enumerate(_FIELDS))}),
 fields AS (SELECT s.key, s.n, s.field, string_agg(s.value, ' / ' ORDER BY s.first_id) AS shown FROM seen s JOIN differ d ON d.key = s.key AND d.n = s.n GROUP BY s.key, s.n, s.field),
 lists AS (SELECT key, list(field ORDER BY n) AS fs, min(shown) AS only_shown FROM fields GROUP BY key)"""
 
 
-@query("match_conflict_details", f"""{CONFLICTS} SELECT key, array_to_string(fs, '|') AS fields,
+@query("match_conflict_details", f"""WITH {KEYED}, {CONFLICTS} SELECT key, array_to_string(fs, '|') AS fields,
   CASE WHEN len(fs) = 1 THEN fs[1] || ' farklı: ' || only_shown ELSE array_to_string(fs[1:len(fs) - 1], ', ') || ' ve ' || fs[len(fs)] || ' farklı.' END AS message FROM lists""")
 def match_conflict_details(v):
     return M.match_conflict_details(v("products")).select("key", F.array_join("fields", "|").alias("fields"), "message")
@@ -217,30 +220,33 @@ hits AS (SELECT i.position, count(k.id) AS n_all, count(k.id) FILTER (WHERE k.so
 state AS (SELECT i.*, h.n_all, h.n_own, h.own_id, h.own_stock, CASE WHEN nullif({sql_trim('i.product_name')}, '') IS NULL OR coalesce(i.quantity, 0) < 1 THEN NULL WHEN n_all = 0 THEN 'new' WHEN n_own = 1 THEN 'existing' ELSE 'review' END AS state FROM imports i JOIN hits h ON h.position = i.position)"""
 
 
-@query("match_preview", f"""{PREVIEW} SELECT position, CASE state WHEN 'new' THEN 'Yeni ürün' WHEN 'existing' THEN 'Mevcut ürün' WHEN 'review' THEN 'Kontrol gerekli' END AS match_status,
+PRINTED = "concat_ws(':', CAST(id AS VARCHAR), coalesce(name, 'null'), coalesce(source, 'null'), coalesce(unit, 'null'), coalesce(CAST(category_id AS VARCHAR), 'null'), coalesce(CAST(min_stock_level AS VARCHAR), 'null'), coalesce(shelf_location, 'null'), coalesce(CAST(quantity AS VARCHAR), 'null')) || '|'"
+HASHED = f"hashed AS (SELECT key, md5(key || '|Belediye|' || string_agg({PRINTED}, '' ORDER BY id)) AS h FROM keyed WHERE key IS NOT NULL GROUP BY key)"
+
+
+def _uuid(h: str) -> str:
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-3' || substr({h}, 14, 3) || '-' || substr('89ab', CAST((instr('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1 AS INT), 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+@query("match_preview", f"""{PREVIEW}, {CONFLICTS}, {HASHED} SELECT position, CASE state WHEN 'new' THEN 'Yeni ürün' WHEN 'existing' THEN 'Mevcut ürün' WHEN 'review' THEN 'Kontrol gerekli' END AS match_status,
   CASE state WHEN 'new' THEN 'NEW' WHEN 'existing' THEN 'EXISTING' END AS resolution_type, CASE WHEN state = 'existing' THEN own_id END AS selected_product_id, CASE WHEN state = 'existing' THEN own_stock END AS existing_stock, CAST(CASE WHEN state = 'existing' THEN own_stock + quantity END AS BIGINT) AS projected_stock,
   coalesce(state = 'review', false) AS match_review_required, review_required AS document_review_required, review_required OR coalesce(state = 'review', false) AS review_required,
-  CASE WHEN state = 'review' THEN CASE WHEN n_own = 0 THEN 'Bu ürün adıyla mevcut kayıtlar bulundu ancak seçilen kaynak Belediye ile eşleşen kayıt yok.' ELSE 'Seçilen kaynak Belediye için ' || CAST(n_own AS VARCHAR) || ' mevcut kayıt bulundu; hedef kayıt seçilmelidir.' END END AS review_message FROM state""")
+  CASE WHEN state = 'review' THEN CASE WHEN n_own = 0 THEN 'Bu ürün adıyla mevcut kayıtlar bulundu ancak seçilen kaynak Belediye ile eşleşen kayıt yok.' ELSE 'Seçilen kaynak Belediye için ' || CAST(n_own AS VARCHAR) || ' mevcut kayıt bulundu; hedef kayıt seçilmelidir.' END END AS review_message,
+  CASE WHEN nullif({sql_trim('product_name')}, '') IS NOT NULL AND quantity >= 1 THEN {_uuid("coalesce(h, md5(key || '|Belediye|'))")} END AS match_fingerprint, coalesce(array_to_string(fs, '|'), '') AS conflict_fields
+  FROM state LEFT JOIN hashed USING (key) LEFT JOIN lists USING (key)""")
 def match_preview(v):
     m = M.match_preview(rows(v), v("products"), "Belediye")
-    return m.select("position", "match_status", "resolution_type", "selected_product_id", "existing_stock", "projected_stock", "match_review_required", "document_review_required", "review_required", "review_message")
-
-
-PRINTED = "concat_ws(':', CAST(id AS VARCHAR), coalesce(name, 'null'), coalesce(source, 'null'), coalesce(unit, 'null'), coalesce(CAST(category_id AS VARCHAR), 'null'), coalesce(CAST(min_stock_level AS VARCHAR), 'null'), coalesce(shelf_location, 'null'), coalesce(CAST(quantity AS VARCHAR), 'null')) || '|'"
+    return m.select("position", "match_status", "resolution_type", "selected_product_id", "existing_stock", "projected_stock", "match_review_required", "document_review_required", "review_required", "review_message", "match_fingerprint", F.array_join("conflict_fields", "|").alias("conflict_fields"))
 
 
-@query("match_fingerprint", f"""WITH {KEYED},
-h AS (SELECT key, md5(key || '|Belediye|' || string_agg({PRINTED}, '' ORDER BY id)) AS h FROM keyed WHERE key IS NOT NULL GROUP BY key)
-SELECT key, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', CAST((instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS fingerprint FROM h""")
+@query("match_fingerprint", f"WITH {KEYED}, {HASHED} SELECT key, {_uuid('h')} AS fingerprint FROM hashed")
 def match_fingerprint(v):
-    g = M.catalogue_groups(v("products"))
-    return g.select("key", S.match_fingerprint(F.col("key"), F.lit("Belediye"), F.col("candidates")).alias("fingerprint"))
+    return M.fingerprints(v("products"), "Belediye")
 
 
-@query("manual_resolution_options", f"WITH {KEYED}, g AS (SELECT key, count(*) AS n, count(*) FILTER (WHERE source = 'T3') AS own FROM keyed WHERE key IS NOT NULL GROUP BY key) SELECT key, CASE WHEN own > 0 THEN own ELSE n END AS options, own = 0 AS allow_new FROM g")
+@query("manual_resolution_options", f"WITH {KEYED}, g AS (SELECT key, count(*) FILTER (WHERE source = 'T3') AS own FROM keyed WHERE key IS NOT NULL GROUP BY key) SELECT key, id, own = 0 AS allow_new FROM keyed JOIN g USING (key) WHERE own = 0 OR source = 'T3'")
 def manual_resolution_options(v):
-    g = M.catalogue_groups(v("products")).withColumn("o", M.manual_resolution_options(F.col("candidates"), F.lit("T3")))
-    return g.select("key", F.size("o.options").cast("bigint").alias("options"), "o.allow_new")
+    return M.manual_resolution_options(v("products"), "T3")
 
 
 # ---- consolidation ----

@@ -1,3 +1,6 @@
+import hashlib
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,9 +57,31 @@ def test_conflicts(spark, a, b, fields, message):
 def test_source_filter(spark):
     p = products(spark, *[{"id": i, "name": n, "quantity": 1, "source": s} for i, n, s in ((1, "Silikon Tabancası", "Belediye"), (2, "silikon_tabancası", "T3"), (3, "SİLİKON TABANCASI", "Belediye"))])
     rows = spark.createDataFrame([("Silikon Tabancası",)], "product_name string")
-    m = M.canonical_match(rows, p)
-    n = lambda s: m.select(F.size(M.in_source(F.col("candidates"), F.lit(s)))).first()[0]
-    assert (m.select(F.size("candidates")).first()[0], n("T3"), n("Belediye"), n("Tubitak")) == (3, 1, 2, 0)
+    n = lambda s: M.source_filtered_match(rows, p, s).first().matches
+    assert (M.canonical_match(rows, p).first().matches, n("T3"), n("Belediye"), n("Tubitak"), n(None)) == (3, 1, 2, 0, 0)
+    options = lambda s: sorted((r.id, r.allow_new) for r in M.manual_resolution_options(p, s).collect())
+    assert options("Belediye") == [(1, False), (3, False)] and options(None) == [(i, True) for i in (1, 2, 3)]
+
+
+def test_a_name_of_very_many_products(spark):
+    """A third of all products and rows have one name: facts go with the rows, products stay a table, and the fingerprint is that of the whole list."""
+    p = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("n"), (F.col("id") % 500).cast("string"))).alias("name"), F.lit(None).cast("int").alias("category_id"), F.lit(None).cast("string").alias("category"), F.lit(1).alias("quantity"), F.lit(None).cast("string").alias("unit"), F.lit(0).alias("min_stock_level"), F.lit(None).cast("string").alias("shelf_location"), F.when(F.col("id") == 9, "T3").alias("source"))
+    rows = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("n"), (F.col("id") % 700).cast("string"))).alias("product_name"), F.lit(2).alias("quantity"), F.lit(False).alias("review_required"), F.lit(None).cast("string").alias("review_message"))
+    m = M.match_preview(rows, p, "T3")
+    hot = m.where("key = 'hot'").select("match_status", "selected_product_id", "projected_stock", "match_fingerprint", F.array_join("conflict_fields", "|").alias("fields")).distinct().collect()
+    assert m.count() == 9_000 and len(hot) == 1 and tuple(hot[0])[:3] == ("Mevcut ürün", 9, 3) and hot[0].fields == "Kaynak"
+    items = "".join(f"{i}:Hot:{'T3' if i == 9 else 'null'}:null:null:0:null:1|" for i in range(0, 30_000, 3))
+    assert hot[0].match_fingerprint == str(uuid.UUID(bytes=hashlib.md5(("hot|T3|" + items).encode()).digest(), version=3))
+    assert not [f.name for f in m.schema if "struct" in f.dataType.simpleString()]
+    assert M.matched_products(rows, p).where("key = 'hot'").count() == 10_000
+
+
+def test_fingerprint_without_source_or_match(spark):
+    p = products(spark, {"id": 1, "name": "a", "quantity": 5, "source": None}, {"id": 2, "name": "b", "quantity": 5})
+    rows = spark.createDataFrame([("a", 2), ("d", 1), ("b", 1)], "product_name string, quantity int").withColumns({"review_required": F.lit(False), "review_message": F.lit(None).cast("string")})
+    got = {r.product_name: r for r in M.match_preview(rows, p, None).collect()}
+    assert got["a"].match_status == "Mevcut ürün" and "kaynak null ile" in got["b"].review_message
+    assert got["d"].match_fingerprint == str(uuid.UUID(bytes=hashlib.md5(b"d|null|").digest(), version=3))
 
 
 def test_numbers_do_not_depend_on_partitions(spark):
