@@ -28,7 +28,8 @@ HEAD, SEP, TAIL = "### ", ": ", "</turn>\n"
 PAGE = 4096
 _CONTROL = re.compile(r"\\|###|: |</turn>")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.|:(?! ))*): ((?:[^\\<]|\\.|<(?!/turn>\n))*)</turn>\n", re.DOTALL)
+#: What ends a role and what ends a text, or a backslash before either.
+_STOPS = (re.compile(r"\\|: "), re.compile(r"\\|</turn>\n"))
 
 
 def escape(text: str) -> str:
@@ -46,21 +47,58 @@ def format_turn(role: str | None, text: str | None) -> tuple[str, int, int]:
     return head + body + TAIL, len(head), len(head) + len(body)
 
 
-def parse_some(formatted: str) -> tuple[list[tuple[str, str]], int]:
-    """The (role, text) of all complete turns at the head of a formatted text, and where they end."""
-    out, at = [], 0
-    while m := _TURN.match(formatted, at):
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
-    return out, at
+class TurnReader:
+    """Reads formatted turns from pieces of any length. What is held back between pieces is shorter than a mark of the template, so a turn's length doesn't matter."""
+
+    def __init__(self):
+        self.held, self.place = "", 0  # place: 0 before a turn, 1 in its role, 2 in its text
+
+    def feed(self, piece: str) -> Iterator[tuple[str, bool]]:
+        """Parts of roles and texts as they follow, unescaped, with whether the role or text ends there; raises where the template is broken."""
+        text, at = self.held + piece, 0
+        while True:
+            if self.place == 0:
+                head = text[at : at + len(HEAD)]
+                if not HEAD.startswith(head):
+                    raise ValueError(f"no turn at {head!r}")
+                if len(head) < len(HEAD):
+                    break
+                at, self.place = at + len(HEAD), 1
+                continue
+            m = _STOPS[self.place - 1].search(text, at)
+            if not m:
+                kept = max(at, len(text) - len((SEP, TAIL)[self.place - 1]) + 1)
+                yield text[at:kept], False
+                at = kept
+                break
+            if m[0] != "\\":
+                part, at, self.place = text[at : m.start()], m.end(), (self.place + 1) % 3
+                yield part, True
+            elif m.end() < len(text):
+                yield text[at : m.start()] + text[m.end()], False
+                at = m.end() + 1
+            else:
+                yield text[at : m.start()], False
+                at = m.start()
+                break
+        self.held = text[at:]
+
+    def ended(self) -> bool:
+        """Whether what was read is whole turns."""
+        return not self.place and not self.held
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Formatted turns back to (role, text); raises where the template is broken."""
-    out, at = parse_some(formatted)
-    if at < len(formatted):
-        raise ValueError(f"no turn at {at}")
-    return out
+    reader, parts, fields = TurnReader(), [], []
+    for part, ends in reader.feed(formatted):
+        parts.append(part)
+        if ends:
+            fields.append("".join(parts))
+            parts.clear()
+    if not reader.ended():
+        raise ValueError("the last turn is open")
+    return list(zip(fields[::2], fields[1::2], strict=True))
 
 
 def _paths(rows: DataFrame) -> DataFrame:
@@ -233,25 +271,21 @@ def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Reader:
-    """One conversation read back from its text in order, piece by piece: complete turns are digested at once and not kept."""
+    """One conversation read back from its text in order, piece by piece: everything is digested at once and nothing is kept."""
 
     def __init__(self, conv: int | None):
         self.conv, self.n, self.chars, self.loss_chars = conv, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.rest, self.bare = [], ""  # text of a turn that is still open; a backslash whose character is to come
-        self.last = ""
+        self.reader, self.bare = TurnReader(), ""  # bare: a backslash whose character is to come
 
     def take(self, text: str, loss: str) -> None:
         self.chars += len(text)
-        self.rest.append(text)
-        self.last = self.last[-len(TAIL) :] + text
-        if TAIL in self.last:
-            open_ = "".join(self.rest)
-            turns, at = parse_some(open_)
-            for role, said in turns:
-                self.turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-            self.n += len(turns)
-            self.rest = [open_[at:]]
+        parts, ended = [], 0
+        for part, ends in self.reader.feed(text):
+            parts.append(part + "\n" if ends else part)
+            ended += ends and not self.reader.place
+        self.turns.update("".join(parts).encode("utf-8", "surrogatepass"))
+        self.n += ended
         loss = self.bare + loss
         odd = (len(loss) - len(loss.rstrip("\\"))) % 2
         self.bare = loss[len(loss) - odd :]
@@ -260,7 +294,7 @@ class _Reader:
         self.loss.update(loss.encode("utf-8", "surrogatepass"))
 
     def row(self) -> tuple:
-        if "".join(self.rest) or self.bare:
+        if not self.reader.ended() or self.bare:
             raise ValueError(f"conversation {self.conv} does not end with a turn")
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -340,6 +342,40 @@ def test_round_trip_of_escapes():
             assert C.parse(C.format_turn(role, t)[0] * 2) == [(role, t)] * 2
 
 
+def test_turns_are_read_from_pieces_of_any_length():
+    rng = random.Random(9)
+    marks = ["\\", "### ", "###", "</turn>\n", "</turn>", ": ", ":", "<", "\n", "x", "</", "/turn>"]
+    for _ in range(200):
+        turns = [tuple("".join(rng.choice(marks) for _ in range(rng.randint(0, 6))) for _ in range(2)) for _ in range(3)]
+        text = "".join(C.format_turn(*t)[0] for t in turns)
+        assert C.parse(text) == turns
+        reader, parts, at = C.TurnReader(), [], 0
+        while at < len(text):
+            step = rng.randint(1, 5)
+            parts += [x + "\0" if ends else x for x, ends in reader.feed(text[at : at + step])]
+            at += step
+            assert len(reader.held) < len(C.TAIL)
+        assert reader.ended() and "".join(parts) == "".join(f"{r}\0{x}\0" for r, x in turns)
+    for broken in ("x", "### a", "### a: b", "### a: b</turn>\nx", "### a: b\\</turn>\n"):
+        with pytest.raises(ValueError):
+            C.parse(broken)
+
+
+def test_long_turns_are_read_in_linear_time_and_little_memory():
+    for said in ("</turn>\n" * 500_000, "word " * 800_000, "\\" * 2_000_000):
+        text = C.format_turn("assistant", said)[0]
+        tracemalloc.start()
+        reader = C._Reader(1)
+        began = time.process_time()
+        for at in range(0, len(text), C.PAGE):
+            reader.take(text[at : at + C.PAGE], "")
+        took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        n, digest = reader.row()[1:3]
+        assert (n, digest) == (1, hashlib.sha256(f"assistant\n{said}\n".encode()).hexdigest())
+        assert peak < 4 << 20 and took < 60
+
+
 def expected(rows):
     want = {}
     for c, t, r, x in rows:
