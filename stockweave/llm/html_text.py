@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Factors on the densities under an element whose names mark it as no article text, or that is a form or readers' comments, and on the sums of what an article or main element holds.
-MARK_PRIOR, COMMENT_PRIOR, ARTICLE_PRIOR = 0.8, 0.15, 8.0
+#: Factors on the densities under an element whose names mark it as no article text, as a notice or advert, or that is a form or readers' comments, and on the sums of what an article or main element holds.
+MARK_PRIOR, NOTICE_PRIOR, COMMENT_PRIOR, ARTICLE_PRIOR = 0.8, 0.2, 0.15, 8.0
 
 # Tags by what they do in a page, and class or id words that mark what is no article text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -28,6 +28,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 DROPPED = frozenset("nav aside footer script style noscript template iframe button select option textarea title head svg math canvas object audio video map menu dialog search label input".split())
 MARKS = frozenset("ad ads adbox adsense adslot adunit advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager footer masthead widget toolbar topbar copyright skip".split())
 COMMENT_MARKS = frozenset("comment comments disqus reply replies respond".split())
+NOTICE_MARKS = frozenset("alert notice notices cookie cookies consent gdpr advert adverts advertisement advertising sponsored newsletter".split())
 #: "widget" marks nothing beside one of these words; what follows one of LAYOUT in a class names what the page has or lacks.
 OWN_WIDGET = frozenset("article body content editor entry post story text title".split())
 LAYOUT = frozenset("no has have with without".split())
@@ -35,6 +36,7 @@ LAYOUT = frozenset("no has have with without".split())
 HEADER_MARK, OWN_HEADER = "header", frozenset("article content entry post story title".split())
 #: Blocks of running text: what stands beside one of these belongs to the same article.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
+LISTS = frozenset("ul ol dl".split())
 ENDS_P = BLOCKS - {"body", "html"}
 #: Elements that an opening tag of the same family ends, up to the container named.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -48,15 +50,17 @@ _NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 class Node:
-    """An element; weight is the prior of its names and of those around it, inside whether an article or main element holds it, heading whether it holds a heading."""
+    """An element; weight is the prior of its names and of those around it, inside whether an article or main element holds it, heading whether it holds a heading,
+    own whether its names say that it is an article's, headed whether it is or lies in a header outside an article."""
 
-    __slots__ = ("tag", "parent", "dropped", "weight", "inside", "heading", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "dropped", "weight", "inside", "heading", "own", "headed", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
         self.weight = parent.weight if parent else 1.0
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
-        self.heading = False
+        self.heading = self.own = False
+        self.headed = parent is not None and parent.headed
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -99,30 +103,59 @@ def _is_hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
 
 
-def _prior(tag: str, attributes: dict[str, str], inside: bool) -> float:
-    """How likely the tag, class, id and role leave it that the element is article text; inside: an article or main element holds it."""
-    if tag in ("html", "body", "main"):
-        return 1.0
-    if tag == "form":
-        return COMMENT_PRIOR
+def _words(attributes: dict[str, str]) -> set[str]:
+    """The words of class, id, role and label, without what the page has or lacks."""
     words = set()
     for token in " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label")).lower().split():
         for w in re.split(r"[^a-z]+", token):
             if w in LAYOUT:
                 break
             words.add(w)
-    if words & COMMENT_MARKS:
+    return words
+
+
+def _prior(tag: str, words: set[str], inside: bool) -> float:
+    """How likely the tag and the words of its names leave it that the element is article text; inside: an article or main element holds it."""
+    if tag in ("html", "body", "main"):
+        return 1.0
+    if tag == "form" or words & COMMENT_MARKS:
         return COMMENT_PRIOR
     marks = words & MARKS
     if tag == "article" or marks == {"widget"} and words & OWN_WIDGET:
         return 1.0
+    if marks & NOTICE_MARKS:
+        return NOTICE_PRIOR
     return MARK_PRIOR if marks or (HEADER_MARK in words and not inside and not words & OWN_HEADER) else 1.0
 
 
+def _any(top: Node, test) -> bool:
+    """Whether some element or text under top passes the test."""
+    todo = list(top.kids)
+    while todo:
+        k = todo.pop()
+        if test(k):
+            return True
+        if isinstance(k, Node):
+            todo += k.kids
+    return False
+
+
+def _without_page_headers(headers: list[Node]) -> None:
+    """Takes headers outside article and main elements out of the tree, but for an article's own: it holds a heading, running text stands beside it, and a section or a name around it says whose it is."""
+    text = {}
+    for h in headers:
+        up = h.parent
+        if id(up) not in text:
+            text[id(up)] = any(isinstance(k, Node) and k.tag in TEXT_BLOCKS - HEADINGS and _any(k, lambda x: isinstance(x, str) and bool(x.strip())) for k in up.kids)
+        h.dropped = not (text[id(up)] and (up.tag == "section" or up.own or h.own) and _any(h, lambda x: isinstance(x, Node) and x.tag in HEADINGS))
+    for up in {id(h.parent): h.parent for h in headers}.values():
+        up.kids = [k for k in up.kids if isinstance(k, str) or not k.dropped]
+
+
 def parse(page: str) -> tuple[Node, Node]:
     """(root, body). kids holds nodes and texts in page order; end tags that are left out are implied, unmatched ones are ignored. Takes time in proportion to the page, however deep it nests."""
     root = Node("html", None, False)
-    body, open_, at = root, _Open(root), 0
+    body, open_, at, headers = root, _Open(root), 0, []
 
     def text(s: str) -> None:
         if s and not open_.nodes[-1].dropped:
@@ -158,16 +191,20 @@ def parse(page: str) -> tuple[Node, Node]:
             open_.cut(1)  # the head ends where the body begins
         up = open_.nodes[-1]
         attributes = _attributes(m[3]) if m[3] else {}
-        # a header belongs to the page, unless it stands in the article and holds its title
-        drop = up.dropped or tag in DROPPED or (tag == "header" and not up.inside) or _is_hidden(attributes)
+        drop = up.dropped or tag in DROPPED or _is_hidden(attributes)
         node = Node(tag, up, drop)
         if tag == "body":
             body = node
         if not drop:
-            node.weight = min(up.weight, _prior(tag, attributes, up.inside))
+            words = _words(attributes) if attributes else set()
+            node.weight, node.own = min(up.weight, _prior(tag, words, up.inside)), bool(words & OWN_HEADER)
+            if tag == "header" and not up.inside and not up.headed:
+                node.headed = True
+                headers.append(node)
             up.kids.append(node)
         if tag not in VOID and not _closes_itself(m[3]):
             open_.push(node)
+    _without_page_headers(headers)
     return root, body
 
 
@@ -252,14 +289,39 @@ def _belongs(n: Node) -> bool:
 
 
 def _left_out(n: Node, top: Node, thresholds: tuple[float, float]) -> bool:
-    """Whether a block under top is no part of its text: mostly links and less dense than the path, or marked by names within top and, by their prior, of fewer characters per tag than the path."""
+    """Whether a block under top is no part of its text: mostly links and less dense than the path, or marked by names within top and, by their prior, of fewer characters per tag than the path.
+
+    What holds most of the text of top stays whatever it is named, but for readers' comments.
+    """
     links = 2 * n.link_chars > n.chars and n.density < thresholds[0]
-    return links or (n.weight < top.weight and _plain(n) * n.weight / top.weight < thresholds[1])
+    most = n.weight > COMMENT_PRIOR and 2 * (n.chars - n.link_chars) > top.chars - top.link_chars
+    return links or (n.weight < top.weight and not most and _plain(n) * n.weight / top.weight < thresholds[1])
+
+
+def _lists_of_text(n: Node) -> set[int]:
+    """ids of the lists in n that belong to its text even if they are links: with running text before and after them, or, in an article, right after a heading; unmarked."""
+    if not any(isinstance(k, Node) and k.tag in LISTS for k in n.kids):
+        return set()
+
+    def after_text(kids) -> set[int]:
+        seen, out = False, set()
+        for k in kids:
+            if isinstance(k, str):
+                seen |= bool(k.strip())
+                continue
+            if seen and k.tag in LISTS and k.weight >= n.weight:
+                out.add(id(k))
+            seen |= k.tag in TEXT_BLOCKS and k.chars > 2 * k.link_chars and k.weight >= n.weight
+        return out
+
+    elements = [k for k in n.kids if isinstance(k, Node)]
+    headed = {id(k) for h, k in zip(elements, elements[1:]) if n.inside and h.tag in HEADINGS and h.chars > 2 * h.link_chars and k.tag in LISTS and k.weight >= n.weight}
+    return headed | (after_text(n.kids) & after_text(reversed(n.kids)))
 
 
 def blocks(top: Node, thresholds: tuple[float, float]) -> list[str]:
     """Texts of the blocks under top in page order, white space as single spaces."""
-    out, line, todo = [], [], [top]
+    out, line, todo, spared = [], [], [top], set()
 
     def end() -> None:
         if s := " ".join("".join(line).split()):
@@ -274,7 +336,10 @@ def blocks(top: Node, thresholds: tuple[float, float]) -> list[str]:
             line.append(n)
         elif n.tag == "br":
             line.append(" ")
-        elif n is top or not (n.tag in BLOCKS and _left_out(n, top, thresholds)):
+        elif n is top or id(n) in spared or not (n.tag in BLOCKS and _left_out(n, top, thresholds)):
+            lists = _lists_of_text(n)
+            # the items of a list that belongs to the text do, too
+            spared |= {id(k) for k in n.kids if isinstance(k, Node)} if id(n) in spared else lists
             if n.tag in BLOCKS:
                 end()
                 todo.append(None)

@@ -544,6 +544,27 @@ KEPT = {
 }
 
 
+OWN_PARTS = {
+    # the header of a post, a section or of its own name is the article's; one beside text without such a name, with no heading, or at the top of the page is the page's
+    f"<body><header><h1>Site</h1></header><div class='post'><header><h1>My Title</h1><p>By me</p></header><p>{BODY}</p></div></body>": f"My Title\nBy me\n{BODY.strip()}",
+    f"<body><header><h1>Site</h1></header><section><header><h2>My Title</h2></header><p>{BODY}</p></section></body>": f"My Title\n{BODY.strip()}",
+    f"<body><div><header class='entry-header'><h1>My Title</h1></header><p>{BODY}</p></div></body>": f"My Title\n{BODY.strip()}",
+    f"<body><div class='content'><header><p>Site</p></header><p>{BODY}</p></div></body>": BODY.strip(),
+    # links are text between texts and under a heading of the article
+    f"<article><h1>T</h1><p>{BODY}</p><h2>References</h2><ol><li><a href=1>First</a></li><li><a href=2>Second</a></li></ol></article>": f"T\n{BODY.strip()}\nReferences\nFirst\nSecond",
+    f"<body><div><h1>T</h1><p>{BODY}</p><ul><li><a href=1>First</a></li><li><a href=2>Second</a></li></ul><p>{BODY}</p><ul class='share'><li><a href=1>Share</a></li></ul><p>End of it.</p></div></body>": f"T\n{BODY.strip()}\nFirst\nSecond\n{BODY.strip()}\nEnd of it.",
+    f"<article><h1>T</h1><p>{BODY}</p><ul><li><a href=1>First</a></li></ul></article>": f"T\n{BODY.strip()}",
+    # notices go, unless they hold the text
+    f"<article><h1>T</h1><div class='alert'><p>Our office is closed on Monday because of the works in the street.</p></div><p>{BODY}</p></article>": f"T\n{BODY.strip()}",
+    f"<body><h1>T</h1><div class='notice'><p>{BODY}</p></div></body>": f"T\n{BODY.strip()}",
+}
+
+
+def test_titles_and_link_lists_of_the_article_stay_and_notices_go():
+    for page, want in OWN_PARTS.items():
+        assert H.main_text(page) == want, page
+
+
 def test_densities_and_not_names_decide():
     for page, want in KEPT.items():
         assert H.main_text(page) == want, page
@@ -607,4 +628,6 @@ def test_depth_takes_linear_time():
 
 def test_deep_and_long_pages():
     assert H.main_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
+    assert H.main_text("<section>" + "<header><h2>T</h2></header><p>x</p>" * 10_000).count("T") == 10_000
+    assert H.main_text("<header>" * 20_000 + "x") == ""
     assert len(H.main_text("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
