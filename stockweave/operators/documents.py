@@ -20,6 +20,8 @@ from .ordering import BROADCAST_BYTES, numbered_within, running
 ROWS_PER_CHUNK, RECORDS_PER_CHUNK = 10, 5
 TEXT_CHARS, PDF_CHARS = 12000, 2000
 HEADER_SCAN_ROWS, HEADER_CONTEXT_ROWS, FALLBACK_HEADER_ROWS = 50, 5, 3
+# Fixed value: the content of a header that isn't there.
+NO_HEADER = "No separate header row was reliably detected. Infer field semantics from DATA ROWS."
 LEAST_RUN = 3
 NUMBERED_START = r"(?iu)^\s*(\d{1,4})\s*(?:[.)\-:|;]\s*|\s+)(?=.*\p{L}).*$"
 QUANTITY_ONLY = r"(?iu)^\s*\d{1,9}\s*(?:adet|ad\.?|pcs?)\.?\s*$"
@@ -107,6 +109,7 @@ def detect_header(rows: DataFrame) -> DataFrame:
 
     The name column is the first that reads like one. The quantity column has the best score, ties to the first row and there to the last column. With both, the header ends at the
     later of the two rows and its context is the last 5 rows up to there. Else it is up to 5 rows before the first numbered record among the first 5 rows, else the first 3 rows, without trust.
+    Where the first row is a record already, content is a fixed sentence.
     """
     # every window is over a sheet: one shuffle serves all of them
     w = Window.partitionBy("document", "sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
@@ -130,7 +133,7 @@ def detect_header(rows: DataFrame) -> DataFrame:
     certain = F.col("header_row").isNotNull()
     partly = F.col("first_number").isNotNull() & (F.col("content") != "")
     absent = F.when(certain | partly, ~has_code_label(F.col("content"))).otherwise(False)
-    return out.select("document", "sheet", F.when(certain | partly, F.col("name_col")).alias("name_col"), F.when(certain, F.col("quantity_col")).alias("quantity_col"), "header_row", "content", absent.alias("code_absent"))
+    return out.select("document", "sheet", F.when(certain | partly, F.col("name_col")).alias("name_col"), F.when(certain, F.col("quantity_col")).alias("quantity_col"), "header_row", F.when(F.col("content") != "", F.col("content")).otherwise(NO_HEADER).alias("content"), absent.alias("code_absent"))
 
 
 def table_records(rows: DataFrame, headers: DataFrame) -> DataFrame:

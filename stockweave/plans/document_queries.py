@@ -105,6 +105,19 @@ def detect_header(v):
     return D.detect_header(sheet(v))
 
 
+@query("detect_varied_headers", rf"""WITH {SHEET_ROWS.replace("sheet_cells", "varied_sheets")}, {SCANNED}, {HEADERS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY document, sheet ORDER BY row) AS nth FROM sheet_rows),
+firsts AS (SELECT document, sheet, min(nth) FILTER (WHERE numbered AND nth <= 5) AS first_number FROM placed GROUP BY document, sheet),
+tops AS (SELECT document, sheet, max(nth) AS header_nth FROM headers JOIN placed USING (document, sheet) WHERE row <= header_row GROUP BY document, sheet),
+facts AS (SELECT f.document, f.sheet, n.n[2] AS name_col, h.quantity_col, h.header_row, t.header_nth, f.first_number FROM firsts f LEFT JOIN names n USING (document, sheet) LEFT JOIN headers h USING (document, sheet) LEFT JOIN tops t USING (document, sheet)),
+texts AS (SELECT f.*, (SELECT string_agg(p.content, chr(10) ORDER BY p.row) FROM placed p WHERE p.document = f.document AND p.sheet = f.sheet
+  AND CASE WHEN header_row IS NOT NULL THEN p.row <= header_row AND p.nth > header_nth - 5 WHEN first_number IS NOT NULL THEN p.nth < first_number ELSE p.nth <= 3 END) AS content FROM facts f),
+known AS (SELECT *, header_row IS NOT NULL OR (first_number IS NOT NULL AND content IS NOT NULL) AS trusted, {sql_fold('content')} AS t FROM texts)
+SELECT document, sheet, CASE WHEN trusted THEN name_col END AS name_col, quantity_col, header_row, coalesce(content, '{D.NO_HEADER}') AS content, CASE WHEN trusted THEN NOT ({CODED} OR regexp_matches(t, '\n\s*kod\s*([:|]|$)')) ELSE false END AS code_absent FROM known""")
+def detect_varied_headers(v):
+    return D.detect_header(D.sheet_rows(v("varied_sheets")))
+
+
 @query("table_records", f"WITH {SHEET_ROWS}, {SCANNED}, {HEADERS}, {RECORDS} SELECT document, sheet, source_row, source_identity, source_text, product_name, quantity FROM records")
 def table_records(v):
     r = sheet(v)

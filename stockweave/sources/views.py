@@ -76,6 +76,17 @@ SELECT batch_id, 'EK-1', CAST(id % 1000 + 1 AS INT), col,
   CASE col WHEN 1 THEN CAST(id % 1000 AS STRING) WHEN 2 THEN CASE WHEN id % 13 = 0 THEN '  ' ELSE urun_adi END WHEN 3 THEN 'Teknik 12V 5mm' ELSE CASE WHEN id % 17 = 0 THEN 'yok' ELSE CAST(miktar AS STRING) END END
 FROM {history} CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c
 WHERE batch_id IS NOT NULL""",
+    # sheets with titles above the header, without a header, and with a header of two rows
+    "varied_sheets": """
+SELECT document, sheet, row, col, value FROM {sheet_cells} WHERE CAST(substring(document, 3) AS INT) % 4 = 0 AND (row > 1 OR value IN ('Sıra No', 'Malzeme Adı', 'Teknik Özellikler', 'Toplam Adet'))
+UNION ALL
+SELECT document, sheet, CAST(row + 3 AS INT), col, value FROM {sheet_cells} WHERE CAST(substring(document, 3) AS INT) % 4 = 1 AND (row > 1 OR value IN ('Sıra No', 'Malzeme Adı', 'Teknik Özellikler', 'Toplam Adet'))
+UNION ALL
+SELECT document, sheet, t.place, CAST(1 AS INT), t.title FROM (SELECT DISTINCT document, sheet FROM {sheet_cells} WHERE CAST(substring(document, 3) AS INT) % 4 = 1) d CROSS JOIN (SELECT CAST(1 AS INT) AS place, 'Depo Listesi' AS title UNION ALL SELECT CAST(2 AS INT), 'Stok Kodu: D-1' UNION ALL SELECT CAST(3 AS INT), 'Tarih 2024') t
+UNION ALL
+SELECT document, sheet, row, col, value FROM {sheet_cells} WHERE CAST(substring(document, 3) AS INT) % 4 = 2 AND row > 1
+UNION ALL
+SELECT document, sheet, CAST(CASE WHEN row = 1 AND col < 3 THEN 1 ELSE row + 1 END AS INT), col, value FROM {sheet_cells} WHERE CAST(substring(document, 3) AS INT) % 4 = 3 AND (row > 1 OR value IN ('Sıra No', 'Malzeme Adı', 'Teknik Özellikler', 'Toplam Adet'))""",
     "page_lines": """
 SELECT batch_id AS document, CAST(1 AS INT) AS page, CAST(0 AS INT) AS line_no, 'Sıra No | Malzeme Adı | Teknik Özellik | Toplam Adet' AS text
 FROM (SELECT DISTINCT batch_id FROM {history} WHERE batch_id IS NOT NULL) b

@@ -251,3 +251,9 @@ def test_anchors_of_the_page_view_against_brute_force(spark, sf_dir):
     for r in rows:
         assert r.name_anchor == brute_name(r.source_text.split("\n")[0], r.start_kind), r
         assert (r.code_anchor, r.code_absent) == brute_code(r.source_text), r
+
+
+def test_header_of_a_sheet_that_begins_with_records(spark):
+    cells = spark.createDataFrame([("d", "s", r, c, x) for r, line in enumerate([("1", "Kalem", "3"), ("2", "Defter", "4")], 1) for c, x in enumerate(line, 1)], "document string, sheet string, row int, col int, value string")
+    h = D.detect_header(D.sheet_rows(cells)).first()
+    assert (h.content, h.name_col, h.header_row, h.code_absent) == (D.NO_HEADER, None, None, False)
