@@ -30,13 +30,15 @@ def keyed_products(products: DataFrame) -> DataFrame:
 
 
 def canonical_match(rows: DataFrame, products: DataFrame, name: str = "product_name") -> DataFrame:
-    """rows with key, matches and first_id (the least id that matches); a null key matches nothing.
+    """rows with key, matches, first_id (the least id that matches) and ids (of all products that match, ascending, joined by commas; empty if none); a null key matches nothing.
 
-    Facts of a name are aggregates that merge before their shuffle, and the only thing that goes with a row. The products themselves stay a table by key: matched_products.
+    Facts of a name are aggregates that merge before their shuffle; the list of ids is made once a name, not once a row. The products' other fields stay a table by key: matched_products.
     """
-    facts = keyed_products(products).groupBy(F.col("key").alias("key__")).agg(F.count("*").alias("matches"), F.min("id").alias("first_id"))
+    ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
+    facts = keyed_products(products).groupBy(F.col("key").alias("key__")).agg(F.count("*").alias("matches"), F.min("id").alias("first_id"), ids.alias("ids"))
     keyed = rows.withColumn("key", canonical_name(F.col(name)))
-    return keyed.join(facts, F.col("key") == F.col("key__"), "left").withColumn("matches", F.coalesce("matches", F.lit(0))).drop("key__")
+    joined = keyed.join(facts, F.col("key") == F.col("key__"), "left")
+    return joined.withColumns({"matches": F.coalesce("matches", F.lit(0)), "ids": F.coalesce("ids", F.lit(""))}).drop("key__")
 
 
 def source_filtered_match(rows: DataFrame, products: DataFrame, source: str | None, name: str = "product_name") -> DataFrame:

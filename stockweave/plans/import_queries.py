@@ -173,9 +173,9 @@ def gap_location(v):
 KEYED = f"keyed AS (SELECT *, {sql_canonical('name')} AS key FROM {{products}}), imports AS (SELECT *, {sql_canonical('product_name')} AS key FROM {{import_rows}})"
 
 
-@query("canonical_match", f"WITH {KEYED} SELECT i.position, i.key, count(k.id) AS matches, min(k.id) AS first_id FROM imports i LEFT JOIN keyed k ON k.key = i.key GROUP BY i.position, i.key")
+@query("canonical_match", f"WITH {KEYED} SELECT i.position, i.key, count(k.id) AS matches, min(k.id) AS first_id, coalesce(string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.id), '') AS ids FROM imports i LEFT JOIN keyed k ON k.key = i.key GROUP BY i.position, i.key")
 def canonical_match(v):
-    return M.canonical_match(v("import_rows"), v("products")).select("position", "key", "matches", "first_id")
+    return M.canonical_match(v("import_rows"), v("products")).select("position", "key", "matches", "first_id", "ids")
 
 
 @query("source_filtered_match", f"WITH {KEYED} SELECT i.position, count(k.id) AS matches, min(k.id) AS first_id FROM imports i LEFT JOIN keyed k ON k.key = i.key AND k.source IS NULL GROUP BY i.position")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockweave.operators import catalog as C
 from stockweave.operators.ordering import numbered
 from stockweave.operators import matching as M
+from stockweave.plans import QUERIES
 
 PRODUCT = "id bigint, code string, name string, category_id bigint, category string, quantity int, unit string, min_stock_level int, shelf_location string, source string"
 
@@ -63,6 +64,14 @@ def test_source_filter(spark):
     assert options("Belediye") == [(1, False), (3, False)] and options(None) == [(i, True) for i in (1, 2, 3)]
 
 
+def test_a_match_names_all_its_products(spark, sf_dir):
+    p = products(spark, *[{"id": i, "name": n, "quantity": 1} for i, n in ((10, "Pil_A"), (9, "pil a"), (100, "PİL A"), (3, "b"))])
+    rows = spark.createDataFrame([("Pil-A",), ("b",), ("c",), (None,)], "product_name string")
+    assert {r.product_name: (r.matches, r.first_id, r.ids) for r in M.canonical_match(rows, p).collect()} == {"Pil-A": (3, 9, "9,10,100"), "b": (1, 3, "3"), "c": (0, None, ""), None: (0, None, "")}
+    got = QUERIES["canonical_match"](spark, sf_dir).collect()
+    assert got and all(len(r.ids.split(",")) == r.matches and r.ids.split(",")[0] == str(r.first_id) if r.matches else r.ids == "" for r in got)
+
+
 def test_a_name_of_very_many_products(spark):
     """A third of all products and rows have one name: facts go with the rows, products stay a table, and the fingerprint is that of the whole list."""
     p = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("n"), (F.col("id") % 500).cast("string"))).alias("name"), F.lit(None).cast("int").alias("category_id"), F.lit(None).cast("string").alias("category"), F.lit(1).alias("quantity"), F.lit(None).cast("string").alias("unit"), F.lit(0).alias("min_stock_level"), F.lit(None).cast("string").alias("shelf_location"), F.when(F.col("id") == 9, "T3").alias("source"))
