@@ -178,9 +178,9 @@ def canonical_match(v):
     return M.canonical_match(v("import_rows"), v("products")).select("position", "key", "matches", "first_id", "ids")
 
 
-@query("source_filtered_match", f"WITH {KEYED} SELECT i.position, count(k.id) AS matches, min(k.id) AS first_id FROM imports i LEFT JOIN keyed k ON k.key = i.key AND k.source IS NULL GROUP BY i.position")
+@query("source_filtered_match", f"WITH {KEYED} SELECT i.position, count(k.id) AS matches, min(k.id) AS first_id, coalesce(string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.id), '') AS ids FROM imports i LEFT JOIN keyed k ON k.key = i.key AND k.source IS NULL GROUP BY i.position")
 def source_filtered_match(v):
-    return M.source_filtered_match(v("import_rows"), v("products"), None).select("position", "matches", "first_id")
+    return M.source_filtered_match(v("import_rows"), v("products"), None).select("position", "matches", "first_id", "ids")
 
 
 @query("matched_products", f"""WITH {KEYED} SELECT key, id, name || ' — ' || coalesce(source, 'Kaynak belirtilmemiş') || ' — ' || coalesce(unit, 'Birim belirtilmemiş') || ' — stok ' || CAST(quantity AS VARCHAR) AS summary

@@ -72,6 +72,14 @@ def test_a_match_names_all_its_products(spark, sf_dir):
     assert got and all(len(r.ids.split(",")) == r.matches and r.ids.split(",")[0] == str(r.first_id) if r.matches else r.ids == "" for r in got)
 
 
+def test_a_match_of_a_source_names_all_its_products(spark, sf_dir):
+    p = products(spark, *[{"id": i, "name": n, "quantity": 1, "source": s} for i, n, s in ((10, "Pil_A", None), (9, "pil a", "T3"), (8, "PİL A", None))])
+    rows = spark.createDataFrame([("Pil-A",)], "product_name string")
+    assert [M.source_filtered_match(rows, p, s).first().ids for s in (None, "T3", "x")] == ["8,10", "9", ""]
+    got = QUERIES["source_filtered_match"](spark, sf_dir).collect()
+    assert got and all(len(r.ids.split(",")) == r.matches and r.ids.split(",")[0] == str(r.first_id) if r.matches else r.ids == "" for r in got)
+
+
 def test_a_name_of_very_many_products(spark):
     """A third of all products and rows have one name: facts go with the rows, products stay a table, and the fingerprint is that of the whole list."""
     p = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("n"), (F.col("id") % 500).cast("string"))).alias("name"), F.lit(None).cast("int").alias("category_id"), F.lit(None).cast("string").alias("category"), F.lit(1).alias("quantity"), F.lit(None).cast("string").alias("unit"), F.lit(0).alias("min_stock_level"), F.lit(None).cast("string").alias("shelf_location"), F.when(F.col("id") == 9, "T3").alias("source"))
