@@ -85,28 +85,6 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(size, ARROW_BYTES)
 
 
-class KeySet:
-    """A set of 64-bit numbers: a sorted array that tasks hold, if its counted rows fit BROADCAST_BYTES; otherwise held is False, has() lets all pass and the caller joins frame."""
-
-    def __init__(self, frame: DataFrame, name: str):
-        self.frame, self.keys = frame.select(F.col(name).alias("key")), None
-        self.held = frame.count() * 8 <= BROADCAST_BYTES
-        if self.held:
-            keys = np.sort(self.frame.toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
-            self.keys = frame.sparkSession.sparkContext.broadcast(keys)
-
-    def __getstate__(self) -> dict:
-        return {"keys": self.keys, "held": self.held}
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        if not self.held:
-            return np.ones(len(h), bool)
-        keys = self.keys.value
-        if not len(keys):
-            return np.zeros(len(h), bool)
-        return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

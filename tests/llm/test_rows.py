@@ -4,8 +4,10 @@ import re
 import time
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +220,31 @@ def test_ratios_are_those_of_kneser_ney_models(spark, make_docs):
         assert abs(ratio - (np.log(whole(1, a, b) / whole(0, a, b)) - neutral)) < 1e-6
 
 
+def test_every_word_and_pair_is_scored_under_both_models(spark, make_docs, monkeypatch):
+    docs, labels = labelled(spark, make_docs, 150)
+    monkeypatch.setattr(T, "_weight", lambda *_: F.lit(1.0))  # the plain log-likelihood ratios
+    texts, held = {r.doc_id: r.text.split() for r in docs.collect()}, T.fit(docs, labels).parts[0].value
+    train = {r.id__: r.toxic__ for r in T._training(labels, T.MAX_ROWS).collect() if not r.curve__}
+    every = Counter(w for t in texts.values() for w in t)
+    pairs = [Counter(p for i, c in train.items() if c == k for p in zip(texts[i], texts[i][1:])) for k in (0, 1)]
+    follows, kinds = [Counter(b for _, b in p) for p in pairs], [Counter(a for a, _ in p) for p in pairs]
+    seen = [Counter() for _ in pairs]
+    for k in (0, 1):
+        for (a, _), n in pairs[k].items():
+            seen[k][a] += n
+    assert len(held.words) == len({w for i in train for w in texts[i]}) and len(held.pairs) == len(pairs[0] | pairs[1])
+
+    def chance(k, a, b):
+        left = T.DISCOUNT * len(follows[k]) / len(pairs[k])
+        low = max(follows[k][b] - T.DISCOUNT, 0) / len(pairs[k]) + left * (every[b] + 1) / (sum(every.values()) + len(every) + 1)
+        return (max(pairs[k][a, b] - T.DISCOUNT, 0) + T.DISCOUNT * kinds[k][a] * low) / seen[k][a] if seen[k][a] else low
+
+    neutral = np.log(len(follows[1]) / len(pairs[1]) / (len(follows[0]) / len(pairs[0])))
+    want = [sum(np.log(chance(1, a, b) / chance(0, a, b)) - neutral for a, b in zip([None, *t], t)) for t in texts.values()]
+    got, n = held.totals(pa.array([" ".join(t) for t in texts.values()]))
+    assert list(n) == [len(t) for t in texts.values()] and np.abs(got - want).max() < 1e-4
+
+
 def test_a_model_of_many_parts_scores_as_a_whole_one(spark, make_docs):
     docs, labels = labelled(spark, make_docs, 400)
     whole, split = T.fit(docs, labels), T.fit(docs, labels, max_entries=1)
