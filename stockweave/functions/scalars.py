@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -174,34 +175,46 @@ def has_code_label(context: Column) -> Column:
     return _any_in(t, CODE_LABELS) | t.rlike(r"(?s)\n\s*kod\s*(?:[:|]|$)")
 
 
+#: The rules by which a name reads like a description, each a bit of what suspicion_rules gives: points, and the signal that is shown (a weaker form of another rule shows none).
+SUSPICION_RULES = (("mismatch", 4), ("lines", 2), ("sentence", 3), ("technical", 2), ("numbers", 4), ("dimension", 4), ("packaging", 4), ("full_sentence", 2), ("punctuation", 1), (None, 1), (None, 1))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), in which value is evaluated once, however often f names it; neither may be a Python function."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def suspicion_rules(name: Column, source_candidate: Column, composed: bool = False) -> Column:
+    """The rules that a product name breaks, as bits in the order of SUSPICION_RULES; null without a name."""
+    mismatch = F.coalesce(semantic_key(trim_to_null(name), composed) != semantic_key(trim_to_null(source_candidate), composed), F.lit(False))
+    bit = lambda k: F.lit(1 << k)
+    some = lambda test, k: F.when(test, bit(k)).otherwise(0)
+    several = lambda count, k, one: bound(count, lambda c: F.when(c >= 2, bit(k)).when(c == 1, bit(one)).otherwise(0))
+
+    def of(n: Column) -> Column:
+        lines = F.size(F.filter(F.split(n, r"\r\n|\r|\n"), lambda x: F.length(F.trim(x)) > 0)) >= 2
+        terms = bound(turkish_lower(n), lambda low: sum((F.contains(low, F.lit(t)).cast("int") for t in TECHNICAL_TERMS[1:]), F.contains(low, F.lit(TECHNICAL_TERMS[0])).cast("int")))
+        sentence = (F.size(F.split(n, r"\s+")) >= 12) & n.rlike(r"(?s)[.!?]\s*$")
+        marks = F.length(n) - F.length(F.translate(n, ",;:.()", ""))
+        return (
+            some(lines, 1) + some(n.rlike(SENTENCE_PHRASE), 2) + several(terms, 3, 9) + several(F.regexp_count(n, F.lit(SPECIFICATION_NUMBER)), 4, 10)
+            + some(n.rlike(DIMENSION_PHRASE), 5) + some(n.rlike(PACKAGING_PHRASE), 6) + some(sentence, 7) + some(marks >= 3, 8)
+        )
+
+    return bound(trim_to_null(name), lambda n: F.when(n.isNotNull(), of(n))) + some(mismatch, 0)
+
+
+def suspicion(rules: Column) -> Column:
+    """struct(suspicious, score, signals) of the bits of suspicion_rules, null being a missing name."""
+    broken = lambda k: rules.bitwiseAND(F.lit(1 << k)) != 0
+    score = sum((F.when(broken(k), points).otherwise(0) for k, (_, points) in enumerate(SUSPICION_RULES)), F.lit(0))
+    signals = F.array_compact(F.array(*[F.when(broken(k), F.lit(SIGNALS[key])) for k, (key, _) in enumerate(SUSPICION_RULES) if key]))
+    return F.struct((score >= 4).alias("suspicious"), score.alias("score"), signals.alias("signals"))
+
+
 def name_suspicion(name: Column, source_candidate: Column, composed: bool = False) -> Column:
-    """struct(suspicious, score, signals): whether a product name reads like a description."""
-    n, s = trim_to_null(name), trim_to_null(source_candidate)
-    mismatch = F.coalesce(semantic_key(n, composed) != semantic_key(s, composed), F.lit(False))
-    lines = F.size(F.filter(F.split(n, r"\r\n|\r|\n"), lambda x: F.length(F.trim(x)) > 0)) >= 2
-    low = turkish_lower(n)
-    terms = sum((F.contains(low, F.lit(t)).cast("int") for t in TECHNICAL_TERMS[1:]), F.contains(low, F.lit(TECHNICAL_TERMS[0])).cast("int"))
-    numbers = F.regexp_count(n, F.lit(SPECIFICATION_NUMBER))
-    words = F.size(F.split(n, r"\s+"))
-    marks = F.length(n) - F.length(F.translate(n, ",;:.()", ""))
-    rules = [
-        (mismatch, 4, "mismatch", None),
-        (lines, 2, "lines", None),
-        (n.rlike(SENTENCE_PHRASE), 3, "sentence", None),
-        (terms >= 2, 2, "technical", (terms == 1, 1)),
-        (numbers >= 2, 4, "numbers", (numbers == 1, 1)),
-        (n.rlike(DIMENSION_PHRASE), 4, "dimension", None),
-        (n.rlike(PACKAGING_PHRASE), 4, "packaging", None),
-        ((words >= 12) & n.rlike(r"(?s)[.!?]\s*$"), 2, "full_sentence", None),
-        (marks >= 3, 1, "punctuation", None),
-    ]
-    score = F.lit(0)
-    for test, points, _, other in rules:
-        w = F.when(test, points)
-        score = score + (w.when(other[0], other[1]) if other else w).otherwise(0)
-    score = F.when(n.isNull(), 0).otherwise(score)
-    signals = F.array_compact(F.array(*[F.when(test, F.lit(SIGNALS[key])) for test, _, key, _ in rules]))
-    return F.struct(((n.isNotNull()) & (mismatch | (score >= 4))).alias("suspicious"), score.alias("score"), F.when(n.isNull(), F.array().cast("array<string>")).otherwise(signals).alias("signals"))
+    """struct(suspicious, score, signals): whether a product name reads like a description. A table with names that repeat takes reconcile.with_suspicion."""
+    return suspicion(suspicion_rules(name, source_candidate, composed))
 
 
 def suspicion_message(signals: Column) -> Column:

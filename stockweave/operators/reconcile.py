@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockweave.functions.scalars import INT_MAX, MAX_NAME, alignment_key, coerce_price, coerce_quantity, name_suspicion, review_message_160, suspicion_message, trim_to_null
+from stockweave.functions.scalars import INT_MAX, MAX_NAME, alignment_key, coerce_price, coerce_quantity, review_message_160, suspicion, suspicion_message, suspicion_rules, trim_to_null
 from stockweave.sources.shared import stage
 
-from .ordering import numbered_within
+from .ordering import BROADCAST_BYTES, numbered_within
 
 # Review messages.
 NO_IDENTITY = "Kaynak Excel satırı tek ve güvenilir biçimde belirlenemedi."
@@ -204,14 +206,31 @@ def split_failed_chunks(records: DataFrame, failed: DataFrame) -> tuple[DataFram
     return halves, r.where("n = 1").select("chunk_id", "position", "record_id")
 
 
+def with_suspicion(rows: DataFrame, names: dict[str, tuple[str, str]], composed: bool = False) -> DataFrame:
+    """rows with the rules (bits, for scalars.suspicion) that names break: for each entry of names, a new column -> the columns of a name and of its source.
+
+    A catalogue's names repeat, so each distinct name with its source is judged once, however many rows have it; rows and judgements are staged.
+    """
+    rows = stage(rows, "named")
+    asked = [rows.select(F.col(n).alias("name__"), F.col(s).alias("source__")).where("name__ IS NOT NULL").distinct() for n, s in names.values()]
+    pairs = reduce(DataFrame.unionByName, asked).distinct()
+    judged = stage(pairs.withColumn("rules__", suspicion_rules(F.col("name__"), F.col("source__"), composed)), "judged")
+    size = judged.agg(F.sum(F.octet_length("name__") + F.coalesce(F.octet_length("source__"), F.lit(0)) + 64)).first()[0] or 0
+    for out, (n, s) in names.items():
+        side = judged.select(F.col("name__").alias(f"{out}_n__"), F.col("source__").alias(f"{out}_s__"), F.col("rules__").alias(out))
+        rows = rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, (F.col(n) == F.col(f"{out}_n__")) & F.col(s).eqNullSafe(F.col(f"{out}_s__")), "left").drop(f"{out}_n__", f"{out}_s__")
+    return rows
+
+
 def name_review_outcome(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """rows (row_id, product_name, source_name, trusted_name boolean) and decisions (row_id, status, product_name, reason) -> product_name, review_required, review_message, outcome for suspicious rows.
 
     A trusted source name always wins if it is short enough. A correction is taken only if it is not suspicious itself.
     """
-    d = decisions.select("row_id", "status", trim_to_null(F.col("product_name")).alias("correction"), "reason")
-    s = rows.withColumn("s", name_suspicion(F.col("product_name"), F.col("source_name"), composed=True)).where("s.suspicious").join(d, "row_id", "left")
-    fixed = name_suspicion(F.col("correction"), F.col("source_name"), composed=True)["suspicious"]
+    d = decisions.select("row_id", "status", F.when(F.col("status") == "CORRECTED", trim_to_null(F.col("product_name"))).alias("correction"), "reason")
+    met = rows.select("row_id", "product_name", "source_name", "trusted_name").join(d, "row_id", "left")
+    s = with_suspicion(met, {"rules": ("product_name", "source_name"), "fixed": ("correction", "source_name")}, composed=True).withColumn("s", suspicion(F.col("rules"))).where("s.suspicious")
+    fixed = suspicion(F.col("fixed"))["suspicious"]
     source = trim_to_null(F.col("source_name"))
     trusted = F.col("trusted_name") & source.isNotNull()
     take = (F.col("status") == "CORRECTED") & F.col("correction").isNotNull() & (F.length("correction") <= MAX_NAME) & ~fixed

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from stockweave.functions import scalars as S
 from stockweave.operators import consolidate as K
 from stockweave.operators import imports as I
 from stockweave.operators import matching as M
@@ -240,6 +241,20 @@ def test_name_review_outcome(spark):
     assert got == {1: ("Kalem", "SOURCE"), 2: ("Defter", "CORRECTED"), 3: ("5 mm çap", "BAD_CORRECTION")}
 
 
+def test_names_are_judged_once_each(spark, monkeypatch):
+    staged = {}
+    real = R.stage
+    monkeypatch.setattr(R, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    names = [("5 mm çap", None), ("Kalem", "Defter"), ("Kalem", None), ("  ", None), (None, "Kalem"), ("x. y, z; 12V 5mm", "x")]
+    r = spark.createDataFrame([(i, *names[i % 6]) for i in range(600)], "position int, n string, c string")
+    got = R.with_suspicion(r, {"rules": ("n", "c")}).select("position", S.suspicion(F.col("rules")).alias("s"))
+    want = r.select("position", S.name_suspicion(F.col("n"), F.col("c")).alias("w"))
+    assert staged["judged"].count() == 5 and got.count() == 600
+    both = got.join(want, "position").where("position < 6").orderBy("position").collect()
+    assert [x.s for x in both] == [x.w for x in both]
+    assert [(x.s.suspicious, x.s.score) for x in both] == [(True, 5), (True, 4), (False, 0), (False, 0), (False, 0), (True, 9)]
+
+
 def test_renumber_with_gaps(spark):
     p = spark.createDataFrame([("d", 0), ("d", 1)], "document string, position int")
     m = spark.createDataFrame([("d", 1, 0), ("d", 1, 1)], "document string, insertion_index int, gap_ordinal int")
