@@ -108,6 +108,11 @@ def suspects(v):
     return r.sparkSession.sql(f"SELECT position, document, {SUSPECT} AS product_name, CASE WHEN position % 7 = 0 THEN product_name WHEN position % 7 = 1 THEN 'Başka' END AS source_name, position % 7 = 0 AND position % 2 = 0 AS trusted_name FROM {{r}}", r=r)
 
 
+def judged(v):
+    named = suspects(v).select("position", "product_name", "source_name")
+    return R.with_suspicion(named, {"rules": ("product_name", "source_name")}, composed=True).withColumn("s", S.suspicion(F.col("rules")))
+
+
 def _re2(pattern: str) -> str:
     """A pattern of the domain as SQL text: the SQL engine knows no u flag, and its word boundary is ASCII."""
     bare = pattern[pattern.index(")") + 1 :]
@@ -130,12 +135,12 @@ MESSAGE = f"CASE WHEN contains(signals, '{S.SIGNALS['mismatch']}') THEN '{S.MISM
 
 @query("name_suspicion", f"{SUSPICION} SELECT position, suspicious, score, signals FROM doubted")
 def name_suspicion(v):
-    return suspects(v).withColumn("s", S.name_suspicion(F.col("product_name"), F.col("source_name"), composed=True)).select("position", "s.suspicious", "s.score", F.array_join("s.signals", "; ").alias("signals"))
+    return judged(v).select("position", "s.suspicious", "s.score", F.array_join("s.signals", "; ").alias("signals"))
 
 
 @query("suspicion_message", f"{SUSPICION} SELECT position, {MESSAGE} AS message FROM doubted WHERE suspicious")
 def suspicion_message(v):
-    return suspects(v).withColumn("s", S.name_suspicion(F.col("product_name"), F.col("source_name"), composed=True)).where("s.suspicious").select("position", S.suspicion_message(F.col("s.signals")).alias("message"))
+    return judged(v).where("s.suspicious").select("position", S.suspicion_message(F.col("s.signals")).alias("message"))
 
 
 @query("name_review_outcome", f"""{SUSPICION},
