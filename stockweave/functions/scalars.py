@@ -58,6 +58,11 @@ def java_trim(c: Column) -> Column:
     return F.regexp_replace(c, _JAVA_TRIM, "")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), in which value is evaluated once, however often f names it; neither may be a Python function."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -171,19 +176,13 @@ def is_name_header(key: Column) -> Column:
 
 
 def has_code_label(context: Column) -> Column:
-    t = fold(context)
-    return _any_in(t, CODE_LABELS) | t.rlike(r"(?s)\n\s*kod\s*(?:[:|]|$)")
+    return bound(fold(context), lambda t: _any_in(t, CODE_LABELS) | t.rlike(r"(?s)\n\s*kod\s*(?:[:|]|$)"))
 
 
 #: The rules by which a name reads like a description, each a bit of what suspicion_rules gives: points, and the signal that is shown (a weaker form of another rule shows none).
 SUSPICION_RULES = (("mismatch", 4), ("lines", 2), ("sentence", 3), ("technical", 2), ("numbers", 4), ("dimension", 4), ("packaging", 4), ("full_sentence", 2), ("punctuation", 1), (None, 1), (None, 1))
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), in which value is evaluated once, however often f names it; neither may be a Python function."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def suspicion_rules(name: Column, source_candidate: Column, composed: bool = False) -> Column:
     """The rules that a product name breaks, as bits in the order of SUSPICION_RULES; null without a name."""
     mismatch = F.coalesce(semantic_key(trim_to_null(name), composed) != semantic_key(trim_to_null(source_candidate), composed), F.lit(False))

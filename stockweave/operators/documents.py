@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockweave.functions.scalars import fold, has_code_label, header_key, is_name_header, java_trim, positive_int_cell, quantity_header_score, source_identity, trim_to_null
+from stockweave.functions.scalars import bound, fold, has_code_label, header_key, is_name_header, java_trim, positive_int_cell, quantity_header_score, source_identity, trim_to_null
 from stockweave.sources.shared import stage
 
 from .ordering import BROADCAST_BYTES, numbered_within, running
@@ -295,15 +295,17 @@ def pack_blocks(blocks: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
 
 def is_header_line(text: Column) -> Column:
     """A line with a sequence or name header and three of five label families."""
-    t = fold(text)
-    leads = [_any(t, SEQUENCE_LABELS), _any(t, NAME_LABELS)]
-    return (leads[0] | leads[1]) & (_count([*leads, *[_any(t, f) for f in HEADER_FAMILIES]]) >= 3)
+
+    def of(t: Column) -> Column:
+        leads = [_any(t, SEQUENCE_LABELS), _any(t, NAME_LABELS)]
+        return (leads[0] | leads[1]) & (_count([*leads, *[_any(t, f) for f in HEADER_FAMILIES]]) >= 3)
+
+    return bound(fold(text), of)
 
 
 def is_header_line_strict(text: Column) -> Column:
     """A line with three of seven label families."""
-    t = fold(text)
-    return _count([_any(t, f) for f in STRICT_FAMILIES]) >= 3
+    return bound(fold(text), lambda t: _count([_any(t, f) for f in STRICT_FAMILIES]) >= 3)
 
 
 def consecutive_runs(numbers: DataFrame, keys: list[str], number: str, least: int = LEAST_RUN) -> DataFrame:
@@ -318,7 +320,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     """lines (document, page, line_no, text) with number: the record number that the line begins with, null for bare quantities, technical figures and headers."""
     t = F.col("text")
     plain = ~t.rlike(QUANTITY_ONLY) & ~t.rlike(TECHNICAL_START) & ~is_header_line(t)
-    return lines.withColumn("number", F.when(plain & t.rlike(NUMBERED_START), F.regexp_extract(t, NUMBERED_START, 1).try_cast("int")))
+    # the number's pattern comes first and runs once: most lines are decided by it
+    return lines.withColumn("number", bound(F.regexp_extract(t, NUMBERED_START, 1), lambda n: F.when((n != "") & plain, n.try_cast("int"))))
 
 
 def record_starts(lines: DataFrame) -> DataFrame:
@@ -337,28 +340,26 @@ def record_starts(lines: DataFrame) -> DataFrame:
 
 def name_anchor(first_line: Column, kind: Column) -> Column:
     """The product name that a record's first line surely holds; null if its end is not certain."""
-    line = java_trim(first_line)
-    labelled = F.when(line.rlike("[:|]"), trim_to_null(F.regexp_extract(line, r"(?s)^[^:|]*[:|](.*)$", 1)))
-    rest = F.regexp_replace(java_trim(F.regexp_replace(line, r"^\s*\d{1,4}", "")), r"^[.)\-:|;]\s*", "")
-    described = F.regexp_instr(rest, F.lit(DESCRIPTION_START))
-    cut = F.when(F.contains(rest, F.lit("|")), F.substring_index(rest, "|", 1)).when(F.contains(rest, F.lit(" - ")), F.substring_index(rest, " - ", 1)).when(described > 1, F.substring(rest, F.lit(1), described - 1))
-    return F.when(kind == "EXPLICIT_LABEL", labelled).when(line.rlike(NUMBERED_START), trim_to_null(cut))
+    rest = lambda line: F.regexp_replace(java_trim(F.regexp_replace(line, r"^\s*\d{1,4}", "")), r"^[.)\-:|;]\s*", "")
+    told = lambda r: bound(F.regexp_instr(r, F.lit(DESCRIPTION_START)), lambda at: F.when(at > 1, F.substring(r, F.lit(1), at - 1)))
+    cut = lambda r: F.when(F.contains(r, F.lit("|")), F.substring_index(r, "|", 1)).when(F.contains(r, F.lit(" - ")), F.substring_index(r, " - ", 1)).otherwise(told(r))
+
+    def of(line: Column) -> Column:
+        labelled = F.when(line.rlike("[:|]"), F.regexp_extract(line, r"(?s)^[^:|]*[:|](.*)$", 1))
+        return F.when(kind == "EXPLICIT_LABEL", labelled).when(line.rlike(NUMBERED_START), bound(rest(line), cut))
+
+    return bound(java_trim(bound(java_trim(first_line), of)), lambda name: F.when(name != "", name))
 
 
 def quantity_anchor(text: Column, first_line: Column) -> Column:
     """The last labelled quantity of a record, else the number that ends its first line."""
     labelled = F.try_element_at(F.regexp_extract_all(text, F.lit(LABELLED_QUANTITY), F.lit(1)), F.lit(-1))
-    return F.coalesce(labelled.try_cast("int"), F.when(first_line.rlike(TRAILING_QUANTITY), F.regexp_extract(first_line, TRAILING_QUANTITY, 2).try_cast("int")))
+    return F.coalesce(labelled.try_cast("int"), F.regexp_extract(first_line, TRAILING_QUANTITY, 2).try_cast("int"))
 
 
 def _codes(text: Column) -> Column:
     values = F.transform(F.regexp_extract_all(text, F.lit(CODE_LABEL), F.lit(1)), java_trim)
-    return F.filter(values, lambda v: ~(fold(v).isin(*NO_CODE_VALUES) | _any(fold(v), NO_CODE_PARTS)))
-
-
-def code_anchor(text: Column) -> Column:
-    """The first labelled product code that says more than that there is none."""
-    return F.get(_codes(text), F.lit(0))
+    return F.filter(values, lambda v: bound(fold(v), lambda t: ~(t.isin(*NO_CODE_VALUES) | _any(t, NO_CODE_PARTS))))
 
 
 def code_absent(text: Column) -> Column:
@@ -383,9 +384,9 @@ def segment_records(lines: DataFrame) -> DataFrame:
     first = F.min_by("text", "line_no")
     g = s.groupBy(*keys, "ordinal").agg(text.alias("source_text"), first.alias("first_line"), F.max("start_kind").alias("start_kind"), F.min_by("number", "line_no").alias("number"), F.first("all_numbered").alias("all_numbered"), F.first("explicit_count").alias("explicit_count"), F.first("reliable_count").alias("reliable_count"))
     first_line = F.substring_index(F.col("source_text"), "\n", 1)
-    return g.select(
+    return g.withColumn("codes", _codes(F.col("source_text"))).select(
         *keys, "ordinal", F.when(F.col("all_numbered"), F.col("number")).otherwise(F.col("ordinal")).cast("int").alias("record_id"), "start_kind", "source_text", name_anchor(first_line, F.col("start_kind")).alias("name_anchor"),
-        code_anchor(F.col("source_text")).alias("code_anchor"), quantity_anchor(F.col("source_text"), first_line).alias("quantity_anchor"), code_absent(F.col("source_text")).alias("code_absent"), "explicit_count", "reliable_count",
+        F.get("codes", F.lit(0)).alias("code_anchor"), quantity_anchor(F.col("source_text"), first_line).alias("quantity_anchor"), (F.size("codes") == 0).alias("code_absent"), "explicit_count", "reliable_count",
     )
 
 

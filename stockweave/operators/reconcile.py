@@ -156,18 +156,26 @@ def _pieces(key: Column) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in PIECES]))
 
 
-def _fitting(asked: DataFrame, records: DataFrame) -> DataFrame:
-    """asked (chunk_id, position, out), records (chunk_id, position, record_id, k) -> chunk_id, position, other: the first other record of the chunk that fits the name.
+#: Records of a chunk that a name is compared with one by one; those of larger chunks are found through an index.
+FEW_RECORDS = 64
 
-    An index of each chunk by whole keys and by pieces: a key within another has its first piece among the other's, so only those that share it are compared.
+
+def _fitting(asked: DataFrame, records: DataFrame, few: int = FEW_RECORDS) -> DataFrame:
+    """asked (chunk_id, position, out, records: how many its chunk has), records (chunk_id, position, record_id, k) -> chunk_id, position, other: the first other record of the chunk that fits the name.
+
+    In a chunk of few records a name meets all of them. A larger chunk has an index by whole keys and by pieces: a key within another has its first piece among the other's, so only
+    those that share it are compared.
     """
     r = records.where("k IS NOT NULL").select("chunk_id", F.col("position").alias("there"), "record_id", "k")
-    r = r.join(asked.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    same = asked.join(r.withColumn("out", F.col("k")), ["chunk_id", "out"])
-    within = asked.withColumn("piece", F.explode(_pieces(F.col("out")))).join(r.withColumn("piece", _first_piece(F.col("k"))), ["chunk_id", "piece"])
-    around = asked.withColumn("piece", _first_piece(F.col("out"))).join(r.withColumn("piece", F.explode(_pieces(F.col("k")))), ["chunk_id", "piece"])
     columns = ["chunk_id", "position", "out", "there", "record_id", "k"]
-    found = same.select(*columns).unionByName(within.select(*columns)).unionByName(around.select(*columns))
+    found = asked.where(F.col("records") <= few).join(r, "chunk_id").select(*columns)
+    asked = asked.where(F.col("records") > few)
+    if not asked.isEmpty():
+        r = r.join(asked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        same = asked.join(r.withColumn("out", F.col("k")), ["chunk_id", "out"])
+        within = asked.withColumn("piece", F.explode(_pieces(F.col("out")))).join(r.withColumn("piece", _first_piece(F.col("k"))), ["chunk_id", "piece"])
+        around = asked.withColumn("piece", _first_piece(F.col("out"))).join(r.withColumn("piece", F.explode(_pieces(F.col("k")))), ["chunk_id", "piece"])
+        found = reduce(DataFrame.unionByName, [x.select(*columns) for x in (same, within, around)], found)
     fit = found.where((F.col("there") != F.col("position")) & _fits(F.col("k"), F.col("out")))
     return fit.groupBy("chunk_id", "position").agg(F.min_by("record_id", "there").alias("other"))
 
@@ -178,15 +186,15 @@ def align_records(extracted: DataFrame, records: DataFrame) -> DataFrame:
     Only chunks with as many rows as records. A row's own record number is cut off its name. The name must fit the anchor, which then replaces it; an error says which
     other record it fits. A wrong quantity that is another record's, or one name for different anchors, is an error too. Records meet only within their chunk, and there by equal quantities or pieces of keys.
     """
-    n = extracted.groupBy("chunk_id").agg(F.count("*").alias("a")).join(records.groupBy("chunk_id").agg(F.count("*").alias("b")), "chunk_id").where("a = b").select("chunk_id")
-    rec = records.select("chunk_id", "position", "record_id", "name_anchor", "quantity_anchor", alignment_key(F.col("name_anchor")).alias("k"))
-    j = extracted.join(n, "chunk_id", "left_semi").join(rec.withColumnRenamed("k", "src"), ["chunk_id", "position"])
+    n = extracted.groupBy("chunk_id").agg(F.count("*").alias("a")).join(records.groupBy("chunk_id").agg(F.count("*").alias("b")), "chunk_id").where("a = b").select("chunk_id", F.col("b").alias("records"))
+    rec = stage(records.select("chunk_id", "position", "record_id", "name_anchor", "quantity_anchor", alignment_key(F.col("name_anchor")).alias("k")), "records")
+    j = extracted.join(n, "chunk_id").join(rec.withColumnRenamed("k", "src"), ["chunk_id", "position"])
     name = trim_to_null(F.col("product_name"))
     cut = F.regexp_replace(name, F.concat(F.lit(r"^\s*"), F.col("record_id").cast("string"), F.lit(r"\s*[.)\-:]?\s+")), F.lit(""))
     j = j.withColumn("name", F.when(F.length(F.trim(cut)) > 0, cut).otherwise(name)).withColumn("out", alignment_key(F.col("name")))
     wrong = F.col("src").isNotNull() & ~F.coalesce(_fits(F.col("src"), F.col("out")), F.lit(False))
-    j = stage(j.select("chunk_id", "position", "name", "name_anchor", "out", "src", "quantity", "quantity_anchor", wrong.alias("wrong")), "aligned")
-    other = _fitting(j.where("wrong AND out IS NOT NULL").select("chunk_id", "position", "out"), rec)
+    j = stage(j.select("chunk_id", "position", "name", "name_anchor", "out", "src", "quantity", "quantity_anchor", "records", wrong.alias("wrong")), "aligned")
+    other = _fitting(j.where("wrong AND out IS NOT NULL").select("chunk_id", "position", "out", "records"), rec)
     # its own anchor is another quantity, so a record that has this one is another
     quantities = rec.where("quantity_anchor IS NOT NULL").select("chunk_id", F.col("quantity_anchor").alias("quantity")).distinct().withColumn("held", F.lit(True))
     j = j.join(other, ["chunk_id", "position"], "left").join(quantities, ["chunk_id", "quantity"], "left")

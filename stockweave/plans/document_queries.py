@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockweave.functions import scalars as S
 from stockweave.operators import documents as D
 from stockweave.operators import reconcile as R
+from stockweave.sources.shared import stage
 
 from .registry import query, sql_alignment, sql_fold, sql_trim
 
@@ -352,7 +353,8 @@ def record_chunks(v):
 
 def extracted_of(v):
     """What a model might answer for each record: some names and quantities moved."""
-    rec = D.segment_records(v("page_lines")).withColumn("chunk_id", F.col("document")).withColumn("position", F.col("ordinal"))
+    columns = ["document", "ordinal", "record_id", "name_anchor", "quantity_anchor", "code_anchor", "code_absent"]
+    rec = stage(D.segment_records(v("page_lines")).select(*columns), "records").withColumn("chunk_id", F.col("document")).withColumn("position", F.col("ordinal"))
     name = F.when(F.col("ordinal") % 3 == 0, F.concat(F.col("record_id").cast("string"), F.lit(". "), F.col("name_anchor"))).when(F.col("ordinal") % 5 == 0, "Bambaşka").otherwise(F.col("name_anchor"))
     out = rec.select("chunk_id", "position", name.alias("product_name"), F.when(F.col("ordinal") % 4 == 0, F.col("quantity_anchor") + 1).otherwise(F.col("quantity_anchor")).alias("quantity"), F.lit("UYDURMA").alias("product_code"))
     return rec, out

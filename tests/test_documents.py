@@ -257,3 +257,10 @@ def test_header_of_a_sheet_that_begins_with_records(spark):
     cells = spark.createDataFrame([("d", "s", r, c, x) for r, line in enumerate([("1", "Kalem", "3"), ("2", "Defter", "4")], 1) for c, x in enumerate(line, 1)], "document string, sheet string, row int, col int, value string")
     h = D.detect_header(D.sheet_rows(cells)).first()
     assert (h.content, h.name_col, h.header_row, h.code_absent) == (D.NO_HEADER, None, None, False)
+
+
+def test_line_patterns_run_once(spark):
+    lines = spark.createDataFrame([("d", 1, 1, "1. vida 5")], "document string, page int, line_no int, text string").repartition(1)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lines.select(D.is_header_line(F.col("text")).alias("header"))).count("lower(") == 1
+    assert plan(D.numbered_lines(lines)).count(r"(?=.*\p{L})") == 1

@@ -221,6 +221,17 @@ def test_alignment_against_all_pairs(spark):
     assert seen > 10
 
 
+def test_few_records_meet_without_an_index(spark, monkeypatch):
+    rec = spark.createDataFrame([("c", 1, 1, "Kalem", 5), ("c", 2, 2, "Defter", 7), ("c", 3, 3, "Defter A4", 9)], "chunk_id string, position int, record_id int, name_anchor string, quantity_anchor int")
+    out = spark.createDataFrame([("c", 1, "Defter A4 mavi", 5), ("c", 2, "kalem", 7), ("c", 3, "Silgi", 9)], "chunk_id string, position int, product_name string, quantity int")
+    want = {1: "fits record 2", 2: "fits record 1", 3: "name does not fit"}
+    asked = spark.createDataFrame([("c", 1, "defter a4 mavi", 3), ("c", 2, "kalem", 3), ("c", 3, "silgi", 3)], "chunk_id string, position int, out string, records int")
+    keyed = rec.withColumn("k", S.alignment_key(F.col("name_anchor")))
+    assert {r.position: r.other for r in R._fitting(asked, keyed, few=0).collect()} == {1: 2, 2: 1}
+    monkeypatch.setattr(R, "_pieces", None)
+    assert {r.position: r.error for r in R.align_records(out, rec).collect()} == want
+
+
 def test_split_failed_chunks(spark):
     r = spark.createDataFrame([("a", i, i) for i in range(5)] + [("b", 0, 0)], "chunk_id string, position int, record_id int")
     halves, lone = R.split_failed_chunks(r, spark.createDataFrame([("a",), ("b",)], "chunk_id string"))
