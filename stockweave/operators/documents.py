@@ -408,13 +408,22 @@ def record_chunks(records: DataFrame, size: int = RECORDS_PER_CHUNK) -> DataFram
     return numbers.withColumn("chunk_index", _chunk(size)).groupBy("document", "page", "chunk_index").agg(F.min("record_id").alias("first_record"), F.max("record_id").alias("last_record"), F.count("*").alias("record_count"))
 
 
+def _table_line(text: Column) -> Column:
+    """struct(number, header) of a table-like line, number null for others: the pattern and the label families are looked for once."""
+    return bound(F.regexp_extract(text, TRAILING_QUANTITY, 1).try_cast("int"), lambda n: F.struct(n.alias("number"), F.when(n.isNotNull(), is_header_line_strict(text)).alias("header")))
+
+
 def reliable_candidates(lines: DataFrame) -> DataFrame:
     """Per page the numbers of table-like lines, header-like ones left out: reliable (in runs of three), matched, header_lines, outliers."""
     keys = ["document", "page"]
-    hit = lines.where(F.col("text").rlike(TRAILING_QUANTITY)).withColumn("header", is_header_line_strict(F.col("text"))).withColumn("number", F.regexp_extract("text", TRAILING_QUANTITY, 1).try_cast("int"))
-    runs = consecutive_runs(hit.where("NOT header"), keys, "number").groupBy(*keys).agg(F.count("*").alias("reliable"))
-    g = hit.groupBy(*keys).agg(F.count_distinct(F.when(~F.col("header"), F.col("number"))).alias("matched"), F.count_if("header").alias("header_lines"))
-    return g.join(runs, keys, "left").select(*keys, F.coalesce("reliable", F.lit(0)).alias("reliable"), "matched", "header_lines", (F.col("matched") - F.coalesce("reliable", F.lit(0))).alias("outliers"))
+    seen = lines.select(*keys, _table_line(F.col("text")).alias("hit")).select(*keys, "hit.number", "hit.header")
+    # one shuffle, by page, serves all that follows
+    g = seen.repartition(*keys).groupBy(*keys, "number").agg(F.count_if("header").alias("header_lines"), F.bool_or(~F.col("header")).alias("plain"))
+    rank = Window.partitionBy(*keys, "plain").orderBy("number")
+    g = g.withColumn("run__", F.when(F.col("plain"), F.col("number") - F.row_number().over(rank)))
+    g = g.withColumn("run_length", F.count("*").over(Window.partitionBy(*keys, "plain", "run__")))
+    pages = g.groupBy(*keys).agg(F.count_if(F.col("plain") & (F.col("run_length") >= LEAST_RUN)).alias("reliable"), F.count_if("plain").alias("matched"), F.sum("header_lines").alias("header_lines"), F.count("number").alias("hits"))
+    return pages.where("hits > 0").select(*keys, "reliable", "matched", "header_lines", (F.col("matched") - F.col("reliable")).alias("outliers"))
 
 
 def approx_item_markers(lines: DataFrame) -> DataFrame:

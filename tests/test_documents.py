@@ -264,3 +264,12 @@ def test_line_patterns_run_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(lines.select(D.is_header_line(F.col("text")).alias("header"))).count("lower(") == 1
     assert plan(D.numbered_lines(lines)).count(r"(?=.*\p{L})") == 1
+    assert plan(D.reliable_candidates(lines)).count("regexp_extract(") == 1
+
+
+def test_table_lines_of_a_page(spark):
+    head = "Sıra No | Malzeme Adı | Birim | Toplam Adet"
+    texts = ["1. vida 5", "2. vida 5", "3 | kutu | 7 adet", "3. vida 9", "9. vida 5", "not a record", f"4. {head} 12", "12", None]
+    lines = spark.createDataFrame([("d", 1, n, t) for n, t in enumerate(texts)] + [("e", 1, 1, "no number"), ("h", 1, 1, f"1. {head} 2")], "document string, page int, line_no int, text string")
+    got = {r.document: (r.reliable, r.matched, r.header_lines, r.outliers) for r in D.reliable_candidates(lines).collect()}
+    assert got == {"d": (3, 4, 1, 1), "h": (0, 0, 1, 0)}
