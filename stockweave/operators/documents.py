@@ -438,7 +438,11 @@ def approx_item_markers(lines: DataFrame) -> DataFrame:
 def page_ids_per_chunk(lines: DataFrame, size: int = ROWS_PER_CHUNK) -> DataFrame:
     """Chunks of a page's lines with their matched numbers, only those that are reliable on the whole page."""
     keys = ["document", "page"]
-    chunk = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("line_no")) - 1) / size).cast("int") + 1
-    hit = lines.withColumn("chunk_index", chunk).where(F.col("text").rlike(TRAILING_QUANTITY) & ~is_header_line_strict(F.col("text"))).withColumn("number", F.regexp_extract("text", TRAILING_QUANTITY, 1).try_cast("int"))
-    sure = consecutive_runs(hit, keys, "number").select(*keys, "number")
-    return hit.join(sure, [*keys, "number"], "left_semi").groupBy(*keys, "chunk_index").agg(F.count_distinct("number").alias("ids"), F.min("number").alias("first_id"), F.max("number").alias("last_id"))
+    # texts end before the shuffle, which all windows share
+    hit = lines.select(*keys, "line_no", _table_line(F.col("text")).alias("hit")).select(*keys, "line_no", F.when(~F.col("hit.header"), F.col("hit.number")).alias("number"))
+    hit = hit.withColumn("chunk_index", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("line_no")) - 1) / size).cast("int") + 1)
+    hit = hit.withColumn("run__", F.col("number") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("number")))
+    run = Window.partitionBy(*keys, "run__")
+    hit = hit.withColumn("sure", F.when(F.max("number").over(run) - F.min("number").over(run) + 1 >= LEAST_RUN, F.col("number")))
+    chunks = hit.groupBy(*keys, "chunk_index").agg(F.count_distinct("sure").alias("ids"), F.min("sure").alias("first_id"), F.max("sure").alias("last_id"))
+    return chunks.where("ids > 0")

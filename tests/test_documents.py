@@ -265,6 +265,7 @@ def test_line_patterns_run_once(spark):
     assert plan(lines.select(D.is_header_line(F.col("text")).alias("header"))).count("lower(") == 1
     assert plan(D.numbered_lines(lines)).count(r"(?=.*\p{L})") == 1
     assert plan(D.reliable_candidates(lines)).count("regexp_extract(") == 1
+    assert plan(D.page_ids_per_chunk(lines)).count("regexp_extract(") == 1
 
 
 def test_table_lines_of_a_page(spark):
@@ -273,3 +274,5 @@ def test_table_lines_of_a_page(spark):
     lines = spark.createDataFrame([("d", 1, n, t) for n, t in enumerate(texts)] + [("e", 1, 1, "no number"), ("h", 1, 1, f"1. {head} 2")], "document string, page int, line_no int, text string")
     got = {r.document: (r.reliable, r.matched, r.header_lines, r.outliers) for r in D.reliable_candidates(lines).collect()}
     assert got == {"d": (3, 4, 1, 1), "h": (0, 0, 1, 0)}
+    chunks = sorted((r.chunk_index, r.ids, r.first_id, r.last_id) for r in D.page_ids_per_chunk(lines, 2).collect())
+    assert chunks == [(1, 2, 1, 2), (2, 1, 3, 3)]
