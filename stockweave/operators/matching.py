@@ -33,11 +33,13 @@ def canonical_match(rows: DataFrame, products: DataFrame, name: str = "product_n
     """rows with key, matches, first_id (the least id that matches) and ids (of all products that match, ascending, joined by commas; empty if none); a null key matches nothing.
 
     Facts of a name are aggregates that merge before their shuffle; the list of ids is made once a name, not once a row. The products' other fields stay a table by key: matched_products.
+    Rows come sorted by key, with each key in one task (a skewed one in a few): a written file then holds a long list once for all rows that have it, where lists in the order of the
+    rows would be written again and again. So this join is never a broadcast.
     """
     ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
     facts = keyed_products(products).groupBy(F.col("key").alias("key__")).agg(F.count("*").alias("matches"), F.min("id").alias("first_id"), ids.alias("ids"))
     keyed = rows.withColumn("key", canonical_name(F.col(name)))
-    joined = keyed.join(facts, F.col("key") == F.col("key__"), "left")
+    joined = keyed.join(facts.hint("merge"), F.col("key") == F.col("key__"), "left")
     return joined.withColumns({"matches": F.coalesce("matches", F.lit(0)), "ids": F.coalesce("ids", F.lit(""))}).drop("key__")
 
 

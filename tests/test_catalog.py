@@ -116,3 +116,14 @@ def test_match_preview_states(spark):
     assert got[("b", 1)][0] == got[("c", 1)][0] == "Kontrol gerekli"
     assert got[("d", 1)] == ("Yeni ürün", "NEW", None, False)
     assert got[("", 1)] == got[("a", None)] == (None, None, None, False)
+
+
+def test_matches_come_by_name(spark):
+    """Long lists of ids are written once for the rows of a name, which come together, however small the catalogue is."""
+    p = spark.range(400).select("id", F.concat(F.lit("Vida "), (F.col("id") % 4).cast("string")).alias("name"))
+    rows = spark.range(2000).select(F.col("id").alias("position"), F.concat(F.lit("vida_"), (F.col("id") % 5).cast("string")).alias("product_name"))
+    got = M.canonical_match(rows, p)
+    keys = got.select("key", "ids", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("n")).orderBy("n").collect()
+    runs = [x for k, x in enumerate(keys) if not k or (x.key, x.at) != (keys[k - 1].key, keys[k - 1].at)]
+    assert len(runs) == 5 and "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("matches = 100 AND size(split(ids, ',')) = 100").count() == 1600
