@@ -150,10 +150,12 @@ def coerce_quantity_text(text: Column) -> Column:
 
 def coerce_quantity(value: Column) -> Column:
     """A JSON value (variant) as a quantity: integers stay, fractions round half up, texts give their digits, anything else null."""
-    kind = F.schema_of_variant(value)
-    number = F.try_variant_get(value, "$", "double")
-    fraction = F.floor(number + 0.5)
-    return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "int")).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when(fraction.between(-INT_MAX - 1, INT_MAX), fraction.cast("int"))).when(kind == "STRING", coerce_quantity_text(F.try_variant_get(value, "$", "string")))
+
+    def of(kind: Column) -> Column:
+        fraction = bound(F.floor(F.try_variant_get(value, "$", "double") + 0.5), lambda n: F.when(n.between(-INT_MAX - 1, INT_MAX), n.cast("int")))
+        return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "int")).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), fraction).when(kind == "STRING", coerce_quantity_text(F.try_variant_get(value, "$", "string")))
+
+    return bound(F.schema_of_variant(value), of)
 
 
 def positive_int_cell(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockweave.functions.scalars import INT_MAX, MAX_NAME, alignment_key, coerce_price, coerce_quantity, review_message_160, suspicion, suspicion_message, suspicion_rules, trim_to_null
+from stockweave.functions.scalars import INT_MAX, MAX_NAME, alignment_key, bound, coerce_price, coerce_quantity, java_trim, review_message_160, suspicion, suspicion_message, suspicion_rules, trim_to_null
 from stockweave.sources.shared import stage
 
 from .ordering import BROADCAST_BYTES, numbered_within
@@ -23,24 +23,31 @@ def extraction_json(responses: DataFrame) -> DataFrame:
     """responses (chunk_id, response) -> chunk_id, position, source_record_id, product_code, product_name, quantity, raw_quantity, price, malformed.
 
     Markdown fences go, and what stands outside the first [ and last ]. A response that is blank, has no array, or holds an integer beyond int
-    gives one malformed row; an empty array none.
+    gives one malformed row; an empty array none. A response is one pass: it is parsed once, and its rows are made within it, without a shuffle.
     """
+    of = lambda item, k, kind: F.try_variant_get(item, f"$.{k}", kind)
+    text = lambda item, k: bound(java_trim(of(item, k, "string")), lambda t: F.when(t != "", t))
+    kinds = {"position": "int", "source_record_id": "string", "product_code": "string", "product_name": "string", "quantity": "int", "raw_quantity": "string", "price": "decimal(38,18)", "malformed": "boolean"}
+    row = lambda *values: F.struct(*[x.cast(kind).alias(name) for x, (name, kind) in zip(values, kinds.items(), strict=True)])
+
+    def array(clean: Column) -> Column:
+        lo, hi = F.instr(clean, "["), F.length(clean) + 1 - F.instr(F.reverse(clean), "]")
+        return F.when((lo > 0) & F.contains(clean, F.lit("]")) & (hi > lo), F.substring(clean, lo, hi - lo + 1))
+
+    def big(item: Column) -> Column:
+        whole = of(item, "quantity", "bigint")
+        return F.coalesce((F.schema_of_variant(of(item, "quantity", "variant")) == "BIGINT") & ((whole > INT_MAX) | (whole < -INT_MAX - 1)), F.lit(False))
+
+    def read(item: Column, position: Column) -> Column:
+        quantity = bound(of(item, "quantity", "variant"), coerce_quantity)
+        return row(position, text(item, "sourceRecordId"), text(item, "productCode"), text(item, "productName"), quantity, F.coalesce(of(item, "quantity", "string"), F.lit("null")), coerce_price(of(item, "price", "string")), F.lit(False))
+
+    none = F.lit(None)
+    malformed = F.array(row(*[none] * 7, F.lit(True)))
+    rows = lambda items: F.when(items.isNull() | F.exists(items, big), malformed).otherwise(F.transform(items, read))
     clean = F.regexp_replace(F.coalesce("response", F.lit("")), r"```(?:json)?\s*", "")
-    lo, hi = F.instr(clean, "["), F.length(clean) + 1 - F.instr(F.reverse(clean), "]")
-    array = F.when((lo > 0) & F.contains(clean, F.lit("]")) & (hi > lo), F.substring(clean, lo, hi - lo + 1))
-    r = responses.select("chunk_id", F.try_parse_json(array).alias("v"))
-    items = F.expr("try_variant_get(v, '$', 'array<variant>')")
-    r = r.withColumn("items", items)
-    text = lambda k: trim_to_null(F.try_variant_get("item", f"$.{k}", "string"))
-    e = r.where("items IS NOT NULL").select("chunk_id", F.posexplode("items").alias("position", "item"))
-    q = F.try_variant_get("item", "$.quantity", "variant")
-    whole = F.try_variant_get("item", "$.quantity", "bigint")
-    big = F.coalesce((F.schema_of_variant(q) == "BIGINT") & ((whole > INT_MAX) | (whole < -INT_MAX - 1)), F.lit(False))
-    e = e.withColumn("big", F.max(big).over(Window.partitionBy("chunk_id")))
-    rows = e.where("NOT big").select("chunk_id", "position", text("sourceRecordId").alias("source_record_id"), text("productCode").alias("product_code"), text("productName").alias("product_name"), coerce_quantity(q).alias("quantity"), F.coalesce(F.try_variant_get("item", "$.quantity", "string"), F.lit("null")).alias("raw_quantity"), coerce_price(F.try_variant_get("item", "$.price", "string")).alias("price"), F.lit(False).alias("malformed"))
-    none = lambda t: F.lit(None).cast(t)
-    bad = r.where("items IS NULL").select("chunk_id").unionByName(e.where("big").select("chunk_id").distinct())
-    return rows.unionByName(bad.select("chunk_id", none("int").alias("position"), none("string").alias("source_record_id"), none("string").alias("product_code"), none("string").alias("product_name"), none("int").alias("quantity"), none("string").alias("raw_quantity"), none("decimal(38,18)").alias("price"), F.lit(True).alias("malformed")))
+    items = F.try_variant_get(F.try_parse_json(bound(clean, array)), "$", "array<variant>")
+    return responses.select("chunk_id", F.explode(bound(items, rows)).alias("row")).select("chunk_id", "row.*")
 
 
 def assign_source_identity(extracted: DataFrame, sources: DataFrame) -> DataFrame:

@@ -180,6 +180,14 @@ def test_extraction_json(spark):
     assert sorted(r.chunk_id for r in got if r.malformed) == ["1", "2", "3"] and not any(r.chunk_id == "4" for r in got)
 
 
+def test_responses_are_read_in_one_pass(spark):
+    df = spark.createDataFrame([("a", '[{"quantity": 1.5}, {"quantity": "2"}]'), ("b", '[{"quantity": 3000000000}, {"quantity": 1}]')], "chunk_id string, response string")
+    got = R.extraction_json(df)
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Window", "Union"))
+    assert sorted((r.chunk_id, r.position, r.quantity, r.malformed) for r in got.where("NOT malformed").collect()) == [("a", 0, 2, False), ("a", 1, 2, False)]
+    assert [(r.chunk_id, r.position, r.raw_quantity) for r in got.where("malformed").collect()] == [("b", None, None)]
+
+
 def test_reconcile(spark):
     s = spark.createDataFrame([("c", i, f"r{i}", f"Ad {i}", i) for i in (1, 2, 3)], "chunk_id string, position int, source_identity string, product_name string, quantity int")
     e = spark.createDataFrame([("c", 1, "r2", None, None, False), ("c", 2, "r2", "K", None, False), ("c", 3, None, None, None, True)], "chunk_id string, position int, source_identity string, product_code string, price double, identity_review boolean")
