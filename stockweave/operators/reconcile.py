@@ -54,16 +54,19 @@ def assign_source_identity(extracted: DataFrame, sources: DataFrame) -> DataFram
     """extracted (chunk_id, position, source_record_id, product_name, quantity) with source_identity or identity_review.
 
     sources (chunk_id, source_identity, product_name, quantity). A supplied reference must name exactly one source row of the chunk; without one, equal names
-    (by alignment key) and quantities must.
+    (by alignment key) and quantities must. A chunk is what one answer was asked for, so it is one task: rows and sources of a chunk meet in windows, on a single shuffle.
     """
-    s = sources.select(F.col("chunk_id").alias("c__"), F.col("source_identity").alias("s__"), alignment_key(F.col("product_name")).alias("k__"), F.col("quantity").alias("q__"))
-    by_ref = s.groupBy("c__", F.col("s__").alias("ref__")).agg(F.count("*").alias("ref_hits"))
-    by_name = s.where("k__ IS NOT NULL AND q__ IS NOT NULL").groupBy("c__", "k__", "q__").agg(F.count("*").alias("name_hits"), F.min("s__").alias("named"))
-    e = extracted.withColumn("ref", trim_to_null(F.col("source_record_id"))).withColumn("k", alignment_key(F.col("product_name")))
-    e = e.join(by_ref, (F.col("chunk_id") == F.col("c__")) & (F.col("ref") == F.col("ref__")), "left").drop("c__", "ref__")
-    e = e.join(by_name, (F.col("chunk_id") == F.col("c__")) & (F.col("k") == F.col("k__")) & (F.col("quantity") == F.col("q__")), "left").drop("c__", "k__", "q__")
-    found = F.when(F.col("ref").isNotNull(), F.when(F.col("ref_hits") == 1, F.col("ref"))).otherwise(F.when(F.col("name_hits") == 1, F.col("named")))
-    return e.withColumn("source_identity", found).withColumn("identity_review", found.isNull()).withColumn("review_message", F.when(found.isNull(), NO_IDENTITY)).drop("ref", "k", "ref_hits", "name_hits", "named")
+    asked = {"k__": alignment_key(F.col("product_name")), "q__": F.col("quantity")}
+    s = sources.select("chunk_id", F.col("source_identity").alias("s__"), *[c.alias(k) for k, c in asked.items()], F.lit(True).alias("source__"))
+    e = extracted.withColumns({"s__": trim_to_null(F.col("source_record_id")), **asked, "source__": F.lit(False)})
+    both = e.unionByName(s, allowMissingColumns=True).repartition("chunk_id")
+    source = F.col("source__")
+    refs, names = Window.partitionBy("chunk_id", "s__"), Window.partitionBy("chunk_id", "k__", "q__")
+    both = both.withColumn("ref_hits", F.count_if(source).over(refs)).withColumn("name_hits", F.count_if(source).over(names)).withColumn("named", F.min(F.when(source, F.col("s__"))).over(names))
+    by_name = F.when(F.col("k__").isNotNull() & F.col("q__").isNotNull() & (F.col("name_hits") == 1), F.col("named"))
+    found = F.when(F.col("s__").isNotNull(), F.when(F.col("ref_hits") == 1, F.col("s__"))).otherwise(by_name)
+    out = both.where(~source).withColumn("source_identity", found).withColumn("identity_review", F.col("source_identity").isNull())
+    return out.withColumn("review_message", F.when(F.col("identity_review"), NO_IDENTITY)).drop("s__", "k__", "q__", "source__", "ref_hits", "name_hits", "named")
 
 
 def reconcile_source_rows(sources: DataFrame, extracted: DataFrame, code_absent: DataFrame) -> DataFrame:
@@ -71,13 +74,16 @@ def reconcile_source_rows(sources: DataFrame, extracted: DataFrame, code_absent:
 
     sources (chunk_id, position, source_identity, product_name, quantity); extracted (chunk_id, position, source_identity, product_code, price, identity_review); code_absent (chunk_id, code_absent).
     Source rows that nothing matched are recovered only where the header has no code field. Chunks with a source row without name or
-    positive quantity are left as they are, so they give no rows here.
+    positive quantity are left as they are, so they give no rows here. A chunk is one task, as in assign_source_identity.
     """
-    good = sources.groupBy("chunk_id").agg(F.bool_and(trim_to_null(F.col("product_name")).isNotNull() & F.coalesce(F.col("quantity") >= 1, F.lit(False))).alias("good")).where("good").select("chunk_id")
-    first = extracted.where("NOT identity_review AND source_identity IS NOT NULL").groupBy("chunk_id", "source_identity").agg(F.min_by(F.struct("product_code", "price"), "position").alias("x"), F.count("*").alias("representations"))
-    j = sources.join(good, "chunk_id", "left_semi").join(code_absent, "chunk_id").join(first, ["chunk_id", "source_identity"], "left")
-    j = j.where("representations IS NOT NULL OR code_absent")
-    return j.select("chunk_id", "position", "source_identity", "product_name", "quantity", F.col("x.product_code").alias("product_code"), F.col("x.price").alias("price"), F.col("representations").isNull().alias("recovered"), F.greatest(F.coalesce("representations", F.lit(1)) - 1, F.lit(0)).alias("duplicates"))
+    good = trim_to_null(F.col("product_name")).isNotNull() & F.coalesce(F.col("quantity") >= 1, F.lit(False))
+    s = sources.select("chunk_id", "source_identity", "position", "product_name", "quantity", good.alias("good__"))
+    e = extracted.where("NOT identity_review AND source_identity IS NOT NULL").select("chunk_id", "source_identity", F.struct("position", "product_code", "price").alias("x__"))
+    both = s.unionByName(e, allowMissingColumns=True).repartition("chunk_id")
+    same, chunk = Window.partitionBy("chunk_id", "source_identity"), Window.partitionBy("chunk_id")
+    both = both.withColumn("representations", F.count("x__").over(same)).withColumn("x", F.min("x__").over(same)).withColumn("good", F.bool_and("good__").over(chunk))
+    j = both.where("good__ IS NOT NULL AND good").join(code_absent, "chunk_id").where("representations > 0 OR code_absent")
+    return j.select("chunk_id", "position", "source_identity", "product_name", "quantity", F.col("x.product_code").alias("product_code"), F.col("x.price").alias("price"), (F.col("representations") == 0).alias("recovered"), F.greatest(F.col("representations") - 1, F.lit(0)).alias("duplicates"))
 
 
 def chunk_completeness(chunks: DataFrame, extracted: DataFrame, strict: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from stockweave.operators import consolidate as K
 from stockweave.operators import imports as I
 from stockweave.operators import matching as M
 from stockweave.operators import reconcile as R
+from stockweave.sources.shared import stage
 
 from .registry import query, sql_alignment, sql_canonical, sql_lower, sql_semantic, sql_trim
 
@@ -484,9 +485,11 @@ found AS (SELECT chunk_id, source_identity, count(*) AS n FROM assigned WHERE so
 SELECT s.chunk_id, s.position, s.source_identity, s.quantity, f.n IS NULL AS recovered, greatest(coalesce(f.n, 1) - 1, 0) AS duplicates
 FROM s JOIN good g ON g.chunk_id = s.chunk_id LEFT JOIN found f ON f.chunk_id = s.chunk_id AND f.source_identity = s.source_identity WHERE f.n IS NOT NULL OR length(s.chunk_id) % 2 = 0""")
 def reconcile_source_rows(v):
-    e = R.assign_source_identity(_sql(v, EXTRACT), _sql(v, SOURCES)).withColumn("product_code", F.lit(None).cast("string")).withColumn("price", F.lit(None).cast("decimal(38,18)"))
-    absent = _sql(v, SOURCES).select("chunk_id").distinct().withColumn("code_absent", F.length("chunk_id") % 2 == 0)
-    return R.reconcile_source_rows(_sql(v, SOURCES), e, absent).select("chunk_id", "position", "source_identity", "quantity", "recovered", "duplicates")
+    r = stage(v("import_rows").select("document", "position", "row_number", "product_name", "quantity"), "imports")
+    sources, extract = (_sql(lambda _: r, text) for text in (SOURCES, EXTRACT))
+    e = R.assign_source_identity(extract.select("chunk_id", "position", "source_record_id", "product_name", "quantity"), sources).withColumn("product_code", F.lit(None).cast("string")).withColumn("price", F.lit(None).cast("decimal(38,18)"))
+    absent = sources.select("chunk_id").distinct().withColumn("code_absent", F.length("chunk_id") % 2 == 0)
+    return R.reconcile_source_rows(sources, e, absent).select("chunk_id", "position", "source_identity", "quantity", "recovered", "duplicates")
 
 
 CHUNKS = "SELECT document AS chunk_id, CASE WHEN length(document) % 2 = 0 THEN 'XLSX' ELSE 'PDF' END AS source_type, CAST(count(*) AS INT) AS expected, max(position) % 3 <> 0 AS trusted, CASE WHEN max(position) % 2 = 0 THEN 'RELIABLE' ELSE 'APPROXIMATE' END AS confidence FROM {import_rows} GROUP BY document"

@@ -180,6 +180,18 @@ def test_extraction_json(spark):
     assert sorted(r.chunk_id for r in got if r.malformed) == ["1", "2", "3"] and not any(r.chunk_id == "4" for r in got)
 
 
+def test_rows_and_sources_of_a_chunk_meet_on_one_shuffle(spark):
+    s = spark.createDataFrame([("c", 0, "r1", "Kalem", 5), ("c", 1, "r2", "Defter", 7), ("c", 2, "r2", "Silgi", 7), ("c", 3, None, "Kutu", None), ("d", 0, "r1", "Kalem", 5), ("d", 1, "r3", " ", 5)], "chunk_id string, position int, source_identity string, product_name string, quantity int")
+    e = spark.createDataFrame([("c", 0, "r1", "x", 5), ("c", 1, "r2", "x", 5), ("c", 2, " ", "KALEM", 5), ("c", 3, None, "Kutu", None), ("d", 0, None, "Defter", 7), ("d", 1, "r9", "Kalem", 5)], "chunk_id string, position int, source_record_id string, product_name string, quantity int")
+    got = R.assign_source_identity(e, s)
+    assert {(r.chunk_id, r.position): (r.source_identity, r.identity_review, r.review_message is None) for r in got.collect()} == {("c", 0): ("r1", False, True), ("c", 1): (None, True, False), ("c", 2): ("r1", False, True), ("c", 3): (None, True, False), ("d", 0): (None, True, False), ("d", 1): (None, True, False)}
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    absent = spark.createDataFrame([("c", True), ("d", True)], "chunk_id string, code_absent boolean")
+    rows = R.reconcile_source_rows(s.where("position < 3"), got.withColumns({"product_code": F.lit("k"), "price": F.lit(None).cast("decimal(38,18)")}), absent)
+    assert sorted((r.chunk_id, r.position, r.recovered, r.duplicates, r.product_code) for r in rows.collect()) == [("c", 0, False, 1, "k"), ("c", 1, True, 0, None), ("c", 2, True, 0, None)]
+    assert "Join" not in plan(got) and plan(rows).count("Join") == 1
+
+
 def test_responses_are_read_in_one_pass(spark):
     df = spark.createDataFrame([("a", '[{"quantity": 1.5}, {"quantity": "2"}]'), ("b", '[{"quantity": 3000000000}, {"quantity": 1}]')], "chunk_id string, response string")
     got = R.extraction_json(df)
