@@ -89,12 +89,24 @@ def row_chunks(rows: DataFrame, keys: list[str], order: str, size: int = ROWS_PE
 # ---- sheets ----
 
 
+def _filled(cells: Column) -> Column:
+    return F.filter(F.transform(cells, java_trim), lambda c: c != "")
+
+
+def _content(cells: Column) -> Column:
+    return F.array_join(_filled(cells), " | ")
+
+
+def _numbered_rows(cells: DataFrame) -> DataFrame:
+    """sheet_rows without content, which follows from cells."""
+    g = cells.groupBy("document", "sheet", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda s: F.coalesce(s["value"], F.lit(""))).alias("cells"))
+    number = lambda f: F.when(F.size(f) > 0, (F.size(f) >= 2) & F.get(f, F.lit(0)).rlike(r"^\s*\d+(?:[.,]\d+)?\s*$"))
+    return g.withColumn("numbered", bound(_filled(F.col("cells")), number)).where("numbered IS NOT NULL")
+
+
 def sheet_rows(cells: DataFrame) -> DataFrame:
     """cells (document, sheet, row, col, value) -> rows that are not empty: content (cells joined by |), cells in column order, numbered: at least two cells filled and the first filled one a number."""
-    g = cells.groupBy("document", "sheet", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda s: F.coalesce(s["value"], F.lit(""))).alias("cells"))
-    filled = F.filter("cells", lambda c: F.length(java_trim(c)) > 0)
-    g = g.withColumn("filled", filled).where(F.size("filled") > 0)
-    return g.select("document", "sheet", "row", F.array_join(F.transform("filled", java_trim), " | ").alias("content"), "cells", ((F.size("filled") >= 2) & F.get("filled", F.lit(0)).rlike(r"^\s*\d+(?:[.,]\d+)?\s*$")).alias("numbered"))
+    return _numbered_rows(cells).select("document", "sheet", "row", _content(F.col("cells")).alias("content"), "cells", "numbered")
 
 
 def header_scan_limit(rows: DataFrame, most: int = HEADER_SCAN_ROWS) -> DataFrame:
@@ -104,13 +116,8 @@ def header_scan_limit(rows: DataFrame, most: int = HEADER_SCAN_ROWS) -> DataFram
     return seen.where((F.col("nth") <= most) & (F.col("records") == 0)).drop("nth", "records")
 
 
-def detect_header(rows: DataFrame) -> DataFrame:
-    """rows of sheet_rows -> per sheet: name_col, quantity_col (from 0), header_row, content, code_absent; columns null where the header is not certain.
-
-    The name column is the first that reads like one. The quantity column has the best score, ties to the first row and there to the last column. With both, the header ends at the
-    later of the two rows and its context is the last 5 rows up to there. Else it is up to 5 rows before the first numbered record among the first 5 rows, else the first 3 rows, without trust.
-    Where the first row is a record already, content is a fixed sentence.
-    """
+def _with_header(rows: DataFrame) -> DataFrame:
+    """rows with nth and their sheet's name_col, quantity_col, header_row, header_nth, as detect_header says."""
     # every window is over a sheet: one shuffle serves all of them
     w = Window.partitionBy("document", "sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     sheet = Window.partitionBy("document", "sheet")
@@ -125,6 +132,18 @@ def detect_header(rows: DataFrame) -> DataFrame:
     ranked = found.withColumn("header_row", F.greatest("name_row", "quantity_row"))
     both = F.col("name_row").isNotNull() & F.col("quantity_row").isNotNull()
     ranked = ranked.withColumn("header_row", F.when(both, F.col("header_row"))).withColumn("header_nth", F.max(F.when(F.col("row") <= F.col("header_row"), F.col("nth"))).over(sheet))
+    return ranked
+
+
+def detect_header(rows: DataFrame) -> DataFrame:
+    """rows of sheet_rows -> per sheet: name_col, quantity_col (from 0), header_row, content, code_absent; columns null where the header is not certain.
+
+    The name column is the first that reads like one. The quantity column has the best score, ties to the first row and there to the last column. With both, the header ends at the
+    later of the two rows and its context is the last 5 rows up to there. Else it is up to 5 rows before the first numbered record among the first 5 rows, else the first 3 rows, without trust.
+    Where the first row is a record already, content is a fixed sentence.
+    """
+    ranked = _with_header(rows)
+    sheet = Window.partitionBy("document", "sheet")
     first_number = F.min(F.when(F.col("numbered") & (F.col("nth") <= HEADER_CONTEXT_ROWS), F.col("nth"))).over(sheet)
     ranked = ranked.withColumn("first_number", first_number)
     used = F.when(F.col("header_row").isNotNull(), (F.col("row") <= F.col("header_row")) & (F.col("nth") > F.col("header_nth") - HEADER_CONTEXT_ROWS)).when(F.col("first_number").isNotNull(), F.col("nth") < F.col("first_number")).otherwise(F.col("nth") <= FALLBACK_HEADER_ROWS)
@@ -136,13 +155,21 @@ def detect_header(rows: DataFrame) -> DataFrame:
     return out.select("document", "sheet", F.when(certain | partly, F.col("name_col")).alias("name_col"), F.when(certain, F.col("quantity_col")).alias("quantity_col"), "header_row", F.when(F.col("content") != "", F.col("content")).otherwise(NO_HEADER).alias("content"), absent.alias("code_absent"))
 
 
+def _records(r: DataFrame, content: Column) -> DataFrame:
+    cell = lambda k: F.coalesce(F.get("cells", F.col(k)), F.lit(""))
+    r = r.where("row > header_row").withColumn("product_name", trim_to_null(cell("name_col"))).withColumn("quantity", positive_int_cell(cell("quantity_col"))).where("product_name IS NOT NULL AND quantity IS NOT NULL")
+    return r.select("document", "sheet", F.col("row").alias("source_row"), source_identity(F.col("sheet"), F.col("row")).alias("source_identity"), content.alias("source_text"), "product_name", "quantity")
+
+
 def table_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows under a certain header with a name and a positive whole quantity: the trusted source records."""
     h = headers.where("header_row IS NOT NULL").select("document", "sheet", "name_col", "quantity_col", "header_row")
-    r = rows.join(h, ["document", "sheet"]).where("row > header_row")
-    cell = lambda k: F.coalesce(F.get("cells", F.col(k)), F.lit(""))
-    r = r.withColumn("product_name", trim_to_null(cell("name_col"))).withColumn("quantity", positive_int_cell(cell("quantity_col"))).where("product_name IS NOT NULL AND quantity IS NOT NULL")
-    return r.select("document", "sheet", F.col("row").alias("source_row"), source_identity(F.col("sheet"), F.col("row")).alias("source_identity"), F.col("content").alias("source_text"), "product_name", "quantity")
+    return _records(rows.join(h, ["document", "sheet"]), F.col("content"))
+
+
+def cell_records(cells: DataFrame) -> DataFrame:
+    """table_records of cells: rows take their sheet's header from the windows in which it is found, so they are made and dealt by sheet once, without their content."""
+    return _records(_with_header(_numbered_rows(cells)), _content(F.col("cells")))
 
 
 def excel_chunks(rows: DataFrame, records: DataFrame, size: int = ROWS_PER_CHUNK) -> DataFrame:

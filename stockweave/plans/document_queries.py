@@ -121,8 +121,7 @@ def detect_varied_headers(v):
 
 @query("table_records", f"WITH {SHEET_ROWS}, {SCANNED}, {HEADERS}, {RECORDS} SELECT document, sheet, source_row, source_identity, source_text, product_name, quantity FROM records")
 def table_records(v):
-    r = sheet(v)
-    return D.table_records(r, D.detect_header(r))
+    return D.cell_records(v("sheet_cells"))
 
 
 @query("excel_chunks", f"""WITH {SHEET_ROWS}, {SCANNED}, {HEADERS}, {RECORDS},

@@ -276,3 +276,13 @@ def test_table_lines_of_a_page(spark):
     assert got == {"d": (3, 4, 1, 1), "h": (0, 0, 1, 0)}
     chunks = sorted((r.chunk_index, r.ids, r.first_id, r.last_id) for r in D.page_ids_per_chunk(lines, 2).collect())
     assert chunks == [(1, 2, 1, 2), (2, 1, 3, 3)]
+
+
+def test_records_of_cells_take_their_header_without_a_join(spark):
+    sheets = {"a": [("Sıra No", "Malzeme Adı", "Toplam Adet"), ("1", "Kalem", "3"), (None, " ", ""), ("2", " ", "4"), ("3", "Defter", "yok"), ("4", "Silgi", "5")], "b": [("1", "Kalem", "3"), ("2", "Defter", "4")]}
+    cells = spark.createDataFrame([("d", s, r, c, x) for s, lines in sheets.items() for r, line in enumerate(lines, 1) for c, x in enumerate(line, 1)], "document string, sheet string, row int, col int, value string")
+    got = D.cell_records(cells)
+    assert sorted((r.sheet, r.source_row, r.source_text, r.product_name, r.quantity) for r in got.collect()) == [("a", 2, "1 | Kalem | 3", "Kalem", 3), ("a", 6, "4 | Silgi | 5", "Silgi", 5)]
+    rows = D.sheet_rows(cells)
+    assert sorted(got.collect()) == sorted(D.table_records(rows, D.detect_header(rows)).collect())
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
